@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayfleet.llm import op1_packing, op3_token_counts, tokens
+from wayfleet.llm import op1_packing, op3_token_counts, op4_simhash, op5_decontaminate, op8_line_dedup, tokens
 from wayfleet.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +21,26 @@ def op3_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_token_counts.token_counts(table(spark, sf_dir, "documents"), tokens.vocabulary())
 
 
+def op4_simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_simhash.components64(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each document's text after its repeated lines went."""
+    done = op8_line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text")).alias("kept_md5"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_harmonic_packing": op1_packing_query,
+        "op4_simhash_anchors": op4_simhash_query,
+        "op5_template_decontamination": op5_decontaminate_query,
+        "op8_line_windows": op8_line_dedup_query,
         "op3_token_counts": op3_token_counts_query,
     }
 
