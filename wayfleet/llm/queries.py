@@ -7,12 +7,76 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfleet.llm import op1_packing, op3_token_counts, op4_simhash, op5_decontaminate, op8_line_dedup, tokens
-from wayfleet.llm.common import table
+from wayfleet.llm import op1_packing, op2_toxicity, op3_token_counts, op4_simhash, op5_decontaminate, op6_preference, op7_lattice_lm, op8_line_dedup, op9_quality, op10_language, tokens
+from wayfleet.llm.common import crc_mod, only, settle, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(table(spark, sf_dir, "documents"), doc_id="long", text="string")
+    scored = op2_toxicity.toxicity(docs, table(spark, sf_dir, "labels"), op2_toxicity.learnable())
+    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op6_preference_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each rendered part.
+
+    The table doesn't say which conversations are chosen or rejected. Pairs are those that open with the
+    same turn, and any other conversation with an odd id as rejected beside its predecessor's as chosen.
+    """
+    rows = settle(op6_preference.turns(table(spark, sf_dir, "conversations")))
+    alike = op6_preference.first_turn_pairs(rows)
+    ids = rows.select("conv_id").distinct()
+    next_to = ids.where("conv_id % 2 = 1").select(F.col("conv_id").alias("pair_id"), (F.col("conv_id") - 1).alias("chosen"), F.col("conv_id").alias("rejected"))
+    next_to = next_to.join(ids.select(F.col("conv_id").alias("chosen")), "chosen").join(alike, "pair_id", "left_anti")
+    pairs = settle(alike.unionByName(next_to))
+    done = op6_preference.preferences(rows, pairs)
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["from"], m["to"])), ",")
+    return done.select("pair_id", "part", "block", "first_turn", "last_turn", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"), spans.alias("mask"))
+
+
+OP6_SQL = """
+WITH turns AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, min({'role': coalesce(role, ''), 'text': coalesce(text, '')}) AS said
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+), size AS (SELECT conv_id, count(*) AS n, min(turn) AS turn FROM turns GROUP BY ALL
+), opening AS (SELECT s.conv_id, s.n, t.said FROM size s JOIN turns t ON t.conv_id = s.conv_id AND t.turn = s.turn
+), best AS (SELECT said, min({'n': n, 'conv_id': conv_id}) AS best FROM opening GROUP BY said HAVING count(*) > 1
+), alike AS (SELECT o.conv_id AS pair_id, b.best.conv_id AS chosen, o.conv_id AS rejected FROM opening o JOIN best b ON b.said = o.said WHERE o.conv_id <> b.best.conv_id
+), pairs AS (
+  SELECT * FROM alike
+  UNION ALL SELECT a.conv_id, a.conv_id - 1, a.conv_id FROM size a JOIN size b ON b.conv_id = a.conv_id - 1
+  WHERE a.conv_id % 2 = 1 AND a.conv_id NOT IN (SELECT pair_id FROM alike)
+), both AS (
+  SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.turn, b.turn) AS turn, a.said AS chosen, b.said AS rejected
+  FROM (SELECT pair_id, turn, said FROM pairs JOIN turns ON conv_id = chosen) a
+  FULL JOIN (SELECT pair_id, turn, said FROM pairs JOIN turns ON conv_id = rejected) b ON a.pair_id = b.pair_id AND a.turn = b.turn
+), split AS (SELECT pair_id, min(turn) AS split FROM both WHERE chosen IS DISTINCT FROM rejected GROUP BY ALL
+), parts AS (
+  SELECT b.pair_id, b.turn, CASE WHEN s.split IS NULL OR b.turn < s.split THEN 'prompt' ELSE 'chosen' END AS part, b.chosen AS said FROM both b LEFT JOIN split s ON s.pair_id = b.pair_id WHERE b.chosen IS NOT NULL
+  UNION ALL SELECT b.pair_id, b.turn, 'rejected', b.rejected FROM both b JOIN split s ON s.pair_id = b.pair_id WHERE b.rejected IS NOT NULL AND b.turn >= s.split
+), shown AS (
+  SELECT pair_id, part, turn // 64 AS block, turn, '<|' || said.role || '|>' || chr(10) AS lead, '<|' || said.role || '|>' || chr(10) || said.text || '<|end|>' || chr(10) AS text, part <> 'prompt' AND said.role = 'assistant' AS trained FROM parts
+), placed AS (SELECT *, CAST(sum(length(text)) OVER (PARTITION BY pair_id, part, block ORDER BY turn) AS BIGINT) AS upto FROM shown)
+SELECT pair_id, part, block, min(turn) AS first_turn, max(turn) AS last_turn, CAST(sum(length(text)) AS BIGINT) AS n_chars, md5(string_agg(text, '' ORDER BY turn)) AS text_md5,
+  coalesce(string_agg(CASE WHEN trained THEN (upto - length(text) + length(lead)) || '-' || upto END, ',' ORDER BY turn), '') AS mask
+FROM placed GROUP BY pair_id, part, block
+"""
+
+
+def op7_lattice_lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_lattice_lm.lm_scores(op7_lattice_lm.split(table(spark, sf_dir, "documents")), op7_lattice_lm.vocabulary(), "held_out")
+
+
+def op9_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op10_language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_language.languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op1_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_packing.pack(table(spark, sf_dir, "documents"), tokens.vocabulary())
 
@@ -38,12 +102,17 @@ def op8_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_harmonic_packing": op1_packing_query,
+        "op2_toxicity_gru": op2_toxicity_query,
+        "op3_token_counts": op3_token_counts_query,
         "op4_simhash_anchors": op4_simhash_query,
         "op5_template_decontamination": op5_decontaminate_query,
+        "op6_preference_format": op6_preference_query,
+        "op7_lattice_lm": op7_lattice_lm_query,
         "op8_line_windows": op8_line_dedup_query,
-        "op3_token_counts": op3_token_counts_query,
+        "op9_quality_divergence": op9_quality_query,
+        "op10_language_fusion": op10_language_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_preference_format": OP6_SQL}
