@@ -57,7 +57,8 @@ def lengths(a: pa.Array) -> np.ndarray:
 
 def texts(b: pa.RecordBatch, name: str = "text", lower: bool = False) -> pa.Array:
     """A text column without nulls; lower: with A-Z (and no other letter) in lower case."""
-    a = pc.fill_null(b.column(name).cast(pa.large_string()), "")
+    a = pa.concat_arrays([b.column(name)])  # a copy: ascii_lower misreads a slice's offsets
+    a = pc.fill_null(a.cast(pa.large_string()), "")
     return pc.ascii_lower(a) if lower else a
 
 

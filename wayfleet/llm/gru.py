@@ -52,10 +52,10 @@ def stretched(ufunc: np.ufunc, values: np.ndarray, count: np.ndarray, empty: flo
 
 
 def odds(hits: np.ndarray, others: np.ndarray, n_hits: int, n_others: int) -> np.ndarray:
-    """Log odds of label 1 less a standard error towards 0, about -1 to 1.5."""
+    """Log odds of label 1 less a standard error towards 0, about -4 to 6."""
     lo = np.log((hits + 0.5) / (n_hits + 1)) - np.log((others + 0.5) / (n_others + 1))
     error = np.sqrt(1 / (hits + 0.5) + 1 / (others + 0.5))
-    return (np.sign(lo) * np.maximum(0, np.abs(lo) - error) / 4).astype(np.float32)
+    return (np.sign(lo) * np.maximum(0, np.abs(lo) - error)).astype(np.float32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -184,8 +184,8 @@ def scores(net: Network, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def trained(texts: list[str], labels: np.ndarray, rounds: int = 5, batch: int = 256, rate: float = 0.05, min_texts: int = 3) -> Network:
-    """A network fitted to texts in lower case. Each round finds every text's strongest windows and takes steps on them."""
+def trained(texts: list[str], labels: np.ndarray, rounds: int = 5, batch: int = 256, rate: float = 0.05, min_texts: int = 3, min_steps: int = 40, dropped: float = 0.5) -> Network:
+    """A network fitted to texts in lower case. Each round finds every text's strongest windows and takes steps on them, twice through or `min_steps`. dropped: the share of embeddings left out at random in a step, so that the fixed features are learnt as well."""
     flat, starts = words(pa.array(texts, pa.large_string()))
     code, distinct = coded(flat)
     forms = plain(distinct)
@@ -227,7 +227,7 @@ def trained(texts: list[str], labels: np.ndarray, rounds: int = 5, batch: int =
         best = order[last]
         negative = np.flatnonzero(labels[text] == 0)
         pick = np.concatenate([best, rng.choice(negative, min(len(best), len(negative)), replace=False)]) if len(negative) else best
-        for _ in range(2):
+        for _ in range(max(2, -(-min_steps // -(-len(pick) // batch)))):
             rng.shuffle(pick)
             for at in range(0, len(pick), batch):
                 own_index, y = index[pick[at : at + batch]], labels[text[pick[at : at + batch]]].astype(np.float32)
@@ -238,6 +238,8 @@ def trained(texts: list[str], labels: np.ndarray, rounds: int = 5, batch: int =
                     used = np.append(used, len(forms))
                 taken = forms.take(pa.array(used[:-1]))
                 x, number, gram = net.inputs(taken)
+                keep = np.repeat(rng.random((len(x), 2)) >= dropped, [WORD_DIM, CHAR_DIM], axis=1) / (1 - dropped)
+                x[:, : WORD_DIM + CHAR_DIM] *= keep
                 gates = np.zeros((len(used), 6 * HIDDEN), dtype=np.float32)
                 gates[:-1] = x @ net.p["w"] + net.p["b"]
                 logit, saved = net.run(gates, where, keep=True)
@@ -247,6 +249,7 @@ def trained(texts: list[str], labels: np.ndarray, rounds: int = 5, batch: int =
                 np.add.at(dgates, where.T.ravel(), dsteps.reshape(-1, dsteps.shape[-1]))
                 dgates = dgates[:-1]
                 dx = dgates @ net.p["w"].T
+                dx[:, : WORD_DIM + CHAR_DIM] *= keep
                 dense |= {"w": x.T @ dgates, "b": dgates.sum(0)}
                 total = np.maximum(sum(m for _, m in gram), 1)
                 dchar = dx[:, WORD_DIM : WORD_DIM + CHAR_DIM] / total[:, None]

@@ -15,9 +15,10 @@ pairs are listed.
 `near_duplicates` serves a similarity of word shingles. Fingerprints there have 256 bits over shingles of
 `shingle - 2` words, blocks are `BLOCKS` pseudo-random choices of 31 bits with t = 0 (one anchor
 each), and anchors propose links to their smallest and largest member. A link holds if the similarity
-that 512 bits over shingles of `shingle` words estimate reaches the threshold: with c the cosine
-cos(pi * differing share), it is c / (2 - c). At a Jaccard similarity of 0.8 one of the blocks
-meets with a chance of 0.98, and the estimate has a deviation of 0.03.
+that `CHECK_WORDS` * 64 bits over shingles of `shingle` words estimate reaches the threshold less
+`SLACK`: with c the cosine cos(pi * differing share), it is c / (2 - c). At a Jaccard similarity of 0.8
+one of the blocks meets with a chance of 0.98 or so, and the estimate has a deviation of 0.02, which is
+the slack, so that few pairs at the threshold are missed and pairs under 0.74 hardly ever taken.
 
 Defined results: equal fingerprints are one node, however many rows have them; no words give
 fingerprint zero, linked like any other; a null doc_id gets a fingerprint and the component of equal
@@ -41,6 +42,7 @@ SEED = 42
 #: An anchor with more fingerprints than this is dealt out by neighbouring points.
 CROWDED = 32
 BLOCKS = 96
+CHECK_WORDS, SLACK = 16, 0.02
 _SPREAD = np.array([sum((b >> i & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
 
 
@@ -185,7 +187,7 @@ def components64(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of each document (doc_id, text); the smallest doc_id of a component names it."""
-    part = (max(1, shingle - 2), 4), (shingle, 8)
+    part = (max(1, shingle - 2), 4), (shingle, CHECK_WORDS)
     rows = settle(fingerprints(docs, *part))
     nodes = settle(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
     at = replicated(nodes, many_blocks, False)
@@ -193,10 +195,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     met = at.join(ends, "anchor")
     pairs = met.select(F.col("node").alias("a"), F.col("low").alias("b")).unionByName(met.select(F.col("high").alias("a"), F.col("node").alias("b")))
     pairs = settle(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    bits = nodes.select("node", F.slice("fp", 5, 8).alias("fp"))
+    bits = nodes.select("node", F.slice("fp", 5, CHECK_WORDS).alias("fp"))
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    c = F.cos(F.lit(np.pi / 512) * differ)
-    held = pairs.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b").where(c / (2 - c) >= similarity).select("a", "b")
+    c = F.cos(F.lit(np.pi / (64 * CHECK_WORDS)) * differ)
+    held = pairs.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b").where(c / (2 - c) >= similarity - SLACK).select("a", "b")
     found = components(held)
     nodes = settle(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
     return rows.join(nodes, "fp", "left").select("doc_id", "component_id")
