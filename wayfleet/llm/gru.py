@@ -201,13 +201,15 @@ def trained(texts: list[str], labels: np.ndarray, rounds: int = 5, batch: int =
     seen = np.zeros((2, BUCKETS), dtype=np.int64)
     own = grams(forms)
     text_of, form_of = pair // len(forms), pair % len(forms)
+    blocks = np.searchsorted(text_of, np.arange(0, len(texts) + 50, 50))  # of 50 texts, to bound what is held at once
     for bucket, m in own:
         begin = np.cumsum(m) - m
-        reps = m[form_of]
-        at = np.repeat(begin[form_of] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-        both = np.unique(np.repeat(text_of, reps) * BUCKETS + bucket[at])
-        for label in (0, 1):
-            seen[label] += np.bincount(both[labels[both // BUCKETS] == label] % BUCKETS, minlength=BUCKETS)
+        for lo, hi in zip(blocks[:-1], blocks[1:], strict=True):
+            reps, forms_here = m[form_of[lo:hi]], form_of[lo:hi]
+            at = np.repeat(begin[forms_here] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+            both = np.unique(np.repeat(text_of[lo:hi], reps) * BUCKETS + bucket[at])
+            for label in (0, 1):
+                seen[label] += np.bincount(both[labels[both // BUCKETS] == label] % BUCKETS, minlength=BUCKETS)
     net = Network([forms[int(i)].as_py() for i in common], word_odds, odds(seen[1], seen[0], n1, n0))
     index, text = windows(starts, code, len(forms))
     rng = np.random.default_rng(11)

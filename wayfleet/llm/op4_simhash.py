@@ -17,7 +17,7 @@ pairs are listed.
 each), and anchors propose links to their smallest and largest member. A link holds if the similarity
 that `CHECK_WORDS` * 64 bits over shingles of `shingle` words estimate reaches the threshold less
 `SLACK`: with c the cosine cos(pi * differing share), it is c / (2 - c). At a Jaccard similarity of 0.8
-one of the blocks meets with a chance of 0.98 or so, and the estimate has a deviation of 0.02, which is
+one of the blocks meets with a chance of 0.98 or so, and the estimate has a deviation of 0.025, which is
 the slack, so that few pairs at the threshold are missed and pairs under 0.74 hardly ever taken.
 
 Defined results: equal fingerprints are one node, however many rows have them; no words give
@@ -42,7 +42,7 @@ SEED = 42
 #: An anchor with more fingerprints than this is dealt out by neighbouring points.
 CROWDED = 32
 BLOCKS = 96
-CHECK_WORDS, SLACK = 16, 0.02
+CHECK_WORDS, SLACK = 12, 0.025
 _SPREAD = np.array([sum((b >> i & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
 
 
@@ -137,8 +137,8 @@ def replicated(nodes: DataFrame, blocks, keep_fp: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 20_000):
-                b = whole.slice(at, 20_000)
+            for at in range(0, whole.num_rows, 5_000):
+                b = whole.slice(at, 5_000)
                 flat = b.column("fp").flatten().to_numpy(zero_copy_only=False)
                 key = np.stack(blocks(flat.reshape(b.num_rows, -1)), axis=1)
                 row, way = np.nonzero(key >= 0)
