@@ -1,0 +1 @@
+"""Batch operators: functions from DataFrames to DataFrames."""

@@ -77,7 +77,7 @@ def cars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: DuckDB's side of the frames: a query puts the ones it names before its own text.
 SQL = {
-    "observations": """SELECT event_id AS observation_id, user_id AS car_id, epoch_ms(ts) AS at_ms,
+    "observations": """SELECT event_id AS observation_id, user_id AS car_id, epoch_us(ts) // 1000 AS at_ms,
       CASE event_type WHEN 'view' THEN 'online' WHEN 'click' THEN 'driving' WHEN 'purchase' THEN 'charging' WHEN 'signup' THEN 'asleep' WHEN 'error' THEN 'offline' END AS phase,
       CASE WHEN event_type <> 'error' THEN value END AS power, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS soc,
       CASE WHEN event_id % 5 = 0 THEN '2024.' || (event_id // 500) END AS version, props FROM events""",

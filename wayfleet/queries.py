@@ -1,11 +1,528 @@
-"""Registered queries of the telemetry operators and their DuckDB SQL."""
+"""Registered queries of the telemetry operators, on the adapters' frames, and their DuckDB SQL."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfleet.functions import scalars as S
+from wayfleet.operators import cdc, drives, geo, intervals, quality, reconcile, relations, sessions
+from wayfleet.plans import adapters as A
+from wayfleet.plans.adapters import with_frames
+from wayfleet.sources import observations as live
+from wayfleet.sources import schema
+from wayfleet.streaming import lifecycle
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+HOUR = 3_600_000
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+# Observations -----------------------------------------------------------------------------------
+
+STATED = with_frames("observations") + """, stated AS (SELECT *, CASE WHEN phase IN ('online', 'driving', 'charging') THEN 'online' ELSE phase END AS state FROM observations WHERE phase IS NOT NULL),
+  changed AS (SELECT *, lag(state) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id) AS before FROM stated),
+  intervals AS (SELECT car_id, state, at_ms AS start_ms, lead(at_ms) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id) AS end_ms FROM changed WHERE before IS DISTINCT FROM state)"""
+
+
+def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.observations(spark, sf_dir).withColumn("state", intervals.logical_state(F.col("phase")))
+
+
+@query(STATED + " SELECT * FROM intervals")
+def state_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.state_intervals(_stated(spark, sf_dir))
+
+
+@query(STATED + " SELECT car_id, state, CAST(sum(coalesce(end_ms - start_ms, 0)) AS BIGINT) AS closed_ms, count(*) AS n_intervals, count(*) FILTER (end_ms IS NULL) AS n_open FROM intervals GROUP BY ALL")
+def time_in_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.time_in_state(state_intervals(spark, sf_dir))
+
+
+@query(with_frames("observations") + """, w AS (SELECT *, max(CASE WHEN phase = 'driving' THEN at_ms END) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM observations),
+  k AS (SELECT *, CASE WHEN phase = 'driving' THEN 'in' WHEN phase IN ('asleep', 'updating', 'online', 'charging') THEN 'close' WHEN phase = 'offline' AND at_ms - last >= 7200000 THEN 'close' END AS kind FROM w),
+  b AS (SELECT *, lag(kind) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id) AS before FROM k WHERE kind IS NOT NULL),
+  s AS (SELECT *, sum(CASE WHEN kind = 'in' AND before IS DISTINCT FROM 'in' THEN 1 ELSE 0 END) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id ROWS UNBOUNDED PRECEDING) AS session FROM b)
+  SELECT car_id, CAST(session AS BIGINT) AS session, count(*) AS n_rows, count(*) FILTER (kind = 'close') AS n_endpoints, min(at_ms) AS start_ms, max(at_ms) AS end_ms FROM s
+  WHERE kind = 'in' OR (before = 'in' AND phase IN ('online', 'charging')) GROUP BY ALL""")
+def drive_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hours stand for the offline time-out, as these observations lie hours apart."""
+    rows = sessions.drive_sessions(A.observations(spark, sf_dir), offline_ms=2 * HOUR)
+    return rows.groupBy("car_id", "session").agg(F.count("*").alias("n_rows"), F.count_if("endpoint").alias("n_endpoints"), F.min("at_ms").alias("start_ms"), F.max("at_ms").alias("end_ms"))
+
+
+def _charging_state() -> Column:
+    return F.when(F.col("phase") == "charging", "Charging").when(F.col("soc") % 10 == 0, "Complete").when((F.col("phase") == "online") & (F.col("soc") % 2 == 0), "Idle")
+
+
+@query(with_frames("observations") + """, c AS (SELECT *, CASE WHEN phase = 'charging' THEN 'charging' WHEN soc % 10 = 0 THEN 'complete' WHEN phase = 'online' AND soc % 2 = 0 THEN 'idle' END AS cs FROM observations),
+  k AS (SELECT *, CASE WHEN phase IN ('asleep', 'updating') THEN 'close' WHEN cs = 'charging' THEN 'in' WHEN cs = 'complete' AND phase <> 'offline' THEN 'close' WHEN cs IS NOT NULL AND phase = 'online' THEN 'close' END AS kind FROM c),
+  b AS (SELECT *, lag(kind) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id) AS before FROM k WHERE kind IS NOT NULL),
+  s AS (SELECT *, sum(CASE WHEN kind = 'in' AND before IS DISTINCT FROM 'in' THEN 1 ELSE 0 END) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id ROWS UNBOUNDED PRECEDING) AS session FROM b)
+  SELECT car_id, CAST(session AS BIGINT) AS session, count(*) AS n_rows, count(*) FILTER (kind = 'close') AS n_endpoints, min(at_ms) AS start_ms, max(at_ms) AS end_ms FROM s WHERE kind = 'in' OR (before = 'in' AND cs = 'complete') GROUP BY ALL""")
+def charge_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sessions.charge_sessions(A.observations(spark, sf_dir).withColumn("charging_state", _charging_state()))
+    return rows.groupBy("car_id", "session").agg(F.count("*").alias("n_rows"), F.count_if("endpoint").alias("n_endpoints"), F.min("at_ms").alias("start_ms"), F.max("at_ms").alias("end_ms"))
+
+
+@query(with_frames("observations") + " SELECT observation_id, car_id, last_value(power IGNORE NULLS) OVER w AS power, last_value(version IGNORE NULLS) OVER w AS version FROM observations WINDOW w AS (PARTITION BY car_id ORDER BY at_ms, observation_id ROWS UNBOUNDED PRECEDING)")
+def fill_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.fill_sparse(A.observations(spark, sf_dir), "power", "version").select("observation_id", "car_id", "power", "version")
+
+
+@query(with_frames("observations") + """, v AS (SELECT *, lag(version) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id) AS before FROM observations WHERE version IS NOT NULL)
+  SELECT car_id, at_ms, version, before FROM v WHERE CAST(split_part(version, '.', 2) AS BIGINT) > CAST(split_part(before, '.', 2) AS BIGINT)""")
+def missed_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.missed_updates(A.observations(spark, sf_dir))
+
+
+@query(with_frames("observations") + """, e AS (SELECT *, CASE soc % 10 WHEN 0 THEN 'start' WHEN 1 THEN 'cancel' ELSE CASE WHEN phase = 'online' AND version IS NOT NULL THEN 'done' END END AS event FROM observations),
+  b AS (SELECT *, lag(event) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id) AS before FROM e WHERE event IS NOT NULL),
+  n AS (SELECT *, lead(event) OVER w AS next, lead(at_ms) OVER w AS next_ms, lead(CASE WHEN phase = 'online' THEN version END) OVER w AS next_version FROM b WHERE event <> 'start' OR before IS DISTINCT FROM 'start' WINDOW w AS (PARTITION BY car_id ORDER BY at_ms, observation_id))
+  SELECT car_id, at_ms AS start_ms, next_ms AS end_ms, next_version AS version FROM n WHERE event = 'start' AND (next IS NULL OR next = 'done')""")
+def software_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("soc") % 10 == 0, "installing").when(F.col("soc") % 10 == 1, "available")
+    return intervals.software_updates(A.observations(spark, sf_dir).withColumn("status", status))
+
+
+@query(with_frames("observations") + """, h AS (SELECT *, last_value(CASE WHEN phase <> 'offline' THEN phase END IGNORE NULLS) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM observations)
+  SELECT observation_id, CASE WHEN phase = 'offline' AND held IN ('charging', 'updating', 'driving') THEN held WHEN phase = 'online' AND soc % 4 = 0 AND held = 'charging' THEN held ELSE phase END AS effective FROM h""")
+def effective_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.effective_phase(A.observations(spark, sf_dir).withColumn("bare", F.col("soc") % 4 == 0)).select("observation_id", "effective")
+
+
+@query(with_frames("observations") + " SELECT car_id, arg_max(power, (at_ms, observation_id)) FILTER (power IS NOT NULL) AS power, arg_max(version, (at_ms, observation_id)) FILTER (version IS NOT NULL) AS version FROM observations GROUP BY car_id")
+def merge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.merge_metadata(A.observations(spark, sf_dir), "power", "version")
+
+
+@query(with_frames("observations") + " SELECT car_id, max(observation_id) AS observation_id, arg_max(at_ms, observation_id) AS at_ms, max(observation_id) > car_id * 100 AS newer FROM observations GROUP BY car_id")
+def observation_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = A.observations(spark, sf_dir)
+    given = obs.select("car_id").distinct().select("car_id", (F.col("car_id") * 100).alias("observation_id"))
+    return intervals.newer_than(intervals.observation_watermark(obs), given)
+
+
+@query()
+def stationary_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.stationary_positions(A.observations(spark, sf_dir), thin_ms=2 * HOUR)
+
+
+@query()
+def monotonic_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = A.observations(spark, sf_dir).withColumns({"candidate": F.when(F.col("soc") % 3 != 0, F.col("at_ms") - F.col("soc") * 600_000), "fallback": F.col("at_ms") - 60_000})
+    return sessions.monotonic_ts(shifted, "candidate", "fallback")
+
+
+@query(with_frames("observations") + """, base AS (SELECT car_id, max(observation_id) % 1000 + 1 AS next_id FROM observations GROUP BY car_id)
+  SELECT observation_id, car_id, next_id + row_number() OVER (PARTITION BY car_id ORDER BY at_ms, observation_id) - 1 AS id FROM observations JOIN base USING (car_id)""")
+def assign_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = A.observations(spark, sf_dir)
+    bases = obs.groupBy("car_id").agg((F.max("observation_id") % 1000 + 1).alias("next_id"))
+    return sessions.assign_ids(obs, bases, "at_ms", "observation_id").select("observation_id", "car_id", "id")
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations as JSON payloads of full snapshots."""
+    n = F.col("soc")
+    shift = F.when(F.col("phase") == "driving", "D")
+    vehicle = F.struct((n % 3 != 0).alias("locked"), (n % 7 == 0).alias("sentry_mode"), (n % 11 == 0).cast("int").alias("df"), F.struct(F.when(n % 13 == 0, "installing").alias("status")).alias("software_update"))
+    body = F.struct(F.struct(shift.alias("shift_state"), F.when(n % 5 == 0, n.cast("double") + 0.5).otherwise(0.0).alias("power"), n.cast("string").alias("text")).alias("drive_state"), F.struct(F.when(F.col("phase") == "charging", "Charging").alias("charging_state")).alias("charge_state"), vehicle.alias("vehicle_state"))
+    return A.observations(spark, sf_dir).where("soc is not null").withColumn("payload", F.to_json(body))
+
+
+_POLLED = "CASE WHEN soc % 13 = 0 THEN 'updating' WHEN phase = 'charging' THEN 'charging' WHEN phase = 'driving' THEN 'driving' ELSE 'online' END"
+
+
+@query(with_frames("observations") + f" SELECT observation_id, {_POLLED} AS polled, {_POLLED} = 'online' AND soc % 3 <> 0 AND soc % 7 <> 0 AND soc % 11 <> 0 AND (soc % 5 <> 0 OR soc + 0.5 <= 0) AS eligible FROM observations WHERE soc IS NOT NULL")
+def sleep_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snapshots(spark, sf_dir).select("observation_id", intervals.poll_phase("payload").alias("polled"), intervals.sleep_eligible("payload").alias("eligible"))
+
+
+@query(with_frames("observations") + """ SELECT observation_id, CASE WHEN soc % 5 = 0 THEN CAST(soc + 1 AS BIGINT) ELSE 0 END AS as_int, CASE WHEN soc % 5 = 0 THEN soc + CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS as_float, CAST(NULL AS BIGINT) AS text_int, soc % 3 <> 0 AS as_bool,
+  CASE WHEN soc > 0 THEN soc END AS as_time FROM observations WHERE soc IS NOT NULL""")
+def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _snapshots(spark, sf_dir)
+    power, text = "$.drive_state.power", "$.drive_state.text"
+    return rows.select("observation_id", S.int_field("payload", power).alias("as_int"), S.float_field("payload", power).alias("as_float"), S.int_field("payload", text).alias("text_int"), S.bool_field("payload", "$.vehicle_state.locked").alias("as_bool"), S.timestamp_field("payload", text).alias("as_time"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'wrong number of values' WHEN event_id % 3 = 0 AND event_id % 19 = 0 THEN 'two timestamps' WHEN event_id % 3 <> 0 AND event_id % 19 <> 0 AND event_id % 23 = 0 THEN 'no timestamp' WHEN event_id % 29 = 0 THEN 'bad tag' WHEN event_id % 31 = 0 THEN 'bad number' END AS reject,
+  CASE WHEN event_id % 17 <> 0 AND NOT (event_id % 3 = 0 AND event_id % 19 = 0) AND NOT (event_id % 3 <> 0 AND event_id % 19 <> 0 AND event_id % 23 = 0) AND event_id % 29 <> 0 AND event_id % 31 <> 0 THEN epoch_us(ts) // 1000 END AS ts_ms,
+  CASE WHEN event_id % 17 <> 0 AND NOT (event_id % 3 = 0 AND event_id % 19 = 0) AND NOT (event_id % 3 <> 0 AND event_id % 19 <> 0 AND event_id % 23 = 0) AND event_id % 29 <> 0 AND event_id % 31 <> 0 AND event_id % 2 = 0 THEN value END AS power FROM events""")
+def parse_stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.table(spark, sf_dir, "events")
+    e, ts = F.col("event_id"), S.epoch_ms("ts").cast("string")
+    own = e % 3 == 0
+    power = F.when(e % 2 == 0, F.col("value").cast("string")).otherwise("")
+    value = F.concat(F.when(own, F.concat(ts, F.lit(","))).otherwise(""), F.lit("12,"), F.when(e % 31 == 0, "x").otherwise("100.5"), F.lit(",50,,,1.5,2.5,"), power, F.lit(",D,200,190,"), F.lit("7"), F.when(e % 17 == 0, ",1,2").otherwise(""))
+    outer = F.when(~own & (e % 19 != 0) & (e % 23 == 0), None).when(~own | (e % 19 == 0), ts)
+    body = F.to_json(F.struct(F.when(e % 29 == 0, "no tag!").otherwise("tag-1").alias("tag"), outer.alias("timestamp"), value.alias("value")))
+    return live.parse_stream_frames(rows.select("event_id", body.alias("value"))).select("event_id", "reject", "ts_ms", "power")
+
+
+@query(STATED + " SELECT car_id, state AS label, start_ms, end_ms FROM intervals WHERE end_ms IS NOT NULL")
+def lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state intervals that the stream closes, run over what is there and written in the shared folder."""
+    lifecycle.configure(spark)
+    top = f"{spark.conf.get('spark.checkpoint.dir')}/lifecycle/{uuid.uuid4().hex}"
+    source = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").parquet(f"{sf_dir}/events.parquet*")
+    obs = source.select(F.col("user_id").alias("car_id"), F.col("event_id").alias("observation_id"), S.epoch_ms("ts").alias("at_ms"), F.expr("CASE event_type WHEN 'view' THEN 'online' WHEN 'click' THEN 'driving' WHEN 'purchase' THEN 'charging' WHEN 'signup' THEN 'asleep' WHEN 'error' THEN 'offline' END").alias("phase"), F.expr("CASE WHEN event_type = 'purchase' THEN 'Charging' END").alias("charging_state"), F.lit(None).cast("double").alias("odometer"), F.lit(None).cast("double").alias("energy"), F.lit(False).alias("broken"))
+    run = lifecycle.lifecycle_stream(obs).writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(lifecycle.OUT).parquet(f"{top}/out").where("entity = 'state'").select("car_id", "label", "start_ms", "end_ms")
+
+
+# Drives and charges -----------------------------------------------------------------------------
+
+
+@query(with_frames("positions") + """ SELECT drive_id, min(car_id) AS car_id, count(*) AS n_positions, min(date_ms) AS start_ms, max(date_ms) AS end_ms,
+  round((arg_max(odometer, (date_ms, id)) FILTER (odometer IS NOT NULL) - arg_min(odometer, (date_ms, id)) FILTER (odometer IS NOT NULL)) * 1e6) / 1e6 AS distance_km, max(speed) AS speed_max, max(power) AS power_max, min(power) AS power_min,
+  arg_min(ideal_km, (date_ms, id)) FILTER (ideal_km IS NOT NULL AND odometer IS NOT NULL) AS start_ideal_km, arg_max(ideal_km, (date_ms, id)) FILTER (ideal_km IS NOT NULL AND odometer IS NOT NULL) AS end_ideal_km, arg_min(battery_level, (date_ms, id)) AS start_soc, arg_max(battery_level, (date_ms, id)) AS end_soc,
+  CAST(round((max(date_ms) - min(date_ms)) / 60000) AS BIGINT) AS duration_min FROM positions GROUP BY drive_id HAVING count(*) >= 2 AND distance_km >= 0.01""")
+def drive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drives.finalize_drives(A.positions(spark, sf_dir))
+    return out.select("drive_id", "car_id", "n_positions", "start_ms", "end_ms", "distance_km", "speed_max", "power_max", "power_min", "start_ideal_km", "end_ideal_km", "start_soc", "end_soc", "duration_min")
+
+
+@query(with_frames("samples") + """, g AS (SELECT charge_id, min(car_id) AS car_id, count(*) AS n_samples, min(date_ms) AS start_ms, max(date_ms) AS end_ms, arg_min(energy, (date_ms, id)) FILTER (energy IS NOT NULL) AS f, arg_max(energy, (date_ms, id)) FILTER (energy IS NOT NULL) AS l, max(energy) AS m,
+  max(power) AS max_power, coalesce(bool_or(fast_present), false) AS is_dc, arg_max(battery_level, (date_ms, id)) AS end_battery_level FROM samples GROUP BY charge_id)
+  SELECT charge_id, car_id, n_samples, start_ms, end_ms, max_power, is_dc, end_battery_level, (CASE WHEN (CASE WHEN l > 0 THEN l ELSE m END) - f >= 0 THEN round(((CASE WHEN l > 0 THEN l ELSE m END) - f) * 100) / 100 END) AS energy_added, (end_ms - start_ms) // 60000 AS duration_min FROM g""")
+def charge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drives.finalize_charges(A.samples(spark, sf_dir)).select("charge_id", "car_id", "n_samples", "start_ms", "end_ms", "max_power", "is_dc", "end_battery_level", "energy_added", "duration_min")
+
+
+FACTS = """facts AS (SELECT charge_id, coalesce(bool_or(fast_present), false) AS is_dc, max(power) AS max_power, arg_min(battery_level, (date_ms, id)) AS start_battery_level, arg_max(battery_level, (date_ms, id)) AS end_battery_level,
+  arg_max(fast_type, (date_ms, id)) FILTER (power > 0 AND fast_type IS NOT NULL) AS fast_type, min(date_ms) AS first_ms, max(date_ms) AS last_ms, count(*) AS n_samples,
+  CASE WHEN arg_max(energy, (date_ms, id)) FILTER (energy IS NOT NULL) - arg_min(energy, (date_ms, id)) FILTER (energy IS NOT NULL) >= 0 THEN arg_max(energy, (date_ms, id)) FILTER (energy IS NOT NULL) - arg_min(energy, (date_ms, id)) FILTER (energy IS NOT NULL) END AS energy_added FROM samples GROUP BY charge_id)"""
+
+
+@query(with_frames("samples") + f", {FACTS} SELECT * FROM facts")
+def charge_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drives.charge_facts(A.samples(spark, sf_dir)).drop("start_ideal_km", "end_ideal_km")
+
+
+@query(with_frames("samples", "charges", "geofences") + f""", {FACTS}, j AS (SELECT c.id, f.energy_added, (c.end_ms - c.start_ms) // 60000 AS minutes, g.*  EXCLUDE (id, name) FROM charges c LEFT JOIN facts f ON f.charge_id = c.id LEFT JOIN geofences g ON g.id = c.geofence_id)
+  SELECT id, CASE WHEN id % 10 = 0 THEN CAST(0 AS DOUBLE) WHEN billing_type = 'per_kwh' AND energy_added >= 0 THEN cost_per_unit * energy_added + coalesce(session_fee, 0) WHEN billing_type = 'per_minute' THEN cost_per_unit * minutes + coalesce(session_fee, 0) END AS cost FROM j""")
+def charge_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = drives.charge_facts(A.samples(spark, sf_dir)).select(F.col("charge_id").alias("id"), "energy_added")
+    fences = A.geofences(spark, sf_dir).select(F.col("id").alias("geofence_id"), "billing_type", "cost_per_unit", "session_fee")
+    rows = A.charges(spark, sf_dir).join(facts, "id", "left").join(fences, "geofence_id", "left")
+    minutes = F.floor((F.col("end_ms") - F.col("start_ms")) / 60000)
+    return rows.select("id", S.charge_cost(F.col("billing_type"), F.col("cost_per_unit"), F.col("session_fee"), F.col("energy_added"), F.lit(None).cast("double"), minutes, F.col("id") % 10 == 0).alias("cost"))
+
+
+@query(with_frames("samples") + """, w AS (SELECT *, date_ms - lag(date_ms) OVER o AS dt, last_value(power IGNORE NULLS) OVER (PARTITION BY charge_id ORDER BY date_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM samples WINDOW o AS (PARTITION BY charge_id ORDER BY date_ms, id))
+  SELECT charge_id, round(sum(CASE WHEN power IS NOT NULL AND dt > 0 THEN before * dt END) / 3.6e6 * 1e4) / 1e4 AS energy_used, count(CASE WHEN power IS NOT NULL AND dt > 0 THEN before * dt END) AS n_intervals FROM w GROUP BY charge_id""")
+def energy_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drives.energy_used(A.samples(spark, sf_dir))
+
+
+@query(with_frames("samples") + """, u AS (SELECT *, CASE WHEN power IS NOT NULL AND current * voltage > 0 AND phases > 0 THEN power * 1000 / (current * voltage) END AS ratio FROM samples),
+  p AS (SELECT car_id AS charge_id, count(ratio) AS n, avg(ratio) AS p, round(avg(CASE WHEN ratio IS NOT NULL THEN phases END)) AS r FROM u GROUP BY car_id)
+  SELECT charge_id, n, CAST(CASE WHEN n <= 15 THEN NULL WHEN abs(r - p) <= 0.3 THEN r WHEN p > 0 AND abs(r / sqrt(3) - p) / p <= 0.1 THEN sqrt(3) END AS DOUBLE) IS NOT NULL AS known FROM p""")
+def phases_of_car(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phases by car, as charges here have few samples."""
+    rows = A.samples(spark, sf_dir).withColumn("charge_id", F.col("car_id"))
+    usable = F.col("power").isNotNull() & (F.col("current") * F.col("voltage") > 0) & (F.col("phases") > 0)
+    n = rows.groupBy("charge_id").agg(F.count_if(usable).alias("n"))
+    return drives.determine_phases(rows).join(n, "charge_id").select("charge_id", "n", F.col("phases_used").isNotNull().alias("known"))
+
+
+@query(with_frames("positions") + """, s AS (SELECT drive_id, elevation - lag(elevation) OVER (PARTITION BY drive_id ORDER BY date_ms, id) AS step FROM positions WHERE elevation IS NOT NULL),
+  t AS (SELECT drive_id, CAST(coalesce(sum(greatest(step, 0)), 0) AS BIGINT) AS a, CAST(coalesce(sum(greatest(-step, 0)), 0) AS BIGINT) AS d FROM s GROUP BY drive_id)
+  SELECT drive_id, CASE WHEN a >= 32768 THEN 0 ELSE a END AS ascent, CASE WHEN d >= 32768 THEN 0 ELSE d END AS descent FROM t""")
+def elevation_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drives.elevation_gain_loss(A.positions(spark, sf_dir), "drive_id", "date_ms", "id")
+
+
+# Relational import ------------------------------------------------------------------------------
+
+
+@query(with_frames("drives", "addresses", "geofences") + """ SELECT d.id, d.car_id, d.start_ms, d.end_ms, a.display_name AS start_address, b.display_name AS end_address, g.name AS start_geofence, h.name AS end_geofence
+  FROM drives d LEFT JOIN addresses a ON a.id = d.start_address_id LEFT JOIN addresses b ON b.id = d.end_address_id LEFT JOIN geofences g ON g.id = d.start_geofence_id LEFT JOIN geofences h ON h.id = d.end_geofence_id WHERE d.end_ms IS NOT NULL""")
+def project_drives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.drives(spark, sf_dir).withColumns({"start_position_id": F.lit(None).cast("bigint"), "end_position_id": F.lit(None).cast("bigint")})
+    done = relations.project_drive(rows, A.positions(spark, sf_dir), A.addresses(spark, sf_dir), A.geofences(spark, sf_dir))
+    return done.select("id", "car_id", "start_ms", "end_ms", "start_address", "end_address", "start_geofence", "end_geofence")
+
+
+@query(with_frames("positions", "drives") + " SELECT p.id, p.car_id, p.drive_id, p.date_ms FROM positions p LEFT JOIN drives d ON d.id = p.drive_id AND d.end_ms IS NOT NULL WHERE p.drive_id IS NULL OR d.id IS NOT NULL")
+def project_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.project_position(A.positions(spark, sf_dir), A.drives(spark, sf_dir)).select("id", "car_id", "drive_id", "date_ms")
+
+
+@query(with_frames("samples", "charges", "geofences", "addresses") + f""", {FACTS} SELECT c.id, c.car_id, least(c.start_ms, f.first_ms) AS start_ms, CASE WHEN c.end_ms IS NOT NULL THEN greatest(c.end_ms, f.last_ms) END AS end_ms, a.display_name AS address, g.name AS geofence, g.billing_type, coalesce(f.is_dc, false) AS is_dc, f.max_power, f.energy_added
+  FROM charges c LEFT JOIN facts f ON f.charge_id = c.id LEFT JOIN geofences g ON g.id = c.geofence_id LEFT JOIN addresses a ON a.id = c.address_id""")
+def project_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = drives.charge_facts(A.samples(spark, sf_dir))
+    done = relations.project_charge(A.charges(spark, sf_dir), facts, A.addresses(spark, sf_dir), A.geofences(spark, sf_dir))
+    return done.select("id", "car_id", "start_ms", "end_ms", "address", "geofence", "billing_type", "is_dc", "max_power", "energy_added")
+
+
+@query(with_frames("cars") + """ SELECT id, coalesce(nullif(trim(name), ''), 'Car ' || id) AS name, CASE WHEN model = 'models' THEN 'S' ELSE '3' END AS model, upper(trim) AS trim, CASE WHEN efficiency < 0 THEN NULL WHEN efficiency > 0 AND efficiency < 1 THEN efficiency * 1000 ELSE efficiency END AS efficiency_wh_per_km FROM cars""")
+def project_cars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.project_car(A.cars(spark, sf_dir)).select("id", "name", "model", "trim", "efficiency_wh_per_km")
+
+
+@query(with_frames("drives", "charges", "addresses", "geofences") + """ SELECT 'address' AS kind, id FROM addresses WHERE id IN (SELECT start_address_id FROM drives UNION SELECT end_address_id FROM drives UNION SELECT address_id FROM charges)
+  UNION ALL SELECT 'geofence', id FROM geofences WHERE id IN (SELECT start_geofence_id FROM drives UNION SELECT end_geofence_id FROM drives UNION SELECT geofence_id FROM charges)""")
+def referenced_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, c = A.drives(spark, sf_dir), A.charges(spark, sf_dir)
+    a = relations.referenced(A.addresses(spark, sf_dir), (d, "start_address_id"), (d, "end_address_id"), (c, "address_id"))
+    g = relations.referenced(A.geofences(spark, sf_dir), (d, "start_geofence_id"), (d, "end_geofence_id"), (c, "geofence_id"))
+    return a.select(F.lit("address").alias("kind"), "id").unionByName(g.select(F.lit("geofence").alias("kind"), "id"))
+
+
+@query(with_frames("positions", "drives") + " SELECT p.id, p.drive_id FROM positions p JOIN drives d ON d.id = p.drive_id WHERE p.date_ms < d.start_ms OR p.date_ms > d.end_ms")
+def positions_outside_drive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.position_in_drive(A.positions(spark, sf_dir), A.drives(spark, sf_dir)).select("id", "drive_id")
+
+
+@query(with_frames("drives") + " SELECT id, car_id FROM (SELECT *, count(*) OVER (PARTITION BY car_id) AS n FROM drives WHERE end_ms IS NULL AND id % 5 = 0) WHERE n = 1")
+def open_drives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the drives whose id divides by 5, taken as another source's rows."""
+    return relations.open_rows(A.drives(spark, sf_dir).where("id % 5 = 0")).select("id", "car_id")
+
+
+@query(with_frames("drives") + """, a AS (SELECT *, 1 AS rd FROM drives WHERE id % 3 <> 0), b AS (SELECT * REPLACE (start_ms + 1000 AS start_ms), 2 AS rd FROM drives WHERE id % 2 = 0), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
+  SELECT id, car_id, start_ms FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY rd DESC) = 1""")
+def cutover_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two overlapping reads of the drives, the second a second later."""
+    d = A.drives(spark, sf_dir)
+    return relations.union_newest(d.where("id % 3 <> 0"), d.where("id % 2 = 0").withColumn("start_ms", F.col("start_ms") + 1000)).select("id", "car_id", "start_ms")
+
+
+@query(with_frames("drives", "positions", "charges", "samples") + " SELECT 'drive' AS \"table\", count(*) AS n FROM drives UNION ALL SELECT 'position', count(*) FROM positions UNION ALL SELECT 'charge', count(*) FROM charges UNION ALL SELECT 'sample', count(*) FROM samples")
+def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.source_counts(drive=A.drives(spark, sf_dir), position=A.positions(spark, sf_dir), charge=A.charges(spark, sf_dir), sample=A.samples(spark, sf_dir))
+
+
+@query(with_frames("drives", "positions") + """, k AS (SELECT count(*) AS s, count(*) FILTER (end_ms IS NOT NULL) AS p, count(*) FILTER (end_ms IS NULL) AS o FROM drives), q AS (SELECT count(*) AS s, count(*) FILTER (d.end_ms IS NOT NULL) AS p, count(*) FILTER (d.end_ms IS NULL) AS o FROM positions JOIN drives d ON d.id = drive_id)
+  SELECT 'drive' AS "table", s AS source, p AS projected, o AS skipped, s - p - o AS unexplained FROM k UNION ALL SELECT 'position', s, p, o, s - p - o FROM q""")
+def count_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, p = A.drives(spark, sf_dir), A.positions(spark, sf_dir)
+    open_ones = d.where("end_ms is null")
+    skipped = reconcile.source_counts(drive=open_ones, position=p.join(open_ones.select(F.col("id").alias("drive_id")), "drive_id", "left_semi"))
+    return reconcile.count_reconciliation(reconcile.source_counts(drive=d, position=p), reconcile.source_counts(drive=d.where("end_ms is not null"), position=relations.project_position(p, d)), skipped)
+
+
+@query(with_frames("drives", "positions") + " SELECT 'drive' AS \"table\", max(id) AS max_id, greatest(max(start_ms), max(end_ms)) AS max_ms FROM drives UNION ALL SELECT 'position', max(id), max(date_ms) FROM positions")
+def source_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.source_watermarks(drive=(A.drives(spark, sf_dir), ["start_ms", "end_ms"]), position=(A.positions(spark, sf_dir), ["date_ms"]))
+
+
+@query(with_frames("drives", "positions") + " SELECT 'drive' AS entity, greatest(max(id) + 1, 1) AS next_id FROM drives UNION ALL SELECT 'position', greatest(max(id) + 1, 1) FROM positions")
+def next_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, p = A.drives(spark, sf_dir), A.positions(spark, sf_dir)
+    return reconcile.next_ids({"drive": d.where("id % 2 = 0"), "position": p}, {"drive": d.where("id % 2 = 1")})
+
+
+UPDATES = ", updates AS (SELECT observation_id AS id, car_id, at_ms AS start_ms, CASE WHEN soc % 4 <> 0 THEN at_ms + 60000 END AS end_ms, CASE WHEN soc % 3 <> 0 THEN version WHEN soc % 2 = 0 THEN '' END AS version FROM observations WHERE version IS NOT NULL)"
+
+
+def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    version = F.when(F.col("soc") % 3 != 0, F.col("version")).when(F.col("soc") % 2 == 0, "")
+    return A.observations(spark, sf_dir).where("version is not null").select(F.col("observation_id").alias("id"), "car_id", F.col("at_ms").alias("start_ms"), F.when(F.col("soc") % 4 != 0, F.col("at_ms") + 60000).alias("end_ms"), version.alias("version"))
+
+
+@query(with_frames("observations") + UPDATES + " SELECT car_id, arg_max_null(version, (end_ms, start_ms, id)) AS version FROM updates WHERE end_ms IS NOT NULL GROUP BY car_id")
+def latest_firmware(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.latest_firmware(_updates(spark, sf_dir))
+
+
+@query(with_frames("observations") + UPDATES + " SELECT count(*) AS rows, count(end_ms) AS completed, count(*) FILTER (end_ms IS NULL) AS open, count(*) FILTER (version IS NULL) AS null_version, count(*) FILTER (version = '') AS empty_version, min(start_ms) AS min_start_ms, max(start_ms) AS max_start_ms, min(end_ms) AS min_end_ms, max(end_ms) AS max_end_ms FROM updates")
+def update_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.update_summary(_updates(spark, sf_dir))
+
+
+@query(with_frames("observations") + UPDATES + " SELECT id, car_id, trim(version) AS version, start_ms, end_ms FROM updates WHERE end_ms IS NOT NULL AND trim(coalesce(version, '')) <> '' AND start_ms > 0 AND end_ms >= start_ms")
+def project_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.project_update(_updates(spark, sf_dir)).select("id", "car_id", "version", "start_ms", "end_ms")
+
+
+@query(with_frames("positions") + " SELECT drive_id, count(DISTINCT id) AS n FROM positions WHERE drive_id IS NOT NULL GROUP BY drive_id")
+def materialisation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.materialisation_report(A.positions(spark, sf_dir), "drive_id")
+
+
+@query("SELECT 'line' AS entity, l_orderkey * 10 + l_linenumber AS id, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1 OR l_orderkey * 10 + l_linenumber <= 0")
+def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.duplicate_ids(line=A.table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey * 10 + l_linenumber").alias("id")))
+
+
+@query("WITH m AS (SELECT greatest(max(o_orderkey), 1) AS top FROM orders) SELECT o_orderkey, greatest(0, least((o_orderkey - 1) * 8 // top, 7)) AS shard FROM orders, m")
+def id_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema.id_range_shards(A.table(spark, sf_dir, "orders").select("o_orderkey"), 8, "o_orderkey").select("o_orderkey", "shard")
+
+
+# Geography --------------------------------------------------------------------------------------
+
+_NEAR = """, p AS (SELECT id, latitude, longitude FROM positions), m AS (SELECT p.id, g.id AS geofence_id, g.radius, pow(sin(radians(g.latitude - p.latitude) / 2), 2) + cos(radians(p.latitude)) * cos(radians(g.latitude)) * pow(sin(radians(g.longitude - p.longitude) / 2), 2) AS a
+  FROM p JOIN geofences g ON abs(g.latitude - p.latitude) < 0.1 WHERE g.radius > 0 AND g.radius < 5000),
+  near AS (SELECT id, geofence_id, 2 * 6378168.0 * atan2(sqrt(least(1, greatest(0, a))), sqrt(1 - least(1, greatest(0, a)))) AS d, radius FROM m)"""
+
+
+@query(with_frames("positions", "geofences") + _NEAR + " SELECT id, arg_min(geofence_id, (round(d * 1000), geofence_id)) AS geofence_id, round(min(d) * 10) / 10 AS distance_m FROM near WHERE d < radius GROUP BY id")
+def nearest_geofence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = geo.nearest_geofence(A.positions(spark, sf_dir), A.geofences(spark, sf_dir))
+    return out.select("id", "geofence_id", S.scaled_round(F.col("distance_m"), 1).alias("distance_m"))
+
+
+@query(with_frames("positions", "geofences") + _NEAR + """, best AS (SELECT id, arg_min(geofence_id, (round(d * 1000), geofence_id)) AS geofence_id FROM near WHERE d < radius GROUP BY id)
+  SELECT p.id, coalesce(CASE WHEN p.id % 5 = 0 THEN 'home' END, g.name) AS geofence FROM positions p LEFT JOIN best b ON b.id = p.id LEFT JOIN geofences g ON g.id = b.geofence_id""")
+def geofence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each position as the start of a drive."""
+    spots = A.positions(spark, sf_dir).select("id", F.col("latitude").alias("start_latitude"), F.col("longitude").alias("start_longitude"), F.lit(None).cast("double").alias("end_latitude"), F.lit(None).cast("double").alias("end_longitude"), F.expr("CASE WHEN id % 5 = 0 THEN 'home' END").alias("start_geofence"), F.lit(None).cast("string").alias("end_geofence"))
+    return geo.fill_labels(spots, A.geofences(spark, sf_dir)).select("id", F.col("start_geofence").alias("geofence"))
+
+
+@query(with_frames("positions") + """ SELECT id, (CASE WHEN latitude < 0 THEN 'S' ELSE 'N' END) || lpad(CAST(abs(CAST(floor(latitude) AS INT)) AS VARCHAR), 2, '0') || (CASE WHEN longitude < 0 THEN 'W' ELSE 'E' END) || lpad(CAST(abs(CAST(floor(longitude) AS INT)) AS VARCHAR), 3, '0') AS tile,
+  CAST(trunc((floor(latitude) + 1 - latitude) * 1200) AS INT) * 1201 + CAST(trunc((longitude - floor(longitude)) * 1200) AS INT) AS cell FROM positions""")
+def tile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.positions(spark, sf_dir).select("id", S.tile_name(F.col("latitude"), F.col("longitude")).alias("tile"), S.tile_cell(F.col("latitude"), F.col("longitude"), F.lit(1201)).alias("cell"))
+
+
+# Change capture ---------------------------------------------------------------------------------
+
+
+def _version(rows: DataFrame, entity: str = "drive") -> DataFrame:
+    digest = S.row_digest(F.lit(entity), F.col("id"), F.col("car_id"), "o_totalprice")
+    return rows.select(F.lit(entity).alias("entity"), "id", "car_id", digest.alias("digest"), F.col("o_totalprice").cast("decimal(20,2)").cast("string").alias("payload"))
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = A.drives(spark, sf_dir)
+    later = d.where("id % 7 <> 0").withColumn("o_totalprice", F.when(F.col("id") % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return _version(d.where("id % 3 <> 0")), _version(later)
+
+
+VERSIONS = with_frames("drives") + """, prior AS (SELECT 'drive' AS entity, id, car_id, CAST(CAST(o_totalprice AS DECIMAL(20,2)) AS VARCHAR) AS payload FROM drives WHERE id % 3 <> 0),
+  now AS (SELECT 'drive' AS entity, id, car_id, CAST(CAST(CASE WHEN id % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS DECIMAL(20,2)) AS VARCHAR) AS payload FROM drives WHERE id % 7 <> 0)"""
+
+
+@query(VERSIONS + " SELECT n.entity, n.id, CASE WHEN p.id IS NULL THEN 'new' WHEN p.payload = n.payload THEN 'unchanged' ELSE 'changed' END AS status FROM now n LEFT JOIN prior p ON p.id = n.id")
+def classify_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.classify_changes(*_versions(spark, sf_dir)).select("entity", "id", "status")
+
+
+@query(VERSIONS + " SELECT entity, id, car_id FROM prior WHERE id NOT IN (SELECT id FROM now)")
+def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.tombstones(*_versions(spark, sf_dir))
+
+
+@query(VERSIONS + " SELECT entity, id, car_id, payload FROM now")
+def apply_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prior, now = _versions(spark, sf_dir)
+    return cdc.apply_deltas(prior, cdc.build_delta(prior, now, 1))
+
+
+def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.table(spark, sf_dir, "lineitem")
+    op = F.when(F.col("l_partkey") % 5 == 0, "delete").otherwise("upsert")
+    return rows.groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("bigint").alias("seq")).agg(F.min("l_partkey").alias("l_partkey")).select(F.lit("drive").alias("entity"), "id", (F.col("id") % 100).alias("car_id"), op.alias("op"), F.when(op == "upsert", F.col("l_partkey").cast("string")).alias("payload"), "seq")
+
+
+FEED = "WITH feed AS (SELECT 'drive' AS entity, l_orderkey AS id, l_orderkey % 100 AS car_id, CASE WHEN min(l_partkey) % 5 = 0 THEN 'delete' ELSE 'upsert' END AS op, CASE WHEN min(l_partkey) % 5 <> 0 THEN CAST(min(l_partkey) AS VARCHAR) END AS payload, CAST(l_linenumber AS BIGINT) AS seq FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+
+
+@query(FEED + " SELECT * FROM feed WHERE seq <= 3 UNION ALL SELECT entity, id, car_id, op, payload, (SELECT max(seq) FROM feed) AS seq FROM feed WHERE seq > 3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1")
+def compact_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.compact(_feed(spark, sf_dir), 3)
+
+
+@query(FEED + ", last AS (SELECT * FROM feed WHERE seq <= 5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1), base AS (SELECT 'drive' AS entity, o_orderkey AS id, o_orderkey % 100 AS car_id, 'base' AS payload FROM orders) SELECT b.entity, b.id, b.car_id, coalesce(l.payload, b.payload) AS payload FROM base b LEFT JOIN last l ON l.id = b.id WHERE l.op IS DISTINCT FROM 'delete'")
+def replay_to_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = A.table(spark, sf_dir, "orders").select(F.lit("drive").alias("entity"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 100).alias("car_id"), F.lit("base").alias("payload"))
+    return cdc.apply_deltas(base, _feed(spark, sf_dir), at_seq=5)
+
+
+@query(FEED + " SELECT CASE WHEN op = 'delete' THEN 'tombstone' ELSE entity END AS entity, count(*) AS n, CASE WHEN op = 'delete' THEN 3 ELSE 1 END AS rank FROM feed GROUP BY ALL")
+def tables_in_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.tables_in_delta(_feed(spark, sf_dir))
+
+
+def _lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of packs per customer, a digest and a range of every eleventh and thirteenth order spoilt."""
+    rows = A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("car_id"), F.col("o_orderkey").alias("to_seq"))
+    w = intervals.W.partitionBy("car_id").orderBy("to_seq")
+    rows = rows.withColumns({"before": F.coalesce(F.lag("to_seq").over(w), F.lit(-1).cast("bigint")), "first": F.row_number().over(w) == 1})
+    chain = lambda seq: F.sha2(F.concat(F.lit("c"), seq.cast("string")), 256)
+    parent = F.when(F.col("first"), cdc.ZERO).otherwise(chain(F.col("before")))
+    return rows.select("car_id", F.when(F.col("to_seq") % 13 == 0, F.col("before") - 1).otherwise(F.col("before")).alias("from_seq"), "to_seq", F.when(F.col("to_seq") % 11 == 0, F.lit("x")).otherwise(parent).alias("parent"), chain(F.col("to_seq")).alias("chain"), F.concat(F.lit("p"), F.col("to_seq").cast("string")).alias("pack"), F.lit(1).alias("rows"), F.when(F.col("to_seq") % 17 == 0, 2).otherwise(1).alias("declared_rows"))
+
+
+@query("""WITH l AS (SELECT o_custkey AS car_id, o_orderkey AS to_seq, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+  SELECT car_id, 'base' AS rule, to_seq FROM l WHERE n = 1 AND to_seq % 11 = 0 UNION ALL SELECT car_id, 'parent digest', to_seq FROM l WHERE n > 1 AND to_seq % 11 = 0 UNION ALL SELECT car_id, 'contiguous', to_seq FROM l WHERE n > 1 AND to_seq % 13 = 0
+  UNION ALL SELECT car_id, 'declared rows', to_seq FROM l WHERE to_seq % 17 = 0""")
+def lineage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chain digests are tested on fixed values; here packs are named so that only the other rules break."""
+    return cdc.lineage_check(_lineage(spark, sf_dir)).where("rule <> 'chain digest'")
+
+
+@query(VERSIONS + ", u AS (SELECT entity, id, car_id, payload FROM prior UNION ALL SELECT entity, id, car_id, payload FROM now) SELECT entity, id, count(*) AS n, count(DISTINCT payload) > 1 AS conflict FROM u GROUP BY entity, id")
+def dedupe_or_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prior, now = _versions(spark, sf_dir)
+    return reconcile.dedupe_or_conflict(prior.unionByName(now))
+
+
+@query()
+def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.dataset_fingerprint(_versions(spark, sf_dir)[1], ["car_id"])
+
+
+@query(VERSIONS + ", a AS (SELECT car_id, string_agg(id || ':' || payload, ',' ORDER BY id) AS f FROM prior GROUP BY car_id), b AS (SELECT car_id, string_agg(id || ':' || payload, ',' ORDER BY id) AS f FROM now GROUP BY car_id) SELECT b.car_id FROM b LEFT JOIN a ON a.car_id = b.car_id AND a.f = b.f WHERE a.car_id IS NULL")
+def skip_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (reconcile.dataset_fingerprint(v, ["car_id"]) for v in _versions(spark, sf_dir))
+    return cdc.skip_unchanged(a, b).select("car_id")
+
+
+@query()
+def batch_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _feed(spark, sf_dir).where("op = 'upsert'").withColumn("bytes", F.length("payload") + 20)
+    return cdc.batch_changes(rows, max_rows=64, max_bytes=2000, by="car_id").groupBy("car_id", "batch").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+# Quality ----------------------------------------------------------------------------------------
+
+
+@query(with_frames("positions", "drives", "charges", "samples") + """ SELECT 'drive' AS entity, id, 'positive id' AS rule FROM drives WHERE id <= 0 UNION ALL SELECT 'drive', id, 'completed' FROM drives WHERE end_ms IS NULL
+  UNION ALL SELECT 'charge', id, 'positive id' FROM charges WHERE id <= 0 UNION ALL SELECT 'position', id, 'soc' FROM positions WHERE battery_level NOT BETWEEN 0 AND 100
+  UNION ALL SELECT 'position', id, 'unique id' FROM positions GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'charge_sample', id, 'unique id' FROM samples GROUP BY id HAVING count(*) > 1""")
+def snapshot_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.validate_snapshot(A.drives(spark, sf_dir), A.positions(spark, sf_dir), A.charges(spark, sf_dir), A.samples(spark, sf_dir))
+
+
+@query(STATED + """, s AS (SELECT car_id * 100000 + row_number() OVER (PARTITION BY car_id ORDER BY start_ms) AS id, car_id, state, start_ms, CASE WHEN start_ms % 50 = 0 THEN NULL ELSE end_ms END AS end_ms FROM intervals)
+  SELECT 'state' AS entity, id, 'one open state' AS rule FROM (SELECT *, count(*) OVER (PARTITION BY car_id) AS n FROM s WHERE end_ms IS NULL) WHERE n > 1""")
+def state_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.row_number().over(intervals.W.partitionBy("car_id").orderBy("start_ms"))
+    rows = state_intervals(spark, sf_dir).withColumns({"id": F.col("car_id") * 100000 + at, "end_ms": F.when(F.col("start_ms") % 50 != 0, F.col("end_ms"))})
+    return quality.validate_states(rows)
+
+
+@query(with_frames("observations") + UPDATES + " SELECT 'update' AS entity, id, 'version' AS rule FROM updates WHERE trim(coalesce(version, '')) = '' UNION ALL SELECT 'update', id, 'positive id' FROM updates WHERE id <= 0")
+def update_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.validate_updates(_updates(spark, sf_dir))
