@@ -40,6 +40,8 @@ from wayfleet.llm.common import coded, crc_mod, settle, slices, texts, words
 
 FREQUENT, ROUNDS, SMOOTH, OWN = 2e-6, 4, 0.1, 2
 MARK = "▁"
+#: Longer words go through the recursions one by one.
+LONG = 48
 
 
 def vocabulary() -> str:
@@ -49,6 +51,17 @@ def vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def piece_key(piece: str) -> int:
+    """A 64-bit hash of a piece, grown by one character at a time."""
+    h = 0
+    for c in piece:
+        h = ((h + ord(c) + 1) * _FACTOR) & (2**64 - 1)
+    return h
+
+
 @lru_cache(maxsize=2)
 def lattice(path: str) -> Lattice:
     return Lattice(path)
@@ -75,8 +88,91 @@ class Lattice:
             if len(piece) == 1:
                 self.single.add(piece)
         self.pieces.make_automaton()
+        keys = sorted((piece_key(p), i) for p, (i, _) in self.pieces.items())
+        self.keys, self.key_ids = np.array([k for k, _ in keys], dtype=np.uint64), np.array([i for _, i in keys])
+        self.longest = max(n for _, (_, n) in self.pieces.items())
+        self.sieve = np.zeros(1 << 22, dtype=bool)
+        self.sieve[self.keys >> np.uint64(42)] = True
         self.first = np.log(weight / weight.sum())
 
+    def found(self, keys: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these keys, -1 where there is none."""
+        out = np.full(keys.shape, -1, dtype=np.int64)
+        at = np.nonzero(self.sieve[keys >> np.uint64(42)])
+        own = keys[at]
+        place = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        out[at] = np.where(self.keys[place] == own, self.key_ids[place], -1)
+        return out
+
+    def batch(self, words: list[str], times: np.ndarray | None, logp: np.ndarray, spelled: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
+        """Words of any length: their log probabilities, and with times the expected counts of pieces and of spelled words."""
+        total, counts, now = np.zeros(len(words)), np.zeros(self.size), 0.0
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        order = np.argsort(size, kind="stable")
+        own = logp.tolist()
+        long = order[size[order] > LONG]
+        for i in long:
+            total[i] = self.forward(self.arcs(words[i]), own)[-1]
+            if times is not None:
+                now += self.expected(words[i], times[i], own, spelled, counts)
+        short = order[size[order] <= LONG]
+        for at in range(0, len(short), 4000):
+            pick = short[at : at + 4000]
+            now += self._together([words[i] for i in pick], size[pick] + 1, None if times is None else times[pick], logp, spelled, total, pick, counts)
+        return total, counts, now
+
+    def _together(self, words: list[str], size: np.ndarray, times: np.ndarray | None, logp: np.ndarray, spelled: float, total: np.ndarray, pick: np.ndarray, counts: np.ndarray) -> float:
+        """The same recursions over many words at a time, position by position."""
+        n, width = len(words), int(size.max())
+        flat = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        inside = np.arange(width) < size[:, None]
+        text = np.zeros((n, width), dtype=np.uint64)
+        text[inside] = flat
+        ids, lp = [], []
+        key = np.zeros((n, width), dtype=np.uint64)
+        with np.errstate(divide="ignore"):
+            for m in range(1, min(self.longest, width) + 1):
+                key = (key[:, : width - m + 1] + text[:, m - 1 :] + np.uint64(1)) * np.uint64(_FACTOR)
+                got = self.found(key)
+                got[~inside[:, m - 1 :]] = -1
+                ids.append(got)
+                lp.append(np.where(got >= 0, logp[got], -np.inf))
+        bare = inside & (ids[0] < 0)
+        by_bytes = {c: [self.byte[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in np.unique(text[bare]).astype(int).tolist()}
+        for c, b in by_bytes.items():
+            lp[0][bare & (text == c)] = logp[b].sum()
+        alpha = np.full((n, width + 1), -np.inf)
+        alpha[:, 0] = 0
+        for end in range(1, width + 1):
+            ways = np.stack([alpha[:, end - m] + lp[m - 1][:, end - m] for m in range(1, min(len(lp), end) + 1)])
+            top = np.maximum(ways.max(0), -1e300)
+            with np.errstate(divide="ignore"):
+                alpha[:, end] = top + np.log(np.exp(ways - top).sum(0))
+        whole = alpha[np.arange(n), size]
+        total[pick] = whole
+        if times is None:
+            return 0.0
+        times = np.where(times >= OWN, times * np.exp(np.minimum(0, whole + np.log(spelled / np.maximum(times, 1)))), times)
+        beta = np.full((n, width + 1), -np.inf)
+        beta[np.arange(n), size] = 0
+        taken, share = [], []
+        with np.errstate(invalid="ignore"):
+            for end in range(width, 0, -1):
+                for m in range(1, min(len(lp), end) + 1):
+                    own = lp[m - 1][:, end - m] + beta[:, end]
+                    live = np.flatnonzero(own > -np.inf)
+                    if not len(live):
+                        continue
+                    got = times[live] * np.exp(alpha[live, end - m] + own[live] - whole[live])
+                    one = ids[m - 1][live, end - m]
+                    taken.append(one[one >= 0])
+                    share.append(got[one >= 0])
+                    for c in np.unique(text[live[one < 0], end - 1]).astype(int).tolist() if m == 1 else ():
+                        np.add.at(counts, by_bytes[c], got[(one < 0) & (text[live, end - 1] == c)].sum())
+                    beta[live, end - m] = np.logaddexp(beta[live, end - m], own[live])
+        counts += np.bincount(np.concatenate(taken), np.concatenate(share), minlength=self.size)
+        return float(times.sum())
+
     def arcs(self, word: str) -> list[list[tuple[int, tuple[int, ...]]]]:
         """At each end in the marked word: where its pieces start, and their ids."""
         s = MARK + word
@@ -136,14 +232,14 @@ def fitted(counts: DataFrame, tokens: int, path: str, rounds: int) -> tuple[np.n
     """Log probabilities of the pieces after so many rounds on the training words, and how many of the tokens are spelled."""
     logp, spelled = lattice(path).first, max(1.0, tokens / 2)
     for _ in range(rounds):
-        held = counts.sparkSession.sparkContext.broadcast((logp.tolist(), spelled))
+        held = counts.sparkSession.sparkContext.broadcast((logp, spelled))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             model, (own, before) = lattice(path), held.value
             n, now = np.zeros(model.size), 0.0
             for b in batches:
-                for word, times in zip(b.column("word").to_pylist(), b.column("n_train").to_pylist(), strict=True):
-                    now += model.expected(word, times, own, before, n)
+                _, more, spelled = model.batch(b.column("word").to_pylist(), b.column("n_train").to_numpy(zero_copy_only=False).astype(np.float64), own, before)
+                n, now = n + more, now + spelled
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], now))], names=["piece", "n"])
 
@@ -160,13 +256,13 @@ def fitted(counts: DataFrame, tokens: int, path: str, rounds: int) -> tuple[np.n
 
 def scored_words(counts: DataFrame, logp: np.ndarray, spelled: float, tokens: int, path: str) -> DataFrame:
     """counts with lp, the natural logarithm of each word's probability among so many tokens."""
-    held = counts.sparkSession.sparkContext.broadcast(logp.tolist())
+    held = counts.sparkSession.sparkContext.broadcast(logp)
     share = math.log(spelled / max(tokens, spelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path)
         for b in batches:
-            lp = np.array([model.forward(model.arcs(w), held.value)[-1] for w in b.column("word").to_pylist()], dtype=np.float64) + share
+            lp = model.batch(b.column("word").to_pylist(), None, held.value)[0] + share
             n = b.column("n_train").to_numpy(zero_copy_only=False)
             own = np.where(n >= OWN, np.log(np.maximum(n, 1) / max(tokens, 1)), -np.inf)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.maximum(lp, own))], names=["word", "n", "n_train", "lp"])
