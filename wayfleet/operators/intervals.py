@@ -7,16 +7,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from wayfleet.functions.scalars import bool_field, firmware_newer, float_field, int_field, nonblank, text_field
 
-BY_CAR = W.partitionBy("car_id").orderBy("at_ms", "observation_id")
-BEFORE = BY_CAR.rowsBetween(W.unboundedPreceding, -1)
-SO_FAR = BY_CAR.rowsBetween(W.unboundedPreceding, 0)
 DRIVING_SHIFTS = ["D", "R", "N"]
 
 
+def by_car() -> WindowSpec:
+    return W.partitionBy("car_id").orderBy("at_ms", "observation_id")
+
+
+def before() -> WindowSpec:
+    """A car's rows ahead of this one."""
+    return by_car().rowsBetween(W.unboundedPreceding, -1)
+
+
+def so_far() -> WindowSpec:
+    return by_car().rowsBetween(W.unboundedPreceding, 0)
+
+
 def classify_phase(vehicle_state: Column, update_status: Column, charging_state: Column, shift: Column, speed: Column) -> Column:
     """The phase of an observation; what is tested first wins."""
     state = F.lower(vehicle_state)
@@ -61,8 +72,8 @@ def sleep_eligible(payload: Column | str, require_locked: bool = True) -> Column
 def state_intervals(obs: DataFrame, state: str = "state") -> DataFrame:
     """(car_id, state, start_ms, end_ms): equal neighbouring states merge; a change ends at the new row's time; the last stays open; null is ignored."""
     known = obs.where(F.col(state).isNotNull())
-    starts = known.withColumn("before", F.lag(state).over(BY_CAR)).where(~F.col("before").eqNullSafe(F.col(state)))
-    return starts.select("car_id", F.col(state).alias("state"), F.col("at_ms").alias("start_ms"), F.lead("at_ms").over(BY_CAR).alias("end_ms"))
+    starts = known.withColumn("before", F.lag(state).over(by_car())).where(~F.col("before").eqNullSafe(F.col(state)))
+    return starts.select("car_id", F.col(state).alias("state"), F.col("at_ms").alias("start_ms"), F.lead("at_ms").over(by_car()).alias("end_ms"))
 
 
 def time_in_state(intervals: DataFrame) -> DataFrame:
@@ -73,7 +84,7 @@ def time_in_state(intervals: DataFrame) -> DataFrame:
 
 def fill_sparse(obs: DataFrame, *cols: str) -> DataFrame:
     """The last value that isn't null is carried forward."""
-    return obs.withColumns({c: F.last(c, ignorenulls=True).over(SO_FAR) for c in cols})
+    return obs.withColumns({c: F.last(c, ignorenulls=True).over(so_far()) for c in cols})
 
 
 def software_updates(obs: DataFrame, status: str = "status", version: str = "version") -> DataFrame:
@@ -81,14 +92,14 @@ def software_updates(obs: DataFrame, status: str = "status", version: str = "ver
     own = obs.select("car_id", "at_ms", "observation_id", F.col(status).alias("status"), F.when(F.col("phase") == "online", nonblank(version)).alias("version"))
     event = F.when(F.col("status") == "installing", "start").when(F.col("status") == "available", "cancel").when(F.col("version").isNotNull(), "done")
     rows = own.withColumn("event", event).where("event is not null")
-    rows = rows.withColumn("before", F.lag("event").over(BY_CAR)).where("event <> 'start' or before is null or before <> 'start'")
-    rows = rows.withColumns({"next": F.lead("event").over(BY_CAR), "next_ms": F.lead("at_ms").over(BY_CAR), "next_version": F.lead("version").over(BY_CAR)})
+    rows = rows.withColumn("before", F.lag("event").over(by_car())).where("event <> 'start' or before is null or before <> 'start'")
+    rows = rows.withColumns({"next": F.lead("event").over(by_car()), "next_ms": F.lead("at_ms").over(by_car()), "next_version": F.lead("version").over(by_car())})
     return rows.where("event = 'start' and (next is null or next = 'done')").select("car_id", F.col("at_ms").alias("start_ms"), F.col("next_ms").alias("end_ms"), F.col("next_version").alias("version"))
 
 
 def missed_updates(obs: DataFrame, version: str = "version", installing: Column | None = None) -> DataFrame:
     """(car_id, at_ms, version, before): the version rose over the last known one while no update was open."""
-    rows = obs.where(nonblank(version).isNotNull()).withColumn("before", F.lag(version).over(BY_CAR))
+    rows = obs.where(nonblank(version).isNotNull()).withColumn("before", F.lag(version).over(by_car()))
     rows = rows.where(F.col("before").isNotNull() & firmware_newer(version, "before"))
     if installing is not None:
         rows = rows.where(~installing)
@@ -97,7 +108,7 @@ def missed_updates(obs: DataFrame, version: str = "version", installing: Column
 
 def effective_phase(obs: DataFrame, phase: str = "phase") -> DataFrame:
     """obs with effective: charging and driving hold through offline (charging through a bare online too), updating through offline."""
-    held = F.last(F.when(F.col(phase) != "offline", F.col(phase)), ignorenulls=True).over(BEFORE)
+    held = F.last(F.when(F.col(phase) != "offline", F.col(phase)), ignorenulls=True).over(before())
     bare = (F.col(phase) == "online") & (F.col("bare") if "bare" in obs.columns else F.lit(False))
     return obs.withColumn("effective", F.when((F.col(phase) == "offline") & held.isin("charging", "updating", "driving"), held).when(bare & (held == "charging"), held).otherwise(F.col(phase)))
 

@@ -11,16 +11,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfleet.functions.scalars import is_terminal_charge
-from wayfleet.operators.intervals import BEFORE, BY_CAR, SO_FAR
+from wayfleet.operators.intervals import before, by_car, so_far
 
 OFFLINE_MS, THIN_MS = 15 * 60_000, 5 * 60_000
 
 
 def _numbered(rows: DataFrame, kind: str) -> DataFrame:
     """Session numbers of rows whose kind is 'in', with a 'close' row right behind a session as its endpoint."""
-    rows = rows.where(F.col(kind).isNotNull()).withColumn("_before", F.lag(kind).over(BY_CAR))
+    rows = rows.where(F.col(kind).isNotNull()).withColumn("_before", F.lag(kind).over(by_car()))
     start = (F.col(kind) == "in") & ~F.col("_before").eqNullSafe(F.lit("in"))
-    rows = rows.withColumn("session", F.sum(start.cast("bigint")).over(SO_FAR))
+    rows = rows.withColumn("session", F.sum(start.cast("bigint")).over(so_far()))
     return rows.where((F.col(kind) == "in") | (F.col("_before") == "in")).drop("_before")
 
 
@@ -31,7 +31,7 @@ def drive_sessions(obs: DataFrame, offline_ms: int = OFFLINE_MS) -> DataFrame:
     last driving row while offline, and on a parked (online or charging) row; one with an odometer is kept as
     endpoint. Earlier offline rows and unknown phases are passed over.
     """
-    last = F.last(F.when(F.col("phase") == "driving", F.col("at_ms")), ignorenulls=True).over(BEFORE)
+    last = F.last(F.when(F.col("phase") == "driving", F.col("at_ms")), ignorenulls=True).over(before())
     kind = F.when(F.col("phase") == "driving", "in").when(F.col("phase").isin("asleep", "updating", "online", "charging"), "close").when((F.col("phase") == "offline") & (F.col("at_ms") - last >= offline_ms), "close")
     rows = _numbered(obs.withColumn("_kind", kind), "_kind").withColumn("endpoint", F.col("_kind") == "close")
     parked = F.col("phase").isin("online", "charging")
@@ -63,9 +63,9 @@ def stationary_positions(obs: DataFrame, thin_ms: int = THIN_MS) -> DataFrame:
 
     A stretch of rows in one phase is walked in order; rows of another stretch never meet it.
     """
-    last = F.last(F.when(F.col("phase") == "driving", F.col("at_ms")), ignorenulls=True).over(SO_FAR)
-    rows = obs.withColumns({"_last": last, "_before": F.lag("phase").over(BY_CAR)})
-    rows = rows.withColumn("_run", F.sum((~F.col("_before").eqNullSafe(F.col("phase"))).cast("bigint")).over(SO_FAR))
+    last = F.last(F.when(F.col("phase") == "driving", F.col("at_ms")), ignorenulls=True).over(so_far())
+    rows = obs.withColumns({"_last": last, "_before": F.lag("phase").over(by_car())})
+    rows = rows.withColumn("_run", F.sum((~F.col("_before").eqNullSafe(F.col("phase"))).cast("bigint")).over(so_far()))
     parked = rows.where(F.col("phase").isin("online", "charging", "updating") & (F.col("_last").isNull() | (F.col("at_ms") > F.col("_last"))))
     runs = parked.groupBy("car_id", "phase", "_run").agg(F.array_sort(F.collect_list("at_ms")).alias("times"))
     kept = F.aggregate("times", F.array().cast("array<bigint>"), lambda held, t: F.when((F.size(held) == 0) | (t - F.element_at(held, -1) >= thin_ms), F.concat(held, F.array(t))).otherwise(held))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,11 +111,15 @@ TILE_BYTES = {2 * 1201 * 1201: 1201, 2 * 3601 * 3601: 3601}
 
 def read_elevation_tiles(spark: SparkSession, path: str) -> DataFrame:
     """(tile, side, cells) of big-endian 16-bit grids named like N47E008; a file of another length stops the job when it is read."""
-    files = spark.read.format("binaryFile").load(path)
-    side = F.when(F.col("length") == 2 * 1201 * 1201, 1201).when(F.col("length") == 2 * 3601 * 3601, 3601)
-    name = F.regexp_extract("path", r"([NS]\d{2}[EW]\d{3})[^/]*$", 1)
-    text = F.hex("content")
-    unsigned = F.transform(F.sequence(F.lit(0), (F.col("length") / 2 - 1).cast("int")), lambda i: F.conv(F.substr(text, i * 4 + 1, F.lit(4)), 16, 10).cast("int"))
-    cells = F.transform(unsigned, lambda u: F.when(u >= 32768, u - 65536).otherwise(u).cast("short"))
-    whole = files.where(F.assert_true(side.isNotNull() & (name != ""), "not an elevation tile").isNull())
-    return whole.select(name.alias("tile"), side.alias("side"), cells.alias("cells"))
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for place, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                data, name = content.as_buffer(), re.search(r"([NS]\d{2}[EW]\d{3})[^/]*$", place)
+                if data.size not in TILE_BYTES or not name:
+                    raise ValueError(f"not an elevation tile: {place}")
+                cells = pa.array(np.frombuffer(data, dtype=">i2").astype(np.int16))
+                yield pa.RecordBatch.from_arrays([pa.array([name[1]]), pa.array([TILE_BYTES[data.size]], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(cells)], pa.int32()), cells)], names=["tile", "side", "cells"])
+
+    return files.mapInArrow(decoded, "tile string, side int, cells array<short>")
