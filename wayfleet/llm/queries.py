@@ -48,14 +48,14 @@ WITH turns AS (
   SELECT * FROM alike
   UNION ALL SELECT a.conv_id, a.conv_id - 1, a.conv_id FROM size a JOIN size b ON b.conv_id = a.conv_id - 1
   WHERE a.conv_id % 2 = 1 AND a.conv_id NOT IN (SELECT pair_id FROM alike)
-), both AS (
+), sides AS (
   SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.turn, b.turn) AS turn, a.said AS chosen, b.said AS rejected
   FROM (SELECT pair_id, turn, said FROM pairs JOIN turns ON conv_id = chosen) a
   FULL JOIN (SELECT pair_id, turn, said FROM pairs JOIN turns ON conv_id = rejected) b ON a.pair_id = b.pair_id AND a.turn = b.turn
-), split AS (SELECT pair_id, min(turn) AS split FROM both WHERE chosen IS DISTINCT FROM rejected GROUP BY ALL
+), split AS (SELECT pair_id, min(turn) AS split FROM sides WHERE chosen IS DISTINCT FROM rejected GROUP BY ALL
 ), parts AS (
-  SELECT b.pair_id, b.turn, CASE WHEN s.split IS NULL OR b.turn < s.split THEN 'prompt' ELSE 'chosen' END AS part, b.chosen AS said FROM both b LEFT JOIN split s ON s.pair_id = b.pair_id WHERE b.chosen IS NOT NULL
-  UNION ALL SELECT b.pair_id, b.turn, 'rejected', b.rejected FROM both b JOIN split s ON s.pair_id = b.pair_id WHERE b.rejected IS NOT NULL AND b.turn >= s.split
+  SELECT b.pair_id, b.turn, CASE WHEN s.split IS NULL OR b.turn < s.split THEN 'prompt' ELSE 'chosen' END AS part, b.chosen AS said FROM sides b LEFT JOIN split s ON s.pair_id = b.pair_id WHERE b.chosen IS NOT NULL
+  UNION ALL SELECT b.pair_id, b.turn, 'rejected', b.rejected FROM sides b JOIN split s ON s.pair_id = b.pair_id WHERE b.rejected IS NOT NULL AND b.turn >= s.split
 ), shown AS (
   SELECT pair_id, part, turn // 64 AS block, turn, '<|' || said.role || '|>' || chr(10) AS lead, '<|' || said.role || '|>' || chr(10) || said.text || '<|end|>' || chr(10) AS text, part <> 'prompt' AND said.role = 'assistant' AS trained FROM parts
 ), placed AS (SELECT *, CAST(sum(length(text)) OVER (PARTITION BY pair_id, part, block ORDER BY turn) AS BIGINT) AS upto FROM shown)
