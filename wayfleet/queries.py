@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wayfleet.functions import scalars as S
 from wayfleet.operators import cdc, drives, geo, intervals, quality, reconcile, relations, sessions
 from wayfleet.plans import adapters as A
+from wayfleet.plans import more_queries
 from wayfleet.plans.adapters import with_frames
 from wayfleet.sources import observations as live
 from wayfleet.sources import schema
@@ -33,11 +34,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | more_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | more_queries.SQL
 
 
 # Observations -----------------------------------------------------------------------------------
