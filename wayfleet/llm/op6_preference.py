@@ -3,7 +3,8 @@
 A pair sets a chosen conversation against a rejected one. Their longest common prefix of turns (equal
 role and text) is rendered once as prompt; each side's other turns are its completion, in which only
 assistant turns are trained on. Turns are compared in a join on pair and turn number, and the prefix
-ends at the smallest number where they differ, so no conversation is gathered to compare it.
+ends at the smallest number where they differ, so no conversation is gathered to compare it. What is
+joined is settled first, so that joins on a crowded conversation or opening can be split.
 
 Rendered turns are concatenated in blocks of `BLOCK` turns: one row holds up to so many turns of a
 pair's part ('prompt', 'chosen' or 'rejected'), with `mask`, the spans of characters to train on. Few
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfleet.llm.common import settle
+
 BLOCK = 64
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 
@@ -33,9 +36,9 @@ def turns(conversations: DataFrame) -> DataFrame:
 
 def first_turn_pairs(rows: DataFrame) -> DataFrame:
     """(pair_id, chosen, rejected): conversations that open with the same turn, each set against the one of them with the fewest turns (the smallest conv_id of those)."""
-    size = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("turn").alias("turn"))
-    opening = rows.join(size, ["conv_id", "turn"]).select("conv_id", "n", F.md5(F.concat_ws("\n", "role", "text")).alias("opening"))
-    best = opening.groupBy("opening").agg(F.min(F.struct("n", "conv_id")).alias("best"), F.count("*").alias("members")).where("members > 1")
+    size = settle(rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("turn").alias("turn")))
+    opening = settle(rows.join(size, ["conv_id", "turn"]).select("conv_id", "n", F.md5(F.concat_ws("\n", "role", "text")).alias("opening")))
+    best = settle(opening.groupBy("opening").agg(F.min(F.struct("n", "conv_id")).alias("best"), F.count("*").alias("members")).where("members > 1"))
     return opening.join(best, "opening").where("conv_id <> best.conv_id").select(F.col("conv_id").alias("pair_id"), F.col("best.conv_id").alias("chosen"), F.col("conv_id").alias("rejected"))
 
 
@@ -44,9 +47,9 @@ def preferences(rows: DataFrame, pairs: DataFrame, block: int = BLOCK) -> DataFr
     side = lambda name: pairs.select("pair_id", F.col(name).alias("conv_id")).join(rows, "conv_id").select("pair_id", "turn", "role", "text")
     a = side("chosen").select("pair_id", "turn", F.struct("role", "text").alias("chosen"))
     b = side("rejected").select("pair_id", "turn", F.struct("role", "text").alias("rejected"))
-    both = a.join(b, ["pair_id", "turn"], "full")
+    both = settle(a.join(b, ["pair_id", "turn"], "full"))
     parts = both.select("pair_id", "turn", F.explode(F.array(F.struct(F.lit("chosen").alias("side"), F.col("chosen").alias("said")), F.struct(F.lit("rejected").alias("side"), F.col("rejected").alias("said")))).alias("own"), F.col("chosen").eqNullSafe(F.col("rejected")).alias("same")).where("own.said is not null")
-    split = both.where(~F.col("chosen").eqNullSafe(F.col("rejected"))).groupBy("pair_id").agg(F.min("turn").alias("split"))
+    split = settle(both.where(~F.col("chosen").eqNullSafe(F.col("rejected"))).groupBy("pair_id").agg(F.min("turn").alias("split")))
     met = parts.join(split, "pair_id", "left").where((F.col("own.side") == "chosen") | (F.col("turn") >= F.col("split")))
     part = F.when(F.col("split").isNull() | (F.col("turn") < F.col("split")), "prompt").otherwise(F.col("own.side"))
     shown = F.concat(F.lit(OPEN), "own.said.role", F.lit(MIDDLE), "own.said.text", F.lit(CLOSE))
