@@ -17,6 +17,8 @@ WINDOW, STRIDE = 32, 24
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8, 8, 8, 8
 BUCKETS = 1 << 15
 CHUNK = 4096
+#: Distinct words whose inputs are held at once.
+FORMS = 10_000
 
 
 def plain(distinct: pa.Array) -> pa.Array:
@@ -39,7 +41,7 @@ def grams(forms: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         h = np.full(len(at), k, dtype=np.uint64)
         for i in range(k):
             h = (h + marked[at + i]) * np.uint64(0x9E3779B97F4A7C15)
-        out.append(((h >> np.uint64(49)).astype(np.int64), count))
+        out.append(((h >> np.uint64(49)).astype(np.int32), count))
     return out
 
 
@@ -94,8 +96,8 @@ class Network:
     def gates(self, forms: pa.Array) -> np.ndarray:
         """What the words add to the gates; one more row for padding."""
         out = np.zeros((len(forms) + 1, 6 * HIDDEN), dtype=np.float32)
-        for at in range(0, len(forms), 50_000):
-            out[at : at + 50_000][: len(forms) - at] = self.inputs(forms.slice(at, 50_000))[0] @ self.p["w"] + self.p["b"]
+        for at in range(0, len(forms), FORMS):
+            out[at : at + FORMS][: len(forms) - at] = self.inputs(forms.slice(at, FORMS))[0] @ self.p["w"] + self.p["b"]
         return out
 
     def run(self, gates: np.ndarray, index: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
@@ -207,7 +209,7 @@ def trained(texts: list[str], labels: np.ndarray, rounds: int = 5, batch: int =
         for lo, hi in zip(blocks[:-1], blocks[1:], strict=True):
             reps, forms_here = m[form_of[lo:hi]], form_of[lo:hi]
             at = np.repeat(begin[forms_here] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-            both = np.unique(np.repeat(text_of[lo:hi], reps) * BUCKETS + bucket[at])
+            both = np.unique(np.repeat(text_of[lo:hi] * BUCKETS, reps) + bucket[at])
             for label in (0, 1):
                 seen[label] += np.bincount(both[labels[both // BUCKETS] == label] % BUCKETS, minlength=BUCKETS)
     net = Network([forms[int(i)].as_py() for i in common], word_odds, odds(seen[1], seen[0], n1, n0))
@@ -220,8 +222,10 @@ def trained(texts: list[str], labels: np.ndarray, rounds: int = 5, batch: int =
         net.p[name][rows] -= rate * gradient / np.sqrt(squares[name][rows])
 
     # the first round picks windows by the fixed features, later ones by the network
-    x, number, _ = net.inputs(forms)
-    strength = np.append(np.maximum(x[:, -2], x[:, -1]), -1)
+    strength = np.full(len(forms) + 1, -1, dtype=np.float32)
+    for at in range(0, len(forms), FORMS):
+        x = net.inputs(forms.slice(at, FORMS))[0]
+        strength[at : at + len(x)] = np.maximum(x[:, -2], x[:, -1])
     found = strength[index].max(1)
     for _ in range(rounds):
         order = np.lexsort((found, text))

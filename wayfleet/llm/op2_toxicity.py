@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from wayfleet.llm import gru
 from wayfleet.llm.common import crc_mod, only, slices, texts
 
-PER_LABEL, MAX_CHARS, THRESHOLD = 1200, 20_000, 0.7
+PER_LABEL, MAX_CHARS, THRESHOLD = 1000, 20_000, 0.7
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train: Column) -> gru.Network | None:
