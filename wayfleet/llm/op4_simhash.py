@@ -42,7 +42,7 @@ SEED = 42
 #: An anchor with more fingerprints than this is dealt out by neighbouring points.
 CROWDED = 32
 BLOCKS = 96
-CHECK_WORDS, SLACK = 12, 0.05
+CHECK_WORDS, SLACK = 16, 0.05
 _SPREAD = np.array([sum((b >> i & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
 
 
