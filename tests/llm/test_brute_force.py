@@ -170,6 +170,33 @@ def test_near_duplicates(spark):
     assert all(got[d] // 10 == d // 10 for d in got)
 
 
+def shingle_set(text):
+    w = WORD.findall(lower(text))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar(x, y):
+    return x == y or len(x & y) / len(x | y) >= 0.8
+
+
+@pytest.mark.parametrize("tile", [64, 2])
+def test_near_duplicates_finds_contiguous_edits_in_crowds(spark, tile, monkeypatch):
+    monkeypatch.setattr(op4_simhash, "TILE", tile)
+    rng = np.random.default_rng(3)
+    rows = []
+    for base in range(25):
+        words = [f"w{x}" for x in rng.integers(0, 3000, 200)]
+        made = [words, [*words, *(f"n{x}" for x in rng.integers(0, 3000, 40))], words[:60] + [f"r{x}" for x in rng.integers(0, 3000, 15)] + words[75:]]
+        for _ in range(5 if base else 40):
+            at = int(rng.integers(0, 150))
+            made.append(words[:at] + [f"s{x}" for x in rng.integers(0, 3000, int(rng.integers(5, 45)))] + words[at + 20 :])
+        rows += [(base * 100 + i, " ".join(w)) for i, w in enumerate(made)]
+    have = {d: shingle_set(t) for d, t in rows}
+    want = groups(have, lambda a, b: similar(have[a], have[b]))
+    got = {r.doc_id: r.component_id for r in op4_simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[d] == got[want[d]] for d in got)
+
+
 def test_decontamination(spark):
     item = "A train leaves Paris at 9 km per hour and meets Anna after 12 hours near the old bridge over the river"
     other = item.replace("9", "30").replace("12", "45").replace("Anna", "Peter").replace("Paris", "Rome")

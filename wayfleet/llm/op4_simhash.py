@@ -12,16 +12,17 @@ within one bit of its fingerprints: those that share such a point lie within 2 b
 those within 2 bits share one, so each point links its fingerprints to the smallest of them and no
 pairs are listed.
 
-`near_duplicates` serves a similarity of word shingles. Fingerprints there have 256 bits over shingles of
-`shingle - 2` words, blocks are `BLOCKS` pseudo-random choices of 31 bits with t = 0 (one anchor
-each), and anchors propose links to their smallest and largest member. A link holds if the similarity
-that `CHECK_WORDS` * 64 bits over shingles of `shingle` words estimate reaches the threshold less
-`SLACK`: with c the cosine cos(pi * differing share), it is c / (2 - c). At a Jaccard similarity of 0.8
-one of the blocks meets with a chance of 0.98 or so. The estimate has a deviation of 0.025 to 0.03; the
-slack of two of them keeps pairs at the threshold, and lets in pairs from about 0.72 on.
-
-Defined results: equal fingerprints are one node, however many rows have them; no words give
-fingerprint zero, linked like any other; a null doc_id gets a fingerprint and the component of equal
+`near_duplicates` finds all pairs of texts whose sets of distinct word shingles have a Jaccard similarity
+of the threshold or more (up to equal 64-bit hashes). Candidates come from a prefix filter: with any
+one order of all shingles, two such texts share one among the first (1 - threshold) of each; the order
+puts shingles of rarely used buckets first, so that common passages make no candidates. Sizes and
+places of the shared shingle drop pairs that can't reach the threshold. Each shared shingle's texts are
+compared with its smallest, then those in other components with each other and with the rest, in tiles
+of `TILE` by `TILE`. What is left is linked if the
+similarity that CHECK_WORDS * 64 bits estimate reaches the threshold less SLACK.
+
+Defined results: equal fingerprints (or shingle sets) are one node, however many rows have them; no words give
+fingerprint zero (an empty set), linked like any other; a null doc_id gets a fingerprint and the component of equal
 ones; repeated rows come back as often; other columns are left behind; an empty table gives no rows.
 """
 
@@ -32,16 +33,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfleet.llm.common import mix, only, raw, settle, slices, texts, words
+from wayfleet.llm.common import coded, mix, only, raw, settle, slices, sums, texts, words
 from wayfleet.llm.graph import components
 
 SEED = 42
 #: An anchor with more fingerprints than this is dealt out by neighbouring points.
 CROWDED = 32
-BLOCKS = 96
+#: Buckets in which shingles are counted for their order; texts on a side of a tile.
+BUCKETS, TILE = 1 << 18, 64
 CHECK_WORDS, SLACK = 16, 0.05
 _SPREAD = np.array([sum((b >> i & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
 
@@ -120,18 +122,6 @@ def two_blocks(fp: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def many_blocks(fp: np.ndarray, bits: int = 256) -> list[np.ndarray]:
-    """Anchors of BLOCKS choices of 31 among the first `bits` bits, at no difference."""
-    rng = np.random.default_rng(SEED)
-    out = []
-    for block in range(BLOCKS):
-        x = np.zeros(len(fp), dtype=np.int64)
-        for place, bit in enumerate(rng.choice(bits, 31, replace=False)):
-            x |= (fp[:, bit // 64] >> np.int64(bit % 64) & 1) << np.int64(place)
-        out.append(block << 40 | anchors(x, 0)[0])
-    return out
-
-
 def replicated(nodes: DataFrame, blocks, keep_fp: bool) -> DataFrame:
     """nodes (node, fp) -> (anchor, node[, fp]): a row for each anchor that a fingerprint goes to."""
 
@@ -185,20 +175,129 @@ def components64(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return rows.join(nodes, "fp").select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of each document (doc_id, text); the smallest doc_id of a component names it."""
-    part = (max(1, shingle - 2), 4), (shingle, CHECK_WORDS)
-    rows = settle(fingerprints(docs, *part))
-    nodes = settle(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    at = replicated(nodes, many_blocks, False)
-    ends = settle(at.groupBy("anchor").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"))
-    met = at.join(ends, "anchor")
-    pairs = met.select(F.col("node").alias("a"), F.col("low").alias("b")).unionByName(met.select(F.col("high").alias("a"), F.col("node").alias("b")))
-    pairs = settle(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    bits = nodes.select("node", F.slice("fp", 5, CHECK_WORDS).alias("fp"))
+def sets(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct hashes of k-word shingles in a row (a shorter text: of all its words), and the text of each."""
+    flat, starts = words(texts(b, lower=True))
+    code, distinct = coded(flat)
+    digest = xxhash.xxh64_intdigest
+    own = np.array([digest(w, SEED) for w in distinct.to_pylist()], dtype=np.uint64)[code] if len(code) else np.zeros(0, dtype=np.uint64)
+    size = np.diff(starts)
+    count = np.where(size >= k, size - k + 1, np.minimum(size, 1))
+    row = np.repeat(np.arange(len(size)), count)
+    begin = starts[:-1][row] + np.arange(len(row)) - (np.cumsum(count) - count)[row]
+    h = np.zeros(len(row), dtype=np.uint64)
+    for i in range(k):
+        inside = begin + i < starts[1:][row]
+        h[inside] = mix(h[inside] + own[begin[inside] + i])
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], row[new]
+
+
+def usage(docs: DataFrame, k: int) -> np.ndarray:
+    """For each bucket of shingles, how many it has over all texts: the power of two below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, dtype=np.int64)
+        for b in slices(batches):
+            n += np.bincount((sets(b, k)[0] % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bucket", "n"])
+
+    rows = only(docs, text="string").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    out = np.zeros(BUCKETS, dtype=np.uint8)
+    got = rows.select(F.col("bucket").cast("int"), F.floor(F.log2("n")).cast("byte").alias("n")).toArrow()  # one for each bucket at most
+    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(doc_id, k1, k2, n, prefix): a digest of each text's shingle set, its size, and its first shingles in the common order."""
+    shared = docs.sparkSession.sparkContext.broadcast(usage(docs, k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            h, row = sets(b, k)
+            size = np.bincount(row, minlength=b.num_rows)
+            starts = np.concatenate([[0], np.cumsum(size)])
+            keys = [sums(mix(h ^ np.uint64(x)).view(np.int64), starts) for x in (1, 2)]
+            h = h[np.lexsort((h, shared.value[(h % np.uint64(BUCKETS)).astype(np.int64)], row))]
+            first = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
+            first = np.minimum(first, size)
+            place = np.arange(len(h)) - starts[:-1][row]
+            ends = np.concatenate([[0], np.cumsum(first)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[place < first[row]].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, keys), pa.array(size.astype(np.int64)), lists], names=["doc_id", "k1", "k2", "n", "prefix"])
+
+    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, k1 long, k2 long, n long, prefix array<long>")
+
+
+def reached(n, m, i, j, similarity: float):
+    """Whether sets of n and m shingles, whose first common one stands at places i and j, can have the similarity; columns or arrays."""
+    least = F.least if isinstance(n, Column) else np.minimum
+    return least(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - 1e-6
+
+
+def tiled(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Tiles' members -> pairs of different components that can have the similarity."""
+    for b in batches:
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for members in b.column("members"):
+            node, label, n, pos, side = (members.values.field(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "n", "pos", "side"))
+            x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: on both sides
+            i, j = (z.ravel() for z in np.meshgrid(x, y))
+            on = (label[i] != label[j]) & reached(n[i], n[j], pos[i], pos[j], similarity)
+            pair = np.stack([node[i[on]], node[j[on]]], axis=1)
+            found.append(np.unique(np.sort(pair, axis=1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def tiles(at: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Shared shingles (token, node, n, pos, low) and components -> the pairs (a, b) that share one across components."""
+    at = at.join(labels.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    head = at.where("node = low.node").select("token", F.col("label").alias("head")).distinct()
+    at = at.join(head, "token").withColumn("out", (F.col("label") != F.col("head")).cast("long"))
+    many = at.groupBy("token").agg(F.sum("out").alias("outs"), F.count("*").alias("c")).where("outs > 0")
+    parts = [F.ceil(c / TILE).cast("long") for c in (F.col("outs"), F.col("c") - F.col("outs"))]
+    at = settle(at.join(many.select("token", parts[0].alias("q"), parts[1].alias("r")), "token"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("out") == 1, F.col("q")).otherwise(F.col("r")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    place = lambda x, y, kind, side: F.struct(x.alias("x"), y.alias("y"), F.lit(kind).alias("kind"), side.alias("side"))
+    o = F.col("own")
+    among = F.transform(upto(F.col("q")), lambda i: place(F.least(o, i), F.greatest(o, i), 0, F.when(i == o, 2).when(o < i, 0).otherwise(1)))
+    across = F.transform(upto(F.col("r")), lambda i: place(o, i, 1, F.lit(0)))
+    inside = F.transform(upto(F.col("q")), lambda i: place(i, o, 1, F.lit(1)))
+    spread = at.withColumn("own", own).withColumn("to", F.explode(F.when(F.col("out") == 1, F.concat(among, across)).otherwise(inside)))
+    member = F.struct("node", "label", "n", "pos", F.col("to.side").alias("side"))
+    grouped = spread.groupBy("token", "to.x", "to.y", "to.kind").agg(F.collect_list(member).alias("members"))
+    return grouped.select("members").mapInArrow(lambda it: tiled(it, similarity), "a long, b long").distinct()
+
+
+def alike(docs: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of doc_ids those whose estimated similarity reaches the similarity less SLACK."""
+    bits = fingerprints(docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"), (k, CHECK_WORDS))
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
     c = F.cos(F.lit(np.pi / (64 * CHECK_WORDS)) * differ)
-    held = pairs.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b").where(c / (2 - c) >= similarity - SLACK).select("a", "b")
-    found = components(held)
-    nodes = settle(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
-    return rows.join(nodes, "fp", "left").select("doc_id", "component_id")
+    return pairs.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b").where(c / (2 - c) >= similarity - SLACK).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of each document (doc_id, text); the smallest doc_id of a component names it."""
+    rows = settle(prefixes(docs, shingle, similarity))
+    keys = ["k1", "k2", "n"]
+    nodes = settle(rows.where("doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("node")))
+    first = rows.join(nodes, keys).where("doc_id = node").dropDuplicates(["node", *keys])
+    at = first.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    low = F.min(F.struct("node", "n", "pos")).alias("low")
+    at = settle(at.join(at.groupBy("token").agg(low, F.count("*").alias("c")).where("c > 1"), "token"))
+    near = at.where("node <> low.node").where(reached(F.col("n"), F.col("low.n"), F.col("pos"), F.col("low.pos"), similarity))
+    pairs = settle(near.select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct())
+    held = settle(alike(docs, pairs, shingle, similarity))
+    more = tiles(at.where("c > 2").drop("c"), components(held), similarity)
+    more = settle(more.join(pairs, ["a", "b"], "left_anti"))
+    found = components(held.unionByName(alike(docs, more, shingle, similarity)))
+    nodes = settle(nodes.join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("component_id")))
+    return rows.join(nodes, keys, "left").select("doc_id", "component_id")
