@@ -194,7 +194,28 @@ def test_near_duplicates_finds_contiguous_edits_in_crowds(spark, tile, monkeypat
     have = {d: shingle_set(t) for d, t in rows}
     want = groups(have, lambda a, b: similar(have[a], have[b]))
     got = {r.doc_id: r.component_id for r in op4_simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(got[d] == got[want[d]] for d in got)
+    assert got == want
+
+
+def test_near_duplicates_below_the_threshold_stay_apart(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for base in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 3000, 200)]
+        rows += [(base * 10, " ".join(words)), (base * 10 + 1, " ".join(words[:170] + [f"n{x}" for x in range(20)]))]  # about 0.76
+    line = "this line is repeated over and over again\n"
+    rows += [(1000 + i, line * 300 + " ".join(f"v{x}" for x in rng.integers(0, 3000, 60))) for i in range(3)]
+    have = {d: shingle_set(t) for d, t in rows}
+    assert not any(similar(have[a], have[b]) for a in have for b in have if a < b)
+    got = {r.doc_id: r.component_id for r in op4_simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d for d, _ in rows}
+
+
+def test_near_duplicates_of_documents_are_exact(docs):
+    frame, rows = docs
+    have = {d: shingle_set(t) for d, t, _ in rows}
+    want = groups(have, lambda a, b: similar(have[a], have[b]))
+    assert {(r.doc_id, r.component_id) for r in op4_simhash.near_duplicates(frame).collect()} == set(want.items())
 
 
 def test_decontamination(spark):

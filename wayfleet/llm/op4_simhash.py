@@ -12,14 +12,13 @@ within one bit of its fingerprints: those that share such a point lie within 2 b
 those within 2 bits share one, so each point links its fingerprints to the smallest of them and no
 pairs are listed.
 
-`near_duplicates` finds all pairs of texts whose sets of distinct word shingles have a Jaccard similarity
-of the threshold or more (up to equal 64-bit hashes). Candidates come from a prefix filter: with any
+`near_duplicates` links texts whose sets of distinct word shingles have a Jaccard similarity of the
+threshold or more, exactly (up to equal 64-bit hashes). Candidates come from a prefix filter: with any
 one order of all shingles, two such texts share one among the first (1 - threshold) of each; the order
 puts shingles of rarely used buckets first, so that common passages make no candidates. Sizes and
 places of the shared shingle drop pairs that can't reach the threshold. Each shared shingle's texts are
 compared with its smallest, then those in other components with each other and with the rest, in tiles
-of `TILE` by `TILE`. What is left is linked if the
-similarity that CHECK_WORDS * 64 bits estimate reaches the threshold less SLACK.
+of `TILE` by `TILE`. What is left is joined with its shingles and counted.
 
 Defined results: equal fingerprints (or shingle sets) are one node, however many rows have them; no words give
 fingerprint zero (an empty set), linked like any other; a null doc_id gets a fingerprint and the component of equal
@@ -44,7 +43,6 @@ SEED = 42
 CROWDED = 32
 #: Buckets in which shingles are counted for their order; texts on a side of a tile.
 BUCKETS, TILE = 1 << 18, 64
-CHECK_WORDS, SLACK = 16, 0.05
 _SPREAD = np.array([sum((b >> i & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
 
 
@@ -277,11 +275,19 @@ def tiles(at: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
 
 
 def alike(docs: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) of doc_ids those whose estimated similarity reaches the similarity less SLACK."""
-    bits = fingerprints(docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"), (k, CHECK_WORDS))
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    c = F.cos(F.lit(np.pi / (64 * CHECK_WORDS)) * differ)
-    return pairs.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b").where(c / (2 - c) >= similarity - SLACK).select("a", "b")
+    """Of the pairs (a, b) of doc_ids those whose distinct shingles have the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            h, row = sets(b, k)
+            ends = np.searchsorted(row, np.arange(b.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))], names=["doc_id", "hashes"])
+
+    named = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    own = only(docs, doc_id="long", text="string").join(named, "doc_id", "left_semi").mapInArrow(run, "doc_id long, hashes array<long>")
+    both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
