@@ -231,6 +231,17 @@ def test_decontamination(spark):
     assert sorted((r.doc_id, r.item_id, r.verdict) for r in got) == [(1, 10, "exact"), (1, 14, "exact"), (2, 10, "reparameterised"), (2, 14, "reparameterised"), (4, 11, "reparameterised")]
 
 
+def test_decontamination_of_altered_copies(spark):
+    two = "Then 3 apples and 4 pears are put into the large bowl of the kitchen today"
+    long = " ".join(f"word{i}" if i % 10 != 5 else "17" for i in range(60))
+    named = "On monday Anna walks with Peter over the bridge to meet Maria near the old mill"
+    short = "Anna sells 5 ripe pears"
+    docs = [(1, two.replace("3", "5").replace("4", "5")), (2, long.replace("17", "18", 1)), (3, named.lower()), (4, "it is said that " + short + " here"), (5, "it is said that " + short.replace("Anna", "Peter") + " here"), (6, "nothing of this is anywhere else")]
+    items = [(10, two), (11, long), (12, named), (13, short)]
+    got = op5_decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.verdict) for r in got) == [(1, 10, "reparameterised"), (2, 11, "exact"), (3, 12, "exact"), (4, 13, "exact"), (5, 13, "reparameterised")]
+
+
 def test_decontamination_blocks_agree(spark, sf_dir, monkeypatch):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     once = sorted(map(tuple, op5_decontaminate.decontaminate(docs, items).collect()))

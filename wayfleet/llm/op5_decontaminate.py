@@ -5,10 +5,12 @@ capitalised word that doesn't open a sentence, a unit a known unit word behind a
 `size` template words (an item with fewer: all its words) are hashed and joined on the hash: tasks keep
 only windows whose hash the benchmark has (a filter of bounded size, `BLOCK` hashes at a time, each
 block a pass of its own), and Spark joins what is left with the benchmark's windows. Windows of one
-document and item on one alignment fill the item's slots; they count if the filling is consistent,
-each value of the item standing for one value of the document and the other way round. An item is
-found in a document if consistent windows cover `coverage` of its words or more; it is `exact` if
-every slot holds the item's own value, else `reparameterised`.
+document and item on one alignment fill the item's slots. Each value of the item stands for the value
+that most of the alignment's windows give it (of equal counts: its own, then the first in order); windows that
+disagree with this filling don't count, those without slots always do. An item is found in a document
+if windows that count cover `coverage` of its words or more; it is `exact` if every slot holds the
+item's own value, else `reparameterised`. Items are also read with their names as plain words, as a copy in lower
+case has them, and with their opening word as a name, as it is within a sentence.
 
 Defined results: null or empty texts match nothing; items with fewer than `MIN_WORDS` words are left
 out, as they are everywhere; repeated rows of a document give one result; items with equal text are
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +58,11 @@ def described(word: str) -> tuple[str, int, bool, bool]:
     return low, kind, core[:1].isupper() and core[1:].islower(), word.rstrip("\"')]”’»")[-1:] in ".!?:"
 
 
-def templates(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all texts' words in a row: template hash, whether it is a slot, code; each code's plain form; where texts start."""
+def templates(a: pa.Array, reading: str = "usual") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all texts' words in a row: template hash, whether it is a slot, code; each code's plain form; where texts start.
+
+    reading "plain" takes names as plain words, "opening" each text's opening word as a name if it is capitalised.
+    """
     flat, starts = words(a)
     code, distinct = coded(flat)
     what = [described(w) for w in distinct.to_numpy(zero_copy_only=False)]
@@ -69,19 +75,19 @@ def templates(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     ends = np.array([w[3] for w in what])[code]
     opens = np.ones(len(code), dtype=bool)
     opens[1:] = ends[:-1]
-    opens[starts[:-1][starts[:-1] < len(code)]] = True
+    opens[starts[:-1][starts[:-1] < len(code)]] = reading != "opening"
     after = np.zeros(len(code), dtype=bool)
     after[1:] = kind[:-1] == NUMBER
-    name = np.array([w[2] for w in what])[code] & ~opens & (kind == PLAIN)
+    name = np.array([w[2] for w in what])[code] & ~opens & (kind == PLAIN) & (reading != "plain")
     unit = (kind == UNIT) & after
     for flag, tag in ((kind == NUMBER, "<number>"), (kind == MEASURE, "<measure>"), (unit, "<unit>"), (name, "<name>")):
         h[flag] = digest(tag)
     return h, (kind == NUMBER) | (kind == MEASURE) | unit | name, code, forms, starts
 
 
-def windowed(a: pa.Array, sizes: list[int], wanted: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]]:
+def windowed(a: pa.Array, sizes: list[int], wanted: np.ndarray | None, reading: str = "usual") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]]:
     """For each window size: the windows' text number, first word, hash and slot values; wanted: only these sorted hashes."""
-    h, slot, code, forms, starts = templates(a)
+    h, slot, code, forms, starts = templates(a, reading)
     row_of = np.repeat(np.arange(len(a)), np.diff(starts))
     if wanted is not None:
         sieve = np.zeros(1 << 22, dtype=bool)
@@ -106,14 +112,14 @@ def windowed(a: pa.Array, sizes: list[int], wanted: np.ndarray | None) -> Iterat
 
 
 def item_windows(items: DataFrame, size: int) -> DataFrame:
-    """(item_id, item_words, item_at, size, key, item_slots): the windows of each benchmark item."""
+    """(item_id, item_words, item_at, size, key, item_slots): the windows of each benchmark item, in all readings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             a = texts(b)
             n = np.diff(words(a)[1])
-            for s in sorted({int(min(size, x)) for x in n if x >= MIN_WORDS}):
-                for row, at, key, values in windowed(a, [s], None):
+            for s, reading in product(sorted({int(min(size, x)) for x in n if x >= MIN_WORDS}), ("usual", "plain", "opening")):
+                for row, at, key, values in windowed(a, [s], None, reading):
                     own = np.minimum(size, n[row]) == s
                     keep = pa.array(row[own])
                     yield pa.RecordBatch.from_arrays(
@@ -121,7 +127,7 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
                         names=["item_id", "item_words", "item_at", "size", "key", "item_slots"],
                     )
 
-    return only(items, item_id="long", text="string").where("item_id is not null").mapInArrow(run, "item_id long, item_words long, item_at long, size long, key long, item_slots array<string>")
+    return only(items, item_id="long", text="string").where("item_id is not null").mapInArrow(run, "item_id long, item_words long, item_at long, size long, key long, item_slots array<string>").distinct()
 
 
 def matches(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
@@ -151,9 +157,14 @@ def matches(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, covered, item_words, n_slots, n_changed, verdict) for each item found in a document."""
     met = matches(docs, items, size).select("doc_id", "item_id", "item_words", "size", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("fill"))
-    lined = met.groupBy("doc_id", "item_id", "item_words", "size", "shift").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("fill"))).alias("fill"))
-    one_to_one = (F.size(F.array_distinct(F.col("fill.i"))) == F.size("fill")) & (F.size(F.array_distinct(F.col("fill.d"))) == F.size("fill"))
-    pairs = lined.where(one_to_one).groupBy("doc_id", "item_id", "item_words", "size").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.array_distinct(F.flatten(F.collect_list("fill"))).alias("fill"))
+    lined = met.groupBy("doc_id", "item_id", "item_words", "size", "shift").agg(F.collect_set(F.struct("item_at", F.array_distinct("fill").alias("fill"))).alias("windows"))
+    lined = lined.withColumn("every", F.flatten("windows.fill"))
+    times = lambda f: F.size(F.filter("every", lambda x: x == f))
+    lined = lined.withColumn("votes", F.transform(F.array_distinct("every"), lambda f: F.struct(f["i"].alias("i"), F.struct(-times(f), f["i"] != f["d"], f["d"]).alias("rank"), f.alias("f"))))
+    lined = lined.withColumn("agreed", F.filter("votes", lambda v: ~F.exists("votes", lambda w: (w["i"] == v["i"]) & (w["rank"] < v["rank"])))["f"])
+    lined = lined.withColumn("held", F.filter("windows", lambda w: F.size(F.array_except(w["fill"], F.col("agreed"))) == 0))
+    lined = lined.select("doc_id", "item_id", "item_words", "size", F.col("held.item_at").alias("places"), F.array_distinct(F.flatten("held.fill")).alias("fill"))
+    pairs = lined.groupBy("doc_id", "item_id", "item_words", "size").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.array_distinct(F.flatten(F.collect_list("fill"))).alias("fill"))
     gaps = F.zip_with("places", F.slice("places", 2, F.size("places")), lambda p, q: F.least(F.coalesce(q - p, F.col("size")), F.col("size")))
     covered = F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x)
     changed = F.size(F.filter("fill", lambda f: f["i"] != f["d"])).cast("long")
