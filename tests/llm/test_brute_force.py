@@ -129,9 +129,9 @@ def test_simhash_components(docs):
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted((d, f"{fp[d]:016x}", want[d]) for d, _, _ in rows)
 
 
-@pytest.mark.parametrize("crowded", [32, 2])
-def test_links_are_exact(spark, crowded, monkeypatch):
-    monkeypatch.setattr(op4_simhash, "CROWDED", crowded)
+@pytest.mark.parametrize("cells", [1 << 22, 20])
+def test_links_are_exact(spark, cells, monkeypatch):
+    monkeypatch.setattr(op4_simhash, "CELLS", cells)
     rng = np.random.default_rng(5)
     fps = set()
     for centre in rng.integers(-(2**63), 2**63, 30, dtype=np.int64):
@@ -140,13 +140,39 @@ def test_links_are_exact(spark, crowded, monkeypatch):
             for bit in rng.choice(64, rng.integers(0, 4), replace=False):
                 x ^= np.int64(1) << np.int64(bit)
             fps.add(int(x))
+    for _ in range(400):  # one crowd
+        bits = rng.choice(12, rng.integers(0, 7), replace=False)
+        fps.add(int(np.int64(-77) ^ np.int64(sum(1 << int(b) * 5 for b in bits))))
     fp = dict(enumerate(sorted(fps)))
     want = groups(fp, lambda a, b: ((fp[a] ^ fp[b]) & (2**64 - 1)).bit_count() <= 2)
-    nodes = spark.createDataFrame([(i, [x]) for i, x in fp.items()], "node long, fp array<long>")
+    nodes = spark.createDataFrame(list(fp.items()), "node long, fp long")
     found = {r.node: r.component for r in op4_simhash.components(op4_simhash.links64(nodes)).collect()}
     assert {i: found.get(i, i) for i in fp} == want
 
 
+def test_anchors_cover():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 2**63, 500).astype(np.uint64) << np.uint64(1) | rng.integers(0, 2, 500).astype(np.uint64)
+    key, there = op4_simhash.anchors(x)
+    assert (np.bitwise_count(key ^ x[:, None])[there] <= 2).all() and there.sum(1).max() == 33
+    for _ in range(300):  # two words within 2 bits meet, and an anchor is one of its own anchors
+        a = x[rng.integers(0, 500)]
+        b = a
+        for bit in rng.choice(64, rng.integers(0, 3), replace=False):
+            b ^= np.uint64(1) << np.uint64(bit)
+        (ka, ta), (kb, tb) = (op4_simhash.anchors(np.array([v])) for v in (a, b))
+        assert set(ka[ta].tolist()) & set(kb[tb].tolist())
+        assert ka[0, 0] in op4_simhash.anchors(ka[0, :1])[0][0]
+
+
+def test_anchor_groups_reach_over_batches():
+    rows = [np.repeat([3, 5, 9], [1, 4, 2]), np.arange(7), np.array([0, 0, 1, 3, 255, 7, 6])]
+    batch = pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["anchor", "node", "fp"])
+    for step in (1, 2, 7):
+        got = {(a, b) for out in op4_simhash.compared(batch.slice(i, step) for i in range(0, 7, step)) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+        assert got == {(1, 2), (1, 3), (5, 6)}
+
+
 def test_components_of_a_long_path(spark):
     path = [(i, i + 1) for i in range(200)] + [(1000, 999), (5, 5)]
     got = {r.node: r.component for r in op4_simhash.components(spark.createDataFrame(path, "a long, b long")).collect()}

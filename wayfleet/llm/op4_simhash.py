@@ -1,26 +1,24 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Anchors are the words of a covering code: on 31 bits of a fingerprint the perfect Hamming code, whose
-words lie within distance 1 of every point. A block (31 bits, and maybe one bit that anchors carry as
-it is) sends its fingerprint to every anchor within covering radius plus threshold, so two
-fingerprints whose block differs in `t` bits or fewer meet: at an anchor within the radius of either.
-Of B blocks that share out the bits, one differs in d // B bits or fewer if all differ in d.
-
-`components64` links fingerprints of 64 bits at d <= 2: two blocks of 32 bits, t = 1, 34 anchors. It
-is exact. An anchor with few fingerprints compares them all. A crowded one is dealt out by the points
-within one bit of its fingerprints: those that share such a point lie within 2 bits of each other, and
-those within 2 bits share one, so each point links its fingerprints to the smallest of them and no
-pairs are listed.
-
-`near_duplicates` links texts whose sets of distinct word shingles have a Jaccard similarity of the
-threshold or more, exactly (up to equal 64-bit hashes). Candidates come from a prefix filter: with any
+Anchors are the words of a covering code of 64 bits: the perfect Hamming code on 63 of them, and the last bit as
+it is. Every point lies within 1 bit of an anchor (the covering radius). Two fingerprints within 2 bits (the
+threshold) have a point between them within 1 bit of both, so both lie within radius + 1 = 2 bits of the anchor
+nearest to it: sent to every anchor within 2 bits (33 at most, 2 for a fingerprint that is one), they meet. An anchor
+gets distinct fingerprints of its own ball alone, 2081 at most, whatever the data: each fingerprint goes the same way
+with the same number of rows, and each anchor compares all its members. `links64` gives a spanning forest of what an
+anchor finds, so links are fewer than its members. The result is exact.
+
+`near_duplicates` links texts whose sets of distinct word shingles have a Jaccard similarity of the threshold or
+more. Anchors of the sets' fingerprints give the first candidates; they hold close pairs alone, so an exact search
+follows for all others (up to equal 64-bit hashes). It is a prefix filter: with any
 one order of all shingles, two such texts share one among the first (1 - threshold) of each; the order
 puts shingles of rarely used buckets first, so that common passages make no candidates. Sizes and
 places of the shared shingle drop pairs that can't reach the threshold. Each shared shingle's texts are
 compared with its smallest, then those in other components with each other and with the rest, in tiles
-of `TILE` by `TILE`. What is left is joined with its shingles and counted.
+of `TILE` by `TILE`. All candidates are joined with their shingles and counted.
 
-Defined results: equal fingerprints (or shingle sets) are one node, however many rows have them; no words give
+Defined results: equal fingerprints (or shingle sets) are one node, however many rows have them; several rows of one
+doc_id are one document, which links what each of them links; no words give
 fingerprint zero (an empty set), linked like any other; a null doc_id gets a fingerprint and the component of equal
 ones; repeated rows come back as often; other columns are left behind; an empty table gives no rows.
 """
@@ -39,8 +37,8 @@ from wayfleet.llm.common import coded, mix, only, raw, settle, slices, sums, tex
 from wayfleet.llm.graph import components
 
 SEED = 42
-#: An anchor with more fingerprints than this is dealt out by neighbouring points.
-CROWDED = 32
+#: Bits in which linked fingerprints differ at most; cells of comparison matrices that a task holds at once.
+NEAR, CELLS = 2, 1 << 22
 #: Buckets in which shingles are counted for their order; texts on a side of a tile.
 BUCKETS, TILE = 1 << 18, 64
 _SPREAD = np.array([sum((b >> i & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
@@ -95,82 +93,91 @@ def fingerprints(docs: DataFrame, *parts: tuple[int, int]) -> DataFrame:
     return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp array<long>")
 
 
-def anchors(x: np.ndarray, t: int) -> list[np.ndarray]:
-    """The Hamming code's words within 1 + t (t: 0 or 1) of 31-bit points, one array for each way; -1: no such word."""
-    s = np.zeros(len(x), dtype=np.int64)
-    for i in range(1, 32):
-        s ^= np.where(x >> (i - 1) & 1, i, 0)
-    near = np.where(s > 0, x ^ (1 << np.maximum(s - 1, 0)), x)
-    ways = [near]
-    for i in range(1, 32) if t else ():
-        j = s ^ i
-        ways.append(np.where((j > i) & (s > 0), x ^ (1 << (i - 1)) ^ (1 << np.maximum(j - 1, 0)), -1))
-    return ways
-
-
-def two_blocks(fp: np.ndarray) -> list[np.ndarray]:
-    """Anchors of 64-bit fingerprints (n x 1): halves of 31 coded bits and one plain bit, at 1 bit's difference."""
-    out = []
-    for half in range(2):
-        x = (fp[:, 0].view(np.uint64) >> np.uint64(32 * half)).astype(np.int64) & 0xFFFFFFFF
-        code, plain = x & 0x7FFFFFFF, x >> 31
-        for w in anchors(code, 1):
-            out.append(np.where(w < 0, -1, half << 40 | plain << 32 | w))
-        out.append(half << 40 | (1 - plain) << 32 | anchors(code, 0)[0])
-    return out
+def anchors(fp: np.ndarray) -> np.ndarray:
+    """Anchors within 2 bits of each 64-bit fingerprint, a row each; and which of them there are."""
+    syndrome = np.zeros(len(fp), dtype=np.int64)
+    for i in range(1, 64):
+        syndrome ^= np.where(fp >> np.uint64(i - 1) & np.uint64(1), i, 0)
+    bit = np.append(np.uint64(0), np.uint64(1) << np.arange(63, dtype=np.uint64))  # of position i from 1 on; none for 0
+    near = fp ^ bit[syndrome]
+    ways, there = [near, near ^ np.uint64(1 << 63)], [np.ones(len(fp), dtype=bool)] * 2
+    for i in range(1, 64):  # two bits whose positions add up to the syndrome lead to a word
+        j = syndrome ^ i
+        ways.append(fp ^ bit[i] ^ bit[j])
+        there.append((j > i) & (syndrome > 0))
+    return np.stack(ways, axis=1), np.stack(there, axis=1)
 
 
-def replicated(nodes: DataFrame, blocks, keep_fp: bool) -> DataFrame:
-    """nodes (node, fp) -> (anchor, node[, fp]): a row for each anchor that a fingerprint goes to."""
+def replicated(nodes: DataFrame) -> DataFrame:
+    """nodes (node, fp) -> (anchor, node, fp): a row for each anchor that a fingerprint goes to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 5_000):
-                b = whole.slice(at, 5_000)
-                flat = b.column("fp").flatten().to_numpy(zero_copy_only=False)
-                key = np.stack(blocks(flat.reshape(b.num_rows, -1)), axis=1)
-                row, way = np.nonzero(key >= 0)
-                take = pa.array(row)
-                cols = [pa.array(key[row, way]), b.column("node").take(take)] + ([pa.array(flat.reshape(b.num_rows, -1)[row, 0])] if keep_fp else [])
-                yield pa.RecordBatch.from_arrays(cols, names=["anchor", "node", "fp"][: len(cols)])
-
-    return nodes.mapInArrow(run, "anchor long, node long" + ", fp long" * keep_fp)
+            for at in range(0, whole.num_rows, 2_000):
+                b = whole.slice(at, 2_000)
+                fp = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
+                key, there = anchors(fp.view(np.uint64))
+                row, way = np.nonzero(there)
+                yield pa.RecordBatch.from_arrays([pa.array(key[row, way].view(np.int64)), b.column("node").take(pa.array(row)), pa.array(fp[row])], names=["anchor", "node", "fp"])
+
+    return nodes.select("node", "fp").mapInArrow(run, "anchor long, node long, fp long")
+
+
+def forests(anchor: np.ndarray, node: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Of rows in order of anchor the links (a, b) that connect what an anchor's members within 2 bits connect."""
+    first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    size = np.diff(np.append(first, len(anchor)))
+    found = [np.zeros((0, 2), dtype=np.int64)]
+    for k in np.unique(size[size > 1]).tolist():
+        groups, many = first[size == k], max(1, CELLS // (k * k))
+        for at in range(0, len(groups), many):
+            rows = groups[at : at + many, None] + np.arange(k)
+            rows = np.take_along_axis(rows, np.argsort(node[rows], axis=1), axis=1)
+            own = fp[rows]
+            close = np.bitwise_count(own[:, :, None] ^ own[:, None, :]) <= NEAR
+            label = np.broadcast_to(np.arange(k, dtype=np.int16), rows.shape)
+            while True:
+                least = np.where(close, label[:, None, :], np.int16(k)).min(2)
+                if (least == label).all():
+                    break
+                label = least
+            g, i = np.nonzero(label != np.arange(k))
+            found.append(np.stack([node[rows[g, label[g, i]]], node[rows[g, i]]], axis=1))
+    return np.concatenate(found)
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, node, fp) in order of anchor -> links; held are a batch and the rows of its last anchor."""
+    rest = [np.zeros(0, dtype=np.int64)] * 3
+
+    def links(rows: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = forests(rows[0], rows[1], rows[2].view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
     for b in batches:
-        a, z = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for members in b.column("members"):
-            node = members.values.field("node").to_numpy(zero_copy_only=False)
-            fp = members.values.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 2, 1))
-            a.append(node[i])
-            z.append(node[j])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(z))], names=["a", "b"])
+        rows = [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, b.columns, strict=True)]
+        if len(rows[0]):
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            rest = [r[cut:] for r in rows]
+            if cut:
+                yield links([r[:cut] for r in rows])
+    if len(rest[0]):
+        yield links(rest)
 
 
 def links64(nodes: DataFrame) -> DataFrame:
-    """nodes (node, fp array of one) -> links (a, b) between those at 2 or fewer differing bits, or chains of such links."""
-    at = replicated(nodes, two_blocks, True)
-    shared = settle(at.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
-    at = settle(at.join(shared, "anchor"))
-    few = at.where(F.col("n") <= CROWDED).groupBy("anchor").agg(F.collect_list(F.struct("node", "fp")).alias("members"))
-    direct = few.select("members").mapInArrow(compared, "a long, b long")
-    crowd = settle(at.where(F.col("n") > CROWDED).select("node", "fp").distinct())
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
-    points = crowd.select("node", F.explode(flips).alias("flip"), "fp").select("node", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
-    least = settle(points.groupBy("point").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("point", "b"))
-    dealt = points.join(least, "point").select(F.col("node").alias("a"), "b")
-    return direct.unionByName(dealt)
+    """nodes (node, fp long), distinct -> links (a, b) that connect what fingerprints at 2 or fewer differing bits connect."""
+    at = replicated(nodes).repartition("anchor").sortWithinPartitions("anchor")
+    return at.mapInArrow(compared, "a long, b long").distinct()
 
 
 def components64(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each document (doc_id, text)."""
-    rows = settle(fingerprints(docs, (shingle, 1)))
+    rows = settle(fingerprints(docs, (shingle, 1)).select("doc_id", F.col("fp")[0].alias("fp")))
     nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("node")))
     found = components(links64(nodes.where("node is not null")))
     nodes = settle(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
-    return rows.join(nodes, "fp").select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(nodes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def sets(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +219,7 @@ def usage(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(doc_id, k1, k2, n, prefix): a digest of each text's shingle set, its size, and its first shingles in the common order."""
+    """(doc_id, fp, k1, k2, n, prefix): fingerprint and digest of each text's shingle set, its size, and its first shingles in the common order."""
     shared = docs.sparkSession.sparkContext.broadcast(usage(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,16 +227,16 @@ def prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
             h, row = sets(b, k)
             size = np.bincount(row, minlength=b.num_rows)
             starts = np.concatenate([[0], np.cumsum(size)])
-            keys = [sums(mix(h ^ np.uint64(x)).view(np.int64), starts) for x in (1, 2)]
+            keys = [majority(h, starts).view(np.int64), *(sums(mix(h ^ np.uint64(x)).view(np.int64), starts) for x in (1, 2))]
             h = h[np.lexsort((h, shared.value[(h % np.uint64(BUCKETS)).astype(np.int64)], row))]
             first = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
             first = np.minimum(first, size)
             place = np.arange(len(h)) - starts[:-1][row]
             ends = np.concatenate([[0], np.cumsum(first)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[place < first[row]].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, keys), pa.array(size.astype(np.int64)), lists], names=["doc_id", "k1", "k2", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, keys), pa.array(size.astype(np.int64)), lists], names=["doc_id", "fp", "k1", "k2", "n", "prefix"])
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, k1 long, k2 long, n long, prefix array<long>")
+    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp long, k1 long, k2 long, n long, prefix array<long>")
 
 
 def reached(n, m, i, j, similarity: float):
@@ -287,20 +294,29 @@ def alike(docs: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataF
     own = only(docs, doc_id="long", text="string").join(named, "doc_id", "left_semi").mapInArrow(run, "doc_id long, hashes array<long>")
     both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b")
+    return both.where(F.coalesce(F.try_divide(common, F.size("x") + F.size("y") - common) >= similarity, F.lit(True))).select("a", "b")
+
+
+def anchored(nodes: DataFrame) -> DataFrame:
+    """nodes (node, fp), maybe several of one fp -> candidates (a, b): those of equal fingerprints and those that meet at anchors."""
+    heads = settle(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    equal = nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    return equal.unionByName(links64(heads.select(F.col("head").alias("node"), "fp")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of each document (doc_id, text); the smallest doc_id of a component names it."""
     rows = settle(prefixes(docs, shingle, similarity))
-    keys = ["k1", "k2", "n"]
+    keys = ["fp", "k1", "k2", "n"]
     nodes = settle(rows.where("doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("node")))
     first = rows.join(nodes, keys).where("doc_id = node").dropDuplicates(["node", *keys])
+    met = anchored(first.select("node", "fp").distinct())
     at = first.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     low = F.min(F.struct("node", "n", "pos")).alias("low")
     at = settle(at.join(at.groupBy("token").agg(low, F.count("*").alias("c")).where("c > 1"), "token"))
     near = at.where("node <> low.node").where(reached(F.col("n"), F.col("low.n"), F.col("pos"), F.col("low.pos"), similarity))
-    pairs = settle(near.select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct())
+    near = near.select(F.col("low.node").alias("a"), F.col("node").alias("b")).unionByName(met)
+    pairs = settle(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     held = settle(alike(docs, pairs, shingle, similarity))
     more = tiles(at.where("c > 2").drop("c"), components(held), similarity)
     more = settle(more.join(pairs, ["a", "b"], "left_anti"))
