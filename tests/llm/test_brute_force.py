@@ -268,28 +268,112 @@ def test_decontamination_of_altered_copies(spark):
     assert sorted((r.doc_id, r.item_id, r.verdict) for r in got) == [(1, 10, "reparameterised"), (2, 11, "exact"), (3, 12, "exact"), (4, 13, "exact"), (5, 13, "reparameterised")]
 
 
-def test_decontamination_blocks_agree(spark, sf_dir, monkeypatch):
+def brute_windows(text, size, reading):
+    """(place, key, slot values) of each window, word by word."""
+    ws = WORD.findall(text or "")
+    read = []
+    for i, w in enumerate(ws):
+        low, kind, capital, _ = op5_decontaminate.described(w)
+        opens = op5_decontaminate.described(ws[i - 1])[3] if i else reading != "opening"
+        after = i > 0 and op5_decontaminate.described(ws[i - 1])[1] == op5_decontaminate.NUMBER
+        tag = {1: "<number>", 3: "<measure>"}.get(kind) or ("<unit>" if kind == 2 and after else "<name>" if kind == 0 and capital and not opens and reading != "plain" else None)
+        read.append((low, tag))
+    for i in range(len(read) - size + 1):
+        own = read[i : i + size]
+        few = sum(tag is None for _, tag in own) < 3
+        yield i, (size, few, *(low if few else tag or low for low, tag in own)), [low for low, tag in own if tag]
+
+
+def brute_decontaminated(docs, items, coverage=0.5):
+    out = {}
+    for item_id, item in items:
+        n = len(WORD.findall(item or ""))
+        size = min(8, n)
+        if not n or item_id is None:
+            continue
+        first, places = {}, defaultdict(set)
+        for reading in ("usual", "plain", "opening"):
+            for i, key, slots in brute_windows(item, size, reading):
+                places[key].add(i)
+                first[key] = min(first.get(key, (i, slots)), (i, slots))
+        for doc_id in {d for d, _ in docs if d is not None}:
+            lines = defaultdict(set)
+            for d, text in docs:
+                for at, key, slots in brute_windows(text, size, "usual") if d == doc_id else ():
+                    if key in first:
+                        i, own = first[key]
+                        fill = tuple(dict.fromkeys(zip(own, slots, strict=True))) if len(own) == len(slots) else ()
+                        lines[at - i].add((i, tuple(sorted(places[key])), fill))
+            found = []
+            for shift, wins in lines.items():
+                votes = Counter(f for _, _, fill in wins for f in fill)
+                chosen = {}
+                for (i, d), k in sorted(votes.items(), key=lambda v: (-v[1], v[0][0] != v[0][1], v[0][1])):
+                    chosen.setdefault(i, d)
+                held = [(ps, fill) for _, ps, fill in wins if all(chosen[i] == d for i, d in fill)]
+                fill = {f for _, fs in held for f in fs}
+                words = {p + j for ps, _ in held for p in ps for j in range(size)}
+                if held:
+                    found.append((-len(words), sum(i != d for i, d in fill), shift, fill, words))
+            if found:
+                found.sort(key=lambda x: x[:3])
+                best = dict(found[0][3])
+                words = set().union(*(w for *_, fill, w in found if all(best.get(i, d) == d for i, d in fill)))
+                if len(words) >= coverage * n:
+                    out[doc_id, item_id] = (len(words), n, len(found[0][3]), found[0][1], "reparameterised" if found[0][1] else "exact")
+    return out
+
+
+def as_found(frame):
+    return {(r.doc_id, r.item_id): (r.covered, r.item_words, r.n_slots, r.n_changed, r.verdict) for r in frame.collect()}
+
+
+def test_decontamination_against_brute_force(spark, sf_dir):
+    rng = np.random.default_rng(2)
+    base = "Anna has 3 red apples and 4 green pears in her bag. Then Peter gives 12 km of rope to Maria for 5 dollars each day"
+    numbers = " ".join(str(x) for x in rng.integers(0, 1000, 400))
+    changed = base.replace("3", "7").replace("4", "9").replace("Anna", "Zoe")
+    items = [(1, base), (2, numbers), (3, "w " * 400), (4, "yes"), (5, "Tom has 3 old hats in his box. Tom has 5 old hats in his box."), (6, None), (7, ""), (None, base), (8, base)]
+    docs = [(1, f"{base} and then {changed}"), (2, changed), (3, numbers), (4, " ".join(reversed(numbers.split()))), (5, "w " * 3000), (6, "so he said yes to it"), (7, items[4][1]), (8, items[4][1].replace("3", "6")), (9, None), (10, ""), (None, base), (1, "another text"), (11, base.replace("in her bag", "in her very nice bag")), (12, base.replace("4", "8", 1))]
+    real = [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    more = [(100 + r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    frames = (spark.createDataFrame([(d, t, 1) for d, t in docs + real], "doc_id long, text string, item_id int"), spark.createDataFrame([(i, t, 2) for i, t in items + more], "item_id long, text string, doc_id int"))
+    got = as_found(op5_decontaminate.decontaminate(*frames))
+    assert got == brute_decontaminated(docs + real, items + more)
+    assert got[1, 1][-1] == "exact" and got[2, 1][-1] == "reparameterised" and (3, 2) in got and (4, 2) not in got and (6, 4) in got and got[11, 1][-1] == "exact"
+    met = op5_decontaminate.matches(frames[0].where("doc_id in (3, 4, 5)"), frames[1].where("item_id in (2, 3)"))
+    assert met.count() <= 400 + 3000
+
+
+def test_decontamination_finds_whole_items(spark, sf_dir, monkeypatch):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    once = sorted(map(tuple, op5_decontaminate.decontaminate(docs, items).collect()))
-    monkeypatch.setattr(op5_decontaminate, "BLOCK", 500)
-    assert once and sorted(map(tuple, op5_decontaminate.decontaminate(docs, items).collect())) == once
+    once = as_found(op5_decontaminate.decontaminate(docs, items))
+    monkeypatch.setattr(op5_decontaminate, "SIEVE", 16)  # lets nearly all through
+    assert once and as_found(op5_decontaminate.decontaminate(docs, items)) == once
     text = {r.doc_id: " ".join(r.text.split()) for r in docs.collect()}
     whole = {(d, r.item_id) for r in items.collect() for d, t in text.items() if " ".join(r.text.split()) in t}
-    assert whole <= {(r[0], r[1]) for r in once}
+    assert whole <= set(once)
 
 
 def brute_lines(text):
+    """(line, whether it opens a line of the text)"""
     out = []
     for part in re.findall(r"[^\n]*\n|[^\n]+", text):
+        opens = True
         for sentence in re.split(r"(?<=[.!?])(?= )", part):
-            at, n = 0, 0
-            for m in WORD.finditer(sentence):
-                if n and n % op8_line_dedup.WRAP == 0:
-                    out.append(sentence[at : m.start()])
-                    at = m.start()
-                n += 1
-            out.append(sentence[at:])
-    return [x for x in out if x]
+            found = list(WORD.finditer(sentence))
+            data = [m[0].encode() for m in found]
+            flat = np.frombuffer(b" ".join(data), dtype=np.uint8)
+            size = np.array([len(d) for d in data], dtype=np.int64)
+            w = op8_line_dedup.weights(flat, np.cumsum(size + 1) - size - 1, size).tolist() if data else []
+            at = 0
+            for i in range(2, len(w) - 2):
+                if len(w) > 16 and w[i] < min(w[i - 2 : i]) and w[i] <= min(w[i + 1 : i + 3]):
+                    out.append((sentence[at : found[i].start()], opens))
+                    at, opens = found[i].start(), False
+            out.append((sentence[at:], opens))
+            opens = False
+    return [x for x in out if x[0]]
 
 
 def test_line_dedup(docs):
@@ -299,12 +383,10 @@ def test_line_dedup(docs):
     parts = {d: brute_lines(t) for d, t in text_of.items()}
 
     def wins(d):
-        full = [i for i, x in enumerate(parts[d]) if x.strip("\x20\t\n\x0b\x0c\r")]
+        full = [i for i, (x, _) in enumerate(parts[d]) if WORD.search(x)]
         for a in range(len(full) - 2):
             three = full[a : a + 3]
-            key = tuple(parts[d][i].strip("\x20\t\n\x0b\x0c\r") for i in three)
-            if sum(len(WORD.findall(x)) for x in key) >= 10:
-                yield key, three[0], three[2]
+            yield tuple(parts[d][i][0].strip("\x20\t\n\x0b\x0c\r") for i in three), three[0], three[2]
 
     for d in sorted(parts):
         for key, _, _ in wins(d):
@@ -322,12 +404,36 @@ def test_line_dedup(docs):
         times = Counter(k for k, _, _ in held)
         kept = {i for k, (a, z) in first.items() if times[k] > 1 for i in range(a, z + 1)}
         gone |= own - kept
-        want[d] = ("".join(x for i, x in enumerate(parts[d]) if i not in gone), len(parts[d]), len(gone))
+        for i in sorted(gone):
+            if i in gone and i - 1 not in gone:
+                run = [i]
+                while run[-1] + 1 in gone:
+                    run.append(run[-1] + 1)
+                whole = parts[d][i][1] and (run[-1] + 1 == len(parts[d]) or parts[d][run[-1] + 1][1])
+                if not whole and sum(len(WORD.findall(parts[d][j][0])) for j in run) < 10:
+                    want.setdefault("spared", set()).update((d, j) for j in run)
+        gone = {i for i in gone if (d, i) not in want.get("spared", ())}
+        want[d] = ("".join(x for i, (x, _) in enumerate(parts[d]) if i not in gone), len(parts[d]), len(gone))
     for r in op8_line_dedup.line_dedup(frame).collect():
         assert (r.text or "", r.n_lines, r.n_removed) == want[r.doc_id]
         assert (r.text is None) == (r.doc_id == 1001) and r.score == "x"
 
 
+def test_short_lines_and_passages_without_marks_go(spark):
+    rng = np.random.default_rng(8)
+    menu = "Home\nAbout\nContact\n"
+    rows, passages = [(1, menu + "First text."), (2, "Second text.\n" + menu), (3, "Yes. No. Maybe. And so on it goes here."), (4, "Yes. No. Maybe. Nothing of it is the same.")], []
+    for i in range(200):  # within a line, at any offset
+        passage = [f"p{x}" for x in rng.integers(0, 5000, 51)]
+        passages.append(set(passage))
+        rows += [(10 + 2 * i + side, " ".join([f"q{x}" for x in rng.integers(0, 5000, rng.integers(20, 60))] + passage + [f"r{x}" for x in rng.integers(0, 5000, rng.integers(20, 60))])) for side in (0, 1)]
+    got = {r.doc_id: r.text for r in op8_line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1] and got[2] == "Second text.\n" and got[3] == rows[2][1] and got[4] == rows[3][1]
+    left = [len([w for w in got[11 + 2 * i].split() if w in p]) for i, p in enumerate(passages)]
+    assert all(got[10 + 2 * i] == rows[4 + 2 * i][1] for i in range(200))
+    assert np.mean(left) < 14 and sum(x >= 45 for x in left) <= 2
+
+
 def test_repeated_passages_go(spark):
     passage = " ".join(f"word{i}" for i in range(55)) + "."
     rows = [(1, "One start here. " + passage), (2, passage + "\nAnother end of text."), (3, "Own text.\n" + passage + " And more.")]

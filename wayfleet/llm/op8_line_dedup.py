@@ -1,11 +1,13 @@
 """Line dedup by overlapping three-line windows.
 
-Lines end at line ends; a long line is wrapped at its sentence ends, and every `WRAP` words in a long
-sentence, so that a repeated passage set as one line is still several lines. Windows are three
-consecutive lines that aren't blank and have `min_words` words or more together. A window's first
+Lines end at line ends; a line is wrapped at its sentence ends, and a sentence of over `WRAP` words in front of words
+that its content chooses: those whose hash is the least of the `REACH` words on either side. So a repeated passage is
+cut alike wherever it stands, and one set as a single line is still several lines. Windows are three
+consecutive lines that aren't blank. A window's first
 occurrence is the one in the document with the smallest doc_id, and there the earliest. The lines
 that later occurrences cover are merged and removed; inside a document the first occurrence keeps its
-lines although later ones overlap it.
+lines although later ones overlap it. A merged stretch goes if it is made of whole lines of the text, or if it has
+`min_words` words or more: wrapped pieces of common phrases stay, and neighbouring repeats add up.
 
 One row per document and distinct window is reduced to the smallest doc_id of each window (map-side
 minimum), joined back for the later ones, and gathered per document. The text meets its own list only.
@@ -29,60 +31,76 @@ from pyspark.sql import types as T
 
 from wayfleet.llm.common import mix, only, raw, settle, slices, texts
 
-WRAP = 16
+WRAP, REACH, MIN_WORDS = 16, 2, 10
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def lines(a: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """All texts' lines in a row (nothing is left out between them), their words, and where each text's lines start."""
+def weights(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each word (where it starts, and its bytes) by its first eight bytes and its size."""
+    own = np.append(data, np.zeros(8, dtype=np.uint8))[at[:, None] + np.arange(8)]
+    own[np.arange(8) >= size[:, None]] = 0
+    return mix(own.view(np.uint64).ravel() + mix(size.astype(np.uint64)))
+
+
+def chosen(weight: np.ndarray, nth: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which words start a new line: in long sentences (size words, this the nth) the least of their neighbourhood."""
+    out = (size > WRAP) & (nth >= REACH) & (nth < size - REACH)
+    for d in range(1, REACH + 1):
+        out[d:] &= weight[d:] < weight[:-d]
+        out[:-d] &= weight[:-d] <= weight[d:]
+    return out
+
+
+def lines(a: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' lines in a row (nothing is left out between them), their words, whether they open a line of the text, and where each text's lines start."""
     data, off = raw(a)
     n = len(data)
     if not n:
-        return pa.array([], pa.large_string()), np.zeros(0, dtype=np.int64), np.zeros(len(a) + 1, dtype=np.int64)
+        return pa.array([], pa.large_string()), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool), np.zeros(len(a) + 1, dtype=np.int64)
     space = _SPACE[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[1:] = data == 10
+    cut[off] = True
+    hard = cut.copy()
     mark = (data == 46) | (data == 33) | (data == 63)
     cut[1:-1] |= mark[:-1] & (data[1:] == 32)
-    cut[off] = True
-    word = ~space
-    word[1:] &= space[:-1]
-    word[off[:-1][off[:-1] < n]] = ~space[off[:-1][off[:-1] < n]]
+    word, end = ~space, np.ones(n, dtype=bool)
+    word[1:] &= space[:-1] | cut[1:-1]
+    end[:-1] = space[1:] | cut[1:-1]
     at = np.flatnonzero(word)
     begin = np.flatnonzero(cut[:-1])
     if len(at):
-        owner = np.searchsorted(begin, at, side="right") - 1
-        nth = np.arange(len(at)) - np.searchsorted(at, begin)[owner]
-        cut[at[(nth > 0) & (nth % WRAP == 0)]] = True
+        first = np.searchsorted(at, np.append(begin, n))
+        size = np.repeat(np.diff(first), np.diff(first))
+        nth = np.arange(len(at)) - np.repeat(first[:-1], np.diff(first))
+        length = np.flatnonzero(end & ~space) + 1 - at
+        cut[at[chosen(weights(data, at, length), nth, size)]] = True
     begin = np.flatnonzero(cut[:-1])
     ends = np.append(begin, n).astype(np.int64)
     count = np.diff(np.searchsorted(at, ends))
     made = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
-    return made, count, np.searchsorted(begin, off)
+    return made, count, hard[begin], np.searchsorted(begin, off)
 
 
-def windows(a: pa.Array, size: int, min_words: int) -> tuple[pa.Array, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """The lines, where each text's start, and per text: hashes of its windows, their first and last line."""
-    made, count, starts = lines(a)
+def windows(a: pa.Array, size: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The lines (as `lines` gives them), and per text: hashes of its windows, their first and last line."""
+    made, count, hard, starts = lines(a)
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(x) for x in pc.ascii_trim_whitespace(made).to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(made))
     full = np.flatnonzero(count > 0)
     to = np.searchsorted(full, starts)
     if len(full) < size:
         empty = np.zeros(0, dtype=np.int64)
-        return made, starts, [(empty, empty, empty)] * len(a)
+        return made, count, hard, starts, [(empty, empty, empty)] * len(a)
     key = np.zeros(len(full) - size + 1, dtype=np.uint64)
-    total = np.zeros(len(key), dtype=np.int64)
     for i in range(size):
         key = mix(key + h[full[i : i + len(key)]])
-        total += count[full[i : i + len(key)]]
     out = []
     for lo, hi in zip(to[:-1], to[1:], strict=True):
         p = np.arange(lo, max(lo, hi - size + 1))
-        p = p[total[p] >= min_words]
         out.append((key[p].view(np.int64), full[p], full[p + size - 1]))
-    return made, starts, out
+    return made, count, hard, starts, out
 
 
 def covered(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -93,8 +111,9 @@ def covered(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.cumsum(step)[:-1] > 0
 
 
-def removed(n: int, key: np.ndarray, first: np.ndarray, last: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """Which of a text's n lines go; later: keys of windows that an earlier document has."""
+def removed(count: np.ndarray, hard: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray, later: np.ndarray, min_words: int) -> np.ndarray:
+    """Which of a text's lines (their words, whether they open a line of the text) go; later: keys of windows that an earlier document has."""
+    n = len(count)
     gone = np.isin(key, later)
     out = covered(n, first[gone], last[gone])
     own = ~gone
@@ -107,15 +126,20 @@ def removed(n: int, key: np.ndarray, first: np.ndarray, last: np.ndarray, later:
             kept = np.zeros_like(again)
             kept[at[times > 1]] = True
             out |= covered(n, f[again], z[again]) & ~covered(n, f[kept], z[kept])
-    return out
+    step = np.diff(np.concatenate([[0], out.view(np.int8), [0]]))
+    begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    total = np.concatenate([[0], np.cumsum(count)])
+    whole = hard[begin] & np.append(hard, True)[end]
+    goes = whole | (total[end] - total[begin] >= min_words)
+    return covered(n, begin[goes], end[goes] - 1)
 
 
-def line_dedup(docs: DataFrame, size: int = 3, min_words: int = 10) -> DataFrame:
+def line_dedup(docs: DataFrame, size: int = 3, min_words: int = MIN_WORDS) -> DataFrame:
     """docs (doc_id, text, ...) with the text's repeated lines removed, and n_lines and n_removed (long)."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            _, _, found = windows(texts(b), size, min_words)
+            found = windows(texts(b), size)[-1]
             keys = [np.unique(k) for k, _, _ in found]
             doc = b.column("doc_id").take(pa.array(np.repeat(np.arange(b.num_rows), [len(k) for k in keys])))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), doc], names=["key", "doc_id"])
@@ -126,14 +150,14 @@ def line_dedup(docs: DataFrame, size: int = 3, min_words: int = 10) -> DataFrame
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            made, starts, found = windows(texts(b), size, min_words)
+            made, words, hard, starts, found = windows(texts(b), size)
             count = np.diff(starts)
             gone = np.zeros(len(made), dtype=bool)
             for row, (lists, (key, first, last)) in enumerate(zip(b.column("_later"), found, strict=True)):
-                lo = starts[row]
+                lo, hi = starts[row], starts[row + 1]
                 if len(key):
                     known = lists.values.to_numpy(zero_copy_only=False) if lists.is_valid else np.zeros(0, dtype=np.int64)
-                    gone[lo : lo + count[row]] = removed(count[row], key, first - lo, last - lo, known)
+                    gone[lo:hi] = removed(words[lo:hi], hard[lo:hi], key, first - lo, last - lo, known, min_words)
             left = np.concatenate([[0], np.cumsum(~gone)])[starts]
             kept = made.filter(pa.array(~gone)).cast(pa.large_string())
             data, off = raw(kept)
