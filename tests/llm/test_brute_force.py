@@ -466,7 +466,69 @@ def test_divergence():
     p, q = np.array([[3.0, 1.0]]), np.array([0.5, 0.5])
     m = (np.array([0.75, 0.25]) + q) / 2
     want = sum(0.5 * a * math.log2(a / b) for a, b in zip([0.75, 0.25], m, strict=True)) + sum(0.5 * a * math.log2(a / b) for a, b in zip(q, m, strict=True))
-    assert op9_quality.divergence(p * 1e6, q)[0] == pytest.approx(want, abs=1e-6)
+    js, excess = op9_quality.divergence(p * 1e6, q)
+    assert js[0] == pytest.approx(want, abs=1e-9) and excess[0] == pytest.approx(want, abs=1e-6) and excess[0] < js[0]
+
+
+def js_bits(counts, ref):
+    n = sum(counts)
+    p = [x / n for x in counts]
+    m = [(x + y) / 2 for x, y in zip(p, ref, strict=True)]
+    part = lambda d: sum(x * math.log2(x / y) for x, y in zip(d, m, strict=True) if x)
+    return (part(p) + part(ref)) / 2, (sum(y > 0 for y in ref) - 1) / (8 * math.log(2) * n)
+
+
+def char_class(c):
+    if ord(c) > 127:
+        return 8
+    for i, group in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r\x0b\x0c", ".,", "#*$%&|<>")):
+        if c in group:
+            return i
+    return 7
+
+
+@pytest.mark.parametrize("least", [2_000, 1])
+def test_quality_verdict_by_hand(docs, spark, least, monkeypatch):
+    monkeypatch.setattr(op9_quality, "LEAST", least)
+    rows = [(d, t, {3: "FR-fr", 5: "not a tag", 7: "xx"}.get(d % 11, lang)) for d, t, lang in docs[1]]
+    frame = spark.createDataFrame([(d, t, lang, 1) for d, t, lang in rows], "doc_id long, text string, lang string, n_words int").repartition(4)
+    tag = lambda lang: m[1].lower() if (m := re.fullmatch("([A-Za-z]{2,3})(?:[-_].*)?", (lang or "").strip())) else None
+    form = lambda w: w.lower().strip(".,;:!?\"'()")
+    seen, chars = defaultdict(Counter), defaultdict(Counter)
+    for _, t, lang in rows:
+        if tag(lang):
+            seen[tag(lang)].update(form(w) for w in WORD.findall(t or ""))
+            chars[tag(lang)].update(char_class(c) for c in t or "")
+    refs = {}
+    for lang, c in seen.items():
+        n = sum(c.values())
+        if n >= least:
+            common = sorted(w for w in c if c[w] >= 0.002 * n)
+            hist = [c[w] / n for w in common]
+            refs[lang] = common, [*hist, 1 - sum(hist)], [chars[lang][k] / sum(chars[lang].values()) for k in range(9)]
+    assert ("xx" in refs) or least > 1
+    want = defaultdict(list)
+    for d, t, lang in rows:
+        ws, t = [form(w) for w in WORD.findall(t or "")], t or ""
+        by_chars = by_words = (None, None)
+        if tag(lang) in refs:
+            common, hist, classes = refs[tag(lang)]
+            c = Counter(w if w in set(common) else None for w in ws)
+            if len(t) >= 200:
+                by_chars = js_bits([sum(char_class(x) == k for x in t) for k in range(9)], classes)
+            if len(ws) >= 80:
+                by_words = js_bits([*(c[w] for w in common), c[None]], hist)
+        far = lambda js, limit: js[0] is not None and js[0] - js[1] > limit
+        want[d].append((far(by_chars, 0.07) or far(by_words, 0.12), by_chars[0] and math.sqrt(by_chars[0]), by_words[0] and math.sqrt(by_words[0])))
+    got = defaultdict(list)
+    for r in op9_quality.quality(frame).collect():
+        got[r.doc_id].append((r.base_failed, r.kept, r.js_chars, r.js_words))
+    assert {d: len(x) for d, x in got.items()} == {d: len(x) for d, x in want.items()}
+    for d in want:
+        for (failed, kept, a, b), (bad, x, y) in zip(got[d], want[d], strict=True):
+            assert kept == (not failed and not bad)
+            assert (a is None) == (x is None) and (b is None) == (y is None)
+            assert (a or 0) == pytest.approx(x or 0, abs=1e-6) and (b or 0) == pytest.approx(y or 0, abs=1e-6)
 
 
 def test_lattice_sums_all_segmentations():
@@ -557,6 +619,65 @@ def test_languages(spark, sf_dir):
     assert got[9003].lang == "fr" and got[9001].lang is not None and got[9001].text_lang is None and len(got) == pages.count() + 3
 
 
+def softmax(logs):
+    e = [math.exp(x - max(logs)) for x in logs]
+    return [x / sum(e) for x in e]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_language_fusion_by_hand(spark, parts, monkeypatch):
+    monkeypatch.setattr(op10_language, "LEAST", 40)
+    monkeypatch.setattr(op10_language, "SLICE_BYTES", 300)
+    texts = [("de", "das ist ein kleiner satz und noch einer dazu"), ("fr", "ceci est une petite phrase et encore une autre"), ("de-AT", "der hund und die katze laufen durch den garten"), ("en", "this is a small sentence and here is another one"), ("xx", "kurz"), (None, "nothing"), ("en", None), ("en", ""), ("de", "y"), ("de", "das ist ein kleiner satz und noch einer dazu"), ("odd tag", "abc abc abc abc abc abc abc abc abc abc abc abc")]
+    page = lambda lang, body: f"<html lang='{lang}'><head><script>das ist</script></head><body><p>{body}</p></body></html>"
+    pages = [
+        (1, "http://a.site.de/x", page("de", "der kleine hund und die katze " * 30)), (2, "http://a.site.de/y", page("en", "une autre petite phrase")), (3, "http://b.site.de/", page("fr", "")), (4, "https://www.other.fr/z", None),
+        (5, None, page("de", "another small sentence here")), (6, "odd", ""), (1, "http://a.site.de/x", page("de", "der kleine hund und die katze " * 30)), (None, "http://b.site.de/q", "<p>this is one"), (8, "http://b.site.de/q", "<div class='top ad'>der hund</div>x"),
+    ]
+    langs = ["de", "en", "fr"]
+    buckets = lambda t: op10_language.trigrams(np.frombuffer(t.encode(), dtype=np.uint8)).tolist()
+    counts = {lang: Counter() for lang in langs}
+    for lang, t in texts:
+        if (lang or "")[:2] in counts and len(lang.split()) == 1:
+            counts[lang[:2]].update(buckets(t or ""))
+    total = {lang: sum(c.values()) + 0.5 * op10_language.BUCKETS for lang, c in counts.items()}
+    rows = []
+    for pid, url, html in pages:
+        m = re.search(r"://([^/]+)", url or "")
+        host = m[1] if m else ""
+        said = re.search("lang='(..)'", html or "")
+        body = " ".join(re.sub(r"\s+", " ", op10_language.visible(html or "")).split(" "))
+        b = buckets(body)
+        ll = [sum(math.log((counts[lang][x] + 0.5) / total[lang]) for x in b) * min(1, 60 / max(1, len(b))) for lang in langs]
+        rows.append((pid, host, ".".join(host.split(".")[-2:]), host.split(".")[-1], said[1] if said else "", len(b), ll, softmax(ll)))
+    mass = lambda at, value: [sum(r[7][i] for r in rows if r[at] == value) for i in range(3)]
+    every = [sum(r[7][i] for r in rows) for i in range(3)]
+    want = []
+    for pid, host, domain, suffix, said, n, ll, post in rows:
+        prior = [(x + 1) / (len(rows) + 3) for x in every]
+        for at, value in ((2, domain), (1, host)):
+            pages_here = sum(r[at] == value for r in rows)
+            prior = [(max(m - p, 0) + 20 * up) / (pages_here - 1 + 20) for m, p, up in zip(mass(at, value), post, prior, strict=True)]
+        logs = [x + math.log(p) for x, p in zip(ll, prior, strict=True)]
+        for at, value in ((4, said), (3, suffix)):
+            width = len({r[at] for r in rows})
+            logs = [x + math.log((m + 0.5) / (e + 0.5 * width)) for x, m, e in zip(logs, mass(at, value), every, strict=True)]
+        final = softmax(logs)
+        want.append((pid, host, said, langs[post.index(max(post))] if n else None, langs[final.index(max(final))], round(max(final), 4)))
+    docs = spark.createDataFrame([(t, lang, "z", 1) for lang, t in texts], "text string, lang string, host string, page_id int").repartition(parts)
+    frame = spark.createDataFrame([(*p, "fr", "x") for p in pages], "page_id long, url string, html string, lang string, text string").repartition(parts)
+    got = op10_language.languages(frame, docs).collect()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(((r.page_id, r.host, r.declared, r.text_lang, r.lang, round(r.confidence, 4)) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_language_ties_and_no_models(spark):
+    docs = spark.createDataFrame([("abc abc abc " * 200, "fr"), ("abc abc abc " * 200, "de")], "text string, lang string")
+    pages = spark.createDataFrame([(1, "http://x.org/", "<p>abc abc")], "page_id long, url string, html string")
+    assert [r.lang for r in op10_language.languages(pages, docs).collect()] == ["de"]
+    assert [(r.lang, r.confidence) for r in op10_language.languages(pages, docs.limit(0)).collect()] == [(None, None)]
+
+
 def test_empty_tables(spark, sf_dir):
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet").limit(0)
     docs = read("documents")

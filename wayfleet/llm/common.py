@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,47 @@ def crc_mod(col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % n
 
 
+def language(col: str = "lang") -> Column:
+    """The language of a tag like de or en-GB: two or three letters in lower case, else null."""
+    return F.nullif(F.lower(F.regexp_extract(F.trim(F.col(col)), "^([A-Za-z]{2,3})(?:[-_].*)?$", 1)), F.lit(""))
+
+
+def tallied(key: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often (or with what total weight) each comes; what is held grows with the keys given alone."""
+    if not len(key):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    if int(key.max()) <= 4 * len(key) + 1024:
+        n = np.bincount(key, weight)
+        at = np.flatnonzero(n)
+        return at, n[at]
+    at, inverse = np.unique(key, return_inverse=True)
+    return at, np.bincount(inverse, weight)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a local master gets a folder of its own; a cluster is refused, as its machines don't see one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    sc = spark.sparkContext
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder(sc.applicationId)
+
+
+@lru_cache(maxsize=4)
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=application)
+
+
 def only(df: DataFrame, **cols: str) -> DataFrame:
     """Just the named columns with these types; a missing one is null, others are left behind."""
     return df.select(*[(F.col(f"`{c}`").cast(t) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in cols.items()])

@@ -6,15 +6,16 @@ language that the markup declares, the last part of the host name, and a prior o
 models count all documents with a language. What a declaration or suffix says about a language is
 estimated from the pages themselves, by summing the text's posteriors per declared value and suffix.
 Host priors are smoothed towards their domain's, and those towards all pages': (sum + K * prior above)
-/ (n + K), a page's own text left out. All sums are grouped aggregations; hosts meet their pages in a
-join, so a crowded host spreads over tasks.
+/ (n + K), a page's own text left out. All sums are grouped aggregations; hosts, declared values and suffixes meet their
+pages in joins that Spark can split, so a crowded one spreads over tasks.
 
-Languages with at least `SHARE` of the models' trigrams take part (1 / SHARE of them at most), and
-declared values and suffixes that `SHARE` of pages have; all others count as one value.
+Languages take part with `LEAST` trigrams or more, whatever others have. A language is a tag's first part of two or
+three letters; its model is 64 KB, and only models reach the driver.
 
 Defined results: a null html or one without text is decided by the other evidence; a null or odd url
 has the host ''; ties go to the first language by name; repeated rows come back as often; other
-columns are left behind; without documents lang is null; an empty table gives no rows.
+columns are left behind; documents with another tag or none aren't counted; without models lang is null; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfleet.llm.common import SLICE_BYTES, only, raw, settle, slices, texts
+from wayfleet.llm.common import SLICE_BYTES, language, only, raw, settle, slices, tallied, texts
 
 BUCKETS = 1 << 14
-EVIDENCE, STRENGTH, SHARE = 60.0, 20.0, 0.001
-_DROP = re.compile(r"<!--.*?-->|<(script|style|nav|noscript|template|aside|footer)\b.*?</\1\s*>|<div class=\"ad\">.*?</div>", re.S | re.I)
+EVIDENCE, STRENGTH, LEAST = 60.0, 20.0, 2_000
+_DROP = re.compile(r"<!--.*?-->|<(script|style|nav|noscript|template|aside|footer)\b.*?</\1\s*>|<(div|section)\b[^>]*\b(?:class|id|role)\s*=\s*[\"'](?:[^\"']*[\s_-])?(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?)(?:[\s_-][^\"']*)?[\"'][^>]*>.*?</\2\s*>", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.I)
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -64,19 +65,21 @@ def models(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         for b in slices(batches):
             lang = b.column("lang").dictionary_encode()
             data, off = raw(texts(b))
-            own = np.repeat(lang.indices.to_numpy(zero_copy_only=False), np.diff(off)).astype(np.int64)
-            n = np.bincount(own[: max(0, len(data) - 2)] * BUCKETS + trigrams(data))
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(at // BUCKETS)).cast(pa.string()), pa.array(at % BUCKETS), pa.array(n[at])], names=["lang", "bucket", "n"])
+            row = np.repeat(np.arange(b.num_rows), np.diff(off))
+            whole = np.flatnonzero(row[:-2] == row[2:]) if len(data) > 2 else np.zeros(0, dtype=np.int64)  # within one text
+            own = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row[whole]]
+            at, n = tallied(own * BUCKETS + trigrams(data)[whole]) if len(whole) else tallied(whole)
+            yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(at // BUCKETS)).cast(pa.string()), pa.array(at % BUCKETS), pa.array(n.astype(np.int64))], names=["lang", "bucket", "n"])
 
-    rows = only(docs, text="string", lang="string").where("lang is not null").mapInArrow(run, "lang string, bucket long, n long")
+    rows = only(docs, text="string", lang="string").withColumn("lang", language()).where("lang is not null").mapInArrow(run, "lang string, bucket long, n long")
     counts = settle(rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    total = counts.groupBy("lang").agg(F.sum("n").alias("all"))
-    whole = total.agg(F.sum("all")).first()[0] or 0
-    langs = sorted(r["lang"] for r in total.where(F.col("all") >= SHARE * whole).collect())
+    enough = counts.groupBy("lang").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST).select("lang")
+    got = counts.join(enough, "lang").toArrow()
+    name = np.array(got["lang"].to_pylist(), dtype=object)
+    langs = sorted(set(name))
     table = np.full((len(langs), BUCKETS), 0.5)
-    for r in counts.where(F.col("lang").isin(langs)).collect() if langs else ():
-        table[langs.index(r["lang"]), r["bucket"]] += r["n"]
+    number = {x: i for i, x in enumerate(langs)}
+    table[[number[x] for x in name], got["bucket"].to_numpy()] += got["n"].to_numpy()
     return langs, np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
 
 
@@ -99,7 +102,7 @@ def read_pages(pages: DataFrame, table: np.ndarray, evidence: float) -> DataFram
                 data = np.frombuffer(re.sub(r"\s+", " ", visible(page)).encode("utf-8", "replace"), dtype=np.uint8)
                 total = np.zeros(own.shape[1])
                 for at in range(0, len(data), SLICE_BYTES):
-                    total += own[trigrams(data[at : at + SLICE_BYTES])].sum(0, dtype=np.float64)
+                    total += own[trigrams(data[at : at + SLICE_BYTES + 2])].sum(0, dtype=np.float64)
                 n.append(max(0, len(data) - 2))
                 ll.append(total * min(1.0, evidence / max(1, n[-1])))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), pa.array(declared), pa.array(n, pa.int64()), pa.array([x.tolist() for x in ll], pa.list_(pa.float64()))], names=["page_id", "host", "declared", "n", "ll"])
@@ -123,19 +126,12 @@ def summed(rows: DataFrame, key: str, langs: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("pages"), F.array(*[F.sum(F.col("post")[i]) for i in range(len(langs))]).alias("mass"))
 
 
-def table_of(rows: DataFrame, key: str, langs: list[str], share: float) -> Column:
-    """Log P(value | language) as a column: a map over values that enough pages have, one entry for all others."""
-    n = rows.count()
-    sums = summed(rows, key, langs)
-    often = sums.where(F.col("pages") >= share * n).collect()  # 1 / share rows at most
-    every = np.array([sum(r["mass"][i] for r in often) for i in range(len(langs))])
-    whole = rows.agg(*[F.sum(F.col("post")[i]) for i in range(len(langs))]).first()
-    every = np.array([x or 0.0 for x in whole]) if n else every
-    width = len(often) + 1
-    log = lambda mass: F.array(*[F.lit(float(x)) for x in np.log((np.maximum(mass, 0) + 0.5) / (every + 0.5 * width))])
-    rest = log(every - sum((np.array(r["mass"]) for r in often), np.zeros(len(langs))))
-    known = [x for r in often for x in (F.lit(r[key]), log(np.array(r["mass"])))]
-    return F.coalesce(F.create_map(*known)[F.col(key)], rest) if known else rest
+def said_by(rows: DataFrame, key: str, langs: list[str], every: list[float]) -> DataFrame:
+    """(key, <key>_log): log P(value | language) of each value; every: each language's whole mass."""
+    sums = settle(summed(rows, key, langs).select(key, "mass"))
+    width = sums.count()
+    log = F.transform("mass", lambda m, i: F.ln((m + 0.5) / (F.element_at(F.array(*[F.lit(x + 0.5 * width) for x in every]), i + 1))))
+    return sums.select(key, log.alias(f"{key}_log"))
 
 
 def smoothed(level: str, above: Column, strength: float) -> Column:
@@ -144,7 +140,7 @@ def smoothed(level: str, above: Column, strength: float) -> Column:
     return F.zip_with(others, above, lambda m, p: (m + strength * p) / (F.col(f"{level}_pages") - 1 + strength))
 
 
-def languages(pages: DataFrame, docs: DataFrame, evidence: float = EVIDENCE, strength: float = STRENGTH, share: float = SHARE) -> DataFrame:
+def languages(pages: DataFrame, docs: DataFrame, evidence: float = EVIDENCE, strength: float = STRENGTH) -> DataFrame:
     """(page_id, host, declared, text_lang, lang, confidence) of each page (page_id, url, html), by models of docs (text, lang)."""
     langs, table = models(docs)
     if not langs:
@@ -161,7 +157,8 @@ def languages(pages: DataFrame, docs: DataFrame, evidence: float = EVIDENCE, str
     met = met.withColumn("d_prior", domain).withColumn("h_prior", smoothed("h", F.col("d_prior"), strength))
     logs = F.zip_with("ll", "h_prior", lambda a, p: a + F.ln(p))
     for key in ("declared", "suffix"):
-        logs = F.zip_with(logs, table_of(rows, key, langs, share), lambda a, b: a + b)
+        met = met.join(said_by(rows, key, langs, [x or 0.0 for x in total[1:]]), key)
+        logs = F.zip_with(logs, f"{key}_log", lambda a, b: a + b)
     names = F.array(*[F.lit(x) for x in langs])
     best = lambda c: names[(F.array_position(F.col(c), F.array_max(c)) - 1).cast("int")]
     out = met.withColumn("all", softmax(logs))

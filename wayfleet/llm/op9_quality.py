@@ -3,14 +3,15 @@
 References are gathered over all documents of a language: the histogram of character classes and that
 of the common words (each at least `COMMON` of the language's words, so 1 / COMMON of them at most)
 with one bin for all other words. A document's histograms are compared with them by Jensen-Shannon
-distance squared (divergence in bits, 0 to 1). Guards: words are compared from `guard_words` words on,
-characters from `guard_chars` characters on, and a bin count's own noise, (bins - 1) / (8 n ln 2) bits
-at n entries, is taken off first.
+distance (the root of the divergence in bits, 0 to 1). A sample of n entries lies some way off even if it is drawn
+from the reference: the verdict is on the divergence less that expected noise, (bins - 1) / (8 n ln 2) bits. Guards:
+words are compared from `guard_words` words on, characters from `guard_chars` characters on.
 
-Languages with at least `SHARE` of all words have references (1 / SHARE of them at most). A document
-whose language is null or has none is compared with the nearest.
+A language with `LEAST` words or more has a reference, whatever others have. A language is a tag's first part of two
+or three letters; its reference is some 20 KB.
 
-Defined results: null text counts as none; repeated rows come back as often; other columns are left
+Defined results: a document without a language, or whose language has no reference, passes on the base rules with
+null distances; null text counts as none; repeated rows come back as often; other columns are left
 behind; an empty table gives no rows.
 """
 
@@ -24,9 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfleet.llm.common import coded, mix, only, raw, settle, slices, sums, texts, words
+from wayfleet.llm.common import coded, language, mix, only, raw, settle, slices, sums, tallied, texts, words
 
-COMMON, SHARE = 0.002, 0.001
+COMMON, LEAST = 0.002, 2_000
 CHAR_LIMIT, WORD_LIMIT, GUARD_WORDS, GUARD_CHARS = 0.07, 0.12, 80, 200
 #: Lower-case ASCII letters, capitals, digits, spaces, line ends, . and comma, symbols, other ASCII, letters beyond ASCII.
 CLASSES = 9
@@ -46,7 +47,7 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, js_chars double, js_words double"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, js_chars double, js_words double, excess_chars double, excess_words double"
 
 
 def classes(a: pa.Array) -> np.ndarray:
@@ -72,15 +73,15 @@ def counted(docs: DataFrame) -> DataFrame:
             code, distinct = coded(flat)
             code2, plain = coded(forms(distinct))
             code, size = code2[code] if len(code) else code, max(1, len(plain))
-            at = np.bincount(np.repeat(own, np.diff(starts)).astype(np.int64) * size + code)
-            full = np.flatnonzero(at)
-            chars = np.zeros((len(names), CLASSES), dtype=np.int64)
-            np.add.at(chars, own, classes(a))
-            lang_at = np.concatenate([full // size, np.repeat(np.arange(len(names)), CLASSES)])
-            word = pa.concat_arrays([plain.take(pa.array(full % size)).cast(pa.string()), pa.array([f" {c}" for c in range(CLASSES)] * len(names), pa.string())])
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(lang_at)).cast(pa.string()), word, pa.array(np.concatenate([at[full], chars.ravel()]))], names=["lang", "word", "n"])
-
-    rows = only(docs, text="string", lang="string").where("lang is not null").mapInArrow(run, "lang string, word string, n long")
+            full, n = tallied(np.repeat(own, np.diff(starts)).astype(np.int64) * size + code)
+            chars = classes(a)
+            row, kind = np.nonzero(chars)
+            at, many = tallied(own.astype(np.int64)[row] * CLASSES + kind, chars[row, kind])
+            lang_at = np.concatenate([full // size, at // CLASSES])
+            word = pa.concat_arrays([plain.take(pa.array(full % size)).cast(pa.string()), pa.array([f" {c}" for c in at % CLASSES], pa.string())])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(lang_at)).cast(pa.string()), word, pa.array(np.concatenate([n, many]).astype(np.int64))], names=["lang", "word", "n"])
+
+    rows = only(docs, text="string", lang="string").withColumn("lang", language()).where("lang is not null").mapInArrow(run, "lang string, word string, n long")
     return rows.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -88,34 +89,31 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int], n
     """Per language its class histogram, the common words' numbers, and their histogram (the last bin: all other words)."""
     counts = settle(counted(docs))
     is_word = ~F.col("word").startswith(" ")
-    total = counts.where(is_word).groupBy("lang").agg(F.sum("n").alias("all"))
-    whole = total.agg(F.sum("all")).first()[0] or 0
-    total = {r["lang"]: r["all"] for r in total.where(F.col("all") >= SHARE * whole).collect()}
-    if not total:
-        return {}
-    least = F.create_map(*[F.lit(x) for lang, n in total.items() for x in (lang, n * COMMON)])
-    rows = counts.where(F.col("lang").isin(list(total)) & (~is_word | (F.col("n") >= least[F.col("lang")]))).collect()
+    total = counts.where(is_word).groupBy("lang").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST)
+    rows = counts.join(total, "lang").where(~is_word | (F.col("n") >= COMMON * F.col("all"))).toArrow().to_pylist()  # 1 / COMMON and CLASSES a language at most
     out = {}
-    for lang in sorted(total):
+    for lang in sorted({r["lang"] for r in rows}):
+        own = [r for r in rows if r["lang"] == lang]
         chars = np.zeros(CLASSES)
-        common = sorted((r["word"], r["n"]) for r in rows if r["lang"] == lang and not r["word"].startswith(" "))
-        for r in rows:
-            if r["lang"] == lang and r["word"].startswith(" "):
+        common = sorted((r["word"], r["n"]) for r in own if not r["word"].startswith(" "))
+        for r in own:
+            if r["word"].startswith(" "):
                 chars[int(r["word"])] = r["n"]
-        hist = np.array([n for _, n in common] + [total[lang] - sum(n for _, n in common)], dtype=float)
+        hist = np.array([n for _, n in common] + [own[0]["all"] - sum(n for _, n in common)], dtype=float)
         out[lang] = chars / max(1, chars.sum()), {w: i for i, (w, _) in enumerate(common)}, hist / hist.sum()
     return out
 
 
-def divergence(counts: np.ndarray, ref: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence in bits of each row's histogram from ref, less its expected noise; 0 for an empty row."""
+def divergence(counts: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Jensen-Shannon divergence in bits of each row's histogram from ref, and what it exceeds its expected noise by; 0 for an empty row."""
     n = counts.sum(1, keepdims=True)
     p = counts / np.maximum(n, 1)
     m = (p + ref) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         part = np.where(p > 0, p * np.log2(p / m), 0) + np.where(ref > 0, ref * np.log2(ref / m), 0)
     noise = (np.count_nonzero(ref) - 1) / (8 * np.log(2) * np.maximum(n[:, 0], 1))
-    return np.where(n[:, 0] > 0, np.clip(part.sum(1) / 2 - noise, 0, 1), 0)
+    js = np.where(n[:, 0] > 0, np.clip(part.sum(1) / 2, 0, 1), 0)
+    return js, np.clip(js - noise, 0, 1)
 
 
 def repeated(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -150,13 +148,14 @@ def dup_lines(a: pa.Array) -> np.ndarray:
 
 
 def quality(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, guard_words: int = GUARD_WORDS, guard_chars: int = GUARD_CHARS) -> DataFrame:
-    """Base counts, verdict and both divergences (null where a guard holds) of each document (doc_id, text, lang); see SCHEMA."""
+    """Base counts, verdict, both distances, and what the divergences exceed their noise by (null where a guard holds) of each document (doc_id, text, lang); see SCHEMA."""
     shared = docs.sparkSession.sparkContext.broadcast(references(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = shared.value
         for b in slices(batches):
-            a, lang = texts(b), np.array(b.column("lang").to_pylist(), dtype=object)
+            a, spoken = texts(b), b.column("lang").dictionary_encode()
+            lang, known = pc.fill_null(spoken.indices, -1).to_numpy(zero_copy_only=False), spoken.dictionary.to_pylist()
             data, off = raw(a)
             flat, starts = words(a)
             code, distinct = coded(flat)
@@ -166,24 +165,24 @@ def quality(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float =
             again = repeated(code, starts)
             plain = forms(distinct).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(b.num_rows), n_words)
-            js = np.full((2, b.num_rows), np.inf)
-            for name, (ref, common, hist) in refs.items():
-                own = np.array([x == name or x not in refs for x in lang], dtype=bool)
-                if not own.any():
+            js = np.full((4, b.num_rows), np.nan)
+            for nth, name in enumerate(known):
+                if name not in refs:
                     continue
+                ref, common, hist = refs[name]
+                own = lang == nth
                 kind = np.fromiter((common.get(w, len(common)) for w in plain), dtype=np.int64, count=len(plain))
                 number = np.cumsum(own) - 1
                 pick = own[row]
                 counts = np.bincount(number[row[pick]] * len(hist) + kind[code[pick]], minlength=own.sum() * len(hist)).reshape(-1, len(hist))
-                got = np.stack([divergence(chars[own], ref), divergence(counts, hist)])
-                js[:, own] = np.where(got.sum(0) < js[:, own].sum(0), got, js[:, own])
+                js[0::2, own], js[1::2, own] = divergence(chars[own], ref), divergence(counts, hist)
             failed = (n_words < 50) | (100 * again > 50 * n_words)
-            no_chars, no_words = (chars.sum(1) < guard_chars) | np.isinf(js[0]), (n_words < guard_words) | np.isinf(js[1])
-            bad = (~no_chars & (js[0] > char_limit)) | (~no_words & (js[1] > word_limit))
+            no_chars, no_words = (chars.sum(1) < guard_chars) | np.isnan(js[0]), (n_words < guard_words) | np.isnan(js[1])
+            bad = (~no_chars & (js[2] > char_limit)) | (~no_words & (js[3] > word_limit))
             cols = [n_words, sums((((data & 0xC0) != 0x80) & ~_SPACE[data]).astype(np.int64), off), sums(symbol.astype(np.int64), off), dup_lines(a), again]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), *[pa.array(c.astype(np.int64)) for c in cols], pa.array(failed), pa.array(~failed & ~bad), pa.array(js[0], mask=no_chars), pa.array(js[1], mask=no_words)],
+                [b.column("doc_id").cast(pa.int64()), *[pa.array(c.astype(np.int64)) for c in cols], pa.array(failed), pa.array(~failed & ~bad), *[pa.array(x, mask=m) for x, m in ((np.sqrt(js[0]), no_chars), (np.sqrt(js[1]), no_words), (js[2], no_chars), (js[3], no_words))]],
                 names=[x.split()[0] for x in SCHEMA.split(", ")],
             )
 
-    return only(docs, doc_id="long", text="string", lang="string").mapInArrow(run, SCHEMA)
+    return only(docs, doc_id="long", text="string", lang="string").withColumn("lang", language()).mapInArrow(run, SCHEMA)
