@@ -11,7 +11,9 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from wayfleet.llm import common, op1_packing, op2_toxicity, op3_token_counts, op4_simhash, op5_decontaminate, op6_preference, op7_lattice_lm, op8_line_dedup, op9_quality, op10_language, queries, tokens
+from pyspark.sql import functions as F
+
+from wayfleet.llm import common, gru, op1_packing, op2_toxicity, op3_token_counts, op4_simhash, op5_decontaminate, op6_preference, op7_lattice_lm, op8_line_dedup, op9_quality, op10_language, queries, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = ["", None, " \n\t ", "one", "a b", "a\x0bb c\x1cd", "É é ÀB <|endoftext|> x y  \n z", "w " * 3000, "same line.\n" * 40, "12 km to Paris. It is 12 km."]
@@ -571,6 +573,59 @@ def test_lm_base_and_scores(docs, frequent):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def test_batches_of_words_equal_single_ones():
+    model = op7_lattice_lm.lattice(op7_lattice_lm.vocabulary())
+    words = ["", "a", "the", "The", "ñandú", "a☃b", "x" * 60, "zzqj", "internationalisation", "\ud83d" if False else "🙂", "▁▁", "the"]
+    times = np.array([1.0, 2, 500, 1, 3, 1, 2, 1, 7, 2, 1, 40])
+    logp = model.first
+    total, counts, now = model.batch(words, times, logp, 30.0)
+    want = np.zeros(model.size)
+    spelled = sum(model.expected(w, t, logp.tolist(), 30.0, want) for w, t in zip(words, times, strict=True))
+    assert total == pytest.approx([model.forward(model.arcs(w), logp.tolist())[-1] for w in words])
+    assert counts == pytest.approx(want) and now == pytest.approx(spelled)
+
+
+def test_lattice_mass_is_at_most_one():
+    import ahocorasick
+    from itertools import product
+
+    model = op7_lattice_lm.Lattice.__new__(op7_lattice_lm.Lattice)
+    p = {"▁": 0.3, "▁a": 0.2, "a": 0.1, "b": 0.1, "ab": 0.2, "bb": 0.1}
+    model.pieces = ahocorasick.Automaton()
+    for i, x in enumerate(p):
+        model.pieces.add_word(x, (i, len(x)))
+    model.pieces.make_automaton()
+    model.single = {"▁", "a", "b"}
+    logp = [math.log(v) for v in p.values()]
+    mass = sum(math.exp(model.forward(model.arcs("".join(w)), logp)[-1]) for n in range(11) for w in product("ab", repeat=n))
+    assert 0.5 < mass <= 1
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_lm_score_by_hand(spark, rounds):
+    texts = ["the cat sat on the mat", "The dog sat on a log", "a cat and a dog", "", None, "zyxw qqq the", "the the the ñandú", "the cat sat on the mat"]
+    rows = [(i, t, i in (3, 5), "x") for i, t in enumerate(texts)] + [(0, texts[0], False, "y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, held boolean, word string").repartition(3)
+    got = sorted((r.doc_id, round(r.score, 6)) for r in op7_lattice_lm.lm_scores(frame, op7_lattice_lm.vocabulary(), "held", rounds=rounds).collect())
+    model = op7_lattice_lm.lattice(op7_lattice_lm.vocabulary())
+    c = Counter(w for _, t, held, _ in rows if not held for w in WORD.findall(lower(t)))
+    ends, seen = sum(not r[2] for r in rows), sum(c.values())
+    logp, spelled, n = model.first.tolist(), seen / 2, seen + ends
+    for _ in range(rounds):
+        counts, now = np.zeros(model.size), 0.0
+        for w, k in c.items():
+            now += model.expected(w, k, logp, spelled, counts)
+        counts += 0.1 * model.size * np.exp(model.first)
+        logp, spelled = np.log(counts / counts.sum()).tolist(), now
+    spelling = lambda w: spelled / n * math.exp(model.forward(model.arcs(w), logp)[-1])
+    own = {w: max(0.0, k / n - spelling(w)) for w, k in c.items() if k >= 2}
+    scale = (seen / n) / (sum(own.values()) + spelled / n)
+    prob = lambda w: scale * (own.get(w, 0.0) + spelling(w))
+    assert sum(map(prob, c)) + ends / n <= 1 + 1e-9
+    want = sorted((d, round(sum(math.log10(prob(w)) for w in WORD.findall(lower(t))) + math.log10(ends / n), 6)) for d, t, _, _ in rows)
+    assert [d for d, _ in got] == [d for d, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], abs=2e-6)
+
+
 def test_lm_paths_agree(docs):
     frame, _ = docs
     a, b = (sorted((r.doc_id, round(r.score, 6)) for r in op7_lattice_lm.lm_scores(op7_lattice_lm.split(frame), op7_lattice_lm.vocabulary(), "held_out", rounds=1, frequent=f).collect()) for f in (1e-9, 0.5))
@@ -596,6 +651,104 @@ def test_toxicity_finds_planted_words(spark):
     assert out[900].score == out[901].score == 0 and out[902].predicted == 1 and len(got) == len(rows)
 
 
+def tiny_network(seed=3):
+    rng = np.random.default_rng(seed)
+    net = gru.Network(["aa", "bb", "cc"], rng.standard_normal(3), rng.standard_normal(gru.BUCKETS).astype(np.float32), seed)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    return net
+
+
+def test_gradients_are_those_of_differences():
+    net = tiny_network()
+    rng = np.random.default_rng(4)
+    gates = rng.standard_normal((7, 6 * gru.HIDDEN))
+    index = np.array([[0, 1, 2, 3, 4], [5, 0, 6, 6, 6], [2, 2, 1, 5, 6]])  # 6: padding
+    y = np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        return float(np.mean(np.logaddexp(0, net.run(gates, index)[0]) - y * net.run(gates, index)[0]))
+
+    logit, saved = net.run(gates, index, keep=True)
+    dense, steps = net.gradients(index, 6, saved, (gru.sigmoid(logit) - y) / 3)
+    dgates = np.zeros_like(gates)
+    np.add.at(dgates, index.T.ravel(), steps.reshape(-1, steps.shape[-1]))
+    for name, own in [*((k, net.p[k]) for k in ("u", "a", "a0", "v", "o", "o0")), ("gates", gates)]:
+        grad = dgates if name == "gates" else np.asarray(dense[name])
+        for _ in range(12):
+            at = tuple(int(rng.integers(0, n)) for n in own.shape)
+            if name == "gates" and at[0] == 6 or name == "u" and not net.block[at]:
+                continue
+            kept = own[at]
+            own[at] = kept + 1e-3
+            up = loss()
+            own[at] = kept - 1e-3
+            down = loss()
+            own[at] = kept
+            assert (up - down) / 2e-3 == pytest.approx(grad[at], abs=3e-4)
+
+
+def naive_score(net, text):
+    """One window after the other, one step after the other."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    ws, h = WORD.findall(text), gru.HIDDEN
+    if not ws:
+        return 0.0
+    p, best, at = net.p, 0.0, 0
+    while True:
+        x = net.inputs(gru.plain(pa.array(ws[at : at + gru.WINDOW], pa.large_string())))[0] @ p["w"] + p["b"]
+        states = np.zeros((len(x), 2 * h))
+        for side, order in ((0, range(len(x))), (1, range(len(x) - 1, -1, -1))):
+            cols = [slice(g * 2 * h + side * h, g * 2 * h + side * h + h) for g in range(3)]
+            u = p["u"][side * h : side * h + h]
+            s = np.zeros(h)
+            for t in order:
+                z, r = sig(x[t, cols[0]] + s @ u[:, cols[0]]), sig(x[t, cols[1]] + s @ u[:, cols[1]])
+                c = np.tanh(x[t, cols[2]] + r * (s @ u[:, cols[2]]))
+                s = c + z * (s - c)
+                states[t, side * h : side * h + h] = s
+        e = np.tanh(states @ p["a"] + p["a0"]) @ p["v"]
+        w = np.exp(e - e.max())
+        best = max(best, float(sig((w / w.sum()) @ states @ p["o"] + p["o0"][0])))
+        if at + gru.WINDOW >= len(ws):
+            return best
+        at += gru.STRIDE
+
+
+def test_scores_are_those_of_single_windows():
+    net = tiny_network()
+    rng = np.random.default_rng(9)
+    for k in ("w", "u", "o"):
+        net.p[k] = net.p[k] * 3
+    texts = ["", "aa", "aa bb cc.", *(" ".join(rng.choice(["aa", "bb", "cc", "dd", "É", "(aa)"], n)) for n in (31, 32, 33, 44, 45, 200, 20)), " \n "]
+    assert gru.scores(net, pa.array(texts, pa.large_string())) == pytest.approx([naive_score(net, t) for t in texts], abs=1e-4)
+
+
+def test_network_learns_the_order_of_words():
+    """Both labels have the same words and grams; only which of two comes first differs, so fixed features tell nothing."""
+    rng = np.random.default_rng(5)
+    texts, y = [], []
+    for i in range(1200):
+        pair = ["alpha", "omega"] if i % 2 else ["omega", "alpha"]
+        texts.append(" ".join([*rng.choice(["mm", "nn"], rng.integers(0, 4)), *pair, *rng.choice(["mm", "nn"], rng.integers(0, 4))]))
+        y.append(i % 2)
+    net = gru.trained(texts[:900], np.array(y[:900]), rounds=12, dropped=0.0)
+    p = gru.scores(net, pa.array(texts[900:], pa.large_string()))
+    assert np.abs(net.word_odds).max() < 0.5 and np.mean((p > 0.5) == np.array(y[900:])) > 0.9
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = [(i, ("bad " if i % 3 == 0 else "good ") + f"word{i % 7} text here", "s", 5) for i in range(90)]
+    rows += [(0, "another bad row", "s", 1)] * 3 + [(500, None, None, None), (None, "bad thing", "t", 2), (501, "fine words " * 30_000 + "bad thing", "u", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, toxic int").withColumn("score", F.lit("old"))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), "x") for i in range(90)] + [(3, 0, "y"), (None, 1, "z"), (4, 9, "z")], "doc_id long, toxic int, text string")
+    got = op2_toxicity.toxicity(docs, labels).collect()
+    assert Counter((r.doc_id, r.text, r.source, r.toxic) for r in got) == Counter(rows)
+    one = {(r.doc_id, r.text): r for r in got}
+    assert one[500, None].score == 0 and one[None, "bad thing"].predicted == 1 and one[501, rows[-1][1]].score > 0.5
+    assert len({r.score for r in got if r.text == "another bad row"}) == 1
+    assert {r.score for r in op2_toxicity.toxicity(docs, labels.where("toxic = 0")).collect()} == {0.0}
+
+
 def test_preferences_by_hand(spark):
     turns = [(1, 0, "user", "Hi"), (1, 1, "assistant", "Hello"), (1, 2, "user", "More"), (1, 3, "assistant", "Good"), (2, 0, "user", "Hi"), (2, 1, "assistant", "Hello"), (2, 2, "user", None), (None, 0, "user", "x"), (2, None, "user", "x"), (2, 1, "assistant", "Hello")]
     rows = op6_preference.turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 
 from wayfleet.llm.common import coded, raw, words
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 12
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8, 8, 8, 8
 BUCKETS = 1 << 15
 CHUNK = 4096

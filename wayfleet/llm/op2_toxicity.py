@@ -6,9 +6,9 @@ decided by a hash of doc_id. Only rows that `train` holds true for may be in it.
 overlapping windows of every text in Arrow batches; a text's score is its largest window's.
 
 Defined results: texts without words, null ones included, get 0; labels other than 0 and 1, and null
-ones, are left out; several labels of one doc_id count as their largest; several rows of one doc_id
-may all be learnt from; without labelled rows of both kinds every score is 0; a null doc_id is held
-out where its empty text's crc says so; other columns are left behind; an empty table gives no rows.
+ones, are left out; several labels of one doc_id count as their largest; of several rows of one doc_id
+the least text is learnt from; without labelled rows of both kinds every score is 0; a null doc_id is held
+out where its empty text's crc says so; other columns are kept, but for score and predicted; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ def fitted(docs: DataFrame, labels: DataFrame, train: Column) -> gru.Network | N
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_LABEL * (2 - y)) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1])  # 3 * PER_LABEL rows of two numbers at most
     rows = only(docs, doc_id="long", text="string").where(F.length("text") <= MAX_CHARS).join(F.broadcast(picked), "doc_id")
-    held = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.select("doc_id", F.col("text"), "toxic").collect())
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # a row for each picked doc_id at most
+    held = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.collect())
     y = np.array([r[2] for r in held], dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return None

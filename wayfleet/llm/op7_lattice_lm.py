@@ -3,14 +3,17 @@
 A word, behind the vocabulary's word mark, may be spelled by many rows of pieces. A unigram model over
 pieces gives the word the sum over all of them, found by a forward recursion in log space. A text's
 probability is the product over its words and one end. Pieces start with weights from the vocabulary's
-own scores (1 / (1 + rank)) and are re-weighted on the training words by `rounds` of expectation
+own scores (1 / (1 + rank)), which stay as their prior (`SMOOTH` a piece on average), and are re-weighted on the
+training words by `rounds` of expectation
 maximisation: tasks give expected piece counts of their distinct words, Spark sums them, and only one
 number per piece reaches the driver. A character without a piece is spelled by its bytes.
 
 A training word with `OWN` occurrences or more has one more arc in its lattice, itself. A token takes such
 an arc or is spelled: the model holds the share of spelled tokens, and pieces share out only what is
-spelled. Where maximisation converges, the own arc has what spelling leaves of the word's share, so the
-word's probability is the larger of its share c / N and that of its spellings. Rarer words are always
+spelled. The arc's weight q is what maximisation converges to at given pieces, q = max(0, c / N - a) beside the
+probability a of being spelled; the word's probability is the log-space sum of both arcs. All words' arcs and the
+spelled share are scaled to add up to the words' share of the tokens, the rest being the end's: the model is a
+distribution (of at most one, as pieces also spell words that don't occur). Rarer words are always
 spelled, by which the model learns how much to keep for new words.
 
 Counts of distinct words come from all training documents. A word that makes up `FREQUENT` of all
@@ -21,7 +24,7 @@ The word unigram with add-one counts is reported beside it as base_score.
 
 Defined results: a null text is empty (the end alone); repeated rows count and are scored as often;
 a null doc_id counts as empty text in the split; other columns are left behind; without training
-documents pieces keep their first weights; an empty table gives no rows.
+documents pieces keep their first weights, all words are spelled and the end has weight 1/2; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -231,6 +234,7 @@ def word_counts(docs: DataFrame, train: str) -> DataFrame:
 def fitted(counts: DataFrame, tokens: int, path: str, rounds: int) -> tuple[np.ndarray, float]:
     """Log probabilities of the pieces after so many rounds on the training words, and how many of the tokens are spelled."""
     logp, spelled = lattice(path).first, max(1.0, tokens / 2)
+    prior = SMOOTH * len(logp) * np.exp(logp)
     for _ in range(rounds):
         held = counts.sparkSession.sparkContext.broadcast((logp, spelled))
 
@@ -244,7 +248,7 @@ def fitted(counts: DataFrame, tokens: int, path: str, rounds: int) -> tuple[np.n
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], now))], names=["piece", "n"])
 
         got = counts.where("n_train > 0").select("word", "n_train").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        n = np.full(len(logp), SMOOTH)
+        n = prior.copy()
         for r in got:
             if r["piece"] < 0:
                 spelled = max(1.0, r["n"])
@@ -254,20 +258,25 @@ def fitted(counts: DataFrame, tokens: int, path: str, rounds: int) -> tuple[np.n
     return logp, spelled
 
 
-def scored_words(counts: DataFrame, logp: np.ndarray, spelled: float, tokens: int, path: str) -> DataFrame:
-    """counts with lp, the natural logarithm of each word's probability among so many tokens."""
+def scored_words(counts: DataFrame, logp: np.ndarray, spelled: float, seen: int, tokens: int, path: str) -> DataFrame:
+    """counts with lp, the natural logarithm of each word's probability; seen: how many of the tokens are words."""
     held = counts.sparkSession.sparkContext.broadcast(logp)
-    share = math.log(spelled / max(tokens, spelled))
+    tokens = max(tokens, 1)
+    share = math.log(max(spelled, 1.0) / max(tokens, spelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path)
         for b in batches:
             lp = model.batch(b.column("word").to_pylist(), None, held.value)[0] + share
             n = b.column("n_train").to_numpy(zero_copy_only=False)
-            own = np.where(n >= OWN, np.log(np.maximum(n, 1) / max(tokens, 1)), -np.inf)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.maximum(lp, own))], names=["word", "n", "n_train", "lp"])
+            own = np.where(n >= OWN, np.maximum(0.0, n / tokens - np.exp(lp)), 0.0)
+            with np.errstate(divide="ignore"):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own), pa.array(np.logaddexp(np.log(own), lp))], names=["word", "n", "n_train", "own", "lp"])
 
-    return counts.mapInArrow(run, "word string, n long, n_train long, lp double")
+    rows = settle(counts.mapInArrow(run, "word string, n long, n_train long, own double, lp double"))
+    own = rows.agg(F.coalesce(F.sum("own"), F.lit(0.0))).first()[0]
+    words = seen / tokens if seen else 0.5
+    return rows.select("word", "n", "n_train", (F.col("lp") + math.log(words / (own + math.exp(share)))).alias("lp"))
 
 
 def lm_scores(docs: DataFrame, path: str, held_out: str, rounds: int = ROUNDS, frequent: float = FREQUENT) -> DataFrame:
@@ -279,13 +288,13 @@ def lm_scores(docs: DataFrame, path: str, held_out: str, rounds: int = ROUNDS, f
     every, seen, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if(F.col("n_train") > 0)).first()
     tokens, kinds = seen + train_docs, kinds + (train_docs > 0)
     logp, spelled = fitted(counts, seen, path, rounds)
-    table = settle(scored_words(counts, logp, spelled, tokens, path))
+    table = scored_words(counts, logp, spelled, seen, tokens, path)
     often = F.col("n") >= frequent * max(1, every)
     top = table.where(often).toArrow()
     sc = docs.sparkSession.sparkContext
     below = math.log10(tokens + kinds + 1)
     shared = sc.broadcast((dict(zip(top["word"].to_pylist(), range(len(top)), strict=True)), top["n_train"].to_numpy().astype(np.float64), top["lp"].to_numpy()))
-    end_base, end_known, end_score = math.log10(train_docs + 1) - below, int(train_docs > 0), math.log10(max(train_docs, 0.5) / max(tokens, 1))
+    end_base, end_known, end_score = math.log10(train_docs + 1) - below, int(train_docs > 0), math.log10(train_docs / tokens if train_docs else 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, n_train, lp = shared.value
