@@ -128,4 +128,4 @@ def test_empty_stages(spark, made):
 def test_whole_run(spark, made):
     out = corpus_pipeline.run(spark, made[0]).collect()
     ids = {r.doc_id for r in out}
-    assert 0 not in ids and 2000 in ids and 2001 not in ids and not ids & set(range(3000, 3008)) and {5000, 4000, 4001} & ids
+    assert 0 not in ids and 2000 in ids and 2003 not in ids and not ids & set(range(3000, 3008)) and {5000, 4000, 4001} & ids

@@ -42,6 +42,26 @@ def tallied(key: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarr
     return at, np.bincount(inverse, weight)
 
 
+#: Words of 64 bits of a sieve at most (32 MB); it has 16 bits a key where that is less.
+SIEVE = 1 << 22
+
+
+def sieve_of(known: DataFrame) -> np.ndarray:
+    """Bits that are set for known's keys (key long); only the sieve's words reach the driver, and a full one lets all through."""
+    size = 1 << max(4, min(SIEVE.bit_length() - 1, (known.count() // 4).bit_length()))
+    bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
+    got = known.groupBy(F.expr(f"cast(shiftrightunsigned(key, 6) & {size - 1} as int)").alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(size, dtype=np.uint64)
+    out[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def sifted(sieve: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys the sieve lets through: all known ones, and others by chance."""
+    key = key.view(np.uint64)
+    return (sieve[(key >> np.uint64(6) & np.uint64(len(sieve) - 1)).astype(np.int64)] >> (key & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir)."""
     sc = df.sparkSession.sparkContext

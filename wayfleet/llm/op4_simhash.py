@@ -310,14 +310,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     keys = ["fp", "k1", "k2", "n"]
     nodes = settle(rows.where("doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("node")))
     first = rows.join(nodes, keys).where("doc_id = node").dropDuplicates(["node", *keys])
-    met = anchored(first.select("node", "fp").distinct())
+    held = settle(alike(docs, settle(anchored(first.select("node", "fp").distinct())), shingle, similarity))
     at = first.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     low = F.min(F.struct("node", "n", "pos")).alias("low")
     at = settle(at.join(at.groupBy("token").agg(low, F.count("*").alias("c")).where("c > 1"), "token"))
     near = at.where("node <> low.node").where(reached(F.col("n"), F.col("low.n"), F.col("pos"), F.col("low.pos"), similarity))
-    near = near.select(F.col("low.node").alias("a"), F.col("node").alias("b")).unionByName(met)
-    pairs = settle(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    held = settle(alike(docs, pairs, shingle, similarity))
+    near = near.select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct()
+    label = components(held)
+    for end in ("a", "b"):
+        near = near.join(label.toDF(end, f"_{end}"), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+    pairs = settle(near.where("_a <> _b").select("a", "b"))
+    held = settle(held.unionByName(alike(docs, pairs, shingle, similarity)))
     more = tiles(at.where("c > 2").drop("c"), components(held), similarity)
     more = settle(more.join(pairs, ["a", "b"], "left_anti"))
     found = components(held.unionByName(alike(docs, more, shingle, similarity)))

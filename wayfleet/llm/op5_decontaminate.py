@@ -3,8 +3,8 @@
 Words lose outer punctuation and case; numbers, names and units become typed placeholders. A name is a
 capitalised word that doesn't open a sentence, a unit a known unit word behind a number. Windows of
 `size` template words (an item with fewer: all its words) are hashed and joined on the hash; a window with fewer than
-`ANCHORS` plain words says too little without its values and is hashed with them. A sieve of at most `SIEVE` words of
-64 bits, built by an aggregate, lets tasks send only document windows that the benchmark may have, in one pass. An
+`ANCHORS` plain words says too little without its values and is hashed with them. A sieve of bounded size, built by an
+aggregate, lets tasks send only document windows that the benchmark may have, in one pass. An
 item's repeated windows are one row that stands for all its places, so a window meets an item once.
 
 Windows of one document and item on one alignment fill the item's slots. Each value of the item stands for the value
@@ -34,11 +34,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfleet.llm.common import coded, mix, only, settle, slices, texts, words
+from wayfleet.llm.common import coded, mix, only, settle, sieve_of, sifted, slices, texts, words
 
 SIZE, COVERAGE, ANCHORS = 8, 0.5, 3
-#: Words of the sieve at most (32 MB); it has 16 bits a benchmark window where that is less.
-SIEVE = 1 << 22
 # Unit words that may follow a number.
 UNITS = {"mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "h", "min", "ms", "hz", "w", "kw", "kwh", "v", "a", "n", "j", "pa", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "meter", "meters", "metre", "metres", "litre", "litres", "liter", "liters", "gram", "grams", "kilogram", "kilograms", "pound", "pounds", "ounce", "ounces", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degree", "degrees", "%", "°c", "°f", "$", "€", "km/h", "mph", "m/s"}
 # Number words.
@@ -108,7 +106,7 @@ def windowed(a: pa.Array, sizes: list[int], sieve: np.ndarray | None, reading: s
         key = mix(key)
         at = row_of[:n] == row_of[size - 1 :]
         if sieve is not None:
-            at &= (sieve[(key >> np.uint64(6) & np.uint64(len(sieve) - 1)).astype(np.int64)] >> (key & np.uint64(63)) & np.uint64(1)).astype(bool)
+            at &= sifted(sieve, key)
         at = np.flatnonzero(at)
         values = [forms[code[p : p + size][slot[p : p + size]]].tolist() for p in at]
         yield row_of[at], at - starts[row_of[at]], key[at].view(np.int64), values
@@ -136,16 +134,6 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
     return rows.select("item_id", "item_words", "size", "key", "first.item_at", "first.item_slots", "places")
 
 
-def sieve_of(known: DataFrame) -> np.ndarray:
-    """Bits that are set for the keys' places; only its words reach the driver, `SIEVE` at most."""
-    size = 1 << max(4, min(SIEVE.bit_length() - 1, (known.count() // 4).bit_length()))
-    bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
-    got = known.groupBy(F.expr(f"cast(shiftrightunsigned(key, 6) & {size - 1} as int)").alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(size, dtype=np.uint64)
-    out[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return out
-
-
 def matches(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, at, slots) of document windows beside the item windows of the same template."""
     known = settle(item_windows(items, size))

@@ -10,7 +10,8 @@ lines although later ones overlap it. A merged stretch goes if it is made of who
 `min_words` words or more: wrapped pieces of common phrases stay, and neighbouring repeats add up.
 
 One row per document and distinct window is reduced to the smallest doc_id of each window (map-side
-minimum), joined back for the later ones, and gathered per document. The text meets its own list only.
+minimum), joined back for the later ones (a sieve of bounded size holds back most others), and gathered per document.
+The text meets its own list only.
 
 Defined results: a null text stays null, an empty one empty; fewer than three lines are left alone;
 rows with equal doc_id count as one document; rows with null doc_id only lose repeats inside
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfleet.llm.common import mix, only, raw, settle, slices, texts
+from wayfleet.llm.common import mix, only, raw, settle, sieve_of, sifted, slices, texts
 
 WRAP, REACH, MIN_WORDS = 16, 2, 10
 _SPACE = np.zeros(256, dtype=bool)
@@ -38,14 +39,15 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 def weights(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A hash of each word (where it starts, and its bytes) by its first eight bytes and its size."""
-    own = np.append(data, np.zeros(8, dtype=np.uint8))[at[:, None] + np.arange(8)]
-    own[np.arange(8) >= size[:, None]] = 0
-    return mix(own.view(np.uint64).ravel() + mix(size.astype(np.uint64)))
+    padded = np.append(data, np.zeros(8, dtype=np.uint8))
+    own = np.lib.stride_tricks.sliding_window_view(padded, 8)[at].view("<u8").ravel()
+    masks = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+    return mix((own & masks[np.minimum(size, 8)]) + mix(size.astype(np.uint64)))
 
 
 def chosen(weight: np.ndarray, nth: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which words start a new line: in long sentences (size words, this the nth) the least of their neighbourhood."""
-    out = (size > WRAP) & (nth >= REACH) & (nth < size - REACH)
+    """Which words of long sentences (of so many words, this the nth) start a new line: the least of their neighbourhood."""
+    out = (nth >= REACH) & (nth < size - REACH)
     for d in range(1, REACH + 1):
         out[d:] &= weight[d:] < weight[:-d]
         out[:-d] &= weight[:-d] <= weight[d:]
@@ -75,7 +77,8 @@ def lines(a: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         size = np.repeat(np.diff(first), np.diff(first))
         nth = np.arange(len(at)) - np.repeat(first[:-1], np.diff(first))
         length = np.flatnonzero(end & ~space) + 1 - at
-        cut[at[chosen(weights(data, at, length), nth, size)]] = True
+        long = size > WRAP
+        cut[at[long][chosen(weights(data, at[long], length[long]), nth[long], size[long])]] = True
     begin = np.flatnonzero(cut[:-1])
     ends = np.append(begin, n).astype(np.int64)
     count = np.diff(np.searchsorted(at, ends))
@@ -137,15 +140,20 @@ def removed(count: np.ndarray, hard: np.ndarray, key: np.ndarray, first: np.ndar
 def line_dedup(docs: DataFrame, size: int = 3, min_words: int = MIN_WORDS) -> DataFrame:
     """docs (doc_id, text, ...) with the text's repeated lines removed, and n_lines and n_removed (long)."""
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            found = windows(texts(b), size)[-1]
-            keys = [np.unique(k) for k, _, _ in found]
-            doc = b.column("doc_id").take(pa.array(np.repeat(np.arange(b.num_rows), [len(k) for k in keys])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), doc], names=["key", "doc_id"])
+    def listed(sieve=None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                keys = [np.unique(k) for k, _, _ in windows(texts(b), size)[-1]]
+                key, row = np.concatenate(keys), np.repeat(np.arange(b.num_rows), [len(k) for k in keys])
+                if sieve is not None:
+                    may = sifted(sieve.value, key)
+                    key, row = key[may], row[may]
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("doc_id").take(pa.array(row))], names=["key", "doc_id"])
+
+        return only(docs, doc_id="long", text="string").where("doc_id is not null").mapInArrow(run, "key long, doc_id long")
 
-    pairs = only(docs, doc_id="long", text="string").where("doc_id is not null").mapInArrow(listed, "key long, doc_id long")
-    shared = settle(pairs.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first"))
+    shared = settle(listed().groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first"))
+    pairs = listed(docs.sparkSession.sparkContext.broadcast(sieve_of(shared)))
     later = pairs.join(shared, "key").where(F.col("doc_id") > F.col("first")).groupBy("doc_id").agg(F.collect_set("key").alias("_later"))
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
