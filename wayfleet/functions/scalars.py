@@ -96,34 +96,55 @@ def firmware_newer(a: Column | str, b: Column | str) -> Column:
 
 
 def normalize_model(model: Column | str) -> Column:
-    """S, 3, X or Y from names and codes; others trimmed."""
+    """S, 3, X or Y from names that start with the model and from two code names; others trimmed."""
     t = F.trim(_c(model))
-    low = F.regexp_replace(F.lower(t), r"[\s_-]", "")
-    out = F
-    for letter, names in (("S", ["models", "s", "lychee"]), ("3", ["model3", "3"]), ("X", ["modelx", "x", "tamarind"]), ("Y", ["modely", "y"])):
-        hit = low.isin(names) | low.rlike(f"^model{letter.lower()}\\d*$")
-        out = out.when(hit, letter)
-    return out.otherwise(t)
+    compact = F.replace(F.lower(t), F.lit(" "), F.lit(""))
+    out = F.when(compact.startswith("models") | (compact == "lychee"), "S").when(compact.startswith("model3"), "3")
+    return out.when(compact.startswith("modelx") | (compact == "tamarind"), "X").when(compact.startswith("modely"), "Y").otherwise(t)
 
 
 def normalize_trim(x: Column | str) -> Column:
     return F.upper(F.trim(_c(x)))
 
 
-def marketing_name(model: Column | str, trim: Column | str, table: dict[tuple[str, str], str]) -> Column:
-    """Looked up by model and trim in a small table; null if it has no entry."""
-    known = [x for (m, t), name in table.items() for x in (F.lit(f"{m}|{t}"), F.lit(name))]
-    return F.create_map(*known)[F.concat_ws("|", _c(model), _c(trim))] if known else F.lit(None).cast("string")
+# Marketing names by model, trim and, where there is one, the raw model code.
+MARKETING = [
+    ("S", "100D", "lychee", "LR"),
+    ("S", "P100D", "lychee", "Plaid"),
+    ("S", "100D", "models2", "LR+"),
+    ("3", "P74D", None, "LR AWD Performance"),
+    ("3", "74D", None, "LR AWD"),
+    ("3", "74", None, "LR"),
+    ("3", "62", None, "MR"),
+    ("3", "50", None, "SR+"),
+    ("X", "100D", "tamarind", "LR"),
+    ("X", "P100D", "tamarind", "Plaid"),
+    ("Y", "P74D", None, "LR AWD Performance"),
+    ("Y", "74D", None, "LR AWD"),
+    ("Y", "74", None, "LR"),
+    ("Y", "50", None, "SR"),
+]
+
+
+def marketing_name(model: Column | str, trim: Column | str, raw: Column | str) -> Column:
+    """The marketing name of a model (in any form), trim and raw model code; null if there is none."""
+    key = F.concat_ws("|", normalize_model(model), normalize_trim(trim))
+    any_code = F.create_map(*[F.lit(x) for m, t, code, name in MARKETING if code is None for x in (f"{m}|{t}", name)])
+    by_code = F.create_map(*[F.lit(x) for m, t, code, name in MARKETING if code for x in (f"{m}|{t}|{code}", name)])
+    return F.coalesce(by_code[F.concat_ws("|", key, F.lower(_c(raw)))], any_code[key])
 
 
 def normalize_efficiency(x: Column | str) -> Column:
-    """Wh/km: values under 1 are kWh/km; negative or non-finite ones are null."""
+    """Wh/km: values under 1 are kWh/km; a negative or non-finite one stops the job."""
     v = _c(x)
-    return F.when(F.isnan(v) | (v < 0) | (F.abs(v) == float("inf")), None).when((v > 0) & (v < 1), v * 1000).otherwise(v)
+    bad = F.isnan(v) | (v < 0) | (F.abs(v) == float("inf"))
+    return F.when(bad, F.raise_error(F.lit("an efficiency is negative or not finite"))).when((v > 0) & (v < 1), v * 1000).otherwise(v)
 
 
 def vehicle_key(eid: Column | str, vin: Column | str) -> Column:
-    return F.when(_c(eid) > 0, F.concat(F.lit("eid:"), _c(eid).cast("string"))).when(nonblank(vin).isNotNull(), F.concat(F.lit("vin:"), nonblank(vin)))
+    """eid:n for a positive number, else vin:x; a vehicle with neither stops the job."""
+    by_vin = F.when(nonblank(vin).isNotNull(), F.concat(F.lit("vin:"), nonblank(vin)))
+    return F.when(_c(eid) > 0, F.concat(F.lit("eid:"), _c(eid).cast("string"))).when(by_vin.isNotNull(), by_vin).otherwise(F.raise_error(F.lit("a vehicle has neither a number nor a VIN")))
 
 
 # Units, time, numbers ---------------------------------------------------------------------------
@@ -212,12 +233,23 @@ def chain_digest(parent: Column, pack: Column) -> Column:
     return F.sha2(F.concat(F.lit("delta-v2/"), parent, F.lit(":"), pack), 256)
 
 
+def free_session(free_network: Column, fast_type: Column) -> Column:
+    """A car that charges free on the maker's network, at one of its chargers."""
+    return F.coalesce(free_network & fast_type.startswith("Tesla"), F.lit(False))
+
+
+def _finite(x: Column) -> Column:
+    """The value, or null where it isn't finite."""
+    return F.when(~(F.isnan(x) | (F.abs(x) == float("inf"))), x)
+
+
 def charge_cost(billing: Column, cost_per_unit: Column, session_fee: Column, added: Column, used: Column, minutes: Column, free: Column) -> Column:
-    """0 for a free session on the maker's network; per kWh of the larger energy, or per minute; null if it can't be told."""
-    fee = F.coalesce(session_fee, F.lit(0.0))
-    energy = F.greatest(added, used)
-    by_kwh = F.when((energy >= 0) & cost_per_unit.isNotNull(), cost_per_unit * energy + fee)
-    by_minute = F.when(minutes.isNotNull() & cost_per_unit.isNotNull(), cost_per_unit * minutes + fee)
+    """0 for a free session; per kWh of the larger energy (a fee alone counts), or per whole minute; null if it can't be told."""
+    rate, fee = _finite(cost_per_unit), F.coalesce(_finite(session_fee), F.lit(0.0))
+    energy = F.greatest(*[F.when(e >= 0, e) for e in (_finite(added), _finite(used))])
+    variable = F.coalesce(rate * energy, F.lit(0.0))
+    by_kwh = F.when(energy.isNotNull() & (cost_per_unit.isNotNull() | session_fee.isNotNull()), _finite(variable) + fee)
+    by_minute = _finite(F.when(minutes >= 0, minutes * rate + fee))
     return F.when(free, F.lit(0.0)).when(billing == "per_kwh", by_kwh).when(billing == "per_minute", by_minute)
 
 

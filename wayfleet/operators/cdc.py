@@ -5,11 +5,15 @@ A version is (entity, id, car_id, digest[, payload]); a change feed is (entity,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfleet.functions.scalars import chain_digest
+from wayfleet.operators.folds import settled
 from wayfleet.operators.reconcile import ENTITY_RANK, rank_of, stage_of
 
 KEY = ["entity", "id"]
@@ -70,30 +74,48 @@ def compact(deltas: DataFrame, after_seq: int) -> DataFrame:
     return deltas.where(F.col("seq") <= after_seq).unionByName(one.select(*deltas.columns))
 
 
+def laid_out(changes: DataFrame, by: str, order: str, size: str) -> DataFrame:
+    """changes in ranges of (by, order), with _n and _b: rows and bytes of the same `by` ahead of each.
+
+    Partitions are counted first; the rows ahead of a partition go to the tasks only for the `by` that it goes on
+    with, one number a partition.
+    """
+    laid = settled(changes.repartitionByRange(by, order).sortWithinPartitions(by, order).withColumn("_part", F.spark_partition_id()))
+    totals = laid.groupBy(by, "_part").agg(F.count("*").alias("n"), F.sum(size).alias("b"))
+    w = W.partitionBy(by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    ahead = totals.select(by, "_part", F.sum("n").over(w).alias("n"), F.sum("b").over(w).alias("b")).where("n > 0")
+    start = {(r[by], r["_part"]): (r["n"], int(r["b"])) for r in ahead.collect()}  # a row for each partition at most
+    names = laid.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, b = None, 0, 0
+        for batch in batches:
+            rows, total = [], []
+            for key, part, own in zip(batch.column(by).to_pylist(), batch.column("_part").to_pylist(), batch.column(size).to_pylist(), strict=True):
+                if (key,) != at:
+                    at, (n, b) = (key,), start.get((key, part), (0, 0))
+                rows.append(n)
+                total.append(b)
+                n, b = n + 1, b + own
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.int64()), pa.array(total, pa.int64())], names=[*names, "_n", "_b"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema.fields)
+    return laid.mapInArrow(run, f"{fields}, _n long, _b long").drop("_part")
+
+
 def batch_changes(changes: DataFrame, max_rows: int = 50_000, max_bytes: int = 8 << 20, by: str = "entity", order: str = "id", size: str = "bytes") -> DataFrame:
-    """changes with batch: numbers of bounded batches in key order, per `by`.
+    """changes with batch: numbers from 0 of bounded batches in key order, per `by`; a row over the byte cap stops the job.
 
-    Ranges of the key are sized by a histogram of equal-row chunks of a sixteenth of the cap, and chunks are
-    joined greedily as long as rows and bytes fit; a row over the byte cap stops the job. Batches are full
-    to within a chunk.
+    A batch ends where the rows ahead reach a multiple of max_rows or the bytes ahead one of half of max_bytes, and a
+    row over that half is a batch of its own. So no batch breaks a cap, whatever the rows, and each row's batch follows
+    from sums that tasks make side by side; batches are half full or more unless rows end or large rows come between.
     """
+    half = max(1, max_bytes // 2)
     changes = changes.where(F.assert_true(F.col(size) <= max_bytes, "a row is over the byte cap").isNull())
-    part = max(1, max_rows // 16)
-    w = W.partitionBy(by).orderBy(order)
-    rows = changes.withColumn("_at", F.row_number().over(w) - 1)
-    running = F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("_chunk", F.greatest(F.floor(F.col("_at") / part), F.floor((running - 1) * 16 / max_bytes)))
-    chunks = rows.groupBy(by, "_chunk").agg(F.count("*").alias("n"), F.sum(size).alias("b"))
-    walk = chunks.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_chunk", "n", "b"))).alias("all"))
-    start = F.struct(F.lit(0).cast("bigint").alias("batch"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("b"), F.array().cast("array<struct<_chunk:bigint,batch:bigint>>").alias("out"))
-
-    def step(s, c):
-        fits = (s["n"] + c["n"] <= max_rows) & (s["b"] + c["b"] <= max_bytes)
-        batch = F.when(fits, s["batch"]).otherwise(s["batch"] + 1)
-        return F.struct(batch.alias("batch"), F.when(fits, s["n"] + c["n"]).otherwise(c["n"]).alias("n"), F.when(fits, s["b"] + c["b"]).otherwise(c["b"]).cast("bigint").alias("b"), F.concat(s["out"], F.array(F.struct(c["_chunk"].cast("bigint").alias("_chunk"), batch.alias("batch")))).alias("out"))
-
-    numbers = walk.select(by, F.explode(F.aggregate("all", start, step)["out"]).alias("r")).select(by, "r._chunk", "r.batch")
-    return rows.join(numbers, [by, "_chunk"]).drop("_at", "_chunk")
+    rows = laid_out(changes, by, order, size).select("*", F.expr(f"_n div {max_rows}").alias("_r"), F.expr(f"_b div {half}").alias("_h"), (F.col(size) > half).alias("_large")).drop("_n", "_b")
+    cells = ["_r", "_h", "_large"]
+    numbers = rows.select(by, *cells).distinct().withColumn("batch", (F.row_number().over(W.partitionBy(by).orderBy(*cells)) - 1).cast("bigint"))  # a row for each batch
+    return rows.join(numbers, [by, *cells]).drop(*cells)
 
 
 def fragment_with_parents(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:

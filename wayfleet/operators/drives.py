@@ -53,7 +53,7 @@ def finalize_charges(rows: DataFrame, key: str = "charge_id", time: str = "date_
     )
     added = F.when(F.col("_last") > 0, F.col("_last")).otherwise(F.col("_most")) - F.col("_first")
     minutes = F.floor((F.col("end_ms") - F.col("start_ms")) / 60000).cast("bigint")
-    return out.withColumns({"energy_added": F.when(added >= 0, scaled_round(added, 2)), "duration_min": minutes}).drop("_first", "_last", "_most")
+    return out.withColumns({"energy_added": F.when(added >= 0, added), "duration_min": minutes}).drop("_first", "_last", "_most")
 
 
 def charge_facts(rows: DataFrame, key: str = "charge_id", time: str = "date_ms") -> DataFrame:
@@ -67,35 +67,51 @@ def charge_facts(rows: DataFrame, key: str = "charge_id", time: str = "date_ms")
     return out.withColumn("energy_added", F.when(F.col("_energy") >= 0, F.col("_energy"))).drop("_energy")
 
 
+def usable(power: Column) -> Column:
+    """A power that is finite and not negative, else null."""
+    return F.when((power >= 0) & (power.cast("double") < float("inf")), power)
+
+
 def energy_used(rows: DataFrame, key: str = "charge_id", time: str = "date_ms") -> DataFrame:
-    """(key, energy_used, n_intervals): the last valid power before each row with a valid one, times the time since the row before."""
+    """(key, energy_used, n_intervals): the last usable power before each row with a usable one, times the time since the row before."""
     w = W.partitionBy(key).orderBy(time, "id")
-    before = F.last("power", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    part = F.when(F.col("power").isNotNull() & (F.col("_dt") > 0), before * F.col("_dt"))
+    rows = rows.withColumn("_power", usable(F.col("power")))
+    before = F.last("_power", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    part = F.when(F.col("_power").isNotNull() & (F.col("_dt") > 0), before * F.col("_dt"))
     out = rows.withColumn("_dt", F.col(time) - F.lag(time).over(w)).withColumn("_part", part)
     return out.groupBy(key).agg(scaled_round(F.sum("_part") / 3.6e6, 4).alias("energy_used"), F.count("_part").alias("n_intervals"))
 
 
 def determine_phases(rows: DataFrame, key: str = "charge_id") -> DataFrame:
-    """(key, phases): from over 15 samples, the mean of P / (I V) held against the mean of reported phases: equal within 0.3, or the reported number over the root of 3 within a tenth."""
-    usable = (F.col("power").isNotNull()) & (F.col("current") * F.col("voltage") > 0) & (F.col("phases") > 0)
-    ratio = F.when(usable, F.col("power") * 1000 / (F.col("current") * F.col("voltage")))
-    out = rows.groupBy(key).agg(F.count(ratio).alias("n"), F.avg(ratio).alias("p"), F.round(F.avg(F.when(usable, F.col("phases")))).alias("r"))
-    near_root = (F.col("p") > 0) & (F.abs(F.col("r") / F.sqrt(F.lit(3.0)) - F.col("p")) / F.col("p") <= 0.1)
-    phases = F.when(F.col("n") <= 15, None).when(F.abs(F.col("r") - F.col("p")) <= 0.3, F.col("r")).when(near_root, F.sqrt(F.lit(3.0)))
-    return out.select(key, phases.cast("double").alias("phases_used"))
+    """(key, n, phases_used): from over 15 samples, the mean of positive P / (I V) held against the rounded mean of reported phases.
+
+    Equal when rounded: that number; three reported and a mean within a tenth of the root of 3: the root; else the mean
+    rounded if it lies within 0.3 of that; else null.
+    """
+    ratio = F.try_divide(F.col("power") * F.lit(1000.0), F.col("current") * F.col("voltage"))
+    ratio = F.when(ratio > 0, ratio)
+    out = rows.groupBy(key).agg(F.count("*").alias("n"), F.avg(ratio).alias("_p"), F.round(F.avg("phases")).alias("_r"))
+    p, r, root = F.col("_p"), F.col("_r"), F.sqrt(F.lit(3.0))
+    phases = F.when((F.col("n") <= 15) | p.isNull(), None).when(r == F.round(p), r).when((r == 3) & (F.abs(p / root - 1) <= 0.1), root).when(F.abs(F.round(p) - p) <= 0.3, F.round(p))
+    return out.select(key, "n", phases.cast("double").alias("phases_used"))
 
 
 def energy_used_phase_aware(rows: DataFrame, key: str = "charge_id", time: str = "date_ms") -> DataFrame:
-    """(key, energy_used): the fallback where no interval was integrated. A row's power holds until the next row: as it is where phases are null, else I V phases / 1000."""
+    """(key, energy_used): the fallback where no interval was integrated. A row's power holds until the next row: as it is where phases are null, else I V times the determined phases / 1000; a row whose phases can't be determined is passed over."""
     w = W.partitionBy(key).orderBy(time, "id")
-    rows = rows.join(determine_phases(rows, key), key)
+    rows = rows.join(determine_phases(rows, key).select(key, "phases_used"), key)
     dt = F.lead(time).over(w) - F.col(time)
-    used = F.when(F.col("phases").isNull(), F.col("power").cast("double")).otherwise(F.col("current") * F.col("voltage") * F.coalesce("phases_used", F.col("phases")) / 1000)
-    out = rows.withColumn("_part", F.when(dt > 0, used * dt))
+    power = F.when(F.col("phases").isNull(), F.col("power").cast("double")).otherwise(F.col("current") * F.col("voltage") * F.col("phases_used") / 1000)
+    out = rows.withColumn("_part", F.when(dt > 0, usable(power) * dt))
     return out.groupBy(key).agg(scaled_round(F.sum("_part") / 3.6e6, 4).alias("energy_used"))
 
 
+def charge_energy_used(rows: DataFrame, key: str = "charge_id", time: str = "date_ms") -> DataFrame:
+    """(key, energy_used): integrated, or by phases where no interval was."""
+    first = energy_used(rows, key, time).select(key, F.col("energy_used").alias("_first"))
+    return first.join(energy_used_phase_aware(rows, key, time), key).select(key, F.coalesce("_first", "energy_used").alias("energy_used"))
+
+
 def backfill_interval(parents: DataFrame, facts: DataFrame, key: str = "charge_id") -> DataFrame:
     """parents (id, start_ms, end_ms) with the interval widened to hold all samples; an open end stays open."""
     out = parents.join(facts.select(F.col(key).alias("id"), "first_ms", "last_ms"), "id", "left")

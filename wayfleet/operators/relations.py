@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from wayfleet.functions.scalars import clean_text, first_nonblank, marketing_name, nonblank, normalize_efficiency, normalize_model, normalize_trim
 
+# The closed domain of states, and the model of a car that names none.
 STATES = ["online", "offline", "asleep"]
+UNKNOWN_MODEL = "Unknown Tesla"
 
 
 def with_settings(cars: DataFrame, settings: DataFrame) -> DataFrame:
@@ -93,12 +95,13 @@ def require_car(rows: DataFrame, car_id: int) -> DataFrame:
     return rows.where(F.assert_true((F.col("id") > 0) & (F.col("car_id") == car_id), "a row has another car or no positive id").isNull())
 
 
-def project_car(cars: DataFrame, marketing: dict[tuple[str, str], str] | None = None, firmware: DataFrame | None = None) -> DataFrame:
-    """Names, model, trim and efficiency in canonical form, with the latest firmware of (car_id, version)."""
+def project_car(cars: DataFrame, firmware: DataFrame | None = None) -> DataFrame:
+    """Names, model, trim and efficiency in canonical form, a marketing name (its own or a derived one), and the latest firmware of (car_id, version)."""
     model, trim = normalize_model("model"), normalize_trim("trim")
+    own = nonblank("marketing_name") if "marketing_name" in cars.columns else F.lit(None).cast("string")
     out = cars.select(
-        "id", F.coalesce(nonblank("name"), F.concat(F.lit("Car "), F.col("id").cast("string"))).alias("name"), F.coalesce(F.when(model != "", model), F.lit("S")).alias("model"),
-        F.when(trim != "", trim).alias("trim"), normalize_efficiency("efficiency").alias("efficiency_wh_per_km"), marketing_name(model, trim, marketing or {}).alias("marketing_name"),
+        "id", F.coalesce(nonblank("name"), F.concat(F.lit("Car "), F.col("id").cast("string"))).alias("name"), F.coalesce(F.when(model != "", model), F.lit(UNKNOWN_MODEL)).alias("model"),
+        trim.alias("trim"), normalize_efficiency("efficiency").alias("efficiency_wh_per_km"), F.coalesce(own, marketing_name("model", "trim", nonblank("model"))).alias("marketing_name"),
     )
     if firmware is not None:
         out = out.join(firmware.select(F.col("car_id").alias("id"), F.col("version").alias("firmware_version")), "id", "left")
@@ -161,7 +164,7 @@ def select_open_positions(positions: DataFrame, drives: DataFrame) -> DataFrame:
 def car_from_snapshot(snapshots: DataFrame, name: str = "Vehicle") -> DataFrame:
     """One row per car from its latest snapshot (car_id, at_ms, observation_id, display_name, vin, car_version, car_type, trim)."""
     latest = snapshots.groupBy("car_id").agg(F.max_by(F.struct(*[c for c in snapshots.columns if c != "car_id"]), F.struct("at_ms", "observation_id")).alias("s"))
-    return latest.select("car_id", F.coalesce(clean_text("s.display_name"), F.lit(name)).alias("name"), clean_text("s.vin").alias("vin"), clean_text("s.car_version").alias("firmware_version"), normalize_model("s.car_type").alias("model"), normalize_trim("s.trim").alias("trim"))
+    return latest.select("car_id", F.coalesce(clean_text("s.display_name"), F.lit(name)).alias("name"), clean_text("s.vin").alias("vin"), clean_text("s.car_version").alias("firmware_version"), normalize_model("s.car_type").alias("model"), normalize_trim("s.trim").alias("trim"), marketing_name("s.car_type", "s.trim", "s.car_type").alias("marketing_name"))
 
 
 def physical_projection(rows: DataFrame, decimals: dict[str, tuple[int, int]] | None = None) -> DataFrame:

@@ -1,16 +1,17 @@
 """Drive and charge sessions of observations, thinning and monotonic clocks.
 
-A session is a run of rows between boundaries that windows find; only the two true folds (thinning and
-clocks) walk a sorted array, one per car and stretch, with Spark's own aggregate function.
+A session is a run of rows between boundaries that windows find. The two true folds (thinning and clocks) walk sorted
+rows, in stretches that start where a window shows that the result can't depend on what came before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayfleet.functions.scalars import is_terminal_charge
+from wayfleet.functions.scalars import is_terminal_charge, valid_coordinates
+from wayfleet.operators.folds import walked
 from wayfleet.operators.intervals import before, by_car, so_far
 
 OFFLINE_MS, THIN_MS = 15 * 60_000, 5 * 60_000
@@ -25,21 +26,26 @@ def _numbered(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def drive_sessions(obs: DataFrame, offline_ms: int = OFFLINE_MS) -> DataFrame:
-    """obs (phase, odometer if there is one) -> rows of drives with session and endpoint.
+    """obs (phase; odometer and drive_data if there are such) -> rows of drives with session and endpoint.
 
     A drive opens on a driving row. It closes on asleep or updating, on a row offline_ms or later behind the
-    last driving row while offline, and on a parked (online or charging) row; one with an odometer is kept as
-    endpoint. Earlier offline rows and unknown phases are passed over.
+    last driving row while offline, and on a parked (online or charging) row that carries drive data (drive_data; all
+    do without the column); one with an odometer is kept as endpoint. Earlier offline rows, rows without drive data and
+    unknown phases are passed over.
     """
     last = F.last(F.when(F.col("phase") == "driving", F.col("at_ms")), ignorenulls=True).over(before())
-    kind = F.when(F.col("phase") == "driving", "in").when(F.col("phase").isin("asleep", "updating", "online", "charging"), "close").when((F.col("phase") == "offline") & (F.col("at_ms") - last >= offline_ms), "close")
+    parked = F.col("phase").isin("online", "charging") & _drive_data(obs)
+    kind = F.when(F.col("phase") == "driving", "in").when(F.col("phase").isin("asleep", "updating") | parked, "close").when((F.col("phase") == "offline") & (F.col("at_ms") - last >= offline_ms), "close")
     rows = _numbered(obs.withColumn("_kind", kind), "_kind").withColumn("endpoint", F.col("_kind") == "close")
-    parked = F.col("phase").isin("online", "charging")
     if "odometer" in obs.columns:
         parked = parked & F.col("odometer").isNotNull()
     return rows.where(~F.col("endpoint") | parked).drop("_kind")
 
 
+def _drive_data(obs: DataFrame) -> Column:
+    return F.coalesce(F.col("drive_data"), F.lit(False)) if "drive_data" in obs.columns else F.lit(True)
+
+
 def charge_sessions(obs: DataFrame) -> DataFrame:
     """obs (phase, charging_state) -> rows of charges with session and endpoint.
 
@@ -59,39 +65,50 @@ def charge_sessions(obs: DataFrame) -> DataFrame:
 
 
 def stationary_positions(obs: DataFrame, thin_ms: int = THIN_MS) -> DataFrame:
-    """(car_id, phase, at_ms): parked rows on entering a phase, and then whenever thin_ms have gone by since the last kept one; none at or before the last driving row.
+    """(car_id, observation_id, phase, at_ms): parked rows that enter a phase, and others thin_ms or more after the last kept one.
 
-    A stretch of rows in one phase is walked in order; rows of another stretch never meet it.
+    Parked are online and charging rows with valid coordinates (all, without such columns) that are newer than the
+    car's last row with drive data. The phase before is `effective` where there is such a column.
     """
-    last = F.last(F.when(F.col("phase") == "driving", F.col("at_ms")), ignorenulls=True).over(so_far())
-    rows = obs.withColumns({"_last": last, "_before": F.lag("phase").over(by_car())})
-    rows = rows.withColumn("_run", F.sum((~F.col("_before").eqNullSafe(F.col("phase"))).cast("bigint")).over(so_far()))
-    parked = rows.where(F.col("phase").isin("online", "charging", "updating") & (F.col("_last").isNull() | (F.col("at_ms") > F.col("_last"))))
-    runs = parked.groupBy("car_id", "phase", "_run").agg(F.array_sort(F.collect_list("at_ms")).alias("times"))
-    kept = F.aggregate("times", F.array().cast("array<bigint>"), lambda held, t: F.when((F.size(held) == 0) | (t - F.element_at(held, -1) >= thin_ms), F.concat(held, F.array(t))).otherwise(held))
-    return runs.select("car_id", "phase", F.explode(kept).alias("at_ms"))
+    prior = F.last(F.when(_drive_data(obs), F.col("at_ms")), ignorenulls=True).over(before())
+    entered = ~F.lag("effective" if "effective" in obs.columns else "phase").over(by_car()).eqNullSafe(F.col("phase"))
+    rows = obs.withColumns({"_prior": prior, "_enters": entered})
+    fits = F.col("phase").isin("online", "charging") & (F.col("_prior").isNull() | (F.col("at_ms") > F.col("_prior")))
+    if {"latitude", "longitude"} <= set(obs.columns):
+        fits = fits & valid_coordinates(F.col("latitude"), F.col("longitude"))
+    rows = rows.where(fits).select("car_id", "observation_id", "phase", "at_ms", (F.col("_enters") | F.col("_prior").isNull()).alias("_enters"))
+    gap = F.col("at_ms") - F.lag("at_ms").over(by_car())
+    rows = rows.withColumn("_stretch", F.sum((F.col("_enters") | gap.isNull() | (gap >= thin_ms)).cast("bigint")).over(so_far()))
+
+    def step(last: tuple | None, row: tuple) -> tuple[tuple, bool]:
+        keep = last is None or row[0] - last[0] >= thin_ms
+        return ((row[0],) if keep else last), keep
+
+    kept = walked(rows, ["car_id", "_stretch"], ["at_ms", "observation_id"], step, ["at_ms"], "_kept", "boolean")
+    return kept.where("_kept").select("car_id", "observation_id", "phase", "at_ms")
 
 
 def monotonic_ts(obs: DataFrame, candidate: str, fallback: str) -> DataFrame:
-    """(car_id, stretch, observation_id, clock): a clock that never goes back.
+    """(car_id, observation_id, clock): a clock that never goes back.
 
     A candidate behind the clock gives way to the fallback, and that, if it is behind too, to the clock; the
-    clock moves on only with a candidate. Each car's rows are walked by month of at_ms, each month starting
-    at the latest candidate before it.
+    clock moves on only with a candidate (null: none came; one that isn't positive counts as the fallback). The clock
+    can't be beyond the largest candidate or fallback so far, so a candidate from there on starts a stretch of its own.
     """
-    month = F.date_trunc("month", F.timestamp_millis("at_ms"))
-    seed = F.max(F.col(candidate)).over(W.partitionBy("car_id").orderBy("at_ms", "observation_id").rowsBetween(W.unboundedPreceding, -1))
-    rows = obs.withColumns({"stretch": month, "_seed": seed})
-    one = F.struct("at_ms", "observation_id", F.col(candidate).cast("bigint").alias("c"), F.col(fallback).cast("bigint").alias("f"), F.col("_seed").cast("bigint").alias("s"))
-    whole = rows.groupBy("car_id", "stretch").agg(F.array_sort(F.collect_list(one)).alias("rows"))
-    start = F.struct(F.col("rows")[0]["s"].alias("clock"), F.array().cast("array<struct<observation_id:bigint,clock:bigint>>").alias("out"))
-
-    def step(acc, x):
-        shown = F.when(acc["clock"].isNull() | (x["c"] >= acc["clock"]), F.coalesce(x["c"], x["f"])).when(x["f"] >= acc["clock"], x["f"]).otherwise(acc["clock"])
-        moved = F.when(x["c"].isNotNull(), shown).otherwise(acc["clock"])
-        return F.struct(moved.alias("clock"), F.concat(acc["out"], F.array(F.struct(x["observation_id"].alias("observation_id"), shown.alias("clock")))).alias("out"))
-
-    return whole.select("car_id", "stretch", F.explode(F.aggregate("rows", start, step)["out"]).alias("r")).select("car_id", "stretch", "r.observation_id", "r.clock")
+    c = F.when(F.col(candidate) <= 0, F.col(fallback)).otherwise(F.col(candidate)).cast("bigint")
+    rows = obs.select("car_id", "observation_id", "at_ms", c.alias("_c"), F.col(fallback).cast("bigint").alias("_f"))
+    top = F.max(F.when(F.col("_c").isNotNull(), F.greatest("_c", "_f"))).over(before())
+    rows = rows.withColumn("_certain", F.col("_c").isNotNull() & (F.col("_c") >= F.coalesce(top, F.col("_c"))))
+    rows = rows.withColumn("_stretch", F.sum(F.col("_certain").cast("bigint")).over(so_far()))
+
+    def step(clock: tuple | None, row: tuple) -> tuple[tuple | None, int | None]:
+        own, other = row
+        shown = own if own is not None else other
+        if clock is not None and (own is None or own < clock[0]):
+            shown = other if other is not None and other >= clock[0] else clock[0]
+        return ((shown,) if own is not None else clock), shown
+
+    return walked(rows, ["car_id", "_stretch"], ["at_ms", "observation_id"], step, ["_c", "_f"], "clock", "long").select("car_id", "observation_id", "clock")
 
 
 def assign_ids(rows: DataFrame, bases: DataFrame, *order: str) -> DataFrame:

@@ -57,7 +57,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.expr(_key()).alias("id"), F.col("l_orderkey").alias("charge_id"), F.col("o_custkey").alias("car_id"), (epoch_ms("l_shipdate") + F.col("l_linenumber") * 60000).cast("bigint").alias("date_ms"),
-        F.expr("CASE WHEN l_partkey % 11 <> 0 THEN l_quantity END").alias("energy"), F.expr("CASE WHEN l_partkey % 5 <> 0 THEN CAST(round(l_discount * 100) AS BIGINT) END").alias("power"),
+        F.expr("CASE WHEN l_partkey % 11 <> 0 THEN l_quantity END").alias("energy"), F.expr("CASE WHEN l_partkey % 5 <> 0 THEN CAST(round(l_discount * 100) AS BIGINT) - CASE WHEN l_partkey % 13 = 0 THEN 8 ELSE 0 END END").alias("power"),
         F.expr("CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_linenumber % 3 AS BIGINT) END").alias("phases"), F.expr("l_suppkey % 32").alias("current"), F.expr("CAST(220 + l_linenumber AS BIGINT)").alias("voltage"),
         F.expr("l_suppkey % 101").alias("battery_level"), F.expr("300 - l_quantity * 2").alias("ideal_km"), F.expr("280 - l_quantity * 2").alias("rated_km"), F.expr("l_returnflag = 'R'").alias("fast_present"), F.expr("CASE WHEN l_returnflag = 'R' THEN l_linestatus END").alias("fast_type"),
     )
@@ -72,7 +72,7 @@ def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr("CASE WHEN c_custkey % 5 <> 0 THEN concat('  ', c_name) END").alias("name"), F.expr("CASE WHEN c_nationkey % 2 = 0 THEN 'models' ELSE ' Model 3 ' END").alias("model"), F.expr("c_acctbal / 65536").alias("efficiency"), F.expr("lower(c_mktsegment)").alias("trim"), F.col("c_custkey").alias("settings_id"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr("CASE WHEN c_custkey % 5 <> 0 THEN concat('  ', c_name) END").alias("name"), F.expr("CASE c_nationkey % 4 WHEN 0 THEN 'models2' WHEN 1 THEN ' Model 3 ' WHEN 2 THEN 'tamarind' END").alias("model"), F.expr("abs(c_acctbal) / 65536").alias("efficiency"), F.expr("CASE c_custkey % 4 WHEN 0 THEN ' 74d' WHEN 1 THEN '100d' WHEN 2 THEN lower(c_mktsegment) END").alias("trim"), F.col("c_custkey").alias("settings_id"))
 
 
 #: DuckDB's side of the frames: a query puts the ones it names before its own text.
@@ -94,7 +94,7 @@ SQL = {
     "charges": """SELECT o_orderkey AS id, o_custkey AS car_id, epoch_ms(o_orderdate) AS start_ms, CASE WHEN o_orderstatus <> 'O' THEN epoch_ms(o_orderdate) + (o_orderkey % 240 + 1) * 60000 END AS end_ms,
       CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 25 END AS address_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 10 END AS geofence_id FROM orders""",
     "samples": """SELECT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 1000 + l_suppkey % 1000 AS id, l_orderkey AS charge_id, o_custkey AS car_id, CAST(epoch_ms(l_shipdate) + l_linenumber * 60000 AS BIGINT) AS date_ms,
-      CASE WHEN l_partkey % 11 <> 0 THEN l_quantity END AS energy, CASE WHEN l_partkey % 5 <> 0 THEN CAST(round(l_discount * 100) AS BIGINT) END AS power,
+      CASE WHEN l_partkey % 11 <> 0 THEN l_quantity END AS energy, CASE WHEN l_partkey % 5 <> 0 THEN CAST(round(l_discount * 100) AS BIGINT) - CASE WHEN l_partkey % 13 = 0 THEN 8 ELSE 0 END END AS power,
       CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_linenumber % 3 AS BIGINT) END AS phases, l_suppkey % 32 AS current, CAST(220 + l_linenumber AS BIGINT) AS voltage, l_suppkey % 101 AS battery_level,
       300 - l_quantity * 2 AS ideal_km, 280 - l_quantity * 2 AS rated_km, l_returnflag = 'R' AS fast_present, CASE WHEN l_returnflag = 'R' THEN l_linestatus END AS fast_type
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
@@ -102,8 +102,8 @@ SQL = {
       CAST(500 + abs(CAST(trunc(s_acctbal) AS BIGINT)) % 4400 AS DOUBLE) AS radius, CASE WHEN s_suppkey % 2 = 0 THEN 'per_kwh' ELSE 'per_minute' END AS billing_type,
       CASE WHEN s_suppkey % 9 <> 0 THEN CAST(s_suppkey % 8 AS DOUBLE) / 16 END AS cost_per_unit, CASE WHEN s_suppkey % 3 = 0 THEN CAST(2.0 AS DOUBLE) END AS session_fee FROM supplier""",
     "addresses": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS display_name FROM nation",
-    "cars": """SELECT c_custkey AS id, CASE WHEN c_custkey % 5 <> 0 THEN '  ' || c_name END AS name, CASE WHEN c_nationkey % 2 = 0 THEN 'models' ELSE ' Model 3 ' END AS model,
-      c_acctbal / 65536 AS efficiency, lower(c_mktsegment) AS trim, c_custkey AS settings_id FROM customer""",
+    "cars": """SELECT c_custkey AS id, CASE WHEN c_custkey % 5 <> 0 THEN '  ' || c_name END AS name, CASE c_nationkey % 4 WHEN 0 THEN 'models2' WHEN 1 THEN ' Model 3 ' WHEN 2 THEN 'tamarind' END AS model,
+      abs(c_acctbal) / 65536 AS efficiency, CASE c_custkey % 4 WHEN 0 THEN ' 74d' WHEN 1 THEN '100d' WHEN 2 THEN lower(c_mktsegment) END AS trim, c_custkey AS settings_id FROM customer""",
 }
 
 

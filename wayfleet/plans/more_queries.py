@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfleet.functions import scalars as S
-from wayfleet.operators import cdc, drives, geo, intervals, quality, reconcile, relations
+from wayfleet.operators import cdc, geo, intervals, quality, reconcile, relations
 from wayfleet.plans import adapters as A
 from wayfleet.plans.adapters import with_frames
 
@@ -67,13 +67,6 @@ def cached_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.cached_addresses(A.positions(spark, sf_dir).select("id", "latitude", "longitude"), cache, digits=2).select("id", "osm_id")
 
 
-@query(with_frames("samples") + """, w AS (SELECT *, lead(date_ms) OVER (PARTITION BY charge_id ORDER BY date_ms, id) - date_ms AS dt FROM samples)
-  SELECT charge_id, round(sum(CASE WHEN dt > 0 THEN (CASE WHEN phases IS NULL THEN CAST(power AS DOUBLE) ELSE current * voltage * phases / 1000 END) * dt END) / 3.6e6 * 1e4) / 1e4 AS energy_used FROM w GROUP BY charge_id""")
-def energy_used_phase_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Charges here have under 16 samples, so phases are as reported."""
-    return drives.energy_used_phase_aware(A.samples(spark, sf_dir))
-
-
 @query()
 def evidence_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, o = A.positions(spark, sf_dir), A.observations(spark, sf_dir)

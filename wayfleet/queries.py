@@ -126,14 +126,29 @@ def observation_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.newer_than(intervals.observation_watermark(obs), given)
 
 
-@query()
+PARKED = ", rows AS (SELECT *, phase <> 'charging' OR soc % 3 <> 0 AS drive_data, CASE WHEN soc % 7 <> 0 THEN 10.0 END AS latitude FROM observations)"
+
+
+@query(with_frames("observations").replace("WITH", "WITH RECURSIVE", 1) + PARKED + """, p AS (SELECT *, max(CASE WHEN drive_data THEN at_ms END) OVER w AS prior, lag(phase) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id) AS before FROM rows WINDOW w AS (PARTITION BY car_id ORDER BY at_ms, observation_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  e AS (SELECT car_id, observation_id, phase, at_ms, before IS DISTINCT FROM phase OR prior IS NULL AS enters, row_number() OVER (PARTITION BY car_id ORDER BY at_ms, observation_id) AS n FROM p WHERE phase IN ('online', 'charging') AND latitude IS NOT NULL AND (prior IS NULL OR at_ms > prior)),
+  walk AS (SELECT car_id, n, observation_id, phase, at_ms, true AS kept, at_ms AS last FROM e WHERE n = 1
+    UNION ALL SELECT e.car_id, e.n, e.observation_id, e.phase, e.at_ms, e.enters OR e.at_ms - w.last >= 7200000, CASE WHEN e.enters OR e.at_ms - w.last >= 7200000 THEN e.at_ms ELSE w.last END FROM walk w JOIN e ON e.car_id = w.car_id AND e.n = w.n + 1)
+  SELECT car_id, observation_id, phase, at_ms FROM walk WHERE kept""")
 def stationary_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.stationary_positions(A.observations(spark, sf_dir), thin_ms=2 * HOUR)
+    """Some rows lack drive data and some coordinates."""
+    data = F.coalesce((F.col("phase") != "charging") | (F.col("soc") % 3 != 0), F.lit(False))
+    rows = A.observations(spark, sf_dir).withColumns({"drive_data": data, "latitude": F.when(F.col("soc") % 7 != 0, 10.0), "longitude": F.lit(20.0)})
+    return sessions.stationary_positions(rows, thin_ms=2 * HOUR)
 
 
-@query()
+@query(with_frames("observations").replace("WITH", "WITH RECURSIVE", 1) + """, r AS (SELECT car_id, observation_id, CASE WHEN soc % 11 = 0 THEN at_ms - 60000 WHEN soc % 3 <> 0 THEN at_ms - soc * 600000 END AS c, at_ms - 60000 AS f, row_number() OVER (PARTITION BY car_id ORDER BY at_ms, observation_id) AS n FROM observations),
+  walk AS (SELECT car_id, n, observation_id, coalesce(c, f) AS shown, c AS clock FROM r WHERE n = 1
+    UNION ALL SELECT r.car_id, r.n, r.observation_id, CASE WHEN w.clock IS NULL THEN coalesce(r.c, r.f) WHEN r.c >= w.clock THEN r.c WHEN r.f >= w.clock THEN r.f ELSE w.clock END,
+      CASE WHEN r.c IS NULL THEN w.clock WHEN w.clock IS NULL OR r.c >= w.clock THEN r.c WHEN r.f >= w.clock THEN r.f ELSE w.clock END FROM walk w JOIN r ON r.car_id = w.car_id AND r.n = w.n + 1)
+  SELECT car_id, observation_id, shown AS clock FROM walk""")
 def monotonic_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shifted = A.observations(spark, sf_dir).withColumns({"candidate": F.when(F.col("soc") % 3 != 0, F.col("at_ms") - F.col("soc") * 600_000), "fallback": F.col("at_ms") - 60_000})
+    candidate = F.when(F.col("soc") % 11 == 0, 0).when(F.col("soc") % 3 != 0, F.col("at_ms") - F.col("soc") * 600_000)
+    shifted = A.observations(spark, sf_dir).withColumns({"candidate": candidate, "fallback": F.col("at_ms") - 60_000})
     return sessions.monotonic_ts(shifted, "candidate", "fallback")
 
 
@@ -210,7 +225,7 @@ def drive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_frames("samples") + """, g AS (SELECT charge_id, min(car_id) AS car_id, count(*) AS n_samples, min(date_ms) AS start_ms, max(date_ms) AS end_ms, arg_min(energy, (date_ms, id)) FILTER (energy IS NOT NULL) AS f, arg_max(energy, (date_ms, id)) FILTER (energy IS NOT NULL) AS l, max(energy) AS m,
   max(power) AS max_power, coalesce(bool_or(fast_present), false) AS is_dc, arg_max(battery_level, (date_ms, id)) AS end_battery_level FROM samples GROUP BY charge_id)
-  SELECT charge_id, car_id, n_samples, start_ms, end_ms, max_power, is_dc, end_battery_level, (CASE WHEN (CASE WHEN l > 0 THEN l ELSE m END) - f >= 0 THEN round(((CASE WHEN l > 0 THEN l ELSE m END) - f) * 100) / 100 END) AS energy_added, (end_ms - start_ms) // 60000 AS duration_min FROM g""")
+  SELECT charge_id, car_id, n_samples, start_ms, end_ms, max_power, is_dc, end_battery_level, (CASE WHEN (CASE WHEN l > 0 THEN l ELSE m END) - f >= 0 THEN (CASE WHEN l > 0 THEN l ELSE m END) - f END) AS energy_added, (end_ms - start_ms) // 60000 AS duration_min FROM g""")
 def charge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drives.finalize_charges(A.samples(spark, sf_dir)).select("charge_id", "car_id", "n_samples", "start_ms", "end_ms", "max_power", "is_dc", "end_battery_level", "energy_added", "duration_min")
 
@@ -226,7 +241,7 @@ def charge_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_frames("samples", "charges", "geofences") + f""", {FACTS}, j AS (SELECT c.id, f.energy_added, (c.end_ms - c.start_ms) // 60000 AS minutes, g.*  EXCLUDE (id, name) FROM charges c LEFT JOIN facts f ON f.charge_id = c.id LEFT JOIN geofences g ON g.id = c.geofence_id)
-  SELECT id, CASE WHEN id % 10 = 0 THEN CAST(0 AS DOUBLE) WHEN billing_type = 'per_kwh' AND energy_added >= 0 THEN cost_per_unit * energy_added + coalesce(session_fee, 0) WHEN billing_type = 'per_minute' THEN cost_per_unit * minutes + coalesce(session_fee, 0) END AS cost FROM j""")
+  SELECT id, CASE WHEN id % 10 = 0 THEN CAST(0 AS DOUBLE) WHEN billing_type = 'per_kwh' AND energy_added >= 0 AND (cost_per_unit IS NOT NULL OR session_fee IS NOT NULL) THEN coalesce(cost_per_unit * energy_added, 0) + coalesce(session_fee, 0) WHEN billing_type = 'per_minute' AND minutes >= 0 THEN cost_per_unit * minutes + coalesce(session_fee, 0) END AS cost FROM j""")
 def charge_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = drives.charge_facts(A.samples(spark, sf_dir)).select(F.col("charge_id").alias("id"), "energy_added")
     fences = A.geofences(spark, sf_dir).select(F.col("id").alias("geofence_id"), "billing_type", "cost_per_unit", "session_fee")
@@ -235,21 +250,29 @@ def charge_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", S.charge_cost(F.col("billing_type"), F.col("cost_per_unit"), F.col("session_fee"), F.col("energy_added"), F.lit(None).cast("double"), minutes, F.col("id") % 10 == 0).alias("cost"))
 
 
-@query(with_frames("samples") + """, w AS (SELECT *, date_ms - lag(date_ms) OVER o AS dt, last_value(power IGNORE NULLS) OVER (PARTITION BY charge_id ORDER BY date_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM samples WINDOW o AS (PARTITION BY charge_id ORDER BY date_ms, id))
+@query(with_frames("samples") + """, u AS (SELECT * REPLACE (CASE WHEN power >= 0 THEN power END AS power) FROM samples), w AS (SELECT *, date_ms - lag(date_ms) OVER o AS dt, last_value(power IGNORE NULLS) OVER (PARTITION BY charge_id ORDER BY date_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM u WINDOW o AS (PARTITION BY charge_id ORDER BY date_ms, id))
   SELECT charge_id, round(sum(CASE WHEN power IS NOT NULL AND dt > 0 THEN before * dt END) / 3.6e6 * 1e4) / 1e4 AS energy_used, count(CASE WHEN power IS NOT NULL AND dt > 0 THEN before * dt END) AS n_intervals FROM w GROUP BY charge_id""")
 def energy_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drives.energy_used(A.samples(spark, sf_dir))
 
 
-@query(with_frames("samples") + """, u AS (SELECT *, CASE WHEN power IS NOT NULL AND current * voltage > 0 AND phases > 0 THEN power * 1000 / (current * voltage) END AS ratio FROM samples),
-  p AS (SELECT car_id AS charge_id, count(ratio) AS n, avg(ratio) AS p, round(avg(CASE WHEN ratio IS NOT NULL THEN phases END)) AS r FROM u GROUP BY car_id)
-  SELECT charge_id, n, CAST(CASE WHEN n <= 15 THEN NULL WHEN abs(r - p) <= 0.3 THEN r WHEN p > 0 AND abs(r / sqrt(3) - p) / p <= 0.1 THEN sqrt(3) END AS DOUBLE) IS NOT NULL AS known FROM p""")
+PHASES = """, r AS (SELECT *, CASE WHEN power * 1000.0 / nullif(current * voltage, 0) > 0 THEN CAST(power * 1000 AS DOUBLE) / nullif(current * voltage, 0) END AS ratio FROM samples),
+  p AS (SELECT car_id, count(*) AS n, avg(ratio) AS p, round(avg(phases)) AS r FROM r GROUP BY car_id),
+  known AS (SELECT car_id, n, CASE WHEN n <= 15 OR p IS NULL THEN NULL WHEN r = round(p) THEN r WHEN r = 3 AND abs(p / sqrt(3) - 1) <= 0.1 THEN sqrt(3) WHEN abs(round(p) - p) <= 0.3 THEN round(p) END AS phases_used FROM p)"""
+
+
+@query(with_frames("samples") + PHASES + " SELECT car_id AS charge_id, n, phases_used FROM known")
 def phases_of_car(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phases by car, as charges here have few samples."""
-    rows = A.samples(spark, sf_dir).withColumn("charge_id", F.col("car_id"))
-    usable = F.col("power").isNotNull() & (F.col("current") * F.col("voltage") > 0) & (F.col("phases") > 0)
-    n = rows.groupBy("charge_id").agg(F.count_if(usable).alias("n"))
-    return drives.determine_phases(rows).join(n, "charge_id").select("charge_id", "n", F.col("phases_used").isNotNull().alias("known"))
+    return drives.determine_phases(A.samples(spark, sf_dir).withColumn("charge_id", F.col("car_id")))
+
+
+@query(with_frames("samples") + PHASES + """, w AS (SELECT s.*, k.phases_used, lead(date_ms) OVER (PARTITION BY s.car_id ORDER BY date_ms, id) - date_ms AS dt FROM samples s JOIN known k ON k.car_id = s.car_id),
+  v AS (SELECT car_id, dt, CASE WHEN phases IS NULL THEN CAST(power AS DOUBLE) ELSE current * voltage * phases_used / 1000 END AS kw FROM w)
+  SELECT car_id AS charge_id, round(sum(CASE WHEN dt > 0 AND kw >= 0 THEN kw * dt END) / 3.6e6 * 1e4) / 1e4 AS energy_used FROM v GROUP BY car_id""")
+def energy_used_phase_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By car, so that there are the samples to determine phases."""
+    return drives.energy_used_phase_aware(A.samples(spark, sf_dir).withColumn("charge_id", F.col("car_id")))
 
 
 @query(with_frames("positions") + """, s AS (SELECT drive_id, elevation - lag(elevation) OVER (PARTITION BY drive_id ORDER BY date_ms, id) AS step FROM positions WHERE elevation IS NOT NULL),
@@ -283,9 +306,11 @@ def project_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("id", "car_id", "start_ms", "end_ms", "address", "geofence", "billing_type", "is_dc", "max_power", "energy_added")
 
 
-@query(with_frames("cars") + """ SELECT id, coalesce(nullif(trim(name), ''), 'Car ' || id) AS name, CASE WHEN model = 'models' THEN 'S' ELSE '3' END AS model, upper(trim) AS trim, CASE WHEN efficiency < 0 THEN NULL WHEN efficiency > 0 AND efficiency < 1 THEN efficiency * 1000 ELSE efficiency END AS efficiency_wh_per_km FROM cars""")
+@query(with_frames("cars") + """, c AS (SELECT *, CASE model WHEN 'models2' THEN 'S' WHEN ' Model 3 ' THEN '3' WHEN 'tamarind' THEN 'X' END AS m, upper(trim(trim)) AS t FROM cars)
+  SELECT id, coalesce(nullif(trim(name), ''), 'Car ' || id) AS name, coalesce(m, 'Unknown Tesla') AS model, t AS trim, CASE WHEN efficiency > 0 AND efficiency < 1 THEN efficiency * 1000 ELSE efficiency END AS efficiency_wh_per_km,
+  CASE WHEN m = 'S' AND t = '100D' THEN 'LR+' WHEN m = '3' AND t = '74D' THEN 'LR AWD' WHEN m = 'X' AND t = '100D' THEN 'LR' END AS marketing_name FROM c""")
 def project_cars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.project_car(A.cars(spark, sf_dir)).select("id", "name", "model", "trim", "efficiency_wh_per_km")
+    return relations.project_car(A.cars(spark, sf_dir)).select("id", "name", "model", "trim", "efficiency_wh_per_km", "marketing_name")
 
 
 @query(with_frames("drives", "charges", "addresses", "geofences") + """ SELECT 'address' AS kind, id FROM addresses WHERE id IN (SELECT start_address_id FROM drives UNION SELECT end_address_id FROM drives UNION SELECT address_id FROM charges)
@@ -302,10 +327,11 @@ def positions_outside_drive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.position_in_drive(A.positions(spark, sf_dir), A.drives(spark, sf_dir)).select("id", "drive_id")
 
 
-@query(with_frames("drives") + " SELECT id, car_id FROM (SELECT *, count(*) OVER (PARTITION BY car_id) AS n FROM drives WHERE end_ms IS NULL AND id % 5 = 0) WHERE n = 1")
+@query(with_frames("drives") + " SELECT id, car_id FROM (SELECT *, count(*) OVER (PARTITION BY car_id) AS n FROM (SELECT id, car_id, CASE WHEN o_totalprice < 250000 THEN start_ms ELSE end_ms END AS end_ms FROM drives) WHERE end_ms IS NULL) WHERE n = 1")
 def open_drives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the drives whose id divides by 5, taken as another source's rows."""
-    return relations.open_rows(A.drives(spark, sf_dir).where("id % 5 = 0")).select("id", "car_id")
+    """Cheaper orders count as closed, so that some cars have a single open drive."""
+    closed = F.when(F.col("o_totalprice") < 250_000, F.col("start_ms")).otherwise(F.col("end_ms"))
+    return relations.open_rows(A.drives(spark, sf_dir).withColumn("end_ms", closed)).select("id", "car_id")
 
 
 @query(with_frames("drives") + """, a AS (SELECT *, 1 AS rd FROM drives WHERE id % 3 <> 0), b AS (SELECT * REPLACE (start_ms + 1000 AS start_ms), 2 AS rd FROM drives WHERE id % 2 = 0), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
@@ -500,10 +526,12 @@ def skip_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.skip_unchanged(a, b).select("car_id")
 
 
-@query()
+@query(FEED + """, u AS (SELECT car_id, id * 10 + seq AS place, length(payload) + CASE WHEN id % 50 = 0 THEN 1500 ELSE 20 END AS bytes FROM feed WHERE op = 'upsert'),
+  s AS (SELECT *, row_number() OVER w - 1 AS n, sum(bytes) OVER w - bytes AS b FROM u WINDOW w AS (PARTITION BY car_id ORDER BY place ROWS UNBOUNDED PRECEDING)),
+  d AS (SELECT car_id, bytes, dense_rank() OVER (PARTITION BY car_id ORDER BY n // 64, b // 1000, bytes > 1000) - 1 AS batch FROM s) SELECT car_id, batch, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM d GROUP BY ALL""")
 def batch_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _feed(spark, sf_dir).where("op = 'upsert'").withColumn("bytes", F.length("payload") + 20)
-    return cdc.batch_changes(rows, max_rows=64, max_bytes=2000, by="car_id").groupBy("car_id", "batch").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    rows = _feed(spark, sf_dir).where("op = 'upsert'").withColumns({"place": F.col("id") * 10 + F.col("seq"), "bytes": F.length("payload") + F.when(F.col("id") % 50 == 0, 1500).otherwise(20)})
+    return cdc.batch_changes(rows, max_rows=64, max_bytes=2000, by="car_id", order="place").groupBy("car_id", "batch").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
 # Quality ----------------------------------------------------------------------------------------

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfleet.operators import cdc
+from wayfleet.operators.folds import settled
 
 FRAGMENT_ROWS, FRAGMENT_BYTES = 50_000, 8 << 20
+# What the protocol allows a pack and a lineage.
+PACK_ROWS, PACK_BYTES, MOST_PACKS = 1_000_000, 256 << 20, 512
 
 
 def write_snapshot(tables: dict[str, DataFrame], path: str, violations: DataFrame | None = None, rows: int = FRAGMENT_ROWS) -> None:
@@ -37,7 +40,17 @@ def read_deltas(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/changes").withColumn("seq", F.col("to_seq").cast("bigint")).drop("to_seq")
 
 
-def assign_fragments(df: DataFrame, by: str, order: str = "id", max_rows: int = FRAGMENT_ROWS, max_bytes: int = FRAGMENT_BYTES) -> DataFrame:
-    """df with fragment: bounded batches of rows and JSON bytes in order, per `by`."""
-    sized = df.withColumn("bytes", F.octet_length(F.to_json(F.struct(*df.columns))))
-    return cdc.batch_changes(sized, max_rows, max_bytes, by, order).withColumnRenamed("batch", "fragment").drop("bytes")
+def assign_fragments(df: DataFrame, by: str, order: str = "id", max_rows: int = FRAGMENT_ROWS, max_bytes: int = FRAGMENT_BYTES, most: int = MOST_PACKS) -> DataFrame:
+    """df with fragment: bounded batches of rows and JSON bytes in order, per `by`.
+
+    Where a `by` has more fragments than `most`, both caps double, up to the protocol's; more even then stop the job.
+    """
+    sized = settled(df.withColumn("bytes", F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))))
+    while True:
+        out = cdc.batch_changes(sized, max_rows, max_bytes, by, order).withColumnRenamed("batch", "fragment").drop("bytes")
+        top = out.agg(F.max("fragment")).first()[0]
+        if top is None or top < most:
+            return out
+        if max_rows >= PACK_ROWS and max_bytes >= PACK_BYTES:
+            raise ValueError(f"{top + 1} fragments, over {most}")
+        max_rows, max_bytes = min(2 * max_rows, PACK_ROWS), min(2 * max_bytes, PACK_BYTES)
