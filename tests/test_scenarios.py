@@ -36,6 +36,13 @@ def test_firmware_order(spark):
 def test_names(spark):
     r = one(spark, S.normalize_model(F.lit(" Model S ")), S.normalize_model(F.lit("modely")), S.normalize_model(F.lit("Cyber ")), S.vehicle_key(F.lit(5), F.lit("V")), S.vehicle_key(F.lit(0), F.lit(" V ")), S.clean_text(F.lit("a\x07b")), S.normalize_efficiency(F.lit(0.15)))
     assert list(r) == ["S", "Y", "Cyber", "eid:5", "vin:V", None, 150.0]
+    r = one(spark, *[S.normalize_model(F.lit(m)) for m in ("Model S Plaid", "s", "Lychee", "model3x", "Tamarind")])
+    assert list(r) == ["S", "s", "S", "3", "X"]
+    r = one(spark, *[S.marketing_name(F.lit(m), F.lit(t), F.lit(raw)) for m, t, raw in (("Model S", "p100d", "Lychee"), ("3", " 74d", "x"), ("S", "100D", "other"), ("models2", "100D", "models2"), ("Y", None, ""))])
+    assert list(r) == ["Plaid", "LR AWD", None, "LR+", None]
+    for wrong in (S.normalize_efficiency(F.lit(-1.0)), S.normalize_efficiency(F.lit(float("nan"))), S.vehicle_key(F.lit(0), F.lit(" "))):
+        with pytest.raises(Exception):  # noqa: B017
+            one(spark, wrong)
 
 
 def test_exact_times_and_numbers(spark):
@@ -47,6 +54,9 @@ def test_exact_times_and_numbers(spark):
 def test_charge_cost(spark):
     cost = lambda b, u, f, a, x, m, free: S.charge_cost(F.lit(b), F.lit(u).cast("double"), F.lit(f).cast("double"), F.lit(a).cast("double"), F.lit(x).cast("double"), F.lit(m), F.lit(free))
     r = one(spark, cost("per_kwh", 0.3, 2, 10, 12, 30, True), cost("per_kwh", 0.3, 2, 10, 12, 30, False), cost("per_minute", 0.1, 2, 10, 12, 30, False), cost(None, None, None, 10, 12, 30, False))
+    more = one(spark, cost("per_kwh", None, 2, 10, None, 30, False), cost("per_kwh", None, None, 10, None, 30, False), cost("per_kwh", 0.5, None, -3, 4, None, False), cost("per_minute", 0.1, None, 1, 1, -1, False), cost("per_minute", None, 2, 1, 1, 5, False), cost("per_kwh", float("nan"), None, 10, None, 30, False), cost("per_kwh", 0.5, float("inf"), 10, None, 30, False))
+    assert list(more) == [2.0, None, 2.0, None, None, 0.0, 5.0]
+    assert list(one(spark, S.free_session(F.lit(True), F.lit("Tesla V3")), S.free_session(F.lit(True), F.lit("CCS")), S.free_session(F.lit(True), F.lit(None).cast("string")))) == [True, False, False]
     assert r[0] == 0 and r[1] == pytest.approx(5.6) and r[2] == pytest.approx(5.0) and r[3] is None
 
 
@@ -96,6 +106,21 @@ def test_charge_delta_and_fallback(spark):
     assert drives.energy_used_phase_aware(samples).first().energy_used == pytest.approx(5 / 60, abs=1e-4)
 
 
+def samples(spark, rows):
+    return spark.createDataFrame([(i, 1, i * MIN, *r) for i, r in enumerate(rows)], "id long, charge_id long, date_ms long, power double, current double, voltage double, phases long")
+
+
+def test_phases_and_energy_by_them(spark):
+    known = lambda rows: drives.determine_phases(samples(spark, rows)).first().phases_used
+    assert known([(11.0, 16.0, 230.0, 3)] * 15) is None and known([(11.0, 16.0, 230.0, 3)] * 16) == 3
+    assert known([(11.0, 27.7, 230.0, 3)] * 16) == pytest.approx(3**0.5) and known([(7.4, 32.0, 230.0, 3)] * 16) == 1
+    assert known([(9.0, 16.0, 230.0, 3)] * 16) is None and known([(0.0, 16.0, 230.0, 3), (None, 0.0, 230.0, None)] * 9) is None
+    used = lambda rows: drives.energy_used_phase_aware(samples(spark, rows)).first().energy_used
+    assert used([(7.4, 32.0, 230.0, 3)] * 16) == pytest.approx(15 / 60 * 32 * 230 / 1000, abs=1e-4)
+    assert used([(7.4, 32.0, 230.0, 3)] * 5) is None and used([(-5.0, None, None, None), (6.0, None, None, None), (0.0, None, None, None)]) == pytest.approx(0.1)
+    assert drives.energy_used(samples(spark, [(-5.0, None, None, None), (6.0, None, None, None), (-1.0, None, None, None), (3.0, None, None, None)])).first().energy_used == pytest.approx(0.1)
+
+
 def test_stationary_thinning(spark):
     rows = [(0, "online"), (299_999, "online"), (300_000, "online"), (300_001, "charging"), (600_001, "charging")]
     kept = sessions.stationary_positions(obs(spark, rows, "at_ms long, phase string"))
@@ -106,6 +131,9 @@ def test_clock_never_goes_back(spark):
     rows = obs(spark, [(10, 10, 1), (20, 5, 12), (30, 4, 3), (40, None, 50), (50, 13, 1)], "at_ms long, c long, f long")
     got = sessions.monotonic_ts(rows, "c", "f").orderBy("observation_id").collect()
     assert [r.clock for r in got] == [10, 12, 12, 50, 13]
+    day = 86_400_000
+    rows = obs(spark, [(0, 100 * day, 0), (20 * day, 90 * day, 200 * day), (40 * day, 150 * day, 3), (60 * day, 0, 7)], "at_ms long, c long, f long")
+    assert [r.clock // day for r in sessions.monotonic_ts(rows, "c", "f").orderBy("observation_id").collect()] == [100, 200, 200, 200]
 
 
 def test_missed_update(spark):
@@ -194,6 +222,16 @@ def test_batches_hold_their_caps(spark):
     assert all(a.hi < b.lo for a, b in zip(got, got[1:], strict=False) if a.car_id == b.car_id)
 
 
+def test_small_rows_behind_large_ones_keep_the_cap(spark):
+    rows = spark.range(200).selectExpr("'drive' AS entity", "id", "CASE WHEN id < 10 THEN 500000 ELSE 10 END AS bytes")
+    got = cdc.batch_changes(rows, 10, 1_000_000).groupBy("batch").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).orderBy("batch").collect()
+    assert all(r.n <= 10 and r.b <= 1_000_000 for r in got) and [r.batch for r in got] == list(range(len(got))) and sum(r.n for r in got) == 200
+    with pytest.raises(Exception):  # noqa: B017
+        cdc.batch_changes(rows, 10, 400_000).count()
+    few = sinks.assign_fragments(rows, "entity", max_rows=4, most=30)
+    assert few.groupBy("fragment").count().agg(F.max("count")).first()[0] == 8 and few.agg(F.max("fragment")).first()[0] < 30
+
+
 def test_fingerprint_ignores_layout(spark):
     rows = spark.range(500).select((F.col("id") % 2).alias("car_id"), "id", F.sha2(F.col("id").cast("string"), 256).alias("digest"))
     a = reconcile.dataset_fingerprint(rows, ["car_id"]).orderBy("car_id").collect()
@@ -245,32 +283,87 @@ def stream(spark, tmp_path, batches, **how):
     return sorted(tuple(r) for r in out if r.entity is not None)
 
 
+def row(i, at, phase, odo=None, state=None, energy=None, broken=False, **more):
+    more = {"status": None, "version": None, "latitude": None, "longitude": None, "drive_data": True} | more
+    return (1, i, at, phase, state, odo, energy, broken, *more.values())
+
+
 def test_stream_restarts_and_replays(spark, tmp_path):
-    row = lambda i, at, phase, odo=None, state=None, energy=None, broken=False: (1, i, at, phase, state, odo, energy, broken)
     first = [row(1, 0, "driving", 1.0), row(2, MIN, "driving", 3.0)]
     second = [row(2, MIN, "driving", 3.0), row(3, 2 * MIN, "online", 4.0), row(4, 3 * MIN, "charging", None, "Charging", 1.0), row(5, 4 * MIN, "charging", None, "Complete", 5.0), row(6, 5 * MIN, "asleep")]
     split = stream(spark, tmp_path / "a", [first, second])
     assert split == stream(spark, tmp_path / "b", [first + second[1:]])
-    assert [(t[1], t[3], t[4], t[5]) for t in split] == [("charge", 3 * MIN, 4 * MIN, 2), ("drive", 0, 2 * MIN, 3), ("state", 0, 5 * MIN, None)]
+    assert [(t[1], t[2], t[5], t[6], t[7]) for t in split if t[6] is not None] == [("charge", 1, 3 * MIN, 4 * MIN, 2), ("drive", 1, 0, 2 * MIN, 3), ("state", None, 0, 5 * MIN, None)]
+    assert sorted((t[1], t[3]) for t in split if t[6] is None) == [("charge_sample", 4), ("charge_sample", 5), ("drive_position", 1), ("drive_position", 2), ("drive_position", 3)]
+
+
+def test_repeats_inside_a_batch_count_once(spark, tmp_path):
+    rows = [row(1, 0, "driving", 1.0), row(1, 0, "driving", 1.0), row(2, MIN, "asleep"), row(2, MIN, "asleep")]
+    assert [t[1] for t in stream(spark, tmp_path, [rows])] == ["drive_position", "state"]  # a drive of one position is none
+
+
+def test_late_lower_ids_are_left_out_wherever_batches_end(spark, tmp_path):
+    a, b, late = row(1, 0, "driving", 1.0), row(3, 2 * MIN, "driving", 2.0), row(2, MIN, "asleep")
+    end = row(4, 3 * MIN, "asleep")
+    split = stream(spark, tmp_path / "a", [[a, b], [late, end]])
+    assert [t[1] for t in split] == ["drive", "drive_position", "drive_position", "state"]
+    assert stream(spark, tmp_path / "b", [[b, a, end]]) == split
+
+
+def test_sessions_need_drive_data_to_close():
+    car = lifecycle.Car(None, lifecycle.OFFLINE_MS)
+    rows = [(0, "driving", 1.0, True), (MIN, "driving", 2.0, True), (2 * MIN, "online", None, False), (3 * MIN, "online", 3.0, True)]
+    out = [done for at, phase, odo, data in rows for done in car.step(at, phase, None, odo, None, False, drive_data=data)]
+    assert [(d[0], d[4], d[5], d[6]) for d in out if d[0] == "drive"] == [("drive", 0, 3 * MIN, 3)]
+
+
+def test_stream_starts_from_seeds(spark, tmp_path):
+    names = [c.split()[0] for c in lifecycle.STATE.split(", ")]
+    known = {"last_id": 5, "clock": MIN, "phase": "driving", "state": "online", "since": 0, "drive_no": 4, "drive_start": 0, "drive_last": MIN, "drive_n": 2, "odo_first": 1.0, "odo_last": 2.0, "drive_at": MIN}
+    seeds = spark.createDataFrame([(1, *(known.get(n) for n in names))], f"car_id long, {lifecycle.STATE}")
+    got = stream(spark, tmp_path, [[row(5, MIN, "driving", 9.0), row(6, 2 * MIN, "asleep")]], seeds=seeds)
+    assert [(t[1], t[2], t[5], t[6], t[7], t[9]) for t in got] == [("drive", 4, 0, MIN, 2, 2.0), ("state", None, 0, 2 * MIN, None, None)]
 
 
 def test_broken_payload_drops_what_is_open():
     car = lifecycle.Car(None, lifecycle.OFFLINE_MS)
     rows = [(0, "driving", None, 1.0, None, False), (1, "driving", None, 2.0, None, False), (2, None, None, None, None, True), (3, "online", None, None, None, False), (4, "service", None, None, None, False)]
-    assert [done[0] for r in rows for done in car.step(*r)] == ["quarantine"]
+    assert [done[0] for r in rows for done in car.step(*r) if done[0] != "drive_position"] == ["quarantine"]
 
 
 def test_forced_close_keeps_the_last_position():
     car = lifecycle.Car(None, lifecycle.OFFLINE_MS)
     rows = [(0, "driving", None, 1.0, None, False), (5, "driving", None, 2.0, None, False), (99, "service", None, None, None, False)]
-    assert [done[:5] for r in rows for done in car.step(*r)] == [("drive", None, 0, 5, 2)]
+    assert [(done[0], *done[4:7]) for r in rows for done in car.step(*r) if done[0] == "drive"] == [("drive", 0, 5, 2)]
 
 
-def test_import_gate(spark):
-    rows = spark.createDataFrame([(1, 1, 10, "driving", "Charging", 1.0, 1.0, False), (1, 2, 30, "driving", "Charging", 1.0, 1.0, False)], lifecycle.IN)
+def test_import_gate_goes_by_group(spark):
+    rows = spark.createDataFrame([row(1, 10, "driving", 1.0, "Charging", 1.0, version="v"), row(2, 30, "driving", 1.0, "Charging", 1.0, version="v"), row(3, 4, "asleep", version="v")], lifecycle.IN)
     marks = spark.createDataFrame([(1, 20, 20, 5)], "car_id long, drive_ms long, charge_ms long, vehicle_ms long")
     got = lifecycle.gate(rows, marks).orderBy("observation_id").collect()
-    assert [(r.phase, r.charging_state, r.odometer) for r in got] == [(None, None, 1.0), ("driving", "Charging", 1.0)]
+    assert [(r.phase, r.charging_state, r.odometer, r.version, r.drive_data) for r in got] == [(None, None, None, "v", False), ("driving", "Charging", 1.0, "v", True), (None, None, None, None, False)]
+    timed = rows.where("observation_id = 1").withColumn("drive_ts", F.lit(25).cast("long"))
+    assert [(r.phase, r.charging_state, r.odometer) for r in lifecycle.gate(timed, marks).collect()] == [("driving", None, 1.0)]
+
+
+def test_stale_frames_are_left_out(spark, tmp_path):
+    lifecycle.configure(spark)
+    base = 1_700_000_000_000
+    cols = "car_id long, received_id long, ts_ms long, received_ms long"
+    batches = [[(1, 1, base, base), (1, 2, base - 5, base), (1, 3, base + 10, base), (1, 4, base + 10, base), (2, 5, 5, base)], [(1, 6, base + 9, base), (1, 7, base + 11, base), (1, 8, base + 400_000, base)]]
+    for rows in batches:
+        spark.createDataFrame(rows, cols).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(cols).parquet(str(tmp_path / "in"))
+        lifecycle.fresh_frames(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.received_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 3, 7]
+
+
+def test_publications_are_bounded(spark, tmp_path):
+    spark.range(25).selectExpr("'drive' AS entity", "id").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("entity string, id long").parquet(str(tmp_path / "in"))
+    lifecycle.publish(source, str(tmp_path / "out"), str(tmp_path / "cp"), most=10).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out" / "batch=0")).groupBy("to_seq").agg(F.count("*").alias("n"), F.max("id").alias("top")).orderBy("to_seq").collect()
+    assert [(r.to_seq, r.n, r.top) for r in got] == [(1, 10, 9), (2, 10, 19), (3, 5, 24)]
 
 
 def test_enrichment_waits_after_a_failure(spark):

@@ -88,8 +88,8 @@ def fill_sparse(obs: DataFrame, *cols: str) -> DataFrame:
 
 
 def software_updates(obs: DataFrame, status: str = "status", version: str = "version") -> DataFrame:
-    """(car_id, start_ms, end_ms, version): from 'installing' to the first later online row with a version; none if the status turns 'available' first. Open ones lack an end."""
-    own = obs.select("car_id", "at_ms", "observation_id", F.col(status).alias("status"), F.when(F.col("phase") == "online", nonblank(version)).alias("version"))
+    """(car_id, start_ms, end_ms, version): from 'installing' to the first later row with a version of a vehicle that is online; none if the status turns 'available' first. Open ones lack an end."""
+    own = obs.select("car_id", "at_ms", "observation_id", F.col(status).alias("status"), F.when(~F.col("phase").isin("asleep", "offline"), nonblank(version)).alias("version"))
     event = F.when(F.col("status") == "installing", "start").when(F.col("status") == "available", "cancel").when(F.col("version").isNotNull(), "done")
     rows = own.withColumn("event", event).where("event is not null")
     rows = rows.withColumn("before", F.lag("event").over(by_car())).where("event <> 'start' or before is null or before <> 'start'")

@@ -50,14 +50,14 @@ def charge_sessions(obs: DataFrame) -> DataFrame:
     """obs (phase, charging_state) -> rows of charges with session and endpoint.
 
     A charge opens on starting or charging. It closes on a terminal state, on asleep or updating, and on
-    another explicit state while online; a missing state and offline never close it. A terminal row is
+    another explicit state while online; a missing state never closes it, nor does offline. A terminal row is
     kept as last sample.
     """
     state = F.lower(F.col("charging_state"))
     kind = (
         F.when(F.col("phase").isin("asleep", "updating"), "close")
         .when(state.isin("starting", "charging"), "in")
-        .when(is_terminal_charge("charging_state") & (F.col("phase") != "offline"), "close")
+        .when(is_terminal_charge("charging_state"), "close")
         .when(state.isNotNull() & (F.col("phase") == "online"), "close")
     )
     rows = _numbered(obs.withColumn("_kind", kind), "_kind").withColumn("endpoint", F.col("_kind") == "close")

@@ -13,10 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observed(table(spark, sf_dir, "events"))
+
+
+def observed(events: DataFrame) -> DataFrame:
+    """Events, batch or stream, as observations."""
     phase = F.expr("CASE event_type WHEN 'view' THEN 'online' WHEN 'click' THEN 'driving' WHEN 'purchase' THEN 'charging' WHEN 'signup' THEN 'asleep' WHEN 'error' THEN 'offline' END")
     soc = F.get_json_object("props", "$.k").try_cast("bigint")
     version = F.concat(F.lit("2024."), F.floor(F.col("event_id") / 500).cast("string"))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("observation_id"), F.col("user_id").alias("car_id"), epoch_ms("ts").alias("at_ms"), phase.alias("phase"), F.when(F.col("event_type") != "error", F.col("value")).alias("power"), soc.alias("soc"), F.when(F.col("event_id") % 5 == 0, version).alias("version"), "props")
+    return events.select(F.col("event_id").alias("observation_id"), F.col("user_id").alias("car_id"), epoch_ms("ts").alias("at_ms"), phase.alias("phase"), F.when(F.col("event_type") != "error", F.col("value")).alias("power"), soc.alias("soc"), F.when(F.col("event_id") % 5 == 0, version).alias("version"), "props")
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
-"""The lifecycle of vehicles as a stream: observations in, closed intervals, drives and charges out.
+"""The lifecycle of vehicles as a stream: observations in; closed intervals, drives, charges, updates and their rows out.
 
-One state row per car holds what is open, as aggregates only; children go to the sink as they come. Rows
-of a car are taken in order of (at_ms, observation_id) within a batch. An observation id at or below
-the last one is a replay and does nothing; a clock behind the car's clock is held at it. A broken
-payload drops what is open and is reported; 'service' closes everything at its time.
+One state row per car holds what is open, as aggregates only; children go to the sink as they come. Rows of a car are
+taken in order of observation_id, as the log has them; an id at or below the last one taken is a replay and does
+nothing, within a micro-batch and over its borders alike, so a late lower id is left out wherever borders fall. A
+clock behind the car's clock is held at it. A broken payload drops what is open, takes the phase of the vehicle's
+state, and is reported; 'service' closes everything at its time.
 
+A car's rows of one micro-batch are in one worker's memory while it sorts them: bound the trigger (maxFilesPerTrigger).
 The state store must be RocksDB's; `configure` sets it on a session.
 """
 
@@ -17,10 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OFFLINE_MS = 15 * 60_000
-IN = "car_id long, observation_id long, at_ms long, phase string, charging_state string, odometer double, energy double, broken boolean"
-OUT = "car_id long, entity string, label string, start_ms long, end_ms long, n long, first double, last double"
-STATE = "last_id long, clock long, state string, since long, drive_start long, drive_last long, drive_n long, odo_first double, odo_last double, charge_start long, charge_last long, charge_n long, energy_first double, energy_last double"
+from wayfleet.operators import cdc
+
+OFFLINE_MS, THIN_MS = 15 * 60_000, 5 * 60_000
+IN = "car_id long, observation_id long, at_ms long, phase string, charging_state string, odometer double, energy double, broken boolean, status string, version string, latitude double, longitude double, drive_data boolean"
+OUT = "car_id long, entity string, session long, observation_id long, label string, start_ms long, end_ms long, n long, first double, last double"
+STATE = "last_id long, clock long, phase string, state string, since long, drive_no long, drive_start long, drive_last long, drive_n long, odo_first double, odo_last double, charge_no long, charge_start long, charge_last long, charge_n long, energy_first double, energy_last double, drive_at long, parked_at long, update_start long, version string"
 LOGICAL = {"online": "online", "driving": "online", "charging": "online", "updating": "online", "parked": "online", "asleep": "asleep", "offline": "offline"}
 TERMINAL = {"complete", "disconnected", "stopped", "nopower", "unplugged"}
 
@@ -32,7 +36,8 @@ def configure(spark: SparkSession) -> None:
 class Car:
     """One car's open sessions; step() gives what a row closes."""
 
-    def __init__(self, values: tuple | None, offline_ms: int):
+    def __init__(self, values: tuple | None, offline_ms: int, thin_ms: int = THIN_MS):
+        self.thin_ms = thin_ms
         self.names = [c.split()[0] for c in STATE.split(", ")]
         self.s = dict(zip(self.names, values or [None] * len(self.names), strict=True))
         self.offline_ms = offline_ms
@@ -43,80 +48,123 @@ class Car:
     def close_drive(self) -> Iterator[tuple]:
         s = self.s
         if s["drive_start"] is not None and s["drive_n"] >= 2:
-            yield "drive", None, s["drive_start"], s["drive_last"], s["drive_n"], s["odo_first"], s["odo_last"]
+            yield "drive", s["drive_no"], None, None, s["drive_start"], s["drive_last"], s["drive_n"], s["odo_first"], s["odo_last"]
         s["drive_start"] = None
 
     def close_charge(self) -> Iterator[tuple]:
         s = self.s
         if s["charge_start"] is not None:
-            yield "charge", None, s["charge_start"], s["charge_last"], s["charge_n"], s["energy_first"], s["energy_last"]
+            yield "charge", s["charge_no"], None, None, s["charge_start"], s["charge_last"], s["charge_n"], s["energy_first"], s["energy_last"]
         s["charge_start"] = None
 
-    def extend(self, kind: str, at: int, first: str, value: float | None) -> None:
+    def extend(self, kind: str, at: int, first: str, value: float | None, child: str, id: int | None) -> Iterator[tuple]:
         s = self.s
         if s[f"{kind}_start"] is None:
             s[f"{kind}_start"], s[f"{kind}_n"], s[f"{first}_first"], s[f"{first}_last"] = at, 0, None, None
+            s[f"{kind}_no"] = (s[f"{kind}_no"] or 0) + 1
         s[f"{kind}_last"], s[f"{kind}_n"] = at, s[f"{kind}_n"] + 1
         if value is not None:
             s[f"{first}_first"] = value if s[f"{first}_first"] is None else s[f"{first}_first"]
             s[f"{first}_last"] = value
+        yield child, s[f"{kind}_no"], id, None, at, None, None, value, None
 
-    def step(self, at: int, phase: str | None, charging: str | None, odometer: float | None, energy: float | None, broken: bool) -> Iterator[tuple]:
+    def step(self, at: int, phase: str | None, charging: str | None, odometer: float | None, energy: float | None, broken: bool, status: str | None = None, version: str | None = None, latitude: float | None = None, longitude: float | None = None, drive_data: bool | None = True, id: int | None = None) -> Iterator[tuple]:
+        """What a row closes and adds: (entity, session, observation_id, label, start_ms, end_ms, n, first, last)."""
         s = self.s
         at = at if s["clock"] is None else max(at, s["clock"])
         s["clock"] = at
         if broken:
             s["drive_start"] = s["charge_start"] = None
-            yield "quarantine", None, at, at, 1, None, None
+            s["phase"] = phase
+            yield "quarantine", None, id, None, at, at, 1, None, None
             return
         if phase == "service":
             yield from self.close_drive()
             yield from self.close_charge()
             return
-        ended = phase in ("asleep", "updating", "online", "charging") or (phase == "offline" and s["drive_start"] is not None and at - s["drive_last"] >= self.offline_ms)
+        ended = phase in ("asleep", "updating") or (phase in ("online", "charging") and bool(drive_data)) or (phase == "offline" and s["drive_start"] is not None and at - s["drive_last"] >= self.offline_ms)
         if s["drive_start"] is not None and ended:
             if phase in ("online", "charging") and odometer is not None:
-                self.extend("drive", at, "odo", odometer)
+                yield from self.extend("drive", at, "odo", odometer, "drive_position", id)
             yield from self.close_drive()
         told = charging.lower() if charging else None
-        if s["charge_start"] is not None and told in TERMINAL and phase not in ("asleep", "updating", "offline"):
-            self.extend("charge", at, "energy", energy)
+        if s["charge_start"] is not None and told in TERMINAL and phase not in ("asleep", "updating"):
+            yield from self.extend("charge", at, "energy", energy, "charge_sample", id)
             yield from self.close_charge()
         elif s["charge_start"] is not None and (phase in ("asleep", "updating") or (told not in (None, "starting", "charging") and phase == "online")):
             yield from self.close_charge()
         if phase == "driving":
-            self.extend("drive", at, "odo", odometer)
+            yield from self.extend("drive", at, "odo", odometer, "drive_position", id)
         if told in ("starting", "charging") and phase not in ("asleep", "updating"):
-            self.extend("charge", at, "energy", energy)
+            yield from self.extend("charge", at, "energy", energy, "charge_sample", id)
+        yield from self.park(at, phase, latitude, longitude, id)
+        seen = phase
+        if phase == "offline" and ((s["phase"] == "charging" and s["charge_start"] is not None) or (s["phase"] == "driving" and s["drive_start"] is not None) or s["phase"] == "updating"):
+            phase = s["phase"]
+        elif phase == "online" and ((s["phase"] == "charging" and told is None and s["charge_start"] is not None) or (s["phase"] == "driving" and not drive_data and s["drive_start"] is not None)):
+            phase = s["phase"]
+        s["phase"] = phase
         state = LOGICAL.get(phase or "")
         if state is not None and state != s["state"]:
             if s["state"] is not None:
-                yield "state", s["state"], s["since"], at, None, None, None
+                yield "state", None, None, s["state"], s["since"], at, None, None, None
             s["state"], s["since"] = state, at
+        yield from self.update(at, seen, status, version)
+        if drive_data:
+            s["drive_at"] = at
+
+    def park(self, at: int, phase: str | None, latitude: float | None, longitude: float | None, id: int | None) -> Iterator[tuple]:
+        s = self.s
+        fits = phase in ("online", "charging") and (s["drive_at"] is None or at > s["drive_at"]) and latitude is not None and longitude is not None and abs(latitude) <= 90 and abs(longitude) <= 180
+        if fits and (s["phase"] != phase or s["drive_at"] is None or s["parked_at"] is None or at - s["parked_at"] >= self.thin_ms):
+            s["parked_at"] = at
+            yield "position", None, id, phase, at, None, None, latitude, longitude
+
+    def update(self, at: int, phase: str | None, status: str | None, version: str | None) -> Iterator[tuple]:
+        s = self.s
+        told, before = (status or "").lower(), s["version"]
+        s["version"] = version or before
+        if told == "available":
+            s["update_start"] = None
+        elif told == "installing":
+            s["update_start"] = at if s["update_start"] is None else s["update_start"]
+        elif version and phase not in ("asleep", "offline"):
+            if s["update_start"] is not None:
+                yield "update", None, None, version, s["update_start"], at, None, None, None
+                s["update_start"] = None
+            elif before and firmware(version) > firmware(before):
+                yield "missed_update", None, None, version, at, at, None, None, None
+
+
+def firmware(version: str) -> list[int]:
+    """A version as numbers that compare as firmware does; see functions.scalars.firmware_key."""
+    return [int(p) if p.isdecimal() else 0 for p in version.split()[0].split(".")]
 
 
 class Lifecycle(StatefulProcessor):
-    def __init__(self, offline_ms: int = OFFLINE_MS):
-        self.offline_ms = offline_ms
+    def __init__(self, offline_ms: int = OFFLINE_MS, thin_ms: int = THIN_MS):
+        self.offline_ms, self.thin_ms = offline_ms, thin_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("open", STATE)
 
     def handleInputRows(self, key, rows: Iterable[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at_ms", "observation_id"])
-        car = Car(self.state.get() if self.state.exists() else None, self.offline_ms)
-        out, seen = [], car.s["last_id"]
+        batch = pd.concat(list(rows)).sort_values("observation_id", kind="stable")
+        car = Car(self.state.get() if self.state.exists() else None, self.offline_ms, self.thin_ms)
+        out = []
         none = lambda v: None if pd.isna(v) else v
         for r in batch.itertuples(index=False):
-            if seen is not None and r.observation_id <= seen:
+            if car.s["last_id"] is not None and r.observation_id <= car.s["last_id"]:
                 continue
-            car.s["last_id"] = max(int(r.observation_id), car.s["last_id"] if car.s["last_id"] is not None else int(r.observation_id))
-            for done in car.step(int(r.at_ms), none(r.phase), none(r.charging_state), none(r.odometer), none(r.energy), bool(none(r.broken))):
+            car.s["last_id"] = int(r.observation_id)
+            row = {c: none(getattr(r, c)) for c in ("phase", "odometer", "energy", "status", "version", "latitude", "longitude", "drive_data")}
+            for done in car.step(int(r.at_ms), charging=none(r.charging_state), broken=bool(none(r.broken)), id=int(r.observation_id), **row):
                 out.append((key[0], *done))
         self.state.update(car.values())
         names = [c.split()[0] for c in OUT.split(", ")]
         frame = pd.DataFrame(out, columns=names)
-        yield frame.astype({"car_id": "Int64", "start_ms": "Int64", "end_ms": "Int64", "n": "Int64", "first": "float64", "last": "float64"})
+        whole = {c: "Int64" for c in ("car_id", "session", "observation_id", "start_ms", "end_ms", "n")}
+        yield frame.astype(whole | {"first": "float64", "last": "float64"})
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         """Open sessions of imported history: rows of STATE after car_id."""
@@ -127,20 +175,56 @@ class Lifecycle(StatefulProcessor):
         pass
 
 
-def lifecycle_stream(obs: DataFrame, seeds: DataFrame | None = None, offline_ms: int = OFFLINE_MS) -> DataFrame:
-    """obs (IN) as stream -> closed rows (OUT). seeds: (car_id, STATE) of sessions open at the import's end."""
+def lifecycle_stream(obs: DataFrame, seeds: DataFrame | None = None, offline_ms: int = OFFLINE_MS, thin_ms: int = THIN_MS) -> DataFrame:
+    """obs (IN) as stream -> closed rows and children (OUT). seeds: (car_id, STATE) of sessions open at the import's end."""
     keyed = obs.groupBy("car_id")
     start = seeds.groupBy("car_id") if seeds is not None else None
-    return keyed.transformWithStateInPandas(statefulProcessor=Lifecycle(offline_ms), outputStructType=OUT, outputMode="Append", timeMode="None", initialState=start)
+    return keyed.transformWithStateInPandas(statefulProcessor=Lifecycle(offline_ms, thin_ms), outputStructType=OUT, outputMode="Append", timeMode="None", initialState=start)
 
 
 def gate(obs: DataFrame, marks: DataFrame) -> DataFrame:
-    """obs without what an import covered: rows at or before the car's import marks (car_id, drive_ms, charge_ms, vehicle_ms) lose the group's columns."""
+    """obs without what an import covered: each group's columns go where the group's own time (drive_ts, charge_ts, vehicle_ts; at_ms without such a column) is at or before the car's import mark (car_id, drive_ms, charge_ms, vehicle_ms).
+
+    An old drive group takes drive data, coordinates and odometer with it, an old charge group the charging state and
+    energy, an old vehicle group status and version. A row whose three groups are all old loses its phase, so that it changes no state.
+    """
     met = obs.join(marks, "car_id", "left")
-    old = lambda c: F.coalesce(F.col("at_ms") <= F.col(c), F.lit(False))
-    out = met.withColumn("odometer", F.when(~old("vehicle_ms"), F.col("odometer")))
-    out = out.withColumns({"charging_state": F.when(~old("charge_ms"), F.col("charging_state")), "energy": F.when(~old("charge_ms"), F.col("energy"))})
-    return out.withColumn("phase", F.when(~(old("drive_ms") & (F.col("phase") == "driving")), F.col("phase"))).drop(*[c for c in marks.columns if c != "car_id"])
+    time = lambda group: F.coalesce(F.col(f"{group}_ts"), F.col("at_ms")) if f"{group}_ts" in obs.columns else F.col("at_ms")
+    old = {g: F.coalesce(time(g) <= F.col(f"{g}_ms"), F.lit(False)) for g in ("drive", "charge", "vehicle")}
+    groups = {"drive": ["odometer", "latitude", "longitude"], "charge": ["charging_state", "energy"], "vehicle": ["status", "version"]}
+    out = {c: F.when(~old[g], F.col(c)) for g, cols in groups.items() for c in cols if c in obs.columns}
+    out["phase"] = F.when(~(old["drive"] & old["charge"] & old["vehicle"]) & ~(old["drive"] & (F.col("phase") == "driving")), F.col("phase"))
+    if "drive_data" in obs.columns:
+        out["drive_data"] = F.col("drive_data") & ~old["drive"]
+    return met.withColumns(out).drop(*[c for c in marks.columns if c != "car_id"])
+
+
+class Fresh(StatefulProcessor):
+    """Lets a frame through if its timestamp is later than every one before it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", "ts_ms long")
+
+    def handleInputRows(self, key, rows: Iterable[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.state.get()[0] if self.state.exists() else None
+        batch = pd.concat(list(rows)).sort_values("received_id", kind="stable")
+        top = batch["ts_ms"].cummax().shift()
+        if last is not None:
+            top = top.fillna(last).clip(lower=last)
+        kept = batch[top.isna() | (batch["ts_ms"] > top)]
+        if len(kept):
+            self.state.update((int(kept["ts_ms"].max()),))
+        yield kept
+
+    def close(self) -> None:
+        pass
+
+
+def fresh_frames(frames: DataFrame, received: str = "received_ms") -> DataFrame:
+    """A stream of frames (car_id, received_id, ts_ms, received_ms, ...) without implausible times and, per car in order of received_id, without frames that aren't newer than all before."""
+    sane = frames.where((F.col("ts_ms") >= 946_684_800_000) & (F.col("ts_ms") <= F.col(received) + 300_000))
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema.fields)
+    return sane.groupBy("car_id").transformWithStateInPandas(statefulProcessor=Fresh(), outputStructType=kind, outputMode="Append", timeMode="None")
 
 
 def deduplicated(frames: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -149,11 +233,16 @@ def deduplicated(frames: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["car_id", "ts_ms"])
 
 
-def publish(changes: DataFrame, path: str, checkpoint: str):
-    """Micro-batches of a mutation stream as deltas, each under its batch's sequence; a batch that is tried again overwrites itself."""
+MOST_MUTATIONS = 10_000
+
+
+def publish(changes: DataFrame, path: str, checkpoint: str, most: int = MOST_MUTATIONS):
+    """Micro-batches of a mutation stream as deltas of at most so many rows in order of their id, each under a sequence of its batch; a batch that is tried again overwrites itself."""
 
     def one(batch: DataFrame, number: int) -> None:
-        batch.withColumn("seq", F.lit(number + 1).cast("bigint")).write.mode("overwrite").parquet(f"{path}/to_seq={number + 1}")
+        parts = cdc.batch_changes(batch.withColumns({"_all": F.lit(0), "_size": F.lit(0).cast("bigint")}), max_rows=most, by="_all", order="id", size="_size")
+        seq = F.lit(number).cast("bigint") * (1 << 20) + F.col("batch") + 1
+        parts.withColumn("to_seq", seq).drop("_all", "_size", "batch").write.mode("overwrite").partitionBy("to_seq").parquet(f"{path}/batch={number}")
 
     return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
