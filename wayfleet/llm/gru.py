@@ -168,10 +168,14 @@ def windows(starts: np.ndarray, code: np.ndarray, pad: int) -> tuple[np.ndarray,
     n = np.diff(starts)
     count = np.where(n > 0, np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1), 0)
     row = np.repeat(np.arange(len(n)), count)
-    begin = starts[row] + STRIDE * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
-    at = begin[:, None] + np.arange(WINDOW)
-    inside = at < starts[row + 1][:, None]
-    return np.where(inside, np.append(code, pad)[np.where(inside, at, 0)], pad), row
+    at = starts[row] + STRIDE * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+    end = starts[row + 1]
+    out = np.full((len(row), WINDOW), pad, dtype=np.int32)
+    for step in range(WINDOW):  # column by column, as whole tables of places would take several times the result
+        inside = at < end
+        out[inside, step] = code[at[inside]]
+        at += 1
+    return out, row
 
 
 def scores(net: Network, texts: pa.Array) -> np.ndarray:
@@ -193,6 +197,7 @@ def trained(texts: list[str], labels: np.ndarray, rounds: int = 5, batch: int =
     forms = plain(distinct)
     again, forms = coded(forms)
     code = again[code]
+    del flat, distinct, again
     row = np.repeat(np.arange(len(texts)), np.diff(starts))
     pair = np.unique(row * len(forms) + code)
     one = labels[pair // len(forms)] == 1
@@ -212,6 +217,8 @@ def trained(texts: list[str], labels: np.ndarray, rounds: int = 5, batch: int =
             both = np.unique(np.repeat(text_of[lo:hi] * BUCKETS, reps) + bucket[at])
             for label in (0, 1):
                 seen[label] += np.bincount(both[labels[both // BUCKETS] == label] % BUCKETS, minlength=BUCKETS)
+    del pair, one, both, own, row, text_of, form_of
+    pa.default_memory_pool().release_unused()
     net = Network([forms[int(i)].as_py() for i in common], word_odds, odds(seen[1], seen[0], n1, n0))
     index, text = windows(starts, code, len(forms))
     rng = np.random.default_rng(11)
@@ -226,7 +233,7 @@ def trained(texts: list[str], labels: np.ndarray, rounds: int = 5, batch: int =
     for at in range(0, len(forms), FORMS):
         x = net.inputs(forms.slice(at, FORMS))[0]
         strength[at : at + len(x)] = np.maximum(x[:, -2], x[:, -1])
-    found = strength[index].max(1)
+    found = np.concatenate([strength[index[at : at + CHUNK]].max(1) for at in range(0, len(index), CHUNK)])
     for _ in range(rounds):
         order = np.lexsort((found, text))
         last = np.append(text[order][1:] != text[order][:-1], True)

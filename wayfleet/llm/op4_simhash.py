@@ -29,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfleet.llm.common import coded, mix, only, raw, settle, slices, sums, texts, words
+from wayfleet.llm.common import coded, mix, only, raw, settle, sieve_of, sifted, slices, sums, texts, words
 from wayfleet.llm.graph import components
 
 SEED = 42
@@ -41,6 +42,8 @@ SEED = 42
 NEAR, CELLS = 2, 1 << 22
 #: Buckets in which shingles are counted for their order; texts on a side of a tile.
 BUCKETS, TILE = 1 << 18, 64
+#: Bits of a set's bitmap, by which pairs that can't be similar enough go before whole sets are joined.
+BITS = 2048
 _SPREAD = np.array([sum((b >> i & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
 
 
@@ -219,7 +222,7 @@ def usage(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(doc_id, fp, k1, k2, n, prefix): fingerprint and digest of each text's shingle set, its size, and its first shingles in the common order."""
+    """(doc_id, fp, k1, k2, n, prefix, bits): fingerprint and digest of each text's shingle set, its size, its first shingles in the common order, and a bitmap of all by their hash modulo `BITS`."""
     shared = docs.sparkSession.sparkContext.broadcast(usage(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +230,9 @@ def prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
             h, row = sets(b, k)
             size = np.bincount(row, minlength=b.num_rows)
             starts = np.concatenate([[0], np.cumsum(size)])
+            bits = np.zeros((b.num_rows, BITS), dtype=bool)
+            bits[row, (h % np.uint64(BITS)).astype(np.int64)] = True
+            bits = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
             keys = [majority(h, starts).view(np.int64), *(sums(mix(h ^ np.uint64(x)).view(np.int64), starts) for x in (1, 2))]
             h = h[np.lexsort((h, shared.value[(h % np.uint64(BUCKETS)).astype(np.int64)], row))]
             first = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
@@ -234,9 +240,9 @@ def prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
             place = np.arange(len(h)) - starts[:-1][row]
             ends = np.concatenate([[0], np.cumsum(first)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[place < first[row]].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, keys), pa.array(size.astype(np.int64)), lists], names=["doc_id", "fp", "k1", "k2", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, keys), pa.array(size.astype(np.int64)), lists, pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * bits.shape[1], pa.int32()), pa.array(bits.ravel()))], names=["doc_id", "fp", "k1", "k2", "n", "prefix", "bits"])
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp long, k1 long, k2 long, n long, prefix array<long>")
+    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp long, k1 long, k2 long, n long, prefix array<long>, bits array<long>")
 
 
 def reached(n, m, i, j, similarity: float):
@@ -297,32 +303,56 @@ def alike(docs: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataF
     return both.where(F.coalesce(F.try_divide(common, F.size("x") + F.size("y") - common) >= similarity, F.lit(True))).select("a", "b")
 
 
+def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, b) of nodes (node, n, bits) whose bitmaps allow the similarity: a bit of one that the other lacks is a shingle they don't share at least, so no pair that has the similarity is left out."""
+    own = nodes.select("node", "n", "bits")
+    both = pairs.join(own.toDF("a", "_n", "_x"), "a").join(own.toDF("b", "_m", "_y"), "b")
+    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
+    common = F.least(F.col("_n") - lacks("_x", "_y"), F.col("_m") - lacks("_y", "_x"))
+    return both.where(common >= similarity / (1 + similarity) * (F.col("_n") + F.col("_m")) - 1e-6).select("a", "b").distinct()
+
+
 def anchored(nodes: DataFrame) -> DataFrame:
-    """nodes (node, fp), maybe several of one fp -> candidates (a, b): those of equal fingerprints and those that meet at anchors."""
+    """nodes (node, fp), maybe several of one fp -> candidates (a, b): each node and the smallest that equal fingerprints and anchors connect it with."""
     heads = settle(nodes.groupBy("fp").agg(F.min("node").alias("head")))
     equal = nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    return equal.unionByName(links64(heads.select(F.col("head").alias("node"), "fp")))
+    found = components(equal.unionByName(links64(heads.select(F.col("head").alias("node"), "fp"))))
+    return found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
+def postings(nodes: DataFrame) -> DataFrame:
+    """nodes (node, n, prefix) -> (token, node, n, pos, low, c) of the prefixes' shingles that several nodes have; a sieve of bounded size holds back most others before they are shuffled as rows."""
+    often = settle(nodes.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+    sieve = nodes.sparkSession.sparkContext.broadcast(sieve_of(often))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("prefix")
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+            token = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), np.diff(ends))
+            pos = np.arange(len(token)) - ends[:-1][row]
+            may = sifted(sieve.value, token)
+            take = pa.array(row[may])
+            yield pa.RecordBatch.from_arrays([pa.array(token[may]), b.column("node").take(take), b.column("n").take(take), pa.array(pos[may].astype(np.int64))], names=["token", "node", "n", "pos"])
+
+    at = nodes.select("node", "n", "prefix").mapInArrow(run, "token long, node long, n long, pos long")
+    low = F.min(F.struct("node", "n", "pos")).alias("low")
+    return settle(at.join(at.groupBy("token").agg(low, F.count("*").alias("c")).where("c > 1"), "token"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of each document (doc_id, text); the smallest doc_id of a component names it."""
     rows = settle(prefixes(docs, shingle, similarity))
     keys = ["fp", "k1", "k2", "n"]
-    nodes = settle(rows.where("doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("node")))
-    first = rows.join(nodes, keys).where("doc_id = node").dropDuplicates(["node", *keys])
-    held = settle(alike(docs, settle(anchored(first.select("node", "fp").distinct())), shingle, similarity))
-    at = first.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    low = F.min(F.struct("node", "n", "pos")).alias("low")
-    at = settle(at.join(at.groupBy("token").agg(low, F.count("*").alias("c")).where("c > 1"), "token"))
+    first = settle(rows.where("doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))  # equal sets have equal ones
+    at = postings(first)
     near = at.where("node <> low.node").where(reached(F.col("n"), F.col("low.n"), F.col("pos"), F.col("low.pos"), similarity))
-    near = near.select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct()
-    label = components(held)
-    for end in ("a", "b"):
-        near = near.join(label.toDF(end, f"_{end}"), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
-    pairs = settle(near.where("_a <> _b").select("a", "b"))
-    held = settle(held.unionByName(alike(docs, pairs, shingle, similarity)))
+    near = near.select(F.col("low.node").alias("a"), F.col("node").alias("b")).unionByName(anchored(first.select("node", "fp").distinct()))
+    pairs = settle(possible(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), first, similarity))
+    held = settle(alike(docs, pairs, shingle, similarity))
     more = tiles(at.where("c > 2").drop("c"), components(held), similarity)
-    more = settle(more.join(pairs, ["a", "b"], "left_anti"))
+    more = settle(possible(more.join(pairs, ["a", "b"], "left_anti"), first, similarity))
     found = components(held.unionByName(alike(docs, more, shingle, similarity)))
-    nodes = settle(nodes.join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("component_id")))
-    return rows.join(nodes, keys, "left").select("doc_id", "component_id")
+    nodes = settle(first.drop("prefix", "bits").join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("component_id")))
+    return rows.drop("prefix", "bits").join(nodes, keys, "left").select("doc_id", "component_id")
