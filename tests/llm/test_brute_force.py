@@ -225,6 +225,27 @@ def test_near_duplicates_finds_contiguous_edits_in_crowds(spark, tile, monkeypat
     assert got == want
 
 
+def test_bitmaps_of_any_lengths_keep_similar_sets(spark):
+    rng = np.random.default_rng(5)
+    rows, pairs, want = [], [], set()
+    for i, n in enumerate((0, 3, 400, 511, 512, 513, 1000, 1024, 2100, 5000)):  # lengths double behind 512, 1024, ...
+        for j, share in enumerate((0.5, 0.7, 0.8, 0.9)):
+            extra = int(np.ceil(n * (1 / share - 1))) if share < 0.8 else int(n * (1 / share - 1))
+            have = [np.sort(rng.choice(1 << 62, n + extra, replace=False)).astype(np.uint64)]
+            have.insert(0, np.sort(rng.permutation(have[0])[:n]))
+            for side, h in enumerate(have):
+                bits, _ = op4_simhash.bitmaps(h, np.zeros(len(h), dtype=np.int64), np.array([len(h)]))
+                rows.append((i * 100 + j * 10 + side, len(h), bits.tolist()))
+            pairs.append((i * 100 + j * 10, i * 100 + j * 10 + 1))
+            if share >= 0.8:
+                want.add(pairs[-1])
+    nodes = spark.createDataFrame(rows, "node long, n long, bits array<long>")
+    got = {tuple(r) for r in op4_simhash.possible(spark.createDataFrame(pairs, "a long, b long"), nodes, 0.8).collect()}
+    flipped = {(b, a) for a, b in op4_simhash.possible(spark.createDataFrame([(b, a) for a, b in pairs], "a long, b long"), nodes, 0.8).collect()}
+    assert want <= got and got == flipped
+    assert not {p for p in got if p[0] % 100 == 0 and p[0] >= 200}  # half as many shared: too few
+
+
 def test_near_duplicates_below_the_threshold_stay_apart(spark):
     rng = np.random.default_rng(4)
     rows = []

@@ -42,7 +42,7 @@ SEED = 42
 NEAR, CELLS = 2, 1 << 22
 #: Buckets in which shingles are counted for their order; texts on a side of a tile.
 BUCKETS, TILE = 1 << 18, 64
-#: Bits of a set's bitmap, by which pairs that can't be similar enough go before whole sets are joined.
+#: Bits of a set's bitmap at least, by which pairs that can't be similar enough go before whole sets are joined.
 BITS = 2048
 _SPREAD = np.array([sum((b >> i & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
 
@@ -221,8 +221,17 @@ def usage(docs: DataFrame, k: int) -> np.ndarray:
     return out
 
 
+def bitmaps(h: np.ndarray, row: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of sets in a row, as 64-bit words, by hashes modulo a power of two: four bits a shingle or more, and `BITS` at least; and where each set's words start."""
+    length = np.maximum(BITS, 1 << np.ceil(np.log2(4 * np.maximum(size, 1))).astype(np.int64))
+    ends = np.concatenate([[0], np.cumsum(length)])
+    bits = np.zeros(ends[-1], dtype=bool)
+    bits[ends[:-1][row] + (h % length[row].astype(np.uint64)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64), ends // 64
+
+
 def prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(doc_id, fp, k1, k2, n, prefix, bits): fingerprint and digest of each text's shingle set, its size, its first shingles in the common order, and a bitmap of all by their hash modulo `BITS`."""
+    """(doc_id, fp, k1, k2, n, prefix, bits): fingerprint and digest of each text's shingle set, its size, its first shingles in the common order, and a bitmap of all."""
     shared = docs.sparkSession.sparkContext.broadcast(usage(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,9 +239,7 @@ def prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
             h, row = sets(b, k)
             size = np.bincount(row, minlength=b.num_rows)
             starts = np.concatenate([[0], np.cumsum(size)])
-            bits = np.zeros((b.num_rows, BITS), dtype=bool)
-            bits[row, (h % np.uint64(BITS)).astype(np.int64)] = True
-            bits = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+            bits, cuts = bitmaps(h, row, size)
             keys = [majority(h, starts).view(np.int64), *(sums(mix(h ^ np.uint64(x)).view(np.int64), starts) for x in (1, 2))]
             h = h[np.lexsort((h, shared.value[(h % np.uint64(BUCKETS)).astype(np.int64)], row))]
             first = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
@@ -240,7 +247,7 @@ def prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
             place = np.arange(len(h)) - starts[:-1][row]
             ends = np.concatenate([[0], np.cumsum(first)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[place < first[row]].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, keys), pa.array(size.astype(np.int64)), lists, pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * bits.shape[1], pa.int32()), pa.array(bits.ravel()))], names=["doc_id", "fp", "k1", "k2", "n", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, keys), pa.array(size.astype(np.int64)), lists, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(bits))], names=["doc_id", "fp", "k1", "k2", "n", "prefix", "bits"])
 
     return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp long, k1 long, k2 long, n long, prefix array<long>, bits array<long>")
 
@@ -288,28 +295,43 @@ def tiles(at: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
 
 
 def alike(docs: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) of doc_ids those whose distinct shingles have the similarity."""
+    """Of the pairs (a, b) of doc_ids those whose distinct shingles have the similarity. A sieve of bounded size holds back most other documents before anything of them is shuffled."""
+    named = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(named.select(F.xxhash64("doc_id").alias("key"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(b.filter(pa.array(sifted(sieve.value, b.column("key").to_numpy(zero_copy_only=False)))) for b in batches):
             h, row = sets(b, k)
             ends = np.searchsorted(row, np.arange(b.num_rows + 1))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))], names=["doc_id", "hashes"])
 
-    named = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    own = only(docs, doc_id="long", text="string").join(named, "doc_id", "left_semi").mapInArrow(run, "doc_id long, hashes array<long>")
+    own = only(docs, doc_id="long", text="string").withColumn("key", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, hashes array<long>")
     both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(F.coalesce(F.try_divide(common, F.size("x") + F.size("y") - common) >= similarity, F.lit(True))).select("a", "b")
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b) of nodes (node, n, bits) whose bitmaps allow the similarity: a bit of one that the other lacks is a shingle they don't share at least, so no pair that has the similarity is left out."""
+    """pairs (a, b) of nodes (node, n, bits) whose sizes and bitmaps allow the similarity.
+
+    A bit of one that the other lacks is a shingle they don't share at least, so no pair that has the similarity is
+    left out. The longer bitmap is folded to the length of the shorter.
+    """
     own = nodes.select("node", "n", "bits")
     both = pairs.join(own.toDF("a", "_n", "_x"), "a").join(own.toDF("b", "_m", "_y"), "b")
+    least = similarity / (1 + similarity) * (F.col("_n") + F.col("_m")) - 1e-6
+
+    def halved(x: str, y: str) -> Column:
+        half = F.expr(f"cast(size({x}) div 2 as int)")
+        folded = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseOR(q))
+        return F.when(F.size(x) > F.size(y), folded).otherwise(F.col(x))
+
+    both = both.where(F.least("_n", "_m") >= least)
+    for _ in range(int(np.ceil(np.log2(1 / similarity)))):  # sizes within the similarity differ by no more doublings
+        both = both.withColumns({"_x": halved("_x", "_y"), "_y": halved("_y", "_x")})
     lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
     common = F.least(F.col("_n") - lacks("_x", "_y"), F.col("_m") - lacks("_y", "_x"))
-    return both.where(common >= similarity / (1 + similarity) * (F.col("_n") + F.col("_m")) - 1e-6).select("a", "b").distinct()
+    return both.where(common >= least).select("a", "b").distinct()
 
 
 def anchored(nodes: DataFrame) -> DataFrame:
