@@ -148,20 +148,33 @@ def test_geofence_boundary_and_ties(spark):
     assert got == {1: 1, 4: 4, 5: 5}
 
 
-def test_tiles(spark):
-    grid = [0] * (1201 * 1201)
-    grid[0], grid[1] = 123, -32768
-    tiles = spark.createDataFrame([("N47E008", 1201, grid)], "tile string, side int, cells array<short>")
-    points = spark.createDataFrame([(1, 47.99999, 8.0, None), (2, 47.99999, 8.0009, None), (3, 47.5, 8.5, 7), (4, -1.5, -0.5, None)], "id long, latitude double, longitude double, elevation long")
-    got = {r.id: r.elevation for r in geo.elevations(points, tiles).collect()}
-    assert got == {1: 123, 2: None, 3: 7, 4: None}
+def test_tiles(spark, tmp_path):
+    (tmp_path / "N47E008.hgt").write_bytes((b"\x00\x7b\x80\x00" + b"\x00\x01" * (1201 * 1201 - 3) + b"\x00\x09"))
+    grid = live.read_elevation_tiles(spark, str(tmp_path))
+    points = spark.createDataFrame([(1, 47.99999, 8.0, None), (2, 47.99999, 8.0009, None), (3, 47.5, 8.5, 7), (4, -1.5, -0.5, None), (5, 47.5, 8.5, None), (6, None, 8.5, None)], "id long, latitude double, longitude double, elevation long")
+    got = {r.id: r.elevation for r in geo.elevations(points, grid).collect()}
+    assert got == {1: 123, 2: None, 3: 7, 4: None, 5: 1, 6: None}
     assert one(spark, S.tile_name(F.lit(-1.5), F.lit(-0.5)))[0] == "S02W001"
 
 
 def test_tile_files(spark, tmp_path):
     (tmp_path / "N47E008.hgt").write_bytes((b"\x00\x7b\x80\x00" + b"\x00\x01" * (1201 * 1201 - 2)))
-    r = live.read_elevation_tiles(spark, str(tmp_path)).select("tile", "side", F.slice("cells", 1, 3).alias("c"), F.size("cells").alias("n")).first()
-    assert (r.tile, r.side, r.c, r.n) == ("N47E008", 1201, [123, -32768, 1], 1201 * 1201)
+    rows = live.read_elevation_tiles(spark, str(tmp_path)).select("tile", "side", "row", F.slice("cells", 1, 3).alias("c"), F.size("cells").alias("n")).orderBy("row").collect()
+    assert len(rows) == 1201 and [r.row for r in rows] == list(range(1201))
+    assert tuple(rows[0])[:2] == ("N47E008", 1201) and rows[0].c == [123, -32768, 1] and rows[0].n == 1201
+
+
+def test_dangling_keys_stop_an_import(spark):
+    drives = spark.createDataFrame([(1, 5, 0, 10, 1, 2, 7, None, None, None)], "id long, car_id long, start_ms long, end_ms long, start_position_id long, end_position_id long, start_address_id long, end_address_id long, start_geofence_id long, end_geofence_id long")
+    spots = spark.createDataFrame([(1, 5, 1.0, 2.0, 50), (2, 6, 1.0, 2.0, 49)], "id long, car_id long, latitude double, longitude double, battery_level long")
+    names = spark.createDataFrame([(7, "here")], "id long, display_name string")
+    fences = spark.createDataFrame([], "id long, name string")
+    done = relations.project_drive(drives, spots, names, fences)
+    assert done.first().n_dangling == 1  # the end is another car's position
+    with pytest.raises(Exception, match="another car"):
+        relations.require_lookups(done).collect()
+    own = spots.withColumn("car_id", F.lit(5).cast("bigint"))
+    assert relations.require_lookups(relations.project_drive(drives, own, names, fences)).count() == 1
 
 
 def test_copy_text(spark):

@@ -59,14 +59,20 @@ def tariffs(charges: DataFrame, fences: DataFrame, **how) -> DataFrame:
     return charges.join(found, "id", "left")
 
 
-def elevations(positions: DataFrame, tiles: DataFrame) -> DataFrame:
-    """positions with a null elevation filled from tiles (tile, side, cells); void or impossible cells give null."""
-    spots = positions.withColumn("tile", tile_name(F.col("latitude"), F.col("longitude")))
+def elevations(positions: DataFrame, grid: DataFrame) -> DataFrame:
+    """positions with a null elevation filled from grid rows (tile, side, row, cells); void or impossible cells give null.
+
+    A position meets its own row of the grid alone. The sizes of tiles are broadcast: one for each degree square of
+    the earth at most. Where a tile comes in two sizes, the finer one counts.
+    """
+    sides = F.broadcast(grid.groupBy("tile").agg(F.max("side").alias("side")))
+    lost = positions.where("elevation is null").withColumn("tile", tile_name(F.col("latitude"), F.col("longitude"))).join(sides, "tile", "left")
     at = tile_cell(F.col("latitude"), F.col("longitude"), F.col("side"))
-    met = spots.join(tiles, "tile", "left")
-    cell = F.get("cells", at).cast("bigint")
-    found = F.when((cell != VOID) & cell.between(LOWEST, HIGHEST), cell)
-    return met.withColumn("elevation", F.coalesce("elevation", found)).drop("tile", "side", "cells")
+    lost = lost.withColumn("_at", at).withColumns({"row": F.expr("cast(_at div side as int)"), "_col": F.expr("cast(_at % side as int)")})
+    met = lost.join(grid, ["tile", "side", "row"], "left")
+    cell = F.get("cells", F.col("_col")).cast("bigint")
+    found = met.withColumn("elevation", F.when((cell != VOID) & cell.between(LOWEST, HIGHEST), cell))
+    return positions.where("elevation is not null").unionByName(found.select(*positions.columns))
 
 
 def cached_addresses(points: DataFrame, cache: DataFrame, digits: int = 4) -> DataFrame:
@@ -79,5 +85,3 @@ def cached_addresses(points: DataFrame, cache: DataFrame, digits: int = 4) -> Da
 
 def address_misses(points: DataFrame, cache: DataFrame, digits: int = 4) -> DataFrame:
     return cached_addresses(points, cache, digits).where("osm_id is null").select(*points.columns)
-
-

@@ -54,6 +54,11 @@ def drive_endpoints(drives: DataFrame, positions: DataFrame, addresses: DataFram
     return out.withColumn("n_dangling", dangling).drop("_start_car", "_end_car")
 
 
+def require_lookups(drives: DataFrame) -> DataFrame:
+    """The rows of drive_endpoints, each held to keys that name something when it is read."""
+    return drives.where(F.assert_true(F.col("n_dangling") == 0, "a drive names what isn't there, or another car's position").isNull())
+
+
 def charge_lookups(charges: DataFrame, positions: DataFrame | None, addresses: DataFrame, geofences: DataFrame) -> DataFrame:
     out = charges
     if positions is not None:
@@ -140,10 +145,10 @@ def project_update(updates: DataFrame) -> DataFrame:
 
 
 def project_history(tables: dict[str, DataFrame], facts: DataFrame) -> dict[str, DataFrame]:
-    """All projections of an import."""
+    """All projections of an import; a drive's key that names nothing stops the job."""
     return {
         "car": project_car(tables["cars"]),
-        "drive": project_drive(tables["drives"], tables["positions"], tables["addresses"], tables["geofences"]),
+        "drive": require_lookups(project_drive(tables["drives"], tables["positions"], tables["addresses"], tables["geofences"])),
         "position": project_position(tables["positions"], tables["drives"]),
         "charge": project_charge(tables["charges"], facts, tables["addresses"], tables["geofences"]),
         "charge_sample": project_charge_sample(tables["samples"]),

@@ -92,6 +92,7 @@ def read_copy_csv(df: DataFrame, col: str, names: list[str]) -> DataFrame:
     return df.withColumn("_c", cells).select(*df.columns, *[value(F.get("_c", F.lit(i))).alias(n) for i, n in enumerate(names)], (F.size("_c") != len(names)).alias("malformed"))
 
 
+# The address parts of a geocoder's answer.
 ADDRESS = ["house_number", "road", "neighbourhood", "city", "county", "postcode", "state", "state_district", "country", "country_code"]
 
 
@@ -110,7 +111,7 @@ TILE_BYTES = {2 * 1201 * 1201: 1201, 2 * 3601 * 3601: 3601}
 
 
 def read_elevation_tiles(spark: SparkSession, path: str) -> DataFrame:
-    """(tile, side, cells) of big-endian 16-bit grids named like N47E008; a file of another length stops the job when it is read."""
+    """(tile, side, row, cells), one row of a grid each, of big-endian 16-bit grids named like N47E008; a file of another length stops the job when it is read."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +120,8 @@ def read_elevation_tiles(spark: SparkSession, path: str) -> DataFrame:
                 data, name = content.as_buffer(), re.search(r"([NS]\d{2}[EW]\d{3})[^/]*$", place)
                 if data.size not in TILE_BYTES or not name:
                     raise ValueError(f"not an elevation tile: {place}")
-                cells = pa.array(np.frombuffer(data, dtype=">i2").astype(np.int16))
-                yield pa.RecordBatch.from_arrays([pa.array([name[1]]), pa.array([TILE_BYTES[data.size]], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(cells)], pa.int32()), cells)], names=["tile", "side", "cells"])
+                side, cells = TILE_BYTES[data.size], pa.array(np.frombuffer(data, dtype=">i2").astype(np.int16))
+                lines = pa.ListArray.from_arrays(pa.array(np.arange(side + 1) * side, pa.int32()), cells)
+                yield pa.RecordBatch.from_arrays([pa.array([name[1]] * side), pa.array([side] * side, pa.int32()), pa.array(range(side), pa.int32()), lines], names=["tile", "side", "row", "cells"])
 
-    return files.mapInArrow(decoded, "tile string, side int, cells array<short>")
+    return files.mapInArrow(decoded, "tile string, side int, row int, cells array<short>")
