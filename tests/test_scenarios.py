@@ -214,6 +214,26 @@ def test_change_capture(spark):
     assert cdc.validate_delta(delta).isEmpty() and not cdc.validate_delta(delta.unionByName(delta)).isEmpty()
 
 
+def test_delta_contract(spark):
+    good = '{"start_ms": 1, "end_ms": 2, "start_soc": 50, "latitude": 1.5, "longitude": 2.5}'
+    rows = [("drive", 1, 5, "upsert", good, 1), ("drive", 2, 5, "upsert", '{"start_ms": 3, "end_ms": 2}', 1), ("drive", 3, 5, "upsert", '{"end_soc": 101}', 1), ("position", 4, 5, "upsert", '{"latitude": 91, "longitude": 0}', 1), ("position", 5, 5, "upsert", '{"latitude": 1}', 1), ("car", 5, 5, "delete", None, 1), ("drive", 0, 5, "upsert", None, 1), ("drive", 7, 5, "upsert", "junk", 1), ("drive", 7, 5, "delete", None, 1)]
+    delta = spark.createDataFrame(rows, "entity string, id long, car_id long, op string, payload string, seq long")
+    got = {(r.rule, r.id) for r in cdc.validate_delta(delta).collect()}
+    assert got == {("interval", 2), ("soc", 3), ("coordinates", 4), ("coordinates", 5), ("deleted car", 5), ("positive id", 0), ("payload missing", 0), ("upsert and delete", 7)}
+    assert {r.rule for r in cdc.validate_delta(delta.where("id = 1"), cdc.ZERO).collect()} == {"parent digest"}
+    assert cdc.validate_delta(delta.where("id = 1"), "a" * 64).isEmpty()
+
+
+def test_snapshot_contract(spark):
+    drives = spark.createDataFrame([(1, 5, 10, 20, -1.0, 101)], "id long, car_id long, start_ms long, end_ms long, distance_km double, end_soc long")
+    spots = spark.createDataFrame([(1, 5, 1, 10, 1.0, 2.0, 50, 1.0, 1.0, 1, float("nan"))], "id long, car_id long, drive_id long, date_ms long, latitude double, longitude double, battery_level long, odometer double, outside_temp double, speed long, inside_temp double")
+    charges = drives.select("id", F.lit(6).cast("bigint").alias("car_id"), "start_ms", "end_ms", F.lit(float("inf")).alias("cost"))
+    samples = spark.createDataFrame([(1, 5, 1, 0, 50, 1.0, -2.0)], "id long, car_id long, charge_id long, date_ms long, battery_level long, energy double, power double")
+    cars = spark.createDataFrame([(5, " ", "S")], "id long, name string, model string")
+    got = {(r.entity, r.rule) for r in quality.validate_snapshot(drives, spots, charges, samples, cars).collect()}
+    assert got == {("drive", "distance_km"), ("drive", "end_soc"), ("position", "inside_temp"), ("charge", "cost"), ("charge", "car exists"), ("charge_sample", "positive time"), ("charge_sample", "power"), ("car", "name")}
+
+
 def test_lineage(spark):
     import hashlib
 
@@ -267,7 +287,9 @@ def test_schema_contract(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("drive", 1, 7, "upsert", "p"), ("drive", 2, 7, "delete", None)], "entity string, id long, car_id long, op string, payload string").withColumn("seq", F.lit(3).cast("long"))
-    sinks.write_delta(rows, str(tmp_path / "d"), 3, "0" * 64)
+    sinks.write_delta(rows, str(tmp_path / "d"), 3, "a" * 64)
+    with pytest.raises(ValueError, match="parent digest"):
+        sinks.write_delta(rows, str(tmp_path / "z"), 4, "0" * 64)
     assert sinks.read_deltas(spark, str(tmp_path / "d")).count() == 2
     with pytest.raises(ValueError):
         sinks.write_delta(rows.limit(0), str(tmp_path / "e"), 4, "0" * 64)

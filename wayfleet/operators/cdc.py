@@ -6,13 +6,15 @@ A version is (entity, id, car_id, digest[, payload]); a change feed is (entity,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayfleet.functions.scalars import chain_digest
+from wayfleet.functions.scalars import chain_digest, valid_coordinates
 from wayfleet.operators.folds import settled
 from wayfleet.operators.reconcile import ENTITY_RANK, rank_of, stage_of
 
@@ -41,15 +43,32 @@ def build_delta(prior: DataFrame, current: DataFrame, seq: int) -> DataFrame:
     return up.unionByName(down).withColumn("seq", F.lit(seq).cast("bigint"))
 
 
-def validate_delta(delta: DataFrame) -> DataFrame:
-    """(rule, entity, id) of each breach: ids not positive, keys twice, more than one car per feed's sequence, deleted cars, upserts without payload."""
+def validate_delta(delta: DataFrame, parent: str | None = None) -> DataFrame:
+    """(rule, entity, id) of each breach: ids not positive, keys twice, more than one car per feed's sequence, deleted cars, upserts without payload, a parent digest of zeros, and payloads (JSON) with an interval, level or coordinates out of bounds."""
     def breach(rows: DataFrame, rule: str) -> DataFrame:
         return rows.select(F.lit(rule).alias("rule"), "entity", F.col("id").cast("bigint").alias("id"))
 
+    def field(name: str) -> Column:
+        return F.get_json_object("payload", f"$.{name}").try_cast("double")
+
     keys = delta.groupBy("seq", *KEY).agg(F.count("*").alias("n"), F.count_distinct("op").alias("ops"))
     cars = delta.groupBy("seq").agg(F.count_distinct("car_id").alias("n")).where("n > 1").select(F.lit("one car").alias("rule"), F.lit(None).cast("string").alias("entity"), F.col("seq").alias("id"))
-    out = breach(delta.where("id <= 0 or id is null"), "positive id")
-    for rows, rule in ((keys.where("ops > 1"), "upsert and delete"), (keys.where("n > 1 and ops = 1"), "key twice"), (delta.where("op = 'delete' and entity = 'car'"), "deleted car"), (delta.where("op = 'upsert' and payload is null"), "payload missing"), (delta.where("seq <= 0 or seq is null"), "forward sequence")):
+    levels = [field(c) for c in ("start_soc", "end_soc", "battery_level", "usable_battery_level", "start_battery_level", "end_battery_level")]
+    spots = [(field(f"{e}latitude"), field(f"{e}longitude")) for e in ("", "start_", "end_")]
+    wrong = lambda lat, lon: (lat.isNotNull() | lon.isNotNull()) & ~valid_coordinates(lat, lon, no_origin=True)
+    rules = [
+        ("positive id", ~F.coalesce(F.col("id") > 0, F.lit(False))),
+        ("deleted car", (F.col("op") == "delete") & (F.col("entity") == "car")),
+        ("payload missing", (F.col("op") == "upsert") & F.col("payload").isNull()),
+        ("forward sequence", ~F.coalesce(F.col("seq") > 0, F.lit(False))),
+        ("parent digest", F.lit(parent == ZERO)),
+        ("interval", field("end_ms") < field("start_ms")),
+        ("soc", reduce(or_, [F.coalesce(~x.between(0, 100), F.lit(False)) for x in levels])),
+        ("coordinates", reduce(or_, [wrong(*x) for x in spots])),
+    ]
+    broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules]))
+    out = delta.select(F.explode(broken).alias("rule"), "entity", F.col("id").cast("bigint").alias("id"))
+    for rows, rule in ((keys.where("ops > 1"), "upsert and delete"), (keys.where("n > 1 and ops = 1"), "key twice")):
         out = out.unionByName(breach(rows, rule))
     return out.unionByName(cars)
 

@@ -58,6 +58,30 @@ def second_aligned(col: str) -> Column:
     return F.col(col).isNull() | F.col(col).isin(INFINITE_PAST, INFINITE_FUTURE) | (F.pmod(F.col(col), F.lit(1_000_000)) == 0)
 
 
+# Columns of an entity that may not be negative, and those that must be finite.
+NON_NEGATIVE = {
+    "car": ["efficiency_wh_per_km"],
+    "drive": ["distance_km", "efficiency", "start_rated_km", "end_rated_km"],
+    "position": ["ideal_km", "rated_km"],
+    "charge": ["energy_added", "energy_used", "max_power", "start_rated_km", "end_rated_km"],
+    "charge_sample": ["power", "voltage", "current", "ideal_km", "rated_km"],
+}
+FINITE = {"drive": ["outside_temp"], "position": ["inside_temp"], "charge": ["cost", "cost_per_unit", "session_fee", "outside_temp"], "charge_sample": ["outside_temp"]}
+LEVELS = {"drive": ["start_soc", "end_soc"], "position": ["usable_battery_level"], "charge": ["start_battery_level", "end_battery_level"], "charge_sample": ["usable_battery_level"]}
+
+
+def field_rules(entity: str, rows: DataFrame) -> dict[str, Column]:
+    """The rules above for the columns that rows have; a pair of coordinates for each end that has one."""
+    rules = [(non_negative, NON_NEGATIVE), (finite, FINITE), (soc, LEVELS)]
+    found = {c: rule(c) for rule, named in rules for c in named.get(entity, []) if c in rows.columns}
+    ends = [e for e in ("start", "end") if f"{e}_latitude" in rows.columns and entity in ("drive", "charge")]
+    return found | {f"{e} coordinates": coordinates(f"{e}_latitude", f"{e}_longitude") for e in ends}
+
+
+def text(col: str) -> Column:
+    return F.trim(F.coalesce(F.col(col), F.lit(""))) != ""
+
+
 def violations(entity: str, rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """A row per broken rule and row, in one pass over the rows."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
@@ -73,17 +97,27 @@ def orphans(entity: str, rows: DataFrame, parents: DataFrame, key: str, name: st
     return lost.select(F.lit(entity).alias("entity"), F.col("id").cast("bigint").alias("id"), F.lit(name).alias("rule"))
 
 
-def validate_snapshot(drives: DataFrame, positions: DataFrame, charges: DataFrame, samples: DataFrame) -> DataFrame:
-    """All field rules of the four entities, unique ids, and children whose parent is missing."""
-    return union([
-        violations("drive", drives, {"positive id": positive(), "interval": interval(), "completed": F.col("end_ms").isNotNull()}),
-        violations("position", positions, {"positive id": positive(), "coordinates": coordinates(), "soc": soc("battery_level"), "odometer": non_negative("odometer"), "finite temperature": finite("outside_temp"), "speed": non_negative("speed")}),
-        violations("charge", charges, {"positive id": positive(), "interval": interval()}),
-        violations("charge_sample", samples, {"positive id": positive(), "soc": soc("battery_level"), "energy": non_negative("energy")}),
-        *[repeated(n, f) for n, f in (("drive", drives), ("position", positions), ("charge", charges), ("charge_sample", samples))],
-        orphans("position", positions, drives, "drive_id", "drive exists"),
-        orphans("charge_sample", samples, charges, "charge_id", "charge exists"),
-    ])
+def validate_snapshot(drives: DataFrame, positions: DataFrame, charges: DataFrame, samples: DataFrame, cars: DataFrame | None = None, states: DataFrame | None = None, updates: DataFrame | None = None) -> DataFrame:
+    """All field rules of the entities, unique ids, and children whose parent is missing; with cars, states and updates where they are given."""
+    frames = {"drive": drives, "position": positions, "charge": charges, "charge_sample": samples}
+    rules = {
+        "drive": {"interval": interval(), "completed": F.col("end_ms").isNotNull(), "positive start": positive("start_ms")},
+        "position": {"positive time": positive("date_ms"), "coordinates": coordinates(), "soc": soc("battery_level"), "odometer": non_negative("odometer"), "finite temperature": finite("outside_temp"), "speed": non_negative("speed")},
+        "charge": {"interval": interval(), "positive start": positive("start_ms")},
+        "charge_sample": {"positive time": positive("date_ms"), "soc": soc("battery_level"), "energy": non_negative("energy")},
+        "car": {},
+    }
+    out = [orphans("position", positions, drives, "drive_id", "drive exists"), orphans("charge_sample", samples, charges, "charge_id", "charge exists")]
+    if cars is not None:
+        frames["car"] = cars
+        rules["car"] = {"name": text("name"), "model": text("model")}
+        out += [orphans(n, f, cars, "car_id", "car exists") for n, f in list(frames.items()) if n != "car"]
+    for name, rows in frames.items():
+        out += [violations(name, rows, {"positive id": positive()} | rules[name] | field_rules(name, rows)), repeated(name, rows)]
+    for name, rows, check in (("state", states, validate_states), ("update", updates, validate_updates)):
+        if rows is not None:
+            out += [check(rows), repeated(name, rows)]
+    return union(out)
 
 
 def validate_states(states: DataFrame) -> DataFrame:

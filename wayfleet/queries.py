@@ -578,6 +578,7 @@ def batch_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_frames("positions", "drives", "charges", "samples") + """ SELECT 'drive' AS entity, id, 'positive id' AS rule FROM drives WHERE id <= 0 UNION ALL SELECT 'drive', id, 'completed' FROM drives WHERE end_ms IS NULL
   UNION ALL SELECT 'charge', id, 'positive id' FROM charges WHERE id <= 0 UNION ALL SELECT 'position', id, 'soc' FROM positions WHERE battery_level NOT BETWEEN 0 AND 100
+  UNION ALL SELECT 'charge_sample', id, 'power' FROM samples WHERE power < 0
   UNION ALL SELECT 'position', id, 'unique id' FROM positions GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'charge_sample', id, 'unique id' FROM samples GROUP BY id HAVING count(*) > 1""")
 def snapshot_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.validate_snapshot(A.drives(spark, sf_dir), A.positions(spark, sf_dir), A.charges(spark, sf_dir), A.samples(spark, sf_dir))

@@ -29,7 +29,7 @@ def write_delta(changes: DataFrame, path: str, seq: int, parent: str) -> None:
     """A change feed's rows under its sequence and entity, with a metadata row; an empty or invalid delta is rejected."""
     if changes.isEmpty():
         raise ValueError("a delta has at least one change")
-    wrong = cdc.validate_delta(changes)
+    wrong = cdc.validate_delta(changes, parent)
     if not wrong.isEmpty():
         raise ValueError(f"the delta breaks its contract: {wrong.limit(5).collect()}")
     changes.sortWithinPartitions("entity", "id").write.partitionBy("entity").parquet(f"{path}/changes/to_seq={seq}")
