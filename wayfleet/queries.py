@@ -530,6 +530,15 @@ def tables_in_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.tables_in_delta(_feed(spark, sf_dir))
 
 
+@query(FEED + """, d AS (SELECT *, CAST(payload AS BIGINT) AS p FROM feed) SELECT 'soc' AS rule, entity, id FROM d WHERE p % 110 > 100 UNION ALL SELECT 'interval', entity, id FROM d WHERE p % 9 = 0
+  UNION ALL SELECT 'coordinates', entity, id FROM d WHERE p % 7 = 0 UNION ALL SELECT 'positive id', entity, id FROM feed WHERE id <= 0 UNION ALL SELECT 'one car', NULL, seq FROM feed GROUP BY seq HAVING count(DISTINCT car_id) > 1""")
+def delta_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed with payloads of levels, times and places, some of them out of bounds."""
+    p = F.col("payload").cast("bigint")
+    body = F.to_json(F.struct((p % 110).alias("start_soc"), F.lit(10).alias("start_ms"), F.when(p % 9 == 0, 9).otherwise(10).alias("end_ms"), F.when(p % 7 == 0, 91.0).otherwise(45.0).alias("latitude"), F.lit(1.0).alias("longitude")))
+    return cdc.validate_delta(_feed(spark, sf_dir).withColumn("payload", F.when(p.isNotNull(), body)), "a" * 64)
+
+
 def _lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain of packs per customer, a digest and a range of every eleventh and thirteenth order spoilt."""
     rows = A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("car_id"), F.col("o_orderkey").alias("to_seq"))
