@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -70,6 +71,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table of its own in the shared folder, so that what is read of it again is just the columns in use."""
+    path = f"{shared_folder(df.sparkSession)}/{name}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark) -> str:
     """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a local master gets a folder of its own; a cluster is refused, as its machines don't see one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -126,6 +134,23 @@ def words(a: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pa.array(full)), starts
 
 
+def _term_bytes() -> np.ndarray:
+    out = np.full(256, 32, dtype=np.uint8)
+    out[48:58], out[97:123], out[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(128, 256)
+    out[65:91] = np.arange(97, 123)
+    return out
+
+
+_TERM = _term_bytes()
+
+
+def terms(a: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """As words(), of terms: runs of ASCII letters (A-Z in lower case), digits and characters beyond ASCII."""
+    data, off = raw(a)
+    plain = pa.LargeStringArray.from_buffers(len(a), pa.py_buffer(np.ascontiguousarray(off, dtype=np.int64)), pa.py_buffer(_TERM[data]))
+    return words(plain)
+
+
 def coded(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """A code for each word, and the distinct words that the codes point to."""
     d = flat.dictionary_encode()
