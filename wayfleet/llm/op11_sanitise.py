@@ -9,8 +9,9 @@ so that copies of a passage are one piece of evidence. A term of disclosure `GEN
 shape, from `REMOVE` on it is removed, wherever it stands in the corpus outside of base spans.
 
 All counts are over all documents: mentions' windows are summed by (entity, term, context), then by pair; documents of
-the paired terms are counted behind a sieve of bounded size; terms that disclose are found behind another such sieve and
-confirmed by a join on their 64-bit hash. No texts are shuffled for spans.
+the paired terms are counted behind a sieve of bounded size. Terms that disclose are looked up by their 64-bit hash in
+their sorted list if it holds `LISTED` of them at most, else behind a sieve of bounded size, which lets some others through;
+a join confirms what was found. No texts are shuffled for spans.
 
 Base spans are leftmost and don't overlap within a kind; `[0-9]++` and the like take no step back, so long runs cost their length.
 
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from wayfleet.llm.common import coded, only, raw, settle, sieve_of, sifted, slices, sums, tallied, terms, texts
 
 WINDOW, SUPPORT, GENERALISE, REMOVE = 8, 3, 0.9, 0.97
+#: Disclosing terms that are broadcast as a list (8 bytes each).
+LISTED = 1 << 22
 SEED = 42
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "generalised", "removed")
@@ -185,10 +188,26 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end"
 _HITS = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
+class Flagged:
+    """Lets hashes of flagged terms pass; if there are more than `LISTED`, some others too."""
+
+    def __init__(self, flagged: DataFrame):
+        self.listed = flagged.count() <= LISTED
+        keys = flagged.select(F.col("term").alias("key"))
+        self.keys = np.sort(keys.toArrow()["key"].to_numpy()) if self.listed else sieve_of(keys)
+
+    def pass_(self, h: np.ndarray) -> np.ndarray:
+        if not self.listed:
+            return sifted(self.keys, h)
+        at = np.searchsorted(self.keys, h)
+        return (np.append(self.keys, 0)[at] == h) & (at < len(self.keys))
+
+
 def found_spans(docs: DataFrame, flagged: DataFrame) -> DataFrame:
     """(doc_id, key, base, spans) of each row: base spans, and all spans with those of flagged's terms; key: a hash of doc_id and text."""
-    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(flagged.select(F.col("term").alias("key"))))
-    none_flagged = not sieve.value.any()
+    known = Flagged(flagged)
+    none_flagged = not known.keys.any()
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -199,7 +218,7 @@ def found_spans(docs: DataFrame, flagged: DataFrame) -> DataFrame:
                 flat, starts = terms(a)
                 code, distinct = coded(flat)
                 h = hashed(distinct)
-                may = sifted(sieve.value, h)
+                may = shared.value.pass_(h)
                 told = {w: int(h[i]) for i in np.flatnonzero(may) for w in (distinct[int(i)].as_py(),)}
                 touched = sums(may[code] if len(code) else np.zeros(0, dtype=bool), starts) > 0
             base, hits = [[]] * b.num_rows, [[]] * b.num_rows
