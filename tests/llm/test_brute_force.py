@@ -870,3 +870,33 @@ def test_empty_tables(spark, sf_dir):
 def test_registered():
     names = list(queries.queries())
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+
+
+def test_rows_of_one_document_and_rows_without_an_id_link(spark):
+    rng = np.random.default_rng(31)
+    text = lambda n=120: " ".join(f"v{x}" for x in rng.integers(0, 5000, n))
+    x, y, z = text(), text(), text()
+    rows = [(3, x), (5, x), (5, y), (9, y), (20, z), (None, z), (None, text()), (30, ""), (None, None), (31, " \n")]
+    frame = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, component_id int")
+    for found in (op4_simhash.components64(frame), op4_simhash.near_duplicates(frame)):
+        got = Counter((r.doc_id, r.component_id) for r in found.collect())
+        assert got == Counter({(3, 3): 1, (5, 3): 2, (9, 3): 1, (20, 20): 1, (None, 20): 1, (None, None): 1, (30, 30): 1, (31, 30): 1, (None, 30): 1})
+
+
+def test_a_row_without_an_id_is_a_bridge(spark):
+    """Texts whose fingerprints lie 4 bits apart, and one between them; then sets at 0.8 of one between them."""
+    rng = np.random.default_rng(2)
+    base = [f"b{i}" for i in range(400)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    variants = [" ".join([*base[:i], "q" + str(int(rng.integers(0, 9))), *base[i + 1 :]]) for i in rng.integers(0, 400, 150)]
+    prints = {r.doc_id: int(r.fingerprint, 16) for r in op4_simhash.components64(frame(list(enumerate(variants)))).collect()}
+    bridge = next(((a, m, b) for m in prints for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() > 2 >= max((prints[a] ^ prints[m]).bit_count(), (prints[b] ^ prints[m]).bit_count())), None)
+    assert bridge
+    a, m, b = bridge
+    apart = {r.doc_id: r.component_id for r in op4_simhash.components64(frame([(1, variants[a]), (2, variants[b])])).collect()}
+    assert apart == {1: 1, 2: 2}
+    met = {r.doc_id: r.component_id for r in op4_simhash.components64(frame([(1, variants[a]), (2, variants[b]), (None, variants[m])])).collect()}
+    assert met == {1: 1, 2: 1, None: 1}
+    left, right = " ".join(base[:360]), " ".join(base[40:])
+    assert {r.component_id for r in op4_simhash.near_duplicates(frame([(1, left), (2, right), (None, " ".join(base))])).collect()} == {1}
+    assert {r.component_id for r in op4_simhash.near_duplicates(frame([(1, left), (2, right)])).collect()} == {1, 2}

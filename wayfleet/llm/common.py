@@ -63,6 +63,17 @@ def sifted(sieve: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (sieve[(key >> np.uint64(6) & np.uint64(len(sieve) - 1)).astype(np.int64)] >> (key & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def may_be_in(known: DataFrame, key: Column) -> Column:
+    """Whether a row's key (long) can be among known's keys (key long), by a broadcast sieve of bounded size: true for all known ones, and for others by chance."""
+    sieve = known.sparkSession.sparkContext.broadcast(sieve_of(known))
+
+    @F.arrow_udf("boolean")
+    def may(keys: pa.Array) -> pa.Array:
+        return pa.array(sifted(sieve.value, keys.to_numpy(zero_copy_only=False)))
+
+    return may(key)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir)."""
     sc = df.sparkSession.sparkContext

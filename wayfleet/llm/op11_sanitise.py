@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfleet.llm.common import coded, only, raw, settle, sieve_of, sifted, slices, sums, tallied, terms, texts
+from wayfleet.llm.common import coded, may_be_in, only, raw, settle, sieve_of, sifted, slices, sums, tallied, terms, texts
 
 WINDOW, SUPPORT, GENERALISE, REMOVE = 8, 3, 0.9, 0.97
 #: Disclosing terms that are broadcast as a list (8 bytes each).
@@ -282,17 +282,12 @@ def rewritten(text: str, spans: list[dict]) -> str:
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with their texts rewritten. Only documents that a sieve can't rule out are shuffled with their texts."""
     done = settle(personal_data(docs).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("_spans")))
-    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(done.select("key")))
-
-    @F.arrow_udf("boolean")
-    def may(key: pa.Array) -> pa.Array:
-        return pa.array(sifted(sieve.value, key.to_numpy(zero_copy_only=False)))
 
     @F.arrow_udf("string")
     def applied(text: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([rewritten(t, s) if s else t for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
     rows = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    rows = rows.withColumn("_may", may("_key"))
+    rows = rows.withColumn("_may", may_be_in(done.select("key"), F.col("_key")))
     near = rows.where("_may").join(done.withColumnRenamed("key", "_key"), "_key", "left").withColumn("text", applied("text", "_spans"))
     return near.select(*docs.columns).unionByName(rows.where("not _may").select(*docs.columns))

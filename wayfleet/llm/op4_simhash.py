@@ -17,10 +17,14 @@ places of the shared shingle drop pairs that can't reach the threshold. Each sha
 compared with its smallest, then those in other components with each other and with the rest, in tiles
 of `TILE` by `TILE`. All candidates are joined with their shingles and counted.
 
+Nodes are the distinct fingerprints (or shingle sets, by a digest of 64 bits) themselves, so what a row links doesn't
+depend on its doc_id.
+
 Defined results: equal fingerprints (or shingle sets) are one node, however many rows have them; several rows of one
 doc_id are one document, which links what each of them links; no words give
-fingerprint zero (an empty set), linked like any other; a null doc_id gets a fingerprint and the component of equal
-ones; repeated rows come back as often; other columns are left behind; an empty table gives no rows.
+fingerprint zero (an empty set), linked like any other; rows without a doc_id link what others link, each on its own, and get
+the component's smallest doc_id (null if it has none); repeated rows come back as often; other columns are left behind; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -174,13 +178,27 @@ def links64(nodes: DataFrame) -> DataFrame:
     return at.mapInArrow(compared, "a long, b long").distinct()
 
 
+def same_document(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, node) -> links (a, b) between the nodes of each doc_id that has several."""
+    own = rows.where("doc_id is not null").groupBy("doc_id", "node").agg(F.lit(1).alias("one"))
+    several = rows.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("doc_id", "low")
+    return own.join(several, "doc_id").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+
+
+def named(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """nodes (node, doc_id: its smallest) and components of nodes -> (node, component_id): the smallest doc_id of its component."""
+    met = settle(nodes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")))
+    names = met.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return met.join(names, "component").select("node", "component_id")
+
+
 def components64(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each document (doc_id, text)."""
-    rows = settle(fingerprints(docs, (shingle, 1)).select("doc_id", F.col("fp")[0].alias("fp")))
-    nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(links64(nodes.where("node is not null")))
-    nodes = settle(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
-    return rows.join(nodes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = settle(fingerprints(docs, (shingle, 1)).select("doc_id", F.col("fp")[0].alias("node")))
+    nodes = settle(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    found = components(links64(nodes.select("node", F.col("node").alias("fp"))).unionByName(same_document(rows)))
+    ids = settle(named(nodes, found))
+    return rows.join(ids, "node").select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def sets(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,8 +248,13 @@ def bitmaps(h: np.ndarray, row: np.ndarray, size: np.ndarray) -> tuple[np.ndarra
     return np.packbits(bits, bitorder="little").view(np.int64), ends // 64
 
 
+def digest(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A digest of each stretch's set of hashes, whatever their order."""
+    return mix((sums(mix(h ^ np.uint64(1)).view(np.int64), starts) + np.diff(starts)).view(np.uint64)).view(np.int64)
+
+
 def prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(doc_id, fp, k1, k2, n, prefix, bits): fingerprint and digest of each text's shingle set, its size, its first shingles in the common order, and a bitmap of all."""
+    """(doc_id, node, fp, n, prefix, bits): digest and fingerprint of each text's shingle set, its size, its first shingles in the common order, and a bitmap of all."""
     shared = docs.sparkSession.sparkContext.broadcast(usage(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,16 +263,16 @@ def prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
             size = np.bincount(row, minlength=b.num_rows)
             starts = np.concatenate([[0], np.cumsum(size)])
             bits, cuts = bitmaps(h, row, size)
-            keys = [majority(h, starts).view(np.int64), *(sums(mix(h ^ np.uint64(x)).view(np.int64), starts) for x in (1, 2))]
+            keys = [digest(h, starts), majority(h, starts).view(np.int64)]
             h = h[np.lexsort((h, shared.value[(h % np.uint64(BUCKETS)).astype(np.int64)], row))]
             first = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
             first = np.minimum(first, size)
             place = np.arange(len(h)) - starts[:-1][row]
             ends = np.concatenate([[0], np.cumsum(first)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[place < first[row]].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, keys), pa.array(size.astype(np.int64)), lists, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(bits))], names=["doc_id", "fp", "k1", "k2", "n", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, keys), pa.array(size.astype(np.int64)), lists, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(bits))], names=["doc_id", "node", "fp", "n", "prefix", "bits"])
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp long, k1 long, k2 long, n long, prefix array<long>, bits array<long>")
+    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, node long, fp long, n long, prefix array<long>, bits array<long>")
 
 
 def reached(n, m, i, j, similarity: float):
@@ -294,18 +317,26 @@ def tiles(at: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
     return grouped.select("members").mapInArrow(lambda it: tiled(it, similarity), "a long, b long").distinct()
 
 
-def alike(docs: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) of doc_ids those whose distinct shingles have the similarity. A sieve of bounded size holds back most other documents before anything of them is shuffled."""
-    named = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(named.select(F.xxhash64("doc_id").alias("key"))))
+def alike(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of nodes (node, doc_id: a document that has it) those whose distinct shingles have the similarity. Sieves of bounded size hold back most other documents before anything of them is shuffled."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = settle(wanted.join(nodes.select("node", "doc_id"), "node"))
+    sc = docs.sparkSession.sparkContext
+    by_doc, by_node = (sc.broadcast(sieve_of(wanted.select(c.alias("key")))) for c in (F.xxhash64("doc_id"), F.xxhash64("node")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(b.filter(pa.array(sifted(sieve.value, b.column("key").to_numpy(zero_copy_only=False)))) for b in batches):
+        for b in slices(b.filter(pa.array(sifted(by_doc.value, b.column("key").to_numpy(zero_copy_only=False)))) for b in batches):
             h, row = sets(b, k)
             ends = np.searchsorted(row, np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))], names=["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(digest(h, ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))], names=["node", "hashes"])
+
+    own = only(docs, doc_id="long", text="string").withColumn("key", F.xxhash64("doc_id")).mapInArrow(run, "node long, hashes array<long>")
+
+    @F.arrow_udf("boolean")
+    def may(keys: pa.Array) -> pa.Array:
+        return pa.array(sifted(by_node.value, keys.to_numpy(zero_copy_only=False)))
 
-    own = only(docs, doc_id="long", text="string").withColumn("key", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, hashes array<long>")
+    own = own.where(may(F.xxhash64("node"))).dropDuplicates(["node"])
     both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(F.coalesce(F.try_divide(common, F.size("x") + F.size("y") - common) >= similarity, F.lit(True))).select("a", "b")
@@ -366,15 +397,14 @@ def postings(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of each document (doc_id, text); the smallest doc_id of a component names it."""
     rows = settle(prefixes(docs, shingle, similarity))
-    keys = ["fp", "k1", "k2", "n"]
-    first = settle(rows.where("doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))  # equal sets have equal ones
+    first = settle(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("fp", "n", "prefix", "bits"))))  # equal sets have equal ones
     at = postings(first)
     near = at.where("node <> low.node").where(reached(F.col("n"), F.col("low.n"), F.col("pos"), F.col("low.pos"), similarity))
-    near = near.select(F.col("low.node").alias("a"), F.col("node").alias("b")).unionByName(anchored(first.select("node", "fp").distinct()))
+    near = near.select(F.col("low.node").alias("a"), F.col("node").alias("b")).unionByName(anchored(first.select("node", "fp")))
     pairs = settle(possible(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), first, similarity))
-    held = settle(alike(docs, pairs, shingle, similarity))
+    held = settle(alike(docs, pairs, first, shingle, similarity).unionByName(same_document(rows.select("doc_id", "node"))))
     more = tiles(at.where("c > 2").drop("c"), components(held), similarity)
     more = settle(possible(more.join(pairs, ["a", "b"], "left_anti"), first, similarity))
-    found = components(held.unionByName(alike(docs, more, shingle, similarity)))
-    nodes = settle(first.drop("prefix", "bits").join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("component_id")))
-    return rows.drop("prefix", "bits").join(nodes, keys, "left").select("doc_id", "component_id")
+    found = components(held.unionByName(alike(docs, more, first, shingle, similarity)))
+    ids = settle(named(first.select("node", "doc_id"), found))
+    return rows.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfleet.llm.common import mix, only, raw, settle, sieve_of, sifted, slices, texts
+from wayfleet.llm.common import mix, may_be_in, only, raw, settle, sieve_of, sifted, slices, texts
 
 WRAP, REACH, MIN_WORDS = 16, 2, 10
 _SPACE = np.zeros(256, dtype=bool)
@@ -178,5 +178,8 @@ def line_dedup(docs: DataFrame, size: int = 3, min_words: int = MIN_WORDS) -> Da
     kept = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_removed", "_later")]
     schema = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in kept] + [T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed")])
     names = schema.names
+    later = settle(later)
     rows = docs.select(*[F.col(f"`{f.name}`") for f in kept])
-    return rows.join(later.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc").mapInArrow(rebuilt, schema)
+    rows = rows.withColumn("_may", F.coalesce(may_be_in(later.select(F.xxhash64("doc_id").alias("key")), F.xxhash64(F.col("doc_id").cast("long"))), F.lit(False)))
+    met = rows.where("_may").join(later.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    return met.unionByName(rows.where("not _may").withColumn("_later", F.lit(None).cast("array<long>"))).drop("_may").mapInArrow(rebuilt, schema)
