@@ -1,5 +1,7 @@
 """Short scenarios with known results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,7 +96,29 @@ def test_offline_timeout_closes_a_drive(spark):
 def test_charge_sessions_follow_explicit_states(spark):
     rows = [(0, "charging", "Charging"), (1, "online", None), (2, "offline", None), (3, "charging", "charging"), (4, "online", "Complete"), (5, "charging", "Starting"), (6, "asleep", None)]
     got = sessions.charge_sessions(obs(spark, rows, "at_ms long, phase string, charging_state string")).orderBy("at_ms").collect()
-    assert [(r.at_ms, r.session, r.endpoint) for r in got] == [(0, 1, False), (3, 1, False), (4, 1, True), (5, 2, False)]
+    assert [(r.at_ms, r.session, r.endpoint) for r in got] == [(0, 1, False), (3, 1, False), (4, 1, True), (5, 2, False), (6, 2, True)]
+    assert [r.sample for r in got] == [True, True, True, True, False]
+    done = drives.finalize_charges(sessions.charge_sessions(obs(spark, [(r[0] * MIN, *r[1:], float(i)) for i, r in enumerate(rows)], "at_ms long, phase string, charging_state string, energy double")).selectExpr("session AS charge_id", "car_id", "at_ms AS date_ms", "observation_id AS id", "energy", "sample", "CAST(NULL AS double) AS battery_level", "1.0D AS rated_km", "1 AS power", "false AS fast_present"))
+    assert [(r.n_samples, r.start_ms, r.end_ms, r.energy_added, r.duration_min) for r in done.orderBy("charge_id").collect()] == [(3, 0, 4 * MIN, 4.0, 4), (1, 5 * MIN, 6 * MIN, 1.0, 1)]
+
+
+def test_effective_phase_needs_what_is_open(spark):
+    cols = "at_ms long, phase string, charging_state string, drive_data boolean"
+    rows = [(0, "offline", None, None), (1, "charging", "Charging", False), (2, "offline", None, None), (3, "online", None, False), (4, "online", "Complete", False), (5, "offline", None, None), (6, "driving", None, True), (7, "online", None, False), (8, "offline", None, None), (9, "online", None, True), (10, "offline", None, None), (11, "updating", None, None), (12, "offline", None, None), (13, "charging", None, None), (14, "offline", None, None)]
+    got = intervals.effective_phase(sessions.with_open(obs(spark, rows, cols))).orderBy("at_ms").collect()
+    assert [r.effective for r in got] == ["offline", "charging", "charging", "charging", "online", "offline", "driving", "driving", "driving", "online", "offline", "updating", "updating", "charging", "offline"]
+    car = lifecycle.Car(None, 10**9)
+    seen = []
+    for at, phase, told, data in rows:
+        list(car.step(at, phase, told, None, None, False, drive_data=data))
+        seen.append(car.s["phase"])
+    assert seen == [r.effective for r in got]
+
+
+def test_moving_rows_keep_a_drive_open(spark):
+    rows = [(0, "driving", True, None), (1, "charging", True, None), (2, "charging", False, None), (3, "driving", None, None), (4, "offline", None, 1 + 16 * MIN)]
+    got = sessions.drive_sessions(obs(spark, rows, "at_ms long, phase string, moving boolean, drive_ts long")).orderBy("at_ms").collect()
+    assert [(r.at_ms, r.session, r.endpoint) for r in got] == [(0, 1, False), (1, 1, False), (2, 1, True), (3, 2, False)]
 
 
 def test_charge_delta_and_fallback(spark):
@@ -319,7 +343,7 @@ def stream(spark, tmp_path, batches, **how):
 
 
 def row(i, at, phase, odo=None, state=None, energy=None, broken=False, **more):
-    more = {"status": None, "version": None, "latitude": None, "longitude": None, "drive_data": True} | more
+    more = {"status": None, "version": None, "latitude": None, "longitude": None, "drive_data": True, "moving": None} | dict.fromkeys(lifecycle.MEASURES) | more
     return (1, i, at, phase, state, odo, energy, broken, *more.values())
 
 
@@ -354,7 +378,7 @@ def test_sessions_need_drive_data_to_close():
 
 def test_stream_starts_from_seeds(spark, tmp_path):
     names = [c.split()[0] for c in lifecycle.STATE.split(", ")]
-    known = {"last_id": 5, "clock": MIN, "phase": "driving", "state": "online", "since": 0, "drive_no": 4, "drive_start": 0, "drive_last": MIN, "drive_n": 2, "odo_first": 1.0, "odo_last": 2.0, "drive_at": MIN}
+    known = {"last_id": 5, "clock": MIN, "phase": "driving", "state": "online", "since": 0, "drive_no": 4, "drive_start": 0, "drive_last": MIN, "drive_n": 2, "drive_odometer_first": 1.0, "drive_odometer_last": 2.0, "drive_at": MIN}
     seeds = spark.createDataFrame([(1, *(known.get(n) for n in names))], f"car_id long, {lifecycle.STATE}")
     got = stream(spark, tmp_path, [[row(5, MIN, "driving", 9.0), row(6, 2 * MIN, "asleep")]], seeds=seeds)
     assert [(t[1], t[2], t[5], t[6], t[7], t[9]) for t in got] == [("drive", 4, 0, MIN, 2, 2.0), ("state", None, 0, 2 * MIN, None, None)]
@@ -372,11 +396,80 @@ def test_forced_close_keeps_the_last_position():
     assert [(done[0], *done[4:7]) for r in rows for done in car.step(*r) if done[0] == "drive"] == [("drive", 0, 5, 2)]
 
 
+def test_forced_close_ends_a_charge_at_its_time_and_leaves_the_car_online():
+    car = lifecycle.Car(None, lifecycle.OFFLINE_MS)
+    rows = [(0, "charging", "Charging", None, 1.0, False), (MIN, "charging", "Charging", None, 2.5, False), (10 * MIN, "service", None, None, None, False)]
+    out = [done for r in rows for done in car.step(*r)]
+    assert [(d[0], *d[4:9]) for d in out if d[0] == "charge"] == [("charge", 0, 10 * MIN, 2, 1.0, 2.5)]
+    assert car.s["phase"] == "online" and list(car.step(11 * MIN, "offline", None, None, None, False))[0][:1] == ("state",)
+
+
+@pytest.mark.parametrize("last,ended", [((10 * MIN, "online", "Idle", None, 3.0, False), True), ((10 * MIN, "asleep", None, None, 3.0, False), True), ((10 * MIN, "online", None, None, 3.0, False), False), ((10 * MIN, "asleep", "Complete", None, 3.0, False), True)])
+def test_a_charge_ends_at_the_row_that_closes_it(last, ended):
+    car = lifecycle.Car(None, lifecycle.OFFLINE_MS)
+    rows = [(0, "charging", "Charging", None, 1.0, False), (MIN, "charging", "Charging", None, 2.5, False), last]
+    out = [d for r in rows for d in car.step(*r)]
+    terminal = last[2] == "Complete"
+    assert [(*d[4:7], d[9 + lifecycle.FACTS.index("energy_added")], d[9 + lifecycle.FACTS.index("duration_min")]) for d in out if d[0] == "charge"] == ([(0, 10 * MIN, 2 + terminal, 2.0, 10)] if ended else [])
+    assert sum(d[0] == "charge_sample" for d in out) == 2 + terminal
+
+
+@pytest.mark.parametrize("odometers,given", [((1.0, 1.0), 0), ((None, None), 0), ((1.0, 1.005), 0), ((1.0, 1.02), 1), ((1.0, None), 0)])
+def test_short_and_unmeasured_drives_are_none(odometers, given):
+    car = lifecycle.Car(None, lifecycle.OFFLINE_MS)
+    rows = [(0, "driving", None, odometers[0], None, False), (MIN, "driving", None, odometers[1], None, False), (2 * MIN, "asleep", None, None, None, False)]
+    assert sum(d[0] == "drive" for r in rows for d in car.step(*r)) == given
+
+
+def test_gated_rows_keep_the_phase():
+    car = lifecycle.Car(None, lifecycle.OFFLINE_MS)
+    rows = [(0, "charging", "Charging", None, 1.0, False), (1, None, None, None, None, False), (2, "offline", None, None, None, False), (3, "asleep", None, None, None, False)]
+    out = [(d[0], *d[3:6]) for r in rows for d in car.step(*r) if d[0] in ("state", "charge")]
+    assert out == [("charge", None, 0, 3), ("state", "online", 0, 3)]
+
+
+def test_a_car_that_moves_while_it_charges_keeps_its_drive():
+    car = lifecycle.Car(None, lifecycle.OFFLINE_MS)
+    rows = [(0, "driving", None, 1.0, True), (MIN, "charging", None, 2.0, True), (2 * MIN, "charging", None, 3.0, False)]
+    out = [d for at, phase, told, odo, moving in rows for d in car.step(at, phase, told, odo, None, False, moving=moving)]
+    assert [(d[4], d[5], d[6]) for d in out if d[0] == "drive"] == [(0, 2 * MIN, 3)]
+
+
+def test_facts_of_a_streamed_drive():
+    car = lifecycle.Car(None, lifecycle.OFFLINE_MS)
+    rows = [(0, 1.0, 10.0, 5.0, 80.0, 300.0, 20.0), (MIN, None, 30.0, -8.0, None, 250.0, None), (2 * MIN, 3.5, 20.0, None, 78.0, None, 22.0)]
+    out = [d for at, odo, speed, power, soc, ideal, temp in rows for d in car.step(at, "driving", None, odo, None, False, speed=speed, power=power, battery_level=soc, ideal_km=ideal, outside_temp=temp)]
+    out += car.step(3 * MIN, "asleep", None, None, None, False)
+    got = dict(zip(lifecycle.FACTS, next(d for d in out if d[0] == "drive")[9:], strict=True))
+    assert {k: v for k, v in got.items() if v is not None} == {"distance_km": 2.5, "duration_min": 2, "speed_max": 30.0, "power_max": 5.0, "power_min": -8.0, "start_soc": 80.0, "end_soc": 78.0, "start_ideal_km": 300.0, "end_ideal_km": 300.0, "outside_temp_avg": 21.0}
+
+
+@pytest.mark.parametrize("most", [7, 10_000])
+def test_rows_put_aside_give_the_same(spark, tmp_path, most, monkeypatch):
+    """One car with all rows in one micro-batch, in any order: pieces of a few rows, and all at once."""
+    rng = random.Random(5)
+    phases = ["driving", "online", "charging", "asleep", "offline"]
+    rows = [row(5000 * i, i * MIN, rng.choice(phases), float(i), rng.choice([None, "Charging", "Complete"]), float(i), latitude=1.0, longitude=1.0) for i in range(1, 300)]
+    car, want = lifecycle.Car(None, lifecycle.OFFLINE_MS), []
+    names = [c.split()[0] for c in lifecycle.IN.split(", ")]
+    for r in rows:
+        r = dict(zip(names, r, strict=True))
+        r["charging"], r["id"] = r.pop("charging_state"), r.pop("observation_id")
+        want += [(r["car_id"], *d) for d in car.step(r.pop("at_ms"), **{k: v for k, v in r.items() if k != "car_id"})]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    try:
+        got = stream(spark, tmp_path, [rows])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_import_gate_goes_by_group(spark):
     rows = spark.createDataFrame([row(1, 10, "driving", 1.0, "Charging", 1.0, version="v"), row(2, 30, "driving", 1.0, "Charging", 1.0, version="v"), row(3, 4, "asleep", version="v")], lifecycle.IN)
     marks = spark.createDataFrame([(1, 20, 20, 5)], "car_id long, drive_ms long, charge_ms long, vehicle_ms long")
     got = lifecycle.gate(rows, marks).orderBy("observation_id").collect()
-    assert [(r.phase, r.charging_state, r.odometer, r.version, r.drive_data) for r in got] == [(None, None, None, "v", False), ("driving", "Charging", 1.0, "v", True), (None, None, None, None, False)]
+    assert [(r.phase, r.charging_state, r.odometer, r.version, r.drive_data) for r in got] == [("driving", None, None, "v", False), ("driving", "Charging", 1.0, "v", True), (None, None, None, None, False)]
     timed = rows.where("observation_id = 1").withColumn("drive_ts", F.lit(25).cast("long"))
     assert [(r.phase, r.charging_state, r.odometer) for r in lifecycle.gate(timed, marks).collect()] == [("driving", None, 1.0)]
 

@@ -44,12 +44,16 @@ def finalize_drives(rows: DataFrame, key: str = "drive_id", time: str = "date_ms
 
 
 def finalize_charges(rows: DataFrame, key: str = "charge_id", time: str = "date_ms") -> DataFrame:
-    """One row per charge: energy added is the last (if over 0, else the largest) less the first, null if negative; minutes are cut off."""
+    """One row per charge: energy added is the last (if over 0, else the largest) less the first, null if negative; minutes are cut off.
+
+    Rows that are no samples (sample, if there is such a column) give the end, energy, charge level and ranges, but aren't counted.
+    """
+    sample = F.col("sample") if "sample" in rows.columns else F.lit(True)
     order = (time, "id")
     energy, soc, rated = first_last("energy", *order), first_last("battery_level", *order), first_last("rated_km", *order)
     out = rows.groupBy(key).agg(
-        F.min("car_id").alias("car_id"), F.count("*").alias("n_samples"), F.min(time).alias("start_ms"), F.max(time).alias("end_ms"), energy[0].alias("_first"), energy[1].alias("_last"), F.max("energy").alias("_most"),
-        soc[0].alias("start_battery_level"), soc[1].alias("end_battery_level"), rated[0].alias("start_rated_km"), rated[1].alias("end_rated_km"), F.max("power").alias("max_power"), F.coalesce(F.bool_or("fast_present"), F.lit(False)).alias("is_dc"),
+        F.min("car_id").alias("car_id"), F.count_if(sample).alias("n_samples"), F.min(time).alias("start_ms"), F.max(time).alias("end_ms"), energy[0].alias("_first"), energy[1].alias("_last"), F.max("energy").alias("_most"),
+        soc[0].alias("start_battery_level"), soc[1].alias("end_battery_level"), rated[0].alias("start_rated_km"), rated[1].alias("end_rated_km"), F.max(F.when(sample, F.col("power"))).alias("max_power"), F.coalesce(F.bool_or(F.when(sample, F.col("fast_present"))), F.lit(False)).alias("is_dc"),
     )
     added = F.when(F.col("_last") > 0, F.col("_last")).otherwise(F.col("_most")) - F.col("_first")
     minutes = F.floor((F.col("end_ms") - F.col("start_ms")) / 60000).cast("bigint")

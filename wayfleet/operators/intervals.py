@@ -106,11 +106,27 @@ def missed_updates(obs: DataFrame, version: str = "version", installing: Column
     return rows.select("car_id", F.col("at_ms"), F.col(version).alias("version"), "before")
 
 
-def effective_phase(obs: DataFrame, phase: str = "phase") -> DataFrame:
-    """obs with effective: charging and driving hold through offline (charging through a bare online too), updating through offline."""
-    held = F.last(F.when(F.col(phase) != "offline", F.col(phase)), ignorenulls=True).over(before())
-    bare = (F.col(phase) == "online") & (F.col("bare") if "bare" in obs.columns else F.lit(False))
-    return obs.withColumn("effective", F.when((F.col(phase) == "offline") & held.isin("charging", "updating", "driving"), held).when(bare & (held == "charging"), held).otherwise(F.col(phase)))
+def effective_phase(obs: DataFrame) -> DataFrame:
+    """obs (phase, charging_state, drive_data, drive_open, charge_open: see sessions.with_open) with effective.
+
+    Charging holds through offline and through an online row without a charging state while a charge is open, driving through
+    offline and through an online row without drive data while a drive is open, updating through offline; and each only
+    while it held on every row between.
+    """
+    phase = F.col("phase")
+    setter = ~F.coalesce(phase.isin("online", "offline"), F.lit(False))
+    rows = obs.withColumn("_run", F.sum(setter.cast("bigint")).over(so_far()))
+    own = W.partitionBy("car_id", "_run").orderBy("at_ms", "observation_id")
+    rows = rows.withColumn("_held", F.first(phase).over(own))
+    online, offline = phase == "online", phase == "offline"
+    bare = lambda c: F.coalesce(~F.col(c), F.lit(True))
+    holds = (
+        F.when(F.col("_held") == "charging", F.col("charge_open") & (offline | (online & F.col("charging_state").isNull())))
+        .when(F.col("_held") == "driving", F.col("drive_open") & (offline | (online & bare("drive_data"))))
+        .otherwise((F.col("_held") == "updating") & offline)
+    )
+    broken = F.sum((~setter & ~F.coalesce(holds, F.lit(False))).cast("bigint")).over(own.rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("_broken", broken).withColumn("effective", F.when(F.col("_broken") == 0, F.col("_held")).otherwise(phase)).drop("_run", "_held", "_broken")
 
 
 def merge_metadata(obs: DataFrame, *cols: str) -> DataFrame:

@@ -25,17 +25,27 @@ def _numbered(rows: DataFrame, kind: str) -> DataFrame:
     return rows.where((F.col(kind) == "in") | (F.col("_before") == "in")).drop("_before")
 
 
+def _drive_kind(obs: DataFrame, offline_ms: int) -> tuple[Column, Column]:
+    """'in' and 'close' rows of drives; and whether a row is parked."""
+    charges = F.coalesce(_charges(), F.lit(False)) if "charging_state" in obs.columns else F.lit(False)
+    moving = F.coalesce(F.col("moving"), F.col("phase") == "driving") if "moving" in obs.columns else F.col("phase") == "driving"
+    time = F.coalesce("drive_ts", "at_ms") if "drive_ts" in obs.columns else F.col("at_ms")
+    parked = F.col("phase").isin("online", "charging") & _drive_data(obs) & ~moving
+    inside = moving & ~charges & ~F.col("phase").isin("asleep", "updating", "offline")
+    last = F.last(F.when(inside, time), ignorenulls=True).over(before())
+    return F.when(inside, "in").when(F.col("phase").isin("asleep", "updating") | parked, "close").when((F.col("phase") == "offline") & (time - last >= offline_ms), "close"), parked
+
+
 def drive_sessions(obs: DataFrame, offline_ms: int = OFFLINE_MS) -> DataFrame:
-    """obs (phase; odometer and drive_data if there are such) -> rows of drives with session and endpoint.
+    """obs (phase; odometer, charging_state, moving, drive_data and drive_ts if there are such) -> rows of drives with session and endpoint.
 
-    A drive opens on a driving row. It closes on asleep or updating, on a row offline_ms or later behind the
-    last driving row while offline, and on a parked (online or charging) row that carries drive data (drive_data; all
+    A drive opens on a moving row (moving: a driving shift or a speed over 0; driving rows without the column) unless it
+    charges. It closes on asleep or updating, on a row whose drive time (drive_ts, else at_ms) is offline_ms or more behind the
+    last moving row while offline, and on a parked (online or charging, not moving) row that carries drive data (drive_data; all
     do without the column); one with an odometer is kept as endpoint. Earlier offline rows, rows without drive data and
     unknown phases are passed over.
     """
-    last = F.last(F.when(F.col("phase") == "driving", F.col("at_ms")), ignorenulls=True).over(before())
-    parked = F.col("phase").isin("online", "charging") & _drive_data(obs)
-    kind = F.when(F.col("phase") == "driving", "in").when(F.col("phase").isin("asleep", "updating") | parked, "close").when((F.col("phase") == "offline") & (F.col("at_ms") - last >= offline_ms), "close")
+    kind, parked = _drive_kind(obs, offline_ms)
     rows = _numbered(obs.withColumn("_kind", kind), "_kind").withColumn("endpoint", F.col("_kind") == "close")
     if "odometer" in obs.columns:
         parked = parked & F.col("odometer").isNotNull()
@@ -46,22 +56,36 @@ def _drive_data(obs: DataFrame) -> Column:
     return F.coalesce(F.col("drive_data"), F.lit(False)) if "drive_data" in obs.columns else F.lit(True)
 
 
-def charge_sessions(obs: DataFrame) -> DataFrame:
-    """obs (phase, charging_state) -> rows of charges with session and endpoint.
+def _charges() -> Column:
+    return F.lower(F.col("charging_state")).isin("starting", "charging")
 
-    A charge opens on starting or charging. It closes on a terminal state, on asleep or updating, and on
-    another explicit state while online; a missing state never closes it, nor does offline. A terminal row is
-    kept as last sample.
-    """
+
+def _charge_kind() -> Column:
     state = F.lower(F.col("charging_state"))
-    kind = (
+    return (
         F.when(F.col("phase").isin("asleep", "updating"), "close")
-        .when(state.isin("starting", "charging"), "in")
+        .when(_charges(), "in")
         .when(is_terminal_charge("charging_state"), "close")
         .when(state.isNotNull() & (F.col("phase") == "online"), "close")
     )
-    rows = _numbered(obs.withColumn("_kind", kind), "_kind").withColumn("endpoint", F.col("_kind") == "close")
-    return rows.where(~F.col("endpoint") | is_terminal_charge("charging_state")).drop("_kind")
+
+
+def charge_sessions(obs: DataFrame) -> DataFrame:
+    """obs (phase, charging_state) -> rows of charges with session, endpoint and sample.
+
+    A charge opens on starting or charging. It closes on a terminal state, on asleep or updating, and on
+    another explicit state while online; a missing state never closes it, nor does offline. The row that closes it gives
+    its end (endpoint); it is a sample only if its state is terminal.
+    """
+    rows = _numbered(obs.withColumn("_kind", _charge_kind()), "_kind").withColumn("endpoint", F.col("_kind") == "close")
+    return rows.withColumn("sample", ~F.col("endpoint") | F.coalesce(is_terminal_charge("charging_state"), F.lit(False))).drop("_kind")
+
+
+def with_open(obs: DataFrame, offline_ms: int = OFFLINE_MS) -> DataFrame:
+    """obs with drive_open and charge_open: whether a session is open behind the row."""
+    rows = obs.withColumns({"_drive": _drive_kind(obs, offline_ms)[0], "_charge": _charge_kind()})
+    is_open = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(so_far()) == "in", F.lit(False))
+    return rows.withColumns({"drive_open": is_open("_drive"), "charge_open": is_open("_charge")}).drop("_drive", "_charge")
 
 
 def stationary_positions(obs: DataFrame, thin_ms: int = THIN_MS) -> DataFrame:

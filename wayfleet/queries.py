@@ -82,10 +82,10 @@ def _charging_state() -> Column:
   k AS (SELECT *, CASE WHEN phase IN ('asleep', 'updating') THEN 'close' WHEN cs = 'charging' THEN 'in' WHEN cs = 'complete' THEN 'close' WHEN cs IS NOT NULL AND phase = 'online' THEN 'close' END AS kind FROM c),
   b AS (SELECT *, lag(kind) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id) AS before FROM k WHERE kind IS NOT NULL),
   s AS (SELECT *, sum(CASE WHEN kind = 'in' AND before IS DISTINCT FROM 'in' THEN 1 ELSE 0 END) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id ROWS UNBOUNDED PRECEDING) AS session FROM b)
-  SELECT car_id, CAST(session AS BIGINT) AS session, count(*) AS n_rows, count(*) FILTER (kind = 'close') AS n_endpoints, min(at_ms) AS start_ms, max(at_ms) AS end_ms FROM s WHERE kind = 'in' OR (before = 'in' AND cs = 'complete') GROUP BY ALL""")
+  SELECT car_id, CAST(session AS BIGINT) AS session, count(*) AS n_rows, count(*) FILTER (kind = 'close') AS n_endpoints, count(*) FILTER (kind = 'in' OR cs = 'complete') AS n_samples, min(at_ms) AS start_ms, max(at_ms) AS end_ms FROM s WHERE kind = 'in' OR before = 'in' GROUP BY ALL""")
 def charge_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sessions.charge_sessions(A.observations(spark, sf_dir).withColumn("charging_state", _charging_state()))
-    return rows.groupBy("car_id", "session").agg(F.count("*").alias("n_rows"), F.count_if("endpoint").alias("n_endpoints"), F.min("at_ms").alias("start_ms"), F.max("at_ms").alias("end_ms"))
+    return rows.groupBy("car_id", "session").agg(F.count("*").alias("n_rows"), F.count_if("endpoint").alias("n_endpoints"), F.count_if("sample").alias("n_samples"), F.min("at_ms").alias("start_ms"), F.max("at_ms").alias("end_ms"))
 
 
 @query(with_frames("observations") + " SELECT observation_id, car_id, last_value(power IGNORE NULLS) OVER w AS power, last_value(version IGNORE NULLS) OVER w AS version FROM observations WINDOW w AS (PARTITION BY car_id ORDER BY at_ms, observation_id ROWS UNBOUNDED PRECEDING)")
@@ -108,10 +108,45 @@ def software_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.software_updates(A.observations(spark, sf_dir).withColumn("status", status))
 
 
-@query(with_frames("observations") + """, h AS (SELECT *, last_value(CASE WHEN phase <> 'offline' THEN phase END IGNORE NULLS) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM observations)
-  SELECT observation_id, CASE WHEN phase = 'offline' AND held IN ('charging', 'updating', 'driving') THEN held WHEN phase = 'online' AND soc % 4 = 0 AND held = 'charging' THEN held ELSE phase END AS effective FROM h""")
+PARKED = ", rows AS (SELECT *, phase <> 'charging' OR soc % 3 <> 0 AS drive_data, CASE WHEN soc % 7 <> 0 THEN 10.0 END AS latitude FROM observations)"
+
+
+LIFECYCLE = with_frames("observations").replace("WITH", "WITH RECURSIVE", 1) + PARKED + """, o AS (SELECT *, phase = 'driving' OR coalesce(phase = 'charging' AND soc % 11 = 0, false) AS moving, CASE WHEN phase = 'charging' THEN 'charging' WHEN soc % 10 = 0 THEN 'complete' WHEN phase = 'online' AND soc % 2 = 0 THEN 'idle' END AS cs, CASE soc % 10 WHEN 3 THEN 'installing' WHEN 4 THEN 'available' END AS status,
+    max(CASE WHEN phase = 'driving' THEN at_ms END) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS driven FROM rows),
+  k AS (SELECT *, CASE WHEN phase = 'driving' THEN 'in' WHEN phase = 'asleep' OR (phase IN ('online', 'charging') AND coalesce(drive_data, false) AND NOT moving) OR (phase = 'offline' AND at_ms - driven >= 7200000) THEN 'close' END AS dk,
+    CASE WHEN phase = 'asleep' THEN 'close' WHEN cs = 'charging' THEN 'in' WHEN cs = 'complete' OR (phase = 'online' AND cs IS NOT NULL) THEN 'close' END AS ck FROM o),
+  d0 AS (SELECT *, lag(dk) OVER w AS before FROM k WHERE dk IS NOT NULL WINDOW w AS (PARTITION BY car_id ORDER BY at_ms, observation_id)),
+  d1 AS (SELECT *, CAST(sum(CASE WHEN dk = 'in' AND before IS DISTINCT FROM 'in' THEN 1 ELSE 0 END) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM d0),
+  d AS (SELECT *, power AS value FROM d1 WHERE dk = 'in' OR (before = 'in' AND phase IN ('online', 'charging') AND power IS NOT NULL)),
+  dclosed AS (SELECT DISTINCT car_id, session FROM d1 WHERE dk = 'close' AND before = 'in'),
+  c0 AS (SELECT *, lag(ck) OVER w AS before FROM k WHERE ck IS NOT NULL WINDOW w AS (PARTITION BY car_id ORDER BY at_ms, observation_id)),
+  c1 AS (SELECT *, CAST(sum(CASE WHEN ck = 'in' AND before IS DISTINCT FROM 'in' THEN 1 ELSE 0 END) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM c0),
+  c AS (SELECT *, ck = 'in' OR cs = 'complete' AS sample FROM c1 WHERE ck = 'in' OR before = 'in'),
+  cclosed AS (SELECT DISTINCT car_id, session FROM c1 WHERE ck = 'close' AND before = 'in'),
+  open AS (SELECT *, last_value(dk IGNORE NULLS) OVER w = 'in' AS drive_open, last_value(ck IGNORE NULLS) OVER w = 'in' AS charge_open FROM k WINDOW w AS (PARTITION BY car_id ORDER BY at_ms, observation_id ROWS UNBOUNDED PRECEDING)),
+  n AS (SELECT *, row_number() OVER (PARTITION BY car_id ORDER BY at_ms, observation_id) AS nth FROM open),
+  e AS (SELECT car_id, nth, phase AS effective FROM n WHERE nth = 1 UNION ALL SELECT n.car_id, n.nth, CASE WHEN n.phase = 'offline' AND ((e.effective = 'charging' AND n.charge_open) OR (e.effective = 'driving' AND n.drive_open)) THEN e.effective
+    WHEN n.phase = 'online' AND ((e.effective = 'charging' AND n.cs IS NULL AND n.charge_open) OR (e.effective = 'driving' AND NOT coalesce(n.drive_data, false) AND n.drive_open)) THEN e.effective ELSE n.phase END FROM e JOIN n ON n.car_id = e.car_id AND n.nth = e.nth + 1),
+  f AS (SELECT n.*, e.effective, CASE WHEN e.effective IN ('online', 'driving', 'charging') THEN 'online' ELSE e.effective END AS state FROM n JOIN e ON e.car_id = n.car_id AND e.nth = n.nth),
+  s0 AS (SELECT *, lag(state) OVER (PARTITION BY car_id ORDER BY nth) AS before FROM f), s AS (SELECT car_id, state, at_ms AS start_ms, lead(at_ms) OVER (PARTITION BY car_id ORDER BY nth) AS end_ms FROM s0 WHERE before IS DISTINCT FROM state),
+  u0 AS (SELECT *, CASE status WHEN 'installing' THEN 'start' WHEN 'available' THEN 'cancel' ELSE CASE WHEN phase NOT IN ('asleep', 'offline') AND version IS NOT NULL THEN 'done' END END AS event FROM f),
+  u1 AS (SELECT *, lag(event) OVER (PARTITION BY car_id ORDER BY nth) AS before FROM u0 WHERE event IS NOT NULL),
+  u2 AS (SELECT *, lead(event) OVER w AS next, lead(at_ms) OVER w AS next_ms, lead(version) OVER w AS next_version FROM u1 WHERE event <> 'start' OR before IS DISTINCT FROM 'start' WINDOW w AS (PARTITION BY car_id ORDER BY nth)),
+  v0 AS (SELECT *, last_value(version IGNORE NULLS) OVER w AS known, last_value(event IGNORE NULLS) OVER w AS told FROM u0 WINDOW w AS (PARTITION BY car_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  p0 AS (SELECT *, max(CASE WHEN drive_data THEN at_ms END) OVER w AS prior, lag(effective) OVER (PARTITION BY car_id ORDER BY nth) AS was FROM f WINDOW w AS (PARTITION BY car_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  p1 AS (SELECT *, was IS DISTINCT FROM phase OR prior IS NULL AS enters, row_number() OVER (PARTITION BY car_id ORDER BY nth) AS place FROM p0 WHERE phase IN ('online', 'charging') AND latitude IS NOT NULL AND (prior IS NULL OR at_ms > prior)),
+  walk AS (SELECT car_id, place, observation_id, phase, at_ms, true AS kept, at_ms AS last FROM p1 WHERE place = 1
+    UNION ALL SELECT p1.car_id, p1.place, p1.observation_id, p1.phase, p1.at_ms, p1.enters OR p1.at_ms - w.last >= 7200000, CASE WHEN p1.enters OR p1.at_ms - w.last >= 7200000 THEN p1.at_ms ELSE w.last END FROM walk w JOIN p1 ON p1.car_id = w.car_id AND p1.place = w.place + 1)"""
+
+
+def _carries_drive_data() -> Column:
+    return F.coalesce((F.col("phase") != "charging") | (F.col("soc") % 3 != 0), F.lit(False))
+
+
+@query(LIFECYCLE.replace("AND NOT moving", "").replace("phase = 'driving' OR coalesce(phase = 'charging' AND soc % 11 = 0, false)", "phase = 'driving'") + " SELECT observation_id, effective FROM f")
 def effective_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.effective_phase(A.observations(spark, sf_dir).withColumn("bare", F.col("soc") % 4 == 0)).select("observation_id", "effective")
+    obs = A.observations(spark, sf_dir).withColumns({"charging_state": _charging_state(), "drive_data": _carries_drive_data()})
+    return intervals.effective_phase(sessions.with_open(obs, offline_ms=2 * HOUR)).select("observation_id", "effective")
 
 
 @query(with_frames("observations") + " SELECT car_id, arg_max(power, (at_ms, observation_id)) FILTER (power IS NOT NULL) AS power, arg_max(version, (at_ms, observation_id)) FILTER (version IS NOT NULL) AS version FROM observations GROUP BY car_id")
@@ -126,9 +161,6 @@ def observation_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.newer_than(intervals.observation_watermark(obs), given)
 
 
-PARKED = ", rows AS (SELECT *, phase <> 'charging' OR soc % 3 <> 0 AS drive_data, CASE WHEN soc % 7 <> 0 THEN 10.0 END AS latitude FROM observations)"
-
-
 @query(with_frames("observations").replace("WITH", "WITH RECURSIVE", 1) + PARKED + """, p AS (SELECT *, max(CASE WHEN drive_data THEN at_ms END) OVER w AS prior, lag(phase) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id) AS before FROM rows WINDOW w AS (PARTITION BY car_id ORDER BY at_ms, observation_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   e AS (SELECT car_id, observation_id, phase, at_ms, before IS DISTINCT FROM phase OR prior IS NULL AS enters, row_number() OVER (PARTITION BY car_id ORDER BY at_ms, observation_id) AS n FROM p WHERE phase IN ('online', 'charging') AND latitude IS NOT NULL AND (prior IS NULL OR at_ms > prior)),
   walk AS (SELECT car_id, n, observation_id, phase, at_ms, true AS kept, at_ms AS last FROM e WHERE n = 1
@@ -199,42 +231,19 @@ def parse_stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.parse_stream_frames(rows.select("event_id", body.alias("value"))).select("event_id", "reject", "ts_ms", "power")
 
 
-LIFECYCLE = with_frames("observations").replace("WITH", "WITH RECURSIVE", 1) + PARKED + """, o AS (SELECT *, CASE WHEN phase = 'charging' THEN 'charging' WHEN soc % 10 = 0 THEN 'complete' WHEN phase = 'online' AND soc % 2 = 0 THEN 'idle' END AS cs, CASE soc % 10 WHEN 3 THEN 'installing' WHEN 4 THEN 'available' END AS status,
-    max(CASE WHEN phase = 'driving' THEN at_ms END) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS driven FROM rows),
-  k AS (SELECT *, CASE WHEN phase = 'driving' THEN 'in' WHEN phase = 'asleep' OR (phase IN ('online', 'charging') AND coalesce(drive_data, false)) OR (phase = 'offline' AND at_ms - driven >= 7200000) THEN 'close' END AS dk,
-    CASE WHEN phase = 'asleep' THEN 'close' WHEN cs = 'charging' THEN 'in' WHEN cs = 'complete' OR (phase = 'online' AND cs IS NOT NULL) THEN 'close' END AS ck FROM o),
-  d0 AS (SELECT *, lag(dk) OVER w AS before FROM k WHERE dk IS NOT NULL WINDOW w AS (PARTITION BY car_id ORDER BY at_ms, observation_id)),
-  d1 AS (SELECT *, CAST(sum(CASE WHEN dk = 'in' AND before IS DISTINCT FROM 'in' THEN 1 ELSE 0 END) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM d0),
-  d AS (SELECT *, power AS value FROM d1 WHERE dk = 'in' OR (before = 'in' AND phase IN ('online', 'charging') AND power IS NOT NULL)),
-  dclosed AS (SELECT DISTINCT car_id, session FROM d1 WHERE dk = 'close' AND before = 'in'),
-  c0 AS (SELECT *, lag(ck) OVER w AS before FROM k WHERE ck IS NOT NULL WINDOW w AS (PARTITION BY car_id ORDER BY at_ms, observation_id)),
-  c1 AS (SELECT *, CAST(sum(CASE WHEN ck = 'in' AND before IS DISTINCT FROM 'in' THEN 1 ELSE 0 END) OVER (PARTITION BY car_id ORDER BY at_ms, observation_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM c0),
-  c AS (SELECT *, soc AS value FROM c1 WHERE ck = 'in' OR (before = 'in' AND cs = 'complete' AND phase <> 'asleep')),
-  cclosed AS (SELECT DISTINCT car_id, session FROM c1 WHERE ck = 'close' AND before = 'in'),
-  open AS (SELECT *, last_value(dk IGNORE NULLS) OVER w = 'in' AS drive_open, last_value(ck IGNORE NULLS) OVER w = 'in' AS charge_open FROM k WINDOW w AS (PARTITION BY car_id ORDER BY at_ms, observation_id ROWS UNBOUNDED PRECEDING)),
-  n AS (SELECT *, row_number() OVER (PARTITION BY car_id ORDER BY at_ms, observation_id) AS nth FROM open),
-  e AS (SELECT car_id, nth, phase AS effective FROM n WHERE nth = 1 UNION ALL SELECT n.car_id, n.nth, CASE WHEN n.phase = 'offline' AND ((e.effective = 'charging' AND n.charge_open) OR (e.effective = 'driving' AND n.drive_open)) THEN e.effective
-    WHEN n.phase = 'online' AND ((e.effective = 'charging' AND n.cs IS NULL AND n.charge_open) OR (e.effective = 'driving' AND NOT coalesce(n.drive_data, false) AND n.drive_open)) THEN e.effective ELSE n.phase END FROM e JOIN n ON n.car_id = e.car_id AND n.nth = e.nth + 1),
-  f AS (SELECT n.*, e.effective, CASE WHEN e.effective IN ('online', 'driving', 'charging') THEN 'online' ELSE e.effective END AS state FROM n JOIN e ON e.car_id = n.car_id AND e.nth = n.nth),
-  s0 AS (SELECT *, lag(state) OVER (PARTITION BY car_id ORDER BY nth) AS before FROM f), s AS (SELECT car_id, state, at_ms AS start_ms, lead(at_ms) OVER (PARTITION BY car_id ORDER BY nth) AS end_ms FROM s0 WHERE before IS DISTINCT FROM state),
-  u0 AS (SELECT *, CASE status WHEN 'installing' THEN 'start' WHEN 'available' THEN 'cancel' ELSE CASE WHEN phase NOT IN ('asleep', 'offline') AND version IS NOT NULL THEN 'done' END END AS event FROM f),
-  u1 AS (SELECT *, lag(event) OVER (PARTITION BY car_id ORDER BY nth) AS before FROM u0 WHERE event IS NOT NULL),
-  u2 AS (SELECT *, lead(event) OVER w AS next, lead(at_ms) OVER w AS next_ms, lead(version) OVER w AS next_version FROM u1 WHERE event <> 'start' OR before IS DISTINCT FROM 'start' WINDOW w AS (PARTITION BY car_id ORDER BY nth)),
-  v0 AS (SELECT *, last_value(version IGNORE NULLS) OVER w AS known, last_value(event IGNORE NULLS) OVER w AS told FROM u0 WINDOW w AS (PARTITION BY car_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-  p0 AS (SELECT *, max(CASE WHEN drive_data THEN at_ms END) OVER w AS prior, lag(effective) OVER (PARTITION BY car_id ORDER BY nth) AS was FROM f WINDOW w AS (PARTITION BY car_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-  p1 AS (SELECT *, was IS DISTINCT FROM phase OR prior IS NULL AS enters, row_number() OVER (PARTITION BY car_id ORDER BY nth) AS place FROM p0 WHERE phase IN ('online', 'charging') AND latitude IS NOT NULL AND (prior IS NULL OR at_ms > prior)),
-  walk AS (SELECT car_id, place, observation_id, phase, at_ms, true AS kept, at_ms AS last FROM p1 WHERE place = 1
-    UNION ALL SELECT p1.car_id, p1.place, p1.observation_id, p1.phase, p1.at_ms, p1.enters OR p1.at_ms - w.last >= 7200000, CASE WHEN p1.enters OR p1.at_ms - w.last >= 7200000 THEN p1.at_ms ELSE w.last END FROM walk w JOIN p1 ON p1.car_id = w.car_id AND p1.place = w.place + 1)"""
-
-
 @query(LIFECYCLE + """ SELECT car_id, 'state' AS entity, CAST(NULL AS BIGINT) AS session, CAST(NULL AS BIGINT) AS observation_id, state AS label, start_ms, end_ms, CAST(NULL AS BIGINT) AS n FROM s WHERE end_ms IS NOT NULL
-  UNION ALL SELECT car_id, 'drive', session, NULL, NULL, min(at_ms), max(at_ms), count(*) FROM d SEMI JOIN dclosed USING (car_id, session) GROUP BY car_id, session HAVING count(*) >= 2
-  UNION ALL SELECT car_id, 'drive_position', session, observation_id, NULL, at_ms, NULL, NULL FROM d
-  UNION ALL SELECT car_id, 'charge', session, NULL, NULL, min(at_ms), max(at_ms), count(*) FROM c SEMI JOIN cclosed USING (car_id, session) GROUP BY car_id, session
-  UNION ALL SELECT car_id, 'charge_sample', session, observation_id, NULL, at_ms, NULL, NULL FROM c
-  UNION ALL SELECT car_id, 'update', NULL, NULL, next_version, at_ms, next_ms, NULL FROM u2 WHERE event = 'start' AND next = 'done'
-  UNION ALL SELECT car_id, 'missed_update', NULL, NULL, version, at_ms, at_ms, NULL FROM v0 WHERE event = 'done' AND told IS DISTINCT FROM 'start' AND CAST(split_part(version, '.', 2) AS BIGINT) > CAST(split_part(known, '.', 2) AS BIGINT)
-  UNION ALL SELECT car_id, 'position', NULL, observation_id, phase, at_ms, NULL, NULL FROM walk WHERE kept""")
+  UNION ALL BY NAME SELECT car_id, 'drive' AS entity, session, min(at_ms) AS start_ms, max(at_ms) AS end_ms, count(*) AS n, arg_min(power, (at_ms, observation_id)) FILTER (power IS NOT NULL) AS first, arg_max(power, (at_ms, observation_id)) FILTER (power IS NOT NULL) AS last,
+    round((last - first) * 1e6) / 1e6 AS distance_km, CAST(floor((max(at_ms) - min(at_ms)) / 60000 + 0.5) AS BIGINT) AS duration_min, CAST(max(soc % 50) AS DOUBLE) AS speed_max, max(power) AS power_max, min(power) AS power_min, arg_min(CAST(soc AS DOUBLE), (at_ms, observation_id)) FILTER (soc IS NOT NULL) AS start_soc, arg_max(CAST(soc AS DOUBLE), (at_ms, observation_id)) FILTER (soc IS NOT NULL) AS end_soc,
+    arg_min(soc * 3.5::DOUBLE, (at_ms, observation_id)) FILTER (soc IS NOT NULL AND power IS NOT NULL) AS start_ideal_km, arg_max(soc * 3.5::DOUBLE, (at_ms, observation_id)) FILTER (soc IS NOT NULL AND power IS NOT NULL) AS end_ideal_km, avg(soc / 4) AS outside_temp_avg, avg(soc % 30) AS inside_temp_avg
+    FROM d SEMI JOIN dclosed USING (car_id, session) GROUP BY car_id, session HAVING count(*) >= 2 AND distance_km >= 0.01
+  UNION ALL BY NAME SELECT car_id, 'drive_position' AS entity, session, observation_id, at_ms AS start_ms, power AS first FROM d
+  UNION ALL BY NAME SELECT car_id, 'charge' AS entity, session, min(at_ms) AS start_ms, max(at_ms) AS end_ms, count(*) FILTER (sample) AS n, arg_min(CAST(soc AS DOUBLE), (at_ms, observation_id)) FILTER (soc IS NOT NULL) AS first, arg_max(CAST(soc AS DOUBLE), (at_ms, observation_id)) FILTER (soc IS NOT NULL) AS last,
+    CASE WHEN CASE WHEN last > 0 THEN last ELSE max(soc) END - first >= 0 THEN CASE WHEN last > 0 THEN last ELSE max(soc) END - first END AS energy_added, (max(at_ms) - min(at_ms)) // 60000 AS duration_min, max(power) FILTER (sample) AS power_max, first AS start_soc, last AS end_soc, first * 3.5 AS start_ideal_km, last * 3.5 AS end_ideal_km, avg(soc / 4) FILTER (sample) AS outside_temp_avg
+    FROM c SEMI JOIN cclosed USING (car_id, session) GROUP BY car_id, session
+  UNION ALL BY NAME SELECT car_id, 'charge_sample' AS entity, session, observation_id, at_ms AS start_ms, CAST(soc AS DOUBLE) AS first FROM c WHERE sample
+  UNION ALL BY NAME SELECT car_id, 'update' AS entity, next_version AS label, at_ms AS start_ms, next_ms AS end_ms FROM u2 WHERE event = 'start' AND next = 'done'
+  UNION ALL BY NAME SELECT car_id, 'missed_update' AS entity, version AS label, at_ms AS start_ms, at_ms AS end_ms FROM v0 WHERE event = 'done' AND told IS DISTINCT FROM 'start' AND CAST(split_part(version, '.', 2) AS BIGINT) > CAST(split_part(known, '.', 2) AS BIGINT)
+  UNION ALL BY NAME SELECT car_id, 'position' AS entity, observation_id, phase AS label, at_ms AS start_ms, 10.0::DOUBLE AS first, 20.0::DOUBLE AS last FROM walk WHERE kept""")
 def lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that the stream closes and adds, run over what is there and written in the shared folder. Power stands for the odometer."""
     session = spark.newSession()
@@ -242,12 +251,14 @@ def lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = f"{folds.shared_folder(spark)}/lifecycle/{uuid.uuid4().hex}"
     source = session.readStream.option("maxFilesPerTrigger", 64).schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").parquet(f"{sf_dir}/events.parquet*")
     soc = F.col("soc")
-    data = F.coalesce((F.col("phase") != "charging") | (soc % 3 != 0), F.lit(False))
     status = F.when(soc % 10 == 3, "installing").when(soc % 10 == 4, "available")
-    obs = A.observed(source).select("car_id", "observation_id", "at_ms", "phase", _charging_state().alias("charging_state"), F.col("power").alias("odometer"), soc.cast("double").alias("energy"), F.lit(False).alias("broken"), status.alias("status"), "version", F.when(soc % 7 != 0, 10.0).alias("latitude"), F.lit(20.0).alias("longitude"), data.alias("drive_data"))
+    moving = (F.col("phase") == "driving") | F.coalesce((F.col("phase") == "charging") & (soc % 11 == 0), F.lit(False))
+    real = lambda c: c.cast("double")
+    measures = {"speed": real(soc % 50), "power": F.col("power"), "battery_level": real(soc), "ideal_km": soc * 3.5, "rated_km": F.lit(None).cast("double"), "outside_temp": soc / 4, "inside_temp": real(soc % 30)}
+    obs = A.observed(source).select("car_id", "observation_id", "at_ms", "phase", _charging_state().alias("charging_state"), F.col("power").alias("odometer"), real(soc).alias("energy"), F.lit(False).alias("broken"), status.alias("status"), "version", F.when(soc % 7 != 0, 10.0).alias("latitude"), F.lit(20.0).alias("longitude"), _carries_drive_data().alias("drive_data"), moving.alias("moving"), *[c.alias(n) for n, c in measures.items()])
     run = lifecycle.lifecycle_stream(obs, offline_ms=2 * HOUR, thin_ms=2 * HOUR).writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(lifecycle.OUT).parquet(f"{top}/out").select("car_id", "entity", "session", "observation_id", "label", "start_ms", "end_ms", "n")
+    return spark.read.schema(lifecycle.OUT).parquet(f"{top}/out").select("car_id", "entity", "session", "observation_id", "label", "start_ms", "end_ms", "n", "first", "last", *[c for c in lifecycle.FACTS if "rated" not in c])
 
 
 # Drives and charges -----------------------------------------------------------------------------
