@@ -279,6 +279,32 @@ def test_batches_hold_their_caps(spark):
     assert all(a.hi < b.lo for a, b in zip(got, got[1:], strict=False) if a.car_id == b.car_id)
 
 
+def greedy(sizes, max_rows, max_bytes):
+    batch, rows, total, out = 0, 0, 0, []
+    for size in sizes:
+        if rows == max_rows or total + size > max_bytes:
+            batch, rows, total = batch + 1, 0, 0
+        rows, total = rows + 1, total + size
+        out.append(batch)
+    return out
+
+
+@pytest.mark.parametrize("max_rows,max_bytes,shape", [(64, 2000, "any"), (7, 10**6, "one"), (10**6, 1000, "one"), (50, 900, "steps"), (700, 40_000, "any"), (3, 90, "zeros")])
+def test_batches_are_greedy_over_many_ranges(spark, max_rows, max_bytes, shape):
+    rng = random.Random(max_rows)
+    size = {"any": lambda i: rng.randrange(1, 200), "one": lambda i: 30, "steps": lambda i: 900 if i % 97 == 0 else 1 + i // 500, "zeros": lambda i: rng.choice([0, 0, 0, 30, 90])}[shape]
+    rows = [("a" if i < 1800 else "b" if i < 1810 else "c", i, size(i)) for i in range(2400)]
+    frame = spark.createDataFrame(rows, "entity string, id long, bytes long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = {r.id: r.batch for r in cdc.batch_changes(frame, max_rows, max_bytes).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: b for e in "abc" for own in [[r for r in rows if r[0] == e]] for (_, i, _), b in zip(own, greedy([r[2] for r in own], max_rows, max_bytes), strict=True)}
+
+
 def test_small_rows_behind_large_ones_keep_the_cap(spark):
     rows = spark.range(200).selectExpr("'drive' AS entity", "id", "CASE WHEN id < 10 THEN 500000 ELSE 10 END AS bytes")
     got = cdc.batch_changes(rows, 10, 1_000_000).groupBy("batch").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).orderBy("batch").collect()

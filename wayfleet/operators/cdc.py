@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 from operator import or_
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,7 +97,7 @@ def compact(deltas: DataFrame, after_seq: int) -> DataFrame:
 
 
 def laid_out(changes: DataFrame, by: str, order: str, size: str) -> DataFrame:
-    """changes in ranges of (by, order), with _n and _b: rows and bytes of the same `by` ahead of each.
+    """changes in ranges of (by, order), with _part, _n and _b: range, and rows and bytes of the same `by` ahead of each.
 
     Partitions are counted first; the rows ahead of a partition go to the tasks only for the `by` that it goes on
     with, one number a partition.
@@ -119,22 +122,129 @@ def laid_out(changes: DataFrame, by: str, order: str, size: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.int64()), pa.array(total, pa.int64())], names=[*names, "_n", "_b"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema.fields)
-    return laid.mapInArrow(run, f"{fields}, _n long, _b long").drop("_part")
+    return laid.mapInArrow(run, f"{fields}, _n long, _b long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, object, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Rows (to, by, n, b, size, own) in order -> of each (to, by): to, by, n, b, the bytes behind each row, and how many rows are its own."""
+    at, held = None, []
+
+    def whole() -> tuple:
+        n, b, size, own = (np.concatenate([h[i] for h in held]) for i in range(4))
+        return *at, n, b, b + size, int(own.sum())
+
+    for batch in batches:
+        keys = list(zip(batch.column("to").to_pylist(), batch.column(by).to_pylist(), strict=True))
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "b", "size", "own")]
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for lo, hi in pairwise(cuts):
+            if lo < hi:
+                if held and keys[lo] != at:
+                    yield whole()
+                    held = []
+                at = keys[lo]
+                held.append([c[lo:hi] for c in columns])
+    if held:
+        yield whole()
+
+
+def _follows(n: np.ndarray, b: np.ndarray, e: np.ndarray, max_rows: int, max_bytes: int) -> np.ndarray:
+    """For a batch that starts at each row, the row that starts the next one."""
+    return np.minimum(np.searchsorted(n, n + max_rows), np.searchsorted(e, b + max_bytes, side="right"))
+
+
+def batch_starts(laid: DataFrame, by: str, size: str, max_rows: int, max_bytes: int) -> DataFrame:
+    """laid_out()'s rows -> (by, batch, n, b, n_to, b_to): of each greedy batch its number, and its first and end by rows and bytes ahead.
+
+    What starts a batch depends on the batch before, so the walk is cut up: each range, given also the rows behind it
+    that a batch from it may reach, finds for every row that a batch from before may start at the first start behind
+    the range. These steps are squared (two steps, four, ...), and what is reached from each `by`'s first row are the true
+    entries, one a range and `by` at most. From these all ranges walk side by side.
+    """
+    kind = laid.schema[by].dataType.simpleString()
+    ends = laid.groupBy(by, "_part").agg(F.max("_n").alias("n"), F.max("_b").alias("b"))
+    ends = ends.withColumn("_parts", F.count("*").over(W.partitionBy(by))).where("_parts > 1")
+    ranges: dict[object, list[tuple[int, int, int]]] = {}
+    for r in ends.collect():  # two rows for each partition at most
+        ranges.setdefault(r[by], []).append((r["_part"], r["n"], int(r["b"])))
+    shared = laid.sparkSession.sparkContext.broadcast({k: sorted(v, reverse=True) for k, v in ranges.items()})
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, n, b = (batch.column(c).to_numpy() for c in ("_part", "_n", "_b"))
+            takes, to = [np.arange(batch.num_rows)], [part]
+            for key in set(batch.column(by).to_pylist()) & shared.value.keys():
+                at = np.flatnonzero(pc.equal(batch.column(by), key).to_numpy(zero_copy_only=False))
+                for p, last_n, last_b in shared.value[key]:
+                    more = at[(part[at] > p) & (n[at] <= last_n + max_rows) & (b[at] <= last_b + max_bytes)]
+                    takes.append(more)
+                    to.append(np.full(len(more), p))
+            take, to = np.concatenate(takes), np.concatenate(to)
+            own = np.arange(len(take)) < batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), batch.column(by).take(pa.array(take)), *(batch.column(c).take(pa.array(take)) for c in ("_n", "_b")), batch.column(size).take(pa.array(take)).cast(pa.int64()), pa.array(own)], names=["to", by, "n", "b", "size", "own"])
+
+    narrow = laid.select(by, "_part", "_n", "_b", size).mapInArrow(spread, f"to int, `{by}` {kind}, n long, b long, size long, own boolean")
+    near = settled(narrow.repartition("to").sortWithinPartitions("to", by, "n"))
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, key, n, b, e, own in _groups(batches, by):
+            if key in shared.value:
+                out = np.append(_follows(n, b, e, max_rows, max_bytes)[:own], np.arange(own, len(n) + 1))
+                while (out[:own] < own).any():
+                    out = out[out]
+                entry = np.flatnonzero((n[:own] - n[0] <= max_rows) & (b[:own] - b[0] <= max_bytes) & (out[:own] < len(n)))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(entry), laid_type), pa.array(n[entry]), pa.array(n[out[entry]])], names=[by, "a", "b"])
+
+    laid_type = laid.select(by).limit(0).toArrow().schema.field(0).type
+    jumps = [settled(near.mapInArrow(steps, f"`{by}` {kind}, a long, b long"))]
+    while not jumps[-1].isEmpty():
+        jumps.append(settled(jumps[-1].join(jumps[-1].toDF(by, "b", "c"), [by, "b"]).select(by, "a", F.col("c").alias("b"))))
+    reached = jumps[0].where("a = 0").select(by, F.col("a").alias("at")).distinct()
+    for jump in reversed(jumps[:-1]):
+        reached = settled(reached.unionByName(reached.join(jump.withColumnRenamed("a", "at"), [by, "at"]).select(by, F.col("b").alias("at"))).distinct())
+    entries: dict[object, set[int]] = {}
+    for r in reached.collect():  # one for each partition and `by` that goes on there
+        entries.setdefault(r[by], set()).add(r["at"])
+    known = laid.sparkSession.sparkContext.broadcast(entries)
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for to, key, n, b, e, own in _groups(batches, by):
+            follows = _follows(n, b, e, max_rows, max_bytes)
+            if key in shared.value:
+                at = next((i for i, x in enumerate(n[: min(own, max_rows + 1)].tolist()) if not x or x in known.value.get(key, ())), own)
+            else:
+                at = 0
+            found = []
+            while at < own:
+                behind = int(follows[at])
+                end = (int(n[behind]), int(b[behind])) if behind < len(n) else (int(n[-1]) + 1, int(e[-1]))
+                found.append((key, to, len(found), int(n[at]), int(b[at]), *end))
+                at = behind
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [laid_type, pa.int32(), *[pa.int64()] * 5], strict=True)], names=[by, "to", "k", "n", "b", "n_to", "b_to"])
+
+    rows = settled(near.mapInArrow(starts, f"`{by}` {kind}, to int, k long, n long, b long, n_to long, b_to long"))
+    w = W.partitionBy(by).orderBy("to").rowsBetween(W.unboundedPreceding, -1)
+    before = rows.groupBy(by, "to").agg(F.count("*").alias("own")).select(by, "to", F.coalesce(F.sum("own").over(w), F.lit(0)).alias("first"))
+    return settled(rows.join(before, [by, "to"]).select(by, (F.col("first") + F.col("k")).alias("batch"), "n", "b", "n_to", "b_to"))
+
+
+def batched(laid: DataFrame, starts: DataFrame, by: str, max_rows: int, max_bytes: int) -> DataFrame:
+    """laid_out()'s rows with batch. Rows and batches meet in cells of max_rows rows and max_bytes bytes ahead, of which a batch touches four at most and which touch a few batches."""
+    cell = lambda a, b, size: F.explode(F.sequence(F.expr(f"{a} div {size}"), F.expr(f"{b} div {size}")))
+    cells = starts.withColumn("_r", cell("n", "(n_to - 1)", max_rows)).withColumn("_c", cell("b", "b_to", max_bytes))
+    rows = laid.withColumns({"_r": F.expr(f"_n div {max_rows}"), "_c": F.expr(f"_b div {max_bytes}")})
+    return rows.join(cells, [by, "_r", "_c"]).where("_n >= n and _n < n_to").drop("_r", "_c", "n", "b", "n_to", "b_to", "_n", "_b", "_part")
 
 
 def batch_changes(changes: DataFrame, max_rows: int = 50_000, max_bytes: int = 8 << 20, by: str = "entity", order: str = "id", size: str = "bytes") -> DataFrame:
     """changes with batch: numbers from 0 of bounded batches in key order, per `by`; a row over the byte cap stops the job.
 
-    A batch ends where the rows ahead reach a multiple of max_rows or the bytes ahead one of half of max_bytes, and a
-    row over that half is a batch of its own. So no batch breaks a cap, whatever the rows, and each row's batch follows
-    from sums that tasks make side by side; batches are half full or more unless rows end or large rows come between.
+    Batches are greedy: each takes rows as long as both caps hold.
     """
-    half = max(1, max_bytes // 2)
     changes = changes.where(F.assert_true(F.col(size) <= max_bytes, "a row is over the byte cap").isNull())
-    rows = laid_out(changes, by, order, size).select("*", F.expr(f"_n div {max_rows}").alias("_r"), F.expr(f"_b div {half}").alias("_h"), (F.col(size) > half).alias("_large")).drop("_n", "_b")
-    cells = ["_r", "_h", "_large"]
-    numbers = rows.select(by, *cells).distinct().withColumn("batch", (F.row_number().over(W.partitionBy(by).orderBy(*cells)) - 1).cast("bigint"))  # a row for each batch
-    return rows.join(numbers, [by, *cells]).drop(*cells)
+    laid = laid_out(changes, by, order, size)
+    return batched(laid, batch_starts(laid, by, size, max_rows, max_bytes), by, max_rows, max_bytes)
 
 
 def fragment_with_parents(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:

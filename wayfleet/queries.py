@@ -585,9 +585,11 @@ def skip_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.skip_unchanged(a, b).select("car_id")
 
 
-@query(FEED + """, u AS (SELECT car_id, id * 10 + seq AS place, length(payload) + CASE WHEN id % 50 = 0 THEN 1500 ELSE 20 END AS bytes FROM feed WHERE op = 'upsert'),
-  s AS (SELECT *, row_number() OVER w - 1 AS n, sum(bytes) OVER w - bytes AS b FROM u WINDOW w AS (PARTITION BY car_id ORDER BY place ROWS UNBOUNDED PRECEDING)),
-  d AS (SELECT car_id, bytes, dense_rank() OVER (PARTITION BY car_id ORDER BY n // 64, b // 1000, bytes > 1000) - 1 AS batch FROM s) SELECT car_id, batch, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM d GROUP BY ALL""")
+@query(FEED.replace("WITH", "WITH RECURSIVE", 1) + """, u AS (SELECT car_id, id * 10 + seq AS place, length(payload) + CASE WHEN id % 50 = 0 THEN 1500 ELSE 20 END AS bytes FROM feed WHERE op = 'upsert'),
+  n AS (SELECT *, row_number() OVER (PARTITION BY car_id ORDER BY place) AS k FROM u),
+  g AS (SELECT car_id, k, bytes, CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS taken, CAST(bytes AS BIGINT) AS total FROM n WHERE k = 1
+    UNION ALL SELECT n.car_id, n.k, n.bytes, g.batch + CASE WHEN g.taken = 64 OR g.total + n.bytes > 2000 THEN 1 ELSE 0 END, CASE WHEN g.taken = 64 OR g.total + n.bytes > 2000 THEN 1 ELSE g.taken + 1 END, CASE WHEN g.taken = 64 OR g.total + n.bytes > 2000 THEN n.bytes ELSE g.total + n.bytes END FROM g JOIN n ON n.car_id = g.car_id AND n.k = g.k + 1)
+  SELECT car_id, batch, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM g GROUP BY ALL""")
 def batch_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _feed(spark, sf_dir).where("op = 'upsert'").withColumns({"place": F.col("id") * 10 + F.col("seq"), "bytes": F.length("payload") + F.when(F.col("id") % 50 == 0, 1500).otherwise(20)})
     return cdc.batch_changes(rows, max_rows=64, max_bytes=2000, by="car_id", order="place").groupBy("car_id", "batch").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfleet.operators import cdc
-from wayfleet.operators.folds import settled
 
 FRAGMENT_ROWS, FRAGMENT_BYTES = 50_000, 8 << 20
 # What the protocol allows a pack and a lineage.
@@ -41,16 +40,21 @@ def read_deltas(spark: SparkSession, path: str) -> DataFrame:
 
 
 def assign_fragments(df: DataFrame, by: str, order: str = "id", max_rows: int = FRAGMENT_ROWS, max_bytes: int = FRAGMENT_BYTES, most: int = MOST_PACKS) -> DataFrame:
-    """df with fragment: bounded batches of rows and JSON bytes in order, per `by`.
+    """df with fragment: greedy batches of rows and JSON bytes in order, per `by`; a row over the byte cap stops the job.
 
-    Where a `by` has more fragments than `most`, both caps double, up to the protocol's; more even then stop the job.
+    Where a `by` has more fragments than `most`, both caps double, up to the protocol's; more even then stop the job. Rows are
+    laid out once; each doubling looks at the sums alone.
     """
-    sized = settled(df.withColumn("bytes", F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))))
+    sized = df.withColumn("bytes", F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    laid = cdc.laid_out(sized, by, order, "bytes")
+    largest = laid.agg(F.max("bytes")).first()[0] or 0
     while True:
-        out = cdc.batch_changes(sized, max_rows, max_bytes, by, order).withColumnRenamed("batch", "fragment").drop("bytes")
-        top = out.agg(F.max("fragment")).first()[0]
+        if largest > max_bytes:
+            raise ValueError("a row is over the byte cap")
+        starts = cdc.batch_starts(laid, by, "bytes", max_rows, max_bytes)
+        top = starts.agg(F.max("batch")).first()[0]
         if top is None or top < most:
-            return out
+            return cdc.batched(laid, starts, by, max_rows, max_bytes).withColumnRenamed("batch", "fragment").drop("bytes")
         if max_rows >= PACK_ROWS and max_bytes >= PACK_BYTES:
             raise ValueError(f"{top + 1} fragments, over {most}")
         max_rows, max_bytes = min(2 * max_rows, PACK_ROWS), min(2 * max_bytes, PACK_BYTES)
