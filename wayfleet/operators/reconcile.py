@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wayfleet.operators import merkle
+
 ENTITY_RANK = ["charge_sample", "position", "charge", "drive", "state", "update"]  # children first
 STAGE = {"car": 0, "drive": 1, "charge": 1, "position": 2, "charge_sample": 2, "state": 2, "update": 2, "tombstone": 3}
 
@@ -67,25 +69,23 @@ def update_summary(updates: DataFrame) -> DataFrame:
     )
 
 
-def dataset_fingerprint(rows: DataFrame, by: list[str], key: str = "id", digest: str = "digest", buckets: int = 1024) -> DataFrame:
-    """(by, n, fingerprint) of rows' digests in order of key, whatever their layout and repeats.
-
-    Two levels: digests are hashed per bucket of key, then the buckets, so no list grows with the data
-    beyond a bucket; give more buckets for more rows.
-    """
-    one = rows.select(*by, key, digest).distinct()
-    low = one.groupBy(*by, F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_bucket")).agg(F.count("*").alias("n"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws(":", F.col(key).cast("string"), digest)))), 256).alias("h"))
-    whole = low.groupBy(*by).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("_bucket", "h"))).alias("all"))
-    return whole.select(*by, "n", F.sha2(F.concat_ws("\n", F.transform("all", lambda x: F.concat_ws(":", x["_bucket"].cast("string"), x["h"]))), 256).alias("fingerprint"))
+def dataset_fingerprint(rows: DataFrame, by: list[str], key: str = "id", digest: str = "digest") -> DataFrame:
+    """(by, n, fingerprint) of rows' digests, whatever their layout and repeats: the roots of their hash trees."""
+    return merkle.roots(merkle.hash_tree(rows, by, key, digest), by)
 
 
 def evidence_fingerprint(kinds: dict[str, DataFrame]) -> DataFrame:
-    """(n, increasing, fingerprint) over frames (id, value) in fixed order of kind."""
-    out = []
+    """(n, increasing, fingerprint) over frames (id, value, and place if the source has an order) in fixed order of kind.
+
+    increasing: within each kind ids rise strictly in order of place; without places, that none is null or comes twice.
+    """
+    out, rising = [], True
     for kind, rows in sorted(kinds.items()):
+        rising = rising and merkle.increasing(rows, "id", "place" if "place" in rows.columns else "id")
         digest = F.sha2(F.concat_ws("\x1f", F.lit(kind), F.col("id").cast("string"), F.coalesce(F.col("value").cast("string"), F.lit("null"))), 256)
         out.append(dataset_fingerprint(rows.select(F.lit(kind).alias("kind"), "id", digest.alias("digest")), ["kind"]))
-    return union(out).groupBy().agg(F.sum("n").alias("n"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws(":", "kind", F.col("n").cast("string"), "fingerprint")))), 256).alias("fingerprint"))
+    told = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "kind", F.col("n").cast("string"), "fingerprint"))), "\n"), 256)
+    return union(out).groupBy().agg(F.sum("n").alias("n"), F.lit(rising).alias("increasing"), told.alias("fingerprint"))
 
 
 def materialisation_report(children: DataFrame, parent: str) -> DataFrame:

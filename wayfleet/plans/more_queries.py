@@ -67,10 +67,23 @@ def cached_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.cached_addresses(A.positions(spark, sf_dir).select("id", "latitude", "longitude"), cache, digits=2).select("id", "osm_id")
 
 
-@query()
+EVIDENCE = ("drive odometer", "state text")
+
+
+def _evidence(kind: str, frame: str, value: str) -> str:
+    """Common tables of the root of a kind's tree, named after its frame."""
+    steps = " + ".join(f"CAST(count(*) > {64 * 16**k} AS INT)" for k in range(1, 8))
+    return f"""{frame}_rows AS (SELECT {value[0]} AS id, sha256(concat_ws(chr(31), '{kind}', {value[0]}, coalesce(CAST({value[1]} AS VARCHAR), 'null'))) AS digest FROM {frame}), {frame}_depth AS (SELECT 1 + {steps} AS depth FROM {frame}_rows),
+  {frame}_tree AS (SELECT depth AS level, left(sha256(CAST(id AS VARCHAR)), depth) AS prefix, count(*) AS n, sha256(string_agg(id || ':' || digest, chr(10) ORDER BY id || ':' || digest)) AS h FROM {frame}_rows, {frame}_depth GROUP BY ALL
+    UNION ALL SELECT level - 1, left(prefix, level - 1), CAST(sum(n) AS BIGINT), sha256(string_agg(prefix || ':' || h, chr(10) ORDER BY prefix || ':' || h)) FROM {frame}_tree WHERE level > 0 GROUP BY level, left(prefix, level - 1))"""
+
+
+@query(with_frames("positions", "observations").replace("WITH", "WITH RECURSIVE", 1) + ", " + _evidence(EVIDENCE[0], "positions", ("id", "CAST(odometer * 1000 AS BIGINT)")) + ", " + _evidence(EVIDENCE[1], "observations", ("observation_id", "phase")) + """
+  SELECT CAST(sum(n) AS BIGINT) AS n, true AS increasing, sha256(string_agg(kind || ':' || n || ':' || h, chr(10) ORDER BY kind)) AS fingerprint FROM (SELECT 'drive odometer' AS kind, * FROM positions_tree WHERE level = 0 UNION ALL SELECT 'state text', * FROM observations_tree WHERE level = 0)""")
 def evidence_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, o = A.positions(spark, sf_dir), A.observations(spark, sf_dir)
-    return reconcile.evidence_fingerprint({"drive odometer": p.select("id", F.col("odometer").alias("value")), "state text": o.select(F.col("observation_id").alias("id"), F.col("phase").alias("value"))})
+    odometer, text = p.select("id", (F.col("odometer") * 1000).cast("bigint").alias("value")), o.select(F.col("observation_id").alias("id"), F.col("phase").alias("value"))
+    return reconcile.evidence_fingerprint(dict(zip(EVIDENCE, (odometer, text), strict=True)))
 
 
 @query("WITH r AS (SELECT l_orderkey AS id, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS place FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) SELECT id, CAST(n AS BIGINT) AS ordinal FROM r WHERE place <> n - 1")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfleet.functions import scalars as S
-from wayfleet.operators import cdc, drives, folds, geo, intervals, quality, reconcile, relations, sessions
+from wayfleet.operators import cdc, drives, folds, geo, intervals, merkle, quality, reconcile, relations, sessions
 from wayfleet.plans import adapters as A
 from wayfleet.plans import more_queries
 from wayfleet.plans.adapters import with_frames
@@ -574,9 +574,38 @@ def dedupe_or_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.dedupe_or_conflict(prior.unionByName(now))
 
 
-@query()
+def tree_sql(rows: str, by: str, of: str = "rows") -> str:
+    """Common tables of the hash trees (nodes) of rows (by, id, digest), with depths by the number of rows in `of`."""
+    return f"""one AS (SELECT DISTINCT {by}, id, digest FROM {rows}), sized AS (SELECT {by}, 1 + {" + ".join(f"CAST(count(*) > {64 * 16**k} AS INT)" for k in range(1, 8))} AS depth FROM (SELECT DISTINCT {by}, id, digest FROM {of}) GROUP BY {by}),
+  nodes AS (SELECT {by}, depth AS level, left(sha256(CAST(id AS VARCHAR)), depth) AS prefix, count(*) AS n, sha256(string_agg(id || ':' || digest, chr(10) ORDER BY id || ':' || digest)) AS h, true AS leaf FROM one JOIN sized USING ({by}) GROUP BY ALL
+    UNION ALL SELECT {by}, level - 1, left(prefix, level - 1), CAST(sum(n) AS BIGINT), sha256(string_agg(prefix || ':' || h, chr(10) ORDER BY prefix || ':' || h)), false FROM nodes WHERE level > 0 GROUP BY {by}, level, left(prefix, level - 1))"""
+
+
+DIGESTED = VERSIONS.replace("WITH", "WITH RECURSIVE", 1) + """, now_rows AS (SELECT id % 3 AS lot, id, sha256(concat_ws(':', entity, id, car_id, payload)) AS digest FROM now), prior_rows AS (SELECT id % 3 AS lot, id, sha256(concat_ws(':', entity, id, car_id, payload)) AS digest FROM prior), """
+
+
+def _digested(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [v.select((F.col("id") % 3).alias("lot"), "id", F.sha2(F.concat_ws(":", "entity", "id", "car_id", "payload"), 256).alias("digest")) for v in _versions(spark, sf_dir)]
+
+
+@query(DIGESTED + tree_sql("now_rows", "lot", "now_rows") + " SELECT lot, n, h AS fingerprint FROM nodes WHERE level = 0")
 def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.dataset_fingerprint(_versions(spark, sf_dir)[1], ["car_id"])
+    return reconcile.dataset_fingerprint(_digested(spark, sf_dir)[1], ["lot"])
+
+
+@query(DIGESTED + tree_sql("now_rows", "lot", "now_rows") + " SELECT lot, level, prefix, n, h AS hash, leaf FROM nodes")
+def refreshed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of the later version, from the prior one's and the keys that changed between."""
+    prior, now = (v.alias(n) for v, n in zip(_digested(spark, sf_dir), "ab", strict=True))
+    same = (F.col("a.lot") == F.col("b.lot")) & (F.col("a.id") == F.col("b.id"))
+    changed = prior.join(now, same, "full").where(~F.col("a.digest").eqNullSafe(F.col("b.digest"))).select(F.coalesce("a.lot", "b.lot").alias("lot"), F.coalesce("a.id", "b.id").alias("id"))
+    return merkle.refreshed(merkle.hash_tree(prior, ["lot"]), now, changed, ["lot"]).select("lot", "level", "prefix", "n", "hash", "leaf")
+
+
+@query(DIGESTED + tree_sql("now_rows", "lot", "now_rows") + ", " + tree_sql("prior_rows", "lot", "prior_rows").replace("one AS", "one2 AS").replace("FROM one ", "FROM one2 ").replace("sized", "sized2").replace("nodes", "nodes2") + """
+  SELECT DISTINCT coalesce(a.lot, b.lot) AS lot, coalesce(a.level, b.level) AS level, coalesce(a.prefix, b.prefix) AS prefix FROM nodes a FULL JOIN nodes2 b ON a.lot = b.lot AND a.level = b.level AND a.prefix = b.prefix WHERE a.h IS DISTINCT FROM b.h AND (coalesce(a.leaf, false) OR coalesce(b.leaf, false))""")
+def differing_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.differing(*[merkle.hash_tree(v, ["lot"]) for v in _digested(spark, sf_dir)], ["lot"])
 
 
 @query(VERSIONS + ", a AS (SELECT car_id, string_agg(id || ':' || payload, ',' ORDER BY id) AS f FROM prior GROUP BY car_id), b AS (SELECT car_id, string_agg(id || ':' || payload, ',' ORDER BY id) AS f FROM now GROUP BY car_id) SELECT b.car_id FROM b LEFT JOIN a ON a.car_id = b.car_id AND a.f = b.f WHERE a.car_id IS NULL")
