@@ -1,14 +1,16 @@
 """Short scenarios with known results."""
 
+import hashlib
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from wayfleet.functions import scalars as S
-from wayfleet.operators import cdc, drives, geo, intervals, quality, reconcile, relations, sessions
+from wayfleet.operators import cdc, drives, geo, intervals, merkle, quality, reconcile, relations, sessions
 from wayfleet.sources import observations as live
-from wayfleet.sources import schema, sinks
+from wayfleet.sources import commits, schema, sinks
 from wayfleet.streaming import lifecycle
 
 MIN = 60_000
@@ -258,18 +260,139 @@ def test_snapshot_contract(spark):
     assert got == {("drive", "distance_km"), ("drive", "end_soc"), ("position", "inside_temp"), ("charge", "cost"), ("charge", "car exists"), ("charge_sample", "positive time"), ("charge_sample", "power"), ("car", "name")}
 
 
-def test_lineage(spark):
-    import hashlib
+def chain(n, base="b" * 64):
+    """Packs of a sound lineage with n deltas after a base of two packs, and its head."""
+    packs, parent = [(1, "base", i, 5, 5, "0" * 64, base, base, f"b{i}", 3, 3) for i in range(2)], base
+    for k in range(n):
+        digest = f"{k:064x}"
+        packs.append((1, "delta", None, 5 + k, 6 + k, parent, commits.chained(parent, digest), digest, f"p{k}", 1, 1))
+        parent = packs[-1][6]
+    return packs, (1, 5, base, 5 + n, parent)
+
+
+def breaches(spark, packs, head, **limits):
+    return sorted((r.rule, r.to_seq) for r in cdc.lineage_check(spark.createDataFrame(packs, cdc.PACKS), spark.createDataFrame([head], cdc.HEADS), **limits).collect())
+
+
+def spoilt(packs, at, **columns):
+    names = [c.split()[0] for c in cdc.PACKS.split(", ")]
+    row = dict(zip(names, packs[at], strict=True)) | columns
+    return [*packs[:at], tuple(row.values()), *packs[at + 1 :]]
+
 
-    chain, rows = cdc.ZERO, []
-    for i, pack in enumerate("pqr"):
-        new = hashlib.sha256(f"delta-v2/{chain}:{pack}".encode()).hexdigest()
-        rows.append((1, i, i + 1, chain, new, pack, 5, 5))
-        chain = new
-    cols = "car_id long, from_seq long, to_seq long, parent string, chain string, pack string, rows long, declared_rows long"
-    assert cdc.lineage_check(spark.createDataFrame(rows, cols)).isEmpty()
-    rows[1] = (*rows[1][:4], "0" * 64, *rows[1][5:])
-    assert {(r.rule, r.to_seq) for r in cdc.lineage_check(spark.createDataFrame(rows, cols)).collect()} == {("chain digest", 2), ("parent digest", 3)}
+def test_lineage(spark):
+    packs, head = chain(3)
+    assert breaches(spark, packs, head) == [] and breaches(spark, *chain(0)) == []
+    assert breaches(spark, spoilt(packs, 3, chain="x"), head) == [("chain digest", 7), ("parent digest", 8)]
+    assert breaches(spark, spoilt(packs, 3, from_seq=5), head) == [("contiguous", 7)]
+    assert breaches(spark, spoilt(packs, 3, pack="p0"), head) == [("unique pack", 6), ("unique pack", 7)]
+    assert breaches(spark, spoilt(packs, 1, ordinal=2), head) == [("base pack", 5)]
+    assert breaches(spark, spoilt(packs, 4, rows=2), head) == [("declared rows", 8)]
+    assert breaches(spark, packs[:-1], head) == [("head", 7)]
+    assert breaches(spark, packs[:2], head) == [("head", None)]
+    assert breaches(spark, packs[2:], head) == [("base", None)]
+    assert breaches(spark, packs, (1, 5, "0" * 64, 8, head[4])) == [("base digest", None), ("parent digest", 6)]
+    assert breaches(spark, packs, head, most=4, pack_rows=2) == [("pack rows", 5), ("pack rows", 5), ("too many packs", None), ("too many rows", None)]
+    assert cdc.lineage_check(spark.createDataFrame(packs, cdc.PACKS), spark.createDataFrame([], cdc.HEADS)).where("rule = 'no head'").count() == 5
+
+
+def test_compaction_plans(spark):
+    cols = "car_id long, kind string, from_seq long, to_seq long, parent string, chain string, rows long, bytes long"
+    packs = lambda car, sizes: [(car, "base", 0, 0, "0", "b", 1, 1), *[(car, "delta", k, k + 1, f"c{k}", f"c{k + 1}", n, 10 * n) for k, n in enumerate(sizes)]]
+    rows = packs(1, [1] * 5) + packs(2, [50, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]) + packs(3, [90] * 12) + packs(4, [90] * 20) + packs(5, [5] * 30)
+    plan = {r.car_id: tuple(r)[1:] for r in cdc.compaction_plan(spark.createDataFrame(rows, cols), most=20, max_rows=100, max_bytes=490).collect()}
+    assert plan[1] == ("none", *[None] * 6) and plan[3] == ("defer", *[None] * 6) and plan[4] == ("exhausted", *[None] * 6)
+    assert plan[2] == ("compact", 7, "c7", 12, 5, 45, 450) and plan[5] == ("compact", 21, "c21", 30, 9, 45, 450)
+
+
+def feed(spark, rows):
+    return spark.createDataFrame(rows, "entity string, id long, car_id long, op string, payload string")
+
+
+def state(spark, path, **at):
+    return sorted((r.entity, r.id, r.payload) for r in commits.read(spark, path, **at).collect())
+
+
+def test_commits(spark, tmp_path):
+    path = str(tmp_path)
+    assert commits.head(spark, path) is None
+    base = spark.createDataFrame([("drive", i, 1, f"v{i}") for i in range(1, 5)], "entity string, id long, car_id long, payload string")
+    first = commits.commit_snapshot(base, path, 10)
+    second = commits.commit_delta(feed(spark, [("drive", 2, 1, "upsert", "new"), ("drive", 3, 1, "delete", None)]), path, 11, first["chain"])
+    assert second["chain"] == commits.chained(first["chain"], second["digest"]) and (second["from_seq"], second["rows"]) == (10, 2)
+    assert state(spark, path) == [("drive", 1, "v1"), ("drive", 2, "new"), ("drive", 4, "v4")] and len(state(spark, path, at_seq=10)) == 4
+    with pytest.raises(commits.Stale):  # made on a head that has moved
+        commits.commit_delta(feed(spark, [("drive", 9, 1, "upsert", "x")]), path, 12, first["chain"])
+    for rows, to_seq in (([], 12), ([("drive", 1, 1, "upsert", None)], 12), ([("car", 1, 1, "delete", None)], 12), ([("drive", 1, 1, "upsert", "x")], 11)):
+        with pytest.raises(ValueError):
+            commits.commit_delta(feed(spark, rows), path, to_seq, second["chain"])
+    assert commits.head(spark, path) == second
+    packs, heads = commits.lineage(spark, path)
+    assert cdc.lineage_check(packs, heads).isEmpty()
+    again = commits.commit_snapshot(base.where("id < 3"), path, 20)
+    assert commits.head(spark, path) == again and len(state(spark, path)) == 2
+
+
+def test_of_two_writers_one_wins_and_a_dead_one_leaves_the_head(spark, tmp_path):
+    path = str(tmp_path)
+    base = spark.createDataFrame([("drive", 1, 1, "v")], "entity string, id long, car_id long, payload string")
+    first = commits.commit_snapshot(base, path, 1)
+    ids = [commits.stage(feed(spark, [("drive", 1, 1, "upsert", w)]).withColumn("seq", F.lit(2).cast("long")), path) for w in ("a", "b")]
+    assert commits.leftovers(spark, path) == sorted(ids) and state(spark, path) == [("drive", 1, "v")]
+    manifests = []
+    for id in ids:
+        digest, n = commits.pack_digest(commits.staged(spark, path, id))
+        manifests.append({"number": 1, "kind": "delta", "data": id, "from_seq": 1, "to_seq": 2, "parent": first["chain"], "digest": digest, "chain": commits.chained(first["chain"], digest), "rows": n})
+    with ThreadPoolExecutor(2) as pool:
+        ways = [pool.submit(commits.publish, spark, path, m) for m in manifests]
+    lost = [w.exception() is not None for w in ways]
+    assert sum(lost) == 1 and isinstance(ways[lost.index(True)].exception(), commits.Stale)
+    assert state(spark, path) == [("drive", 1, "ab"[lost.index(False)])] and commits.leftovers(spark, path) == [ids[lost.index(True)]]
+
+
+def test_compaction_keeps_what_is_read(spark, tmp_path):
+    path = str(tmp_path)
+    top = commits.commit_snapshot(spark.createDataFrame([("drive", i, 1, "v") for i in range(1, 4)], "entity string, id long, car_id long, payload string"), path, 0)
+    for k in range(1, 6):
+        top = commits.commit_delta(feed(spark, [("drive", k, 1, "upsert", f"n{k}"), ("drive", 1 + k % 2, 1, "delete" if k == 4 else "upsert", None if k == 4 else "m" * k)] if k != 1 else [("drive", 1, 1, "upsert", "n1")]), path, k, top["chain"])
+    before, third = state(spark, path), state(spark, path, at_seq=2)
+    assert commits.compact(spark, path) is None
+    done = commits.compact(spark, path, most=6, max_rows=7)
+    assert (done["kind"], done["from_seq"], done["to_seq"]) == ("compact", 2, 5) and state(spark, path) == before and state(spark, path, at_seq=2) == third
+    assert [m["to_seq"] for m in commits.live(commits.manifests(spark, path))] == [0, 1, 2, 5]
+    assert cdc.lineage_check(*commits.lineage(spark, path)).isEmpty()
+    commits.commit_delta(feed(spark, [("drive", 7, 1, "upsert", "x")]), path, 6, done["chain"])
+    with pytest.raises(ValueError):
+        commits.compact(spark, path, most=4, max_rows=1)
+
+
+def test_hash_trees(spark):
+    row = lambda i, v=0: (i % 2, i, f"{i}:{v}")
+    frame = lambda rows: spark.createDataFrame(rows, "lot long, id long, digest string")
+    rows = {i: row(i) for i in range(2500)} | {i: (9, i, "x") for i in range(5000, 5003)}
+    tree = merkle.hash_tree(frame(list(rows.values())), ["lot"])
+    depth = {r.lot: r.level for r in tree.where("leaf").collect()}
+    assert depth == {0: 2, 1: 2, 9: 1} and {r.lot: r.n for r in merkle.roots(tree, ["lot"]).collect()} == {0: 1250, 1: 1250, 9: 3}
+    later = {k: v for k, v in rows.items() if k not in (10, 12)} | {20: row(20, 1), 21: row(21, 1), 7001: row(7001)} | {i: (9, i, "x") for i in range(8000, 9100)} | {9999: (4, 9999, "new")}
+    changed = [(v[0], k) for k in rows.keys() | later.keys() for v in [later.get(k) or rows[k]] if rows.get(k) != later.get(k)]
+    got = merkle.refreshed(tree, frame(list(later.values())), spark.createDataFrame(changed, "lot long, id long"), ["lot"])
+    want = merkle.hash_tree(frame(list(later.values()) * 2), ["lot"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    spots = {(r.lot, r.prefix) for r in merkle.differing(tree.where("lot < 2"), want.where("lot < 2"), ["lot"]).collect()}
+    assert spots == {(lot, hashlib.sha256(str(k).encode()).hexdigest()[:2]) for lot, k in changed if lot < 2}
+    assert merkle.differing(want, want, ["lot"]).isEmpty()
+
+
+def test_evidence_tells_whether_ids_rise(spark):
+    rows = lambda ids: spark.createDataFrame([(i, i, p) for p, i in enumerate(ids)], "id long, value long, place long").repartition(4)
+    told = lambda ids, place: reconcile.evidence_fingerprint({"a": rows(ids) if place else rows(ids).drop("place"), "b": rows([1, 2])}).first()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert [told(ids, True).increasing for ids in ([1, 5, 9, 12, 40, 41], [1, 5, 4, 12], [1, 1], [None, 3], [], [1, 2, 3, 0])] == [True, False, False, False, True, False]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert told([9, 1, 5], False).increasing and not told([9, 1, 9], False).increasing
+    assert told([9, 1, 5], False).fingerprint == told([1, 5, 9], True).fingerprint != told([1, 5, 8], True).fingerprint
 
 
 def test_batches_hold_their_caps(spark):
@@ -512,12 +635,17 @@ def test_stale_frames_are_left_out(spark, tmp_path):
     assert sorted(r.received_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 3, 7]
 
 
-def test_publications_are_bounded(spark, tmp_path):
-    spark.range(25).selectExpr("'drive' AS entity", "id").coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema("entity string, id long").parquet(str(tmp_path / "in"))
-    lifecycle.publish(source, str(tmp_path / "out"), str(tmp_path / "cp"), most=10).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out" / "batch=0")).groupBy("to_seq").agg(F.count("*").alias("n"), F.max("id").alias("top")).orderBy("to_seq").collect()
-    assert [(r.to_seq, r.n, r.top) for r in got] == [(1, 10, 9), (2, 10, 19), (3, 5, 24)]
+def test_publications_are_bounded_and_repeats_do_nothing(spark, tmp_path):
+    path, cols = str(tmp_path / "table"), "entity string, id long, car_id long, op string, payload string"
+    base = commits.commit_snapshot(spark.createDataFrame([("drive", 99, 1, "v")], "entity string, id long, car_id long, payload string"), path, 100)
+    rows = spark.range(1, 26).selectExpr("'drive' AS entity", "id", "1L AS car_id", "'upsert' AS op", "'p' AS payload")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema(cols).parquet(str(tmp_path / "in"))
+    lifecycle.publish(source(), path, str(tmp_path / "cp"), most=10).awaitTermination()
+    log = commits.manifests(spark, path)
+    assert [(m["to_seq"], m["rows"], m.get("tag")) for m in log] == [(100, 1, None), (101, 10, "0/0"), (102, 10, "0/1"), (103, 5, "0/2")] and log[1]["parent"] == base["chain"]
+    lifecycle.publish(source(), path, str(tmp_path / "lost checkpoint"), most=10).awaitTermination()  # the same batch tried again
+    assert commits.manifests(spark, path) == log and commits.read(spark, path).count() == 26
 
 
 def test_enrichment_waits_after_a_failure(spark):

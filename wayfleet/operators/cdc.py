@@ -23,6 +23,10 @@ from wayfleet.operators.reconcile import ENTITY_RANK, rank_of, stage_of
 
 KEY = ["entity", "id"]
 ZERO = "0" * 64
+# What the protocol allows a pack and a lineage, and the slots that are kept free.
+PACK_ROWS, PACK_BYTES, MOST_PACKS, SPARE_PACKS = 1_000_000, 256 << 20, 512, 8
+PACKS = "car_id long, kind string, ordinal long, from_seq long, to_seq long, parent string, chain string, digest string, pack string, rows long, declared_rows long"
+HEADS = "car_id long, base_seq long, base_digest string, head_seq long, head_digest string"
 
 
 def classify_changes(prior: DataFrame | None, current: DataFrame) -> DataFrame:
@@ -76,7 +80,7 @@ def validate_delta(delta: DataFrame, parent: str | None = None) -> DataFrame:
     return out.unionByName(cars)
 
 
-def _last(feed: DataFrame) -> DataFrame:
+def last_changes(feed: DataFrame) -> DataFrame:
     """The last operation of each key."""
     return feed.groupBy(*KEY).agg(F.max_by(F.struct("car_id", "op", "payload", "seq"), "seq").alias("last")).select(*KEY, "last.*")
 
@@ -85,14 +89,14 @@ def apply_deltas(base: DataFrame, deltas: DataFrame, at_seq: int | None = None)
     """(entity, id, car_id, payload) of the base after all deltas up to a sequence; a key that no delta names stays."""
     feed = deltas if at_seq is None else deltas.where(F.col("seq") <= at_seq)
     start = base.select(*KEY, "car_id", F.lit("upsert").alias("op"), "payload", F.lit(-1).cast("bigint").alias("seq"))
-    return _last(start.unionByName(feed.select(*start.columns))).where("op = 'upsert'").select(*KEY, "car_id", "payload")
+    return last_changes(start.unionByName(feed.select(*start.columns))).where("op = 'upsert'").select(*KEY, "car_id", "payload")
 
 
 def compact(deltas: DataFrame, after_seq: int) -> DataFrame:
     """The feed with all deltas behind a sequence as one, under its last sequence."""
     tail = deltas.where(F.col("seq") > after_seq)
     last = tail.agg(F.max("seq").alias("_top"))
-    one = _last(tail).crossJoin(F.broadcast(last)).withColumn("seq", F.col("_top")).drop("_top")
+    one = last_changes(tail).crossJoin(F.broadcast(last)).withColumn("seq", F.col("_top")).drop("_top")
     return deltas.where(F.col("seq") <= after_seq).unionByName(one.select(*deltas.columns))
 
 
@@ -264,23 +268,61 @@ def skip_unchanged(prior: DataFrame, current: DataFrame) -> DataFrame:
     return current.join(prior.select("car_id", "fingerprint"), ["car_id", "fingerprint"], "left_anti")
 
 
-def lineage_check(lineage: DataFrame) -> DataFrame:
-    """(car_id, rule, to_seq) of each breach in (car_id, from_seq, to_seq, parent, chain, pack, rows, declared_rows): no base, a gap, a wrong parent or chain digest, a pack twice, other totals than declared."""
-    w = W.partitionBy("car_id").orderBy("to_seq")
-    rows = lineage.withColumns({"_to": F.lag("to_seq").over(w), "_chain": F.lag("chain").over(w), "_n": F.row_number().over(w)})
+def lineage_check(packs: DataFrame, heads: DataFrame, most: int = MOST_PACKS, pack_rows: int = PACK_ROWS) -> DataFrame:
+    """(car_id, rule, to_seq) of each breach in packs (PACKS) under heads (HEADS).
+
+    A car has a base of one pack or more, numbered from 0 and all of the base's sequence, and a digest of it. Its deltas go on
+    from there without gaps, each with the chain digest before it as parent and its own after it, to the head. No pack comes twice,
+    none is larger than declared or allowed, and their number and rows stay within what the protocol allows (to_seq null).
+    """
+    place = W.partitionBy("car_id", "kind").orderBy("to_seq", "ordinal")
+    rows = packs.join(heads, "car_id", "left").withColumns({"_to": F.lag("to_seq").over(place), "_chain": F.lag("chain").over(place), "_n": F.row_number().over(place) - 1, "_next": F.lead("to_seq").over(place)})
     rows = rows.withColumn("_twice", F.count("*").over(W.partitionBy("car_id", "pack")))
-    expected = F.coalesce("_chain", F.lit(ZERO))
+    base, delta = F.col("kind") == "base", F.col("kind") == "delta"
+    last = delta & F.col("_next").isNull()
     rules = [
-        ("base", (F.col("_n") == 1) & (F.col("parent") != ZERO)),
-        ("contiguous", F.col("_to").isNotNull() & (F.col("from_seq") != F.col("_to"))),
-        ("forward", F.col("to_seq") <= F.col("from_seq")),
-        ("parent digest", (F.col("_n") > 1) & (F.col("parent") != expected)),
-        ("chain digest", F.col("chain") != chain_digest(F.col("parent"), F.col("pack"))),
+        ("no head", F.col("base_seq").isNull()),
+        ("base pack", base & ((F.col("from_seq") != F.col("base_seq")) | (F.col("to_seq") != F.col("base_seq")) | ~F.col("ordinal").eqNullSafe(F.col("_n").cast("bigint")))),
+        ("contiguous", delta & (F.col("from_seq") != F.coalesce("_to", "base_seq"))),
+        ("forward", delta & (F.col("to_seq") <= F.col("from_seq"))),
+        ("parent digest", delta & (F.col("parent") != F.coalesce("_chain", "base_digest"))),
+        ("chain digest", delta & (F.col("chain") != chain_digest(F.col("parent"), F.col("digest")))),
         ("unique pack", F.col("_twice") > 1),
         ("declared rows", F.col("rows") != F.col("declared_rows")),
+        ("pack rows", F.col("rows") > pack_rows),
+        ("head", last & ((F.col("to_seq") != F.col("head_seq")) | (F.col("chain") != F.col("head_digest")))),
     ]
     found = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules]))
-    return rows.select("car_id", F.explode(found).alias("rule"), "to_seq")
+    each = rows.select("car_id", F.explode(found).alias("rule"), "to_seq")
+    totals = packs.groupBy("car_id").agg(F.count("*").alias("n"), F.sum("rows").alias("total"), F.count_if(base).alias("bases"), F.count_if(delta).alias("deltas"))
+    cars = heads.join(totals, "car_id", "left").fillna(0, ["n", "total", "bases", "deltas"])
+    whole = [
+        ("base", F.col("bases") == 0),
+        ("base digest", F.coalesce(F.col("base_digest") == ZERO, F.lit(True))),
+        ("too many packs", F.col("n") > most),
+        ("too many rows", F.col("total") > pack_rows * most),
+        ("head", (F.col("deltas") == 0) & ((F.col("head_seq") != F.col("base_seq")) | (F.col("head_digest") != F.col("base_digest")))),
+    ]
+    found = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in whole]))
+    return each.unionByName(cars.select("car_id", F.explode(found).alias("rule"), F.lit(None).cast("bigint").alias("to_seq")))
+
+
+def compaction_plan(packs: DataFrame, most: int = MOST_PACKS, max_rows: int = PACK_ROWS, max_bytes: int = PACK_BYTES) -> DataFrame:
+    """(car_id, action, anchor_seq, anchor_digest, head_seq, replaced, rows, bytes) of packs (car_id, kind, from_seq, to_seq, parent, chain, rows, bytes).
+
+    A lineage that with one pack more has over most - SPARE_PACKS of them is due: the longest run of its last deltas, two or more,
+    whose sums of rows and bytes fit into one pack becomes one delta behind its anchor ('compact'). If none fits, it waits while a slot
+    is free ('defer'), else it is 'exhausted'. Others: 'none'. A lineage has `most` packs or about that many, so windows are short.
+    """
+    back = W.partitionBy("car_id").orderBy(F.desc("to_seq"))
+    counts = packs.groupBy("car_id").agg(F.count("*").alias("n"), F.max("to_seq").alias("head_seq"))
+    tail = packs.where("kind <> 'base'").withColumns({"_rows": F.sum("rows").over(back), "_bytes": F.sum("bytes").over(back), "_k": F.row_number().over(back)})
+    fits = tail.where((F.col("_rows") <= max_rows) & (F.col("_bytes") <= max_bytes) & (F.col("_k") >= 2))
+    best = fits.groupBy("car_id").agg(F.max("_k").alias("replaced"), *[F.max_by(c, "_k").alias(n) for c, n in (("from_seq", "anchor_seq"), ("parent", "anchor_digest"), ("_rows", "rows"), ("_bytes", "bytes"))])
+    due = F.col("n") + 1 > most - min(most, SPARE_PACKS)
+    action = F.when(~due, "none").when(F.col("replaced").isNotNull(), "compact").when(F.col("n") + 1 <= most, "defer").otherwise("exhausted")
+    planned = lambda c: F.when(F.col("action") == "compact", F.col(c)).alias(c)
+    return counts.join(best, "car_id", "left").withColumn("action", action).select("car_id", "action", *map(planned, ("anchor_seq", "anchor_digest", "head_seq", "replaced", "rows", "bytes")))
 
 
 def tombstones_in_order(rows: DataFrame) -> DataFrame:

@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfleet.operators import cdc
+from wayfleet.operators.cdc import MOST_PACKS, PACK_BYTES, PACK_ROWS
 
 FRAGMENT_ROWS, FRAGMENT_BYTES = 50_000, 8 << 20
-# What the protocol allows a pack and a lineage.
-PACK_ROWS, PACK_BYTES, MOST_PACKS = 1_000_000, 256 << 20, 512
 
 
 def write_snapshot(tables: dict[str, DataFrame], path: str, violations: DataFrame | None = None, rows: int = FRAGMENT_ROWS) -> None:
     """Each entity as Parquet by car and sorted by id; nothing is written if there are violations."""
-    if violations is not None and not violations.isEmpty():
-        raise ValueError(f"the snapshot breaks its contract: {violations.limit(5).collect()}")
+    wrong = violations.limit(5).collect() if violations is not None else []
+    if wrong:
+        raise ValueError(f"the snapshot breaks its contract: {wrong}")
     for name, df in tables.items():
         by = ["car_id"] if "car_id" in df.columns else []
         # a range of (car, id) per task: a car with many rows spreads over several, each sorted
@@ -28,9 +28,9 @@ def write_delta(changes: DataFrame, path: str, seq: int, parent: str) -> None:
     """A change feed's rows under its sequence and entity, with a metadata row; an empty or invalid delta is rejected."""
     if changes.isEmpty():
         raise ValueError("a delta has at least one change")
-    wrong = cdc.validate_delta(changes, parent)
-    if not wrong.isEmpty():
-        raise ValueError(f"the delta breaks its contract: {wrong.limit(5).collect()}")
+    wrong = cdc.validate_delta(changes, parent).limit(5).collect()
+    if wrong:
+        raise ValueError(f"the delta breaks its contract: {wrong}")
     changes.sortWithinPartitions("entity", "id").write.partitionBy("entity").parquet(f"{path}/changes/to_seq={seq}")
     changes.agg(F.count("*").alias("rows")).select(F.lit(seq).cast("bigint").alias("to_seq"), F.lit(parent).alias("parent"), "rows").coalesce(1).write.parquet(f"{path}/lineage/to_seq={seq}")
 

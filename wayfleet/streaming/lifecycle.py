@@ -28,6 +28,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wayfleet.operators import cdc
 from wayfleet.operators.drives import LEAST_KM
+from wayfleet.operators.folds import settled
+from wayfleet.sources import commits
 
 OFFLINE_MS, THIN_MS = 15 * 60_000, 5 * 60_000
 #: Neighbouring ids that are folded at once where rows had to be put aside.
@@ -328,12 +330,24 @@ MOST_MUTATIONS = 10_000
 
 
 def publish(changes: DataFrame, path: str, checkpoint: str, most: int = MOST_MUTATIONS):
-    """Micro-batches of a mutation stream as deltas of at most so many rows in order of their id, each under a sequence of its batch; a batch that is tried again overwrites itself."""
+    """Micro-batches of a mutation stream (entity, id, car_id, op, payload) as commits of at most so many rows in order of their id, on the head each.
+
+    A commit is named after its batch and place, so a batch that is tried again goes on behind what it has committed; one that
+    finds the head moved takes the new head.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
-        parts = cdc.batch_changes(batch.withColumns({"_all": F.lit(0), "_size": F.lit(0).cast("bigint")}), max_rows=most, by="_all", order="id", size="_size")
-        seq = F.lit(number).cast("bigint") * (1 << 20) + F.col("batch") + 1
-        parts.withColumn("to_seq", seq).drop("_all", "_size", "batch").write.mode("overwrite").partitionBy("to_seq").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        sized = settled(batch.withColumns({"_all": F.lit(0), "_size": F.lit(0).cast("bigint")}))
+        parts = settled(cdc.batch_changes(sized, max_rows=most, by="_all", order="id", size="_size"))
+        for place in range((parts.agg(F.max("batch")).first()[0] or 0) + 1 if not parts.isEmpty() else 0):
+            tag = f"{number}/{place}"
+            while not any(m.get("tag") == tag for m in commits.manifests(spark, path)):
+                top = commits.head(spark, path)
+                try:
+                    commits.commit_delta(parts.where(F.col("batch") == place), path, top["to_seq"] + 1, top["chain"], tag)
+                except commits.Stale:
+                    continue
 
     return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
