@@ -322,21 +322,17 @@ def alike(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, similarit
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = settle(wanted.join(nodes.select("node", "doc_id"), "node"))
     sc = docs.sparkSession.sparkContext
-    by_doc, by_node = (sc.broadcast(sieve_of(wanted.select(c.alias("key")))) for c in (F.xxhash64("doc_id"), F.xxhash64("node")))
+    by_doc, by_node = (sc.broadcast(sieve_of(wanted.select(c.alias("key")))) for c in (F.xxhash64("doc_id"), F.col("node")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(b.filter(pa.array(sifted(by_doc.value, b.column("key").to_numpy(zero_copy_only=False)))) for b in batches):
             h, row = sets(b, k)
             ends = np.searchsorted(row, np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(digest(h, ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))], names=["node", "hashes"])
+            node = digest(h, ends)
+            out = pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))], names=["node", "hashes"])
+            yield out.filter(pa.array(sifted(by_node.value, node)))
 
-    own = only(docs, doc_id="long", text="string").withColumn("key", F.xxhash64("doc_id")).mapInArrow(run, "node long, hashes array<long>")
-
-    @F.arrow_udf("boolean")
-    def may(keys: pa.Array) -> pa.Array:
-        return pa.array(sifted(by_node.value, keys.to_numpy(zero_copy_only=False)))
-
-    own = own.where(may(F.xxhash64("node"))).dropDuplicates(["node"])
+    own = only(docs, doc_id="long", text="string").withColumn("key", F.xxhash64("doc_id")).mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
     both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(F.coalesce(F.try_divide(common, F.size("x") + F.size("y") - common) >= similarity, F.lit(True))).select("a", "b")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfleet.llm.common import mix, may_be_in, only, raw, settle, sieve_of, sifted, slices, texts
+from wayfleet.llm.common import mix, only, raw, settle, sieve_of, sifted, slices, texts
 
 WRAP, REACH, MIN_WORDS = 16, 2, 10
 _SPACE = np.zeros(256, dtype=bool)
@@ -179,7 +179,22 @@ def line_dedup(docs: DataFrame, size: int = 3, min_words: int = MIN_WORDS) -> Da
     schema = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in kept] + [T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed")])
     names = schema.names
     later = settle(later)
-    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept])
-    rows = rows.withColumn("_may", F.coalesce(may_be_in(later.select(F.xxhash64("doc_id").alias("key")), F.xxhash64(F.col("doc_id").cast("long"))), F.lit(False)))
-    met = rows.where("_may").join(later.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
-    return met.unionByName(rows.where("not _may").withColumn("_later", F.lit(None).cast("array<long>"))).drop("_may").mapInArrow(rebuilt, schema)
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept]).withColumn("_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"))))
+    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(later.select(F.xxhash64("doc_id").alias("key"))))
+
+    def may(b: pa.RecordBatch) -> np.ndarray:
+        """Which rows can have later windows; the others never leave their task."""
+        key = b.column("_key")
+        return sifted(sieve.value, pc.fill_null(key, 0).to_numpy(zero_copy_only=False)) & key.is_valid().to_numpy(zero_copy_only=False)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select(names_of_kept).filter(pa.array(may(b)))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = (b.filter(pa.array(~may(b))) for b in batches)
+        return rebuilt(b.append_column("_later", pa.nulls(b.num_rows, pa.list_(pa.int64()))) for b in left)
+
+    names_of_kept = [f.name for f in kept]
+    near = rows.mapInArrow(chosen, T.StructType(kept)).join(later.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    return near.mapInArrow(rebuilt, schema).unionByName(rows.mapInArrow(others, schema))
