@@ -79,7 +79,7 @@ def _evidence(kind: str, frame: str, value: str) -> str:
 
 
 @query(with_frames("positions", "observations").replace("WITH", "WITH RECURSIVE", 1) + ", " + _evidence(EVIDENCE[0], "positions", ("id", "CAST(odometer * 1000 AS BIGINT)")) + ", " + _evidence(EVIDENCE[1], "observations", ("observation_id", "phase")) + """
-  SELECT CAST(sum(n) AS BIGINT) AS n, true AS increasing, sha256(string_agg(kind || ':' || n || ':' || h, chr(10) ORDER BY kind)) AS fingerprint FROM (SELECT 'drive odometer' AS kind, * FROM positions_tree WHERE level = 0 UNION ALL SELECT 'state text', * FROM observations_tree WHERE level = 0)""")
+  SELECT CAST(sum(n) AS BIGINT) AS n, (SELECT count(*) = count(DISTINCT id) FROM positions_rows) AND (SELECT count(*) = count(DISTINCT id) FROM observations_rows) AS increasing, sha256(string_agg(kind || ':' || n || ':' || h, chr(10) ORDER BY kind)) AS fingerprint FROM (SELECT 'drive odometer' AS kind, * FROM positions_tree WHERE level = 0 UNION ALL SELECT 'state text', * FROM observations_tree WHERE level = 0)""")
 def evidence_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, o = A.positions(spark, sf_dir), A.observations(spark, sf_dir)
     odometer, text = p.select("id", (F.col("odometer") * 1000).cast("bigint").alias("value")), o.select(F.col("observation_id").alias("id"), F.col("phase").alias("value"))
