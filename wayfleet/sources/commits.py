@@ -86,25 +86,41 @@ def staged(spark: SparkSession, path: str, *ids: str) -> DataFrame:
     return spark.read.schema(f"{CHANGE}, pack string").option("basePath", f"{path}/data").parquet(*[f"{path}/data/pack={id}" for id in ids]).drop("pack")
 
 
-def publish(spark: SparkSession, path: str, manifest: dict) -> dict:
-    """Makes a manifest the log's entry of its number, or raises Stale if there is one."""
+def made(spark: SparkSession, path: str) -> None:
+    where, fs = _files(spark, path)
+    fs.mkdirs(where)
+
+
+def renamed(spark: SparkSession, draft: str, target: str) -> bool:
+    """Shows a draft under its name by one rename without overwriting; False, and no draft left, where the name is taken."""
     jvm = spark.sparkContext._jvm
-    target, fs = _files(spark, f"{path}/log/{manifest['number']:020d}.json")
-    draft = jvm.org.apache.hadoop.fs.Path(f"{path}/draft/{uuid.uuid4().hex}")
-    fs.mkdirs(target.getParent())
-    out = fs.create(draft, False)
-    out.write(bytearray(json.dumps(manifest).encode()))
-    out.close()
+    (source, fs), (where, _) = _files(spark, draft), _files(spark, target)
+    if fs.exists(where):
+        fs.delete(source, True)
+        return False
     try:
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
         how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         how[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-        files.rename(draft, target, how)
+        files.rename(source, where, how)
     except Exception as e:
-        fs.delete(draft, False)
+        fs.delete(source, True)
         if "FileAlreadyExists" in str(e):
-            raise Stale(f"commit {manifest['number']} is taken") from None
+            return False
         raise
+    return True
+
+
+def publish(spark: SparkSession, path: str, manifest: dict) -> dict:
+    """Makes a manifest the log's entry of its number, or raises Stale if there is one."""
+    made(spark, f"{path}/log")
+    draft = f"{path}/draft/{uuid.uuid4().hex}"
+    where, fs = _files(spark, draft)
+    out = fs.create(where, False)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    if not renamed(spark, draft, f"{path}/log/{manifest['number']:020d}.json"):
+        raise Stale(f"commit {manifest['number']} is taken")
     return manifest
 
 

@@ -233,8 +233,8 @@ class Ordered(StatefulProcessor):
 
 
 class Lifecycle(Ordered):
-    def __init__(self, offline_ms: int = OFFLINE_MS, thin_ms: int = THIN_MS):
-        self.offline_ms, self.thin_ms = offline_ms, thin_ms
+    def __init__(self, offline_ms: int = OFFLINE_MS, thin_ms: int = THIN_MS, letters: tuple[str, ...] = ()):
+        self.offline_ms, self.thin_ms, self.letters = offline_ms, thin_ms, letters
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -256,8 +256,8 @@ class Lifecycle(Ordered):
             car.s["last_id"] = int(r.observation_id)
             row = {c: none(getattr(r, c, None)) for c in taken}
             for done in car.step(int(r.at_ms), charging=none(r.charging_state), broken=bool(none(r.broken)), id=int(r.observation_id), **row):
-                out.append((car_id, *done))
-        names = [c.split()[0] for c in OUT.split(", ")]
+                out.append((car_id, *done, *(none(getattr(r, c)) if done[0] == "quarantine" else None for c in self.letters)))
+        names = [c.split()[0] for c in OUT.split(", ")] + list(self.letters)
         frame = pd.DataFrame(out, columns=names)
         whole = {c: "Int64" for c in ("car_id", "session", "observation_id", "start_ms", "end_ms", "n", "duration_min")}
         return frame.astype(whole | {c: "float64" for c in ("first", "last", *FACTS) if c != "duration_min"})
@@ -268,11 +268,12 @@ class Lifecycle(Ordered):
         self.state.update(tuple(None if pd.isna(first[c.split()[0]]) else first[c.split()[0]] for c in STATE.split(", ")))
 
 
-def lifecycle_stream(obs: DataFrame, seeds: DataFrame | None = None, offline_ms: int = OFFLINE_MS, thin_ms: int = THIN_MS) -> DataFrame:
-    """obs (IN) as stream -> closed rows and children (OUT). seeds: (car_id, STATE) of sessions open at the import's end."""
+def lifecycle_stream(obs: DataFrame, seeds: DataFrame | None = None, offline_ms: int = OFFLINE_MS, thin_ms: int = THIN_MS, letters: dict[str, str] | None = None) -> DataFrame:
+    """obs (IN) as stream -> closed rows and children (OUT). seeds: (car_id, STATE) of sessions open at the import's end; letters: columns of obs and their types that a quarantined row keeps, behind OUT."""
+    letters = letters or {}
     keyed = obs.groupBy("car_id")
     start = seeds.groupBy("car_id") if seeds is not None else None
-    return keyed.transformWithStateInPandas(statefulProcessor=Lifecycle(offline_ms, thin_ms), outputStructType=OUT, outputMode="Append", timeMode="None", initialState=start)
+    return keyed.transformWithStateInPandas(statefulProcessor=Lifecycle(offline_ms, thin_ms, tuple(letters)), outputStructType=OUT + "".join(f", {c} {kind}" for c, kind in letters.items()), outputMode="Append", timeMode="None", initialState=start)
 
 
 def gate(obs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -293,7 +294,10 @@ def gate(obs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 class Fresh(Ordered):
-    """Lets a frame through if its timestamp is later than every one before it."""
+    """Lets a frame through if its timestamp is later than every one before it, and every row without a timestamp."""
+
+    def __init__(self, order: str = "received_id"):
+        self.order = order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -301,23 +305,23 @@ class Fresh(Ordered):
 
     def handleInputRows(self, key, rows: Iterable[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.state.get()[0] if self.state.exists() else None
-        for piece in self.pieces(rows, "received_id"):
-            top = piece["ts_ms"].cummax().shift()
+        for piece in self.pieces(rows, self.order):
+            top = piece["ts_ms"].cummax().ffill().shift()
             if last is not None:
                 top = top.fillna(last).clip(lower=last)
-            kept = piece[top.isna() | (piece["ts_ms"] > top)]
-            if len(kept):
+            kept = piece[top.isna() | (piece["ts_ms"] > top) | piece["ts_ms"].isna()]
+            if kept["ts_ms"].notna().any():
                 last = int(kept["ts_ms"].max())
             yield kept
         if last is not None:
             self.state.update((last,))
 
 
-def fresh_frames(frames: DataFrame, received: str = "received_ms") -> DataFrame:
-    """A stream of frames (car_id, received_id, ts_ms, received_ms, ...) without implausible times and, per car in order of received_id, without frames that aren't newer than all before."""
-    sane = frames.where((F.col("ts_ms") >= 946_684_800_000) & (F.col("ts_ms") <= F.col(received) + 300_000))
+def fresh_frames(frames: DataFrame, received: str = "received_ms", order: str = "received_id", others: bool = False) -> DataFrame:
+    """A stream of frames (car_id, received_id, ts_ms, received_ms, ...) without implausible times and, per car in order of received_id, without frames that aren't newer than all before. others: rows without ts_ms are no frames and stay."""
+    sane = frames.where(((F.col("ts_ms") >= 946_684_800_000) & (F.col("ts_ms") <= F.col(received) + 300_000)) | (F.lit(others) & F.col("ts_ms").isNull()))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema.fields)
-    return sane.groupBy("car_id").transformWithStateInPandas(statefulProcessor=Fresh(), outputStructType=kind, outputMode="Append", timeMode="None")
+    return sane.groupBy("car_id").transformWithStateInPandas(statefulProcessor=Fresh(order), outputStructType=kind, outputMode="Append", timeMode="None")
 
 
 def deduplicated(frames: DataFrame, delay: str = "10 minutes") -> DataFrame:
