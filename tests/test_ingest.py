@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wayfleet.operators import intervals
 from wayfleet.sources import commits
 from wayfleet.sources import observations as live
-from wayfleet.streaming import ingest, lifecycle
+from wayfleet.streaming import enrichment, ingest, lifecycle
 
 BASE, MIN = 1_700_000_000_000, 60_000
 
@@ -155,3 +155,63 @@ def test_a_writer_that_dies_shows_nothing(spark, tmp_path, monkeypatch):
     assert ingest.read_letters(spark, str(tmp_path / "out")).count() == 0
     monkeypatch.setattr(commits, "renamed", real)
     assert [r[1] for r in run(spark, tmp_path, [[bad[0]]])[1]] == [1, 2, 3]
+
+
+ROW = "entity string, id long, car_id long, payload string"
+HOUR = 3_600_000
+
+
+def heights(spark, tmp_path, now, fails=(), page=100):
+    """A pass that gives position i the height 10 * i, but for those that fail."""
+    wanted = lambda rows: rows.where(F.get_json_object("payload", "$.height").isNull())
+    asked = F.col("id").isin(*fails) if fails else F.lit(False)
+    resolve = lambda rows: rows.select("id", F.when(~asked, (F.col("id") * 10).cast("string")).alias("answer"), F.when(asked, "no tile").alias("error"))
+    merge = lambda payload, answer: F.concat(F.rtrim(payload, F.lit("}")), F.lit(', "height": '), answer, F.lit("}"))
+    return enrichment.run_pass(spark, str(tmp_path / "table"), str(tmp_path / "tries"), "position", wanted, resolve, merge, now, page)
+
+
+def shown(spark, tmp_path):
+    rows = commits.read(spark, str(tmp_path / "table")).where("entity = 'position'").collect()
+    return {r.id: json.loads(r.payload).get("height") for r in rows}
+
+
+def start(spark, tmp_path, n=5):
+    rows = [("position", i, 1, '{"at": 1}') for i in range(1, n + 1)] + [("drive", 1, 1, "v")]
+    return commits.commit_snapshot(spark.createDataFrame(rows, ROW), str(tmp_path / "table"), 1)
+
+
+def test_enrichment_writes_back_in_pages_and_tries_failures_again(spark, tmp_path):
+    start(spark, tmp_path)
+    assert heights(spark, tmp_path, 0, fails=(2,), page=3) == 2
+    assert shown(spark, tmp_path) == {1: 10, 2: None, 3: 30, 4: None, 5: None}
+    assert heights(spark, tmp_path, HOUR) == 2  # 2 waits
+    assert heights(spark, tmp_path, 5 * HOUR) == 0 and shown(spark, tmp_path)[2] is None
+    assert heights(spark, tmp_path, 6 * HOUR) == 1 and shown(spark, tmp_path) == {i: 10 * i for i in range(1, 6)}
+    assert [(m["rows"], m.get("tag")) for m in commits.manifests(spark, str(tmp_path / "table"))] == [(6, None), (2, "enrichment/position/0"), (2, "enrichment/position/1"), (1, "enrichment/position/2")]
+    errors = enrichment.attempts(spark, str(tmp_path / "tries")).where("not resolved").collect()
+    assert [(r.id, r.error) for r in errors] == [(2, "no tile")]
+
+
+def test_an_answer_is_for_the_payload_it_was_made_for(spark, tmp_path, monkeypatch):
+    """Between answers and commit one row changes and one goes; the dead pass is finished by the next."""
+    base = start(spark, tmp_path, 3)
+    table = str(tmp_path / "table")
+    with monkeypatch.context() as m:
+        m.setattr(enrichment, "write_back", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            heights(spark, tmp_path, 0, fails=(3,))
+    assert set(shown(spark, tmp_path).values()) == {None}
+    commits.commit_delta(spark.createDataFrame([("position", 1, 1, "upsert", '{"at": 2}'), ("position", 2, 1, "delete", None)], "entity string, id long, car_id long, op string, payload string"), table, 2, base["chain"])
+    assert heights(spark, tmp_path, HOUR) == 1  # nothing of the dead pass holds; 1 is asked anew, 3 waits
+    assert shown(spark, tmp_path) == {1: 10, 3: None}
+    assert json.loads(commits.read(spark, table).where("entity = 'position' AND id = 1").first().payload)["at"] == 2
+
+
+def test_a_dead_pass_is_finished_once(spark, tmp_path, monkeypatch):
+    start(spark, tmp_path, 2)
+    with monkeypatch.context() as m:
+        m.setattr(commits, "commit_delta", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            heights(spark, tmp_path, 0)
+    assert heights(spark, tmp_path, 1) == 2 and heights(spark, tmp_path, 2) == 0
+    assert shown(spark, tmp_path) == {1: 10, 2: 20} and len(commits.manifests(spark, str(tmp_path / "table"))) == 2

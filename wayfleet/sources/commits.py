@@ -3,8 +3,7 @@
 `data/pack=<id>` holds what a writer staged, `log/<number>.json` the manifests. A writer stages its rows, validates them, and
 publishes a manifest that names its parent by renaming it to the log's next number, which fails if another writer took it:
 of two writers on one parent one wins, the other gets `Stale` and starts again from the new head. A writer that dies before that
-leaves staged rows that no manifest names; readers stay on the head, and `leftovers` lists them. The rename is as atomic as the
-file system's own, without overwriting.
+leaves staged rows that no manifest names; readers stay on the head, and `leftovers` lists them.
 
 Manifests form a chain: a pack's digest is of its rows' hash trees, the chain digest of the parent's and the pack's (F23). A
 compaction is a commit too; its manifest replaces the deltas behind its anchor.
@@ -12,8 +11,10 @@ compaction is a commit too; its manifest replaces the deltas behind its anchor.
 
 from __future__ import annotations
 
+import errno
 import hashlib
 import json
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,14 +36,14 @@ def _files(spark: SparkSession, path: str):
     return where, where.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
-def _listed(spark: SparkSession, path: str) -> list[str]:
+def listed(spark: SparkSession, path: str) -> list[str]:
     where, fs = _files(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
 
 def manifests(spark: SparkSession, path: str) -> list[dict]:
     """All commits in order: some hundred short rows."""
-    if not any(n.endswith(".json") for n in _listed(spark, f"{path}/log")):
+    if not any(n.endswith(".json") for n in listed(spark, f"{path}/log")):
         return []
     rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(f"{path}/log").collect()
     return sorted((json.loads(r.value) for r in rows), key=lambda m: m["number"])
@@ -92,22 +93,28 @@ def made(spark: SparkSession, path: str) -> None:
 
 
 def renamed(spark: SparkSession, draft: str, target: str) -> bool:
-    """Shows a draft under its name by one rename without overwriting; False, and no draft left, where the name is taken."""
+    """Shows a draft (a file, or a folder with files) under its name in one step without overwriting; False, and no draft left, where the name is taken.
+
+    A shared file system's rename is one step that refuses a taken name. A local one's is not; there a file is linked, and a folder moved, which
+    no folder with files lets happen to it.
+    """
     jvm = spark.sparkContext._jvm
     (source, fs), (where, _) = _files(spark, draft), _files(spark, target)
-    if fs.exists(where):
-        fs.delete(source, True)
-        return False
     try:
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-        how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-        files.rename(source, where, how)
+        if fs.getUri().getScheme() == "file":
+            here, there = source.toUri().getPath(), where.toUri().getPath()
+            (os.rename if os.path.isdir(here) else os.link)(here, there)
+        else:
+            files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+            how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            how[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            files.rename(source, where, how)
     except Exception as e:
-        fs.delete(source, True)
-        if "FileAlreadyExists" in str(e):
+        if getattr(e, "errno", None) in (errno.EEXIST, errno.ENOTEMPTY) or "FileAlreadyExists" in str(e):
             return False
         raise
+    finally:
+        fs.delete(source, True)
     return True
 
 
@@ -211,4 +218,4 @@ def compact(spark: SparkSession, path: str, most: int = MOST_PACKS, max_rows: in
 
 def leftovers(spark: SparkSession, path: str) -> list[str]:
     """Staged ids that no manifest names: of writers at work, or dead ones."""
-    return sorted({n.removeprefix("pack=") for n in _listed(spark, f"{path}/data")} - {m["data"] for m in manifests(spark, path)})
+    return sorted({n.removeprefix("pack=") for n in listed(spark, f"{path}/data")} - {m["data"] for m in manifests(spark, path)})
