@@ -15,7 +15,7 @@ from wayfleet.plans import more_queries
 from wayfleet.plans.adapters import with_frames
 from wayfleet.sources import observations as live
 from wayfleet.sources import schema
-from wayfleet.streaming import lifecycle
+from wayfleet.streaming import enrichment, ingest, lifecycle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -261,6 +261,56 @@ def lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(lifecycle.OUT).parquet(f"{top}/out").select("car_id", "entity", "session", "observation_id", "label", "start_ms", "end_ms", "n", "first", "last", *[c for c in lifecycle.FACTS if "rated" not in c])
 
 
+_LETTER = {"no JSON": "{", "no object": "[1]", "unknown record type": '{"record_type":"x"}', "no vehicle data": f'{{"record_type":"{live.FULL}"}}'}
+_DEFECT = "CASE WHEN event_id % 13 = 0 THEN 'no JSON' WHEN event_id % 17 = 0 THEN 'no object' WHEN event_id % 19 = 0 THEN 'unknown record type' WHEN event_id % 23 = 0 THEN 'no vehicle data' END"
+
+
+def _logged(spark: SparkSession, sf_dir: str) -> tuple[SparkSession, str]:
+    """Events as a log of full snapshots, stream updates, discovery records and what is none, through the ingest plan into the shared folder."""
+    session = spark.newSession()
+    lifecycle.configure(session)
+    top = f"{folds.shared_folder(spark)}/ingest/{uuid.uuid4().hex}"
+    source = session.readStream.option("maxFilesPerTrigger", 64).schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").parquet(f"{sf_dir}/events.parquet*")
+    n, phase = F.col("observation_id"), F.col("phase")
+    kind = F.when(n % 3 == 0, live.UPDATE).when(n % 7 == 0, live.DISCOVERY).otherwise(live.FULL)
+    timestamp = F.col("at_ms") - F.when(n % 4 == 0, 2 * HOUR).otherwise(0)
+    drive = F.struct(timestamp.alias("timestamp"), F.when(phase == "driving", "D").alias("shift_state"), F.lit(10.0).alias("latitude"), F.lit(20.0).alias("longitude"))
+    charge = F.struct(F.when(phase == "charging", "Charging").when(F.col("soc") % 5 == 0, "Complete").alias("charging_state"), F.col("soc").cast("double").alias("charge_energy_added"), F.col("soc").alias("battery_level"))
+    vehicle = F.struct(F.col("power").alias("odometer"), F.col("version").alias("car_version"))
+    groups = F.struct(F.when(F.col("soc") % 7 != 0, drive).alias("drive_state"), charge.alias("charge_state"), vehicle.alias("vehicle_state"))
+    body = F.to_json(F.struct(kind.alias("record_type"), F.when(kind == live.FULL, groups).alias("vehicle_data"), F.when(kind == live.UPDATE, groups).alias("fields")))
+    defect = F.expr(_DEFECT.replace("event_id", "observation_id"))
+    broken = F.coalesce(*[F.when(defect == why, text) for why, text in _LETTER.items()])
+    log = A.observed(source).select("observation_id", "car_id", F.col("at_ms").alias("observed_at_ms"), F.when(phase.isin("asleep", "offline"), phase).otherwise("online").alias("vehicle_state"), F.coalesce(broken, body).alias("payload"))
+    seen = A.observations(session, sf_dir).where("car_id % 2 = 0").groupBy("car_id").agg(F.min("at_ms").alias("at"))
+    marks = seen.select("car_id", *[(F.col("at") + h * HOUR).alias(f"{g}_ms") for g, h in (("drive", 24), ("charge", 12), ("vehicle", 48))])
+    ingest.write(ingest.facts(log, marks, offline_ms=2 * HOUR, thin_ms=2 * HOUR), f"{top}/out", f"{top}/checkpoint").awaitTermination()
+    return spark, f"{top}/out"
+
+
+@query("SELECT car_id, observation_id, reason, CASE reason " + " ".join(f"WHEN '{why}' THEN '{text}'" for why, text in _LETTER.items()) + f" END AS payload FROM (SELECT user_id AS car_id, event_id AS observation_id, {_DEFECT} AS reason FROM events) WHERE reason IS NOT NULL")
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ingest plan couldn't read, with payloads."""
+    return ingest.read_letters(*_logged(spark, sf_dir)).select("car_id", "observation_id", "reason", "payload")
+
+
+@query()
+def log_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ingest plan makes of the same log; the tests hold the plan against plain Python."""
+    return ingest.read_facts(*_logged(spark, sf_dir)).select("car_id", "entity", "session", "observation_id", "label", "start_ms", "end_ms", "n", "first", "last", *[c for c in lifecycle.FACTS if "rated" not in c])
+
+
+@query(with_frames("positions") + " SELECT id, car_id FROM positions WHERE elevation IS NULL AND NOT (id % 11 <> 0 AND (id % 5 = 0 OR (id % 7 = 0 AND id % 12 < 6)))")
+def enrichment_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions without a height that a pass would ask for: answered ones are out, failed ones wait six hours, changed ones are asked anew."""
+    n, now = F.col("id"), 1_000 * HOUR
+    rows = A.positions(spark, sf_dir).where("elevation IS NULL").select("id", "car_id", F.concat(F.lit("car "), F.col("car_id").cast("string")).alias("payload"))
+    seen = enrichment.witness(F.when(n % 11 == 0, "another").otherwise(F.col("payload")))
+    answered = rows.where(n % 5 == 0).select("id", seen.alias("seen"), F.lit(now).alias("at_ms"), F.lit(True).alias("resolved"))
+    failed = rows.where(n % 7 == 0).select("id", seen.alias("seen"), (now - n % 12 * HOUR).alias("at_ms"), F.lit(False).alias("resolved"))
+    return enrichment.due(rows, answered.union(failed), now).select("id", "car_id")
+
+
 # Drives and charges -----------------------------------------------------------------------------
 
 
