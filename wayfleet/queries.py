@@ -294,12 +294,6 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.read_letters(*_logged(spark, sf_dir)).select("car_id", "observation_id", "reason", "payload")
 
 
-@query()
-def log_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the ingest plan makes of the same log; the tests hold the plan against plain Python."""
-    return ingest.read_facts(*_logged(spark, sf_dir)).select("car_id", "entity", "session", "observation_id", "label", "start_ms", "end_ms", "n", "first", "last", *[c for c in lifecycle.FACTS if "rated" not in c])
-
-
 @query(with_frames("positions") + " SELECT id, car_id FROM positions WHERE elevation IS NULL AND NOT (id % 11 <> 0 AND (id % 5 = 0 OR (id % 7 = 0 AND id % 12 < 6)))")
 def enrichment_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions without a height that a pass would ask for: answered ones are out, failed ones wait six hours, changed ones are asked anew."""
