@@ -33,39 +33,54 @@ def _kind(v: Column) -> Column:
     return F.when(v.isNotNull(), F.schema_of_variant(v))
 
 
-def float_field(payload: Column | str, path: str) -> Column:
+def as_float(v: Column) -> Column:
     """A JSON number as double; strings and booleans are null."""
-    v = json_field(payload, path)
     return F.when(_kind(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
 
 
-def int_field(payload: Column | str, path: str) -> Column:
-    """A JSON number rounded half away from zero; strings are null."""
-    v = json_field(payload, path)
-    x = float_field(payload, path)
+def as_int(v: Column) -> Column:
+    """A variant's number rounded half away from zero; strings are null."""
+    x = as_float(v)
     return F.when(_kind(v) == "BIGINT", F.try_variant_get(v, "$", "bigint")).when(F.abs(x) < MAX_INTEGER, F.round(x).cast("bigint"))
 
 
-def bool_field(payload: Column | str, path: str) -> Column:
-    v = json_field(payload, path)
+def as_bool(v: Column) -> Column:
     return F.when(_kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
 
 
-def text_field(payload: Column | str, path: str) -> Column:
-    v = json_field(payload, path)
+def as_text(v: Column) -> Column:
     return nonblank(F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string")))
 
 
-def timestamp_field(payload: Column | str, path: str) -> Column:
+def as_timestamp(v: Column) -> Column:
     """Milliseconds from an integer, a string that reads as one, or a whole float; positive ones only."""
-    v = json_field(payload, path)
-    x = float_field(payload, path)
+    x = as_float(v)
     whole = F.when((x == F.floor(x)) & (F.abs(x) < MAX_INTEGER), x.cast("bigint"))
     text = F.trim(F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string")))
     got = F.coalesce(F.when(_kind(v) == "BIGINT", F.try_variant_get(v, "$", "bigint")), whole, F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")))
     return F.when(got > 0, got)
 
 
+def float_field(payload: Column | str, path: str) -> Column:
+    return as_float(json_field(payload, path))
+
+
+def int_field(payload: Column | str, path: str) -> Column:
+    return as_int(json_field(payload, path))
+
+
+def bool_field(payload: Column | str, path: str) -> Column:
+    return as_bool(json_field(payload, path))
+
+
+def text_field(payload: Column | str, path: str) -> Column:
+    return as_text(json_field(payload, path))
+
+
+def timestamp_field(payload: Column | str, path: str) -> Column:
+    return as_timestamp(json_field(payload, path))
+
+
 # Text -------------------------------------------------------------------------------------------
 
 

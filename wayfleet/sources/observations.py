@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfleet.functions.scalars import bool_field, float_field, int_field, miles_to_km, mph_to_kmh, nonblank, text_field, timestamp_field
+from wayfleet.functions.scalars import as_bool, as_float, as_int, as_text, as_timestamp, miles_to_km, mph_to_kmh, nonblank
 
 LOG = "observation_id long, car_id long, observed_at_ms long, vehicle_state string, payload string"
 # Record types of the log, and the fields of a stream frame in order.
@@ -23,22 +23,58 @@ def read_observations(spark: SparkSession, path: str, stream: bool = False) -> D
     return (spark.readStream if stream else spark.read).schema(LOG).json(path)
 
 
+# The log's fields by name, with how and where they are read.
+FIELDS = {
+    "drive_ts": (as_timestamp, "drive_state.timestamp"), "shift_state": (as_text, "drive_state.shift_state"), "speed": (as_float, "drive_state.speed"), "latitude": (as_float, "drive_state.latitude"),
+    "longitude": (as_float, "drive_state.longitude"), "power": (as_float, "drive_state.power"), "elevation": (as_int, "drive_state.native_location_elevation"),
+    "charge_ts": (as_timestamp, "charge_state.timestamp"), "charging_state": (as_text, "charge_state.charging_state"), "battery_level": (as_int, "charge_state.battery_level"), "ideal_km": (as_float, "charge_state.ideal_battery_range"),
+    "rated_km": (as_float, "charge_state.battery_range"), "energy": (as_float, "charge_state.charge_energy_added"), "charger_power": (as_int, "charge_state.charger_power"), "charger_voltage": (as_int, "charge_state.charger_voltage"),
+    "charger_phases": (as_int, "charge_state.charger_phases"), "fast_present": (as_bool, "charge_state.fast_charger_present"), "inside_temp": (as_float, "climate_state.inside_temp"), "outside_temp": (as_float, "climate_state.outside_temp"),
+    "vehicle_ts": (as_timestamp, "vehicle_state.timestamp"), "odometer": (as_float, "vehicle_state.odometer"), "version": (as_text, "vehicle_state.car_version"), "update_status": (as_text, "vehicle_state.software_update.status"),
+}
+UNITS = {"speed": mph_to_kmh, "ideal_km": miles_to_km, "rated_km": miles_to_km, "odometer": lambda x: miles_to_km(x, 6)}
+
+
+def _read_as(paths: list[str]) -> str:
+    """The type that holds a variant at each path."""
+    first = dict.fromkeys(p.partition(".")[0] for p in paths)
+    inner = {f: [p.partition(".")[2] for p in paths if p.partition(".")[0] == f] for f in first}
+    return "struct<" + ", ".join(f"{f}: {_read_as(ps) if all(ps) else 'variant'}" for f, ps in inner.items()) + ">"
+
+
+_DATA = _read_as([path for _, path in FIELDS.values()])
+RECORD = f"struct<record_type: variant, vehicle_data: {_DATA}, fields: {_DATA}>"
+
+
+def with_record(log: DataFrame, out: str = "record") -> DataFrame:
+    """The log with its payload read once, as RECORD: null where it is no object, as is each part that the payload holds as something else."""
+    return log.withColumn(out, F.try_variant_get(F.try_parse_json("payload"), "$", RECORD))
+
+
 def parsed(log: DataFrame) -> DataFrame:
     """The log with its payload's fields in canonical units; `broken` marks a payload that doesn't parse. Groups a record lacks are null."""
-    body = F.col("payload")
-    kind = text_field(body, "$.record_type")
-    both = lambda f, path: F.coalesce(f(body, f"$.vehicle_data.{path}"), f(body, f"$.fields.{path}"))
-    cols: dict[str, Column] = {
-        "record_type": kind,
-        "broken": F.try_parse_json(body).isNull() & body.isNotNull(),
-        "drive_ts": both(timestamp_field, "drive_state.timestamp"), "shift_state": both(text_field, "drive_state.shift_state"), "speed": mph_to_kmh(both(float_field, "drive_state.speed")),
-        "latitude": both(float_field, "drive_state.latitude"), "longitude": both(float_field, "drive_state.longitude"), "power": both(float_field, "drive_state.power"), "elevation": both(int_field, "drive_state.native_location_elevation"),
-        "charge_ts": both(timestamp_field, "charge_state.timestamp"), "charging_state": both(text_field, "charge_state.charging_state"), "battery_level": both(int_field, "charge_state.battery_level"), "ideal_km": miles_to_km(both(float_field, "charge_state.ideal_battery_range")), "rated_km": miles_to_km(both(float_field, "charge_state.battery_range")),
-        "energy": both(float_field, "charge_state.charge_energy_added"), "charger_power": both(int_field, "charge_state.charger_power"), "charger_voltage": both(int_field, "charge_state.charger_voltage"), "charger_phases": both(int_field, "charge_state.charger_phases"), "fast_present": both(bool_field, "charge_state.fast_charger_present"),
-        "inside_temp": both(float_field, "climate_state.inside_temp"), "outside_temp": both(float_field, "climate_state.outside_temp"),
-        "vehicle_ts": both(timestamp_field, "vehicle_state.timestamp"), "odometer": miles_to_km(both(float_field, "vehicle_state.odometer"), 6), "version": both(text_field, "vehicle_state.car_version"), "update_status": both(text_field, "vehicle_state.software_update.status"),
-    }
-    return log.withColumns(cols)
+    rows = with_record(log, "_record").withColumn("broken", F.try_parse_json("payload").isNull() & F.col("payload").isNotNull())
+    return with_fields(rows, "_record").drop("_record")
+
+
+def with_fields(rows: DataFrame, record: str, *names: str) -> DataFrame:
+    """rows with record_type and FIELDS (all without names) of a RECORD in canonical units.
+
+    Fields that are read alike are read as one array, so that a reader's expression stands in the plan once, not once a field.
+    """
+    wanted = list(names or FIELDS)
+    alike = {how: [n for n in wanted if FIELDS[n][0] is how] for how in dict.fromkeys(FIELDS[n][0] for n in wanted)}
+    spots = {how: F.array(*[F.col(f"{record}.{part}.{FIELDS[n][1]}") for part in ("vehicle_data", "fields") for n in own]) for how, own in alike.items()}
+    read = rows.withColumns({f"_{how.__name__}": F.transform(all_of, how) for how, all_of in spots.items()})
+
+    def field(name: str) -> Column:
+        how = FIELDS[name][0]
+        place, cells = alike[how].index(name), F.col(f"_{how.__name__}")
+        got = F.coalesce(cells[place], cells[place + len(alike[how])])
+        return UNITS[name](got) if name in UNITS else got
+
+    out = read.withColumns({"record_type": as_text(F.col(f"{record}.record_type"))} | {n: field(n) for n in wanted})
+    return out.drop(*[f"_{how.__name__}" for how in alike])
 
 
 def parse_stream_frames(df: DataFrame, col: str = "value") -> DataFrame:

@@ -24,24 +24,20 @@ from wayfleet.streaming import lifecycle
 
 LETTER = {"reason": "string", "payload": "string"}
 ROUTED = lifecycle.OUT + "".join(f", {c} {kind}" for c, kind in LETTER.items())
+FIELDS = [c for c in live.FIELDS if c not in ("elevation", "charger_power", "charger_voltage", "charger_phases", "fast_present")]
 MARKS = "car_id long, drive_ms long, charge_ms long, vehicle_ms long"
 
 
-def _object(body: Column, path: str) -> Column:
-    found = F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), path, "variant"))
-    return F.coalesce(found.startswith("OBJECT"), F.lit(False))
-
-
-def defect(body: Column) -> Column:
-    """Why a payload is no record of the log; null for a record."""
+def defect(body: Column, record: str) -> Column:
+    """Why a payload is no record of the log, given what it reads as (observations.RECORD) and its record_type; null for a record."""
     kind = F.col("record_type")
     return (
         F.when(body.isNull(), "no payload")
-        .when(F.try_parse_json(body).isNull(), "no JSON")
-        .when(~_object(body, "$"), "no object")
+        .when(F.col(record).isNull() & F.try_parse_json(body).isNull(), "no JSON")
+        .when(F.col(record).isNull(), "no object")
         .when(kind.isNull() | ~kind.isin(live.FULL, live.DISCOVERY, live.UPDATE), "unknown record type")
-        .when((kind == live.FULL) & ~_object(body, "$.vehicle_data"), "no vehicle data")
-        .when((kind == live.UPDATE) & ~_object(body, "$.fields"), "no fields")
+        .when((kind == live.FULL) & F.col(f"{record}.vehicle_data").isNull(), "no vehicle data")
+        .when((kind == live.UPDATE) & F.col(f"{record}.fields").isNull(), "no fields")
     )
 
 
@@ -51,11 +47,10 @@ def records(log: DataFrame) -> DataFrame:
     Fields come from the object that the record type names; a discovery record's are null, whatever else its payload holds.
     """
     body = F.col("payload")
-    rows = live.parsed(log).withColumn("reason", defect(body))
+    rows = live.with_fields(live.with_record(log, "_record"), "_record", *FIELDS).withColumn("reason", defect(body, "_record"))
     carries = F.col("reason").isNull() & (F.col("record_type") != live.DISCOVERY)
-    has = lambda group: carries & (_object(body, f"$.vehicle_data.{group}") | _object(body, f"$.fields.{group}"))
-    fields = ["drive_ts", "charge_ts", "vehicle_ts", "shift_state", "speed", "latitude", "longitude", "power", "charging_state", "battery_level", "ideal_km", "rated_km", "energy", "inside_temp", "outside_temp", "odometer", "version", "update_status"]
-    rows = rows.withColumns({c: F.when(carries, F.col(c)) for c in fields} | {"drive_data": has("drive_state")})
+    has = lambda group: carries & (F.col(f"_record.vehicle_data.{group}").isNotNull() | F.col(f"_record.fields.{group}").isNotNull())
+    rows = rows.withColumns({c: F.when(carries, F.col(c)) for c in FIELDS} | {"drive_data": has("drive_state")})
     state = F.lower("vehicle_state")
     phase = F.when(F.col("reason").isNull(), intervals.classify_phase(state, F.col("update_status"), F.col("charging_state"), F.col("shift_state"), F.col("speed"))).otherwise(state)
     moving = F.col("drive_data") & (F.coalesce(F.upper("shift_state").isin(intervals.DRIVING_SHIFTS), F.lit(False)) | F.coalesce(F.col("speed") > 0, F.lit(False)))

@@ -293,11 +293,15 @@ def gate(obs: DataFrame, marks: DataFrame) -> DataFrame:
     return met.withColumns(out).drop(*[c for c in marks.columns if c != "car_id"])
 
 
+# A frame's earliest time, and how far it may be ahead of its receipt.
+FIRST_MS, AHEAD_MS = 946_684_800_000, 300_000
+
+
 class Fresh(Ordered):
-    """Lets a frame through if its timestamp is later than every one before it, and every row without a timestamp."""
+    """Lets a frame through if its timestamp is plausible and later than every one before it, and every row without a timestamp if others."""
 
-    def __init__(self, order: str = "received_id"):
-        self.order = order
+    def __init__(self, order: str = "received_id", received: str = "received_ms", others: bool = False):
+        self.order, self.received, self.others = order, received, others
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -306,6 +310,8 @@ class Fresh(Ordered):
     def handleInputRows(self, key, rows: Iterable[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.state.get()[0] if self.state.exists() else None
         for piece in self.pieces(rows, self.order):
+            at = piece["ts_ms"]
+            piece = piece[((at >= FIRST_MS) & (at <= piece[self.received] + AHEAD_MS)) | (at.isna() & self.others)]
             top = piece["ts_ms"].cummax().ffill().shift()
             if last is not None:
                 top = top.fillna(last).clip(lower=last)
@@ -319,9 +325,8 @@ class Fresh(Ordered):
 
 def fresh_frames(frames: DataFrame, received: str = "received_ms", order: str = "received_id", others: bool = False) -> DataFrame:
     """A stream of frames (car_id, received_id, ts_ms, received_ms, ...) without implausible times and, per car in order of received_id, without frames that aren't newer than all before. others: rows without ts_ms are no frames and stay."""
-    sane = frames.where(((F.col("ts_ms") >= 946_684_800_000) & (F.col("ts_ms") <= F.col(received) + 300_000)) | (F.lit(others) & F.col("ts_ms").isNull()))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema.fields)
-    return sane.groupBy("car_id").transformWithStateInPandas(statefulProcessor=Fresh(order), outputStructType=kind, outputMode="Append", timeMode="None")
+    return frames.groupBy("car_id").transformWithStateInPandas(statefulProcessor=Fresh(order, received, others), outputStructType=kind, outputMode="Append", timeMode="None")
 
 
 def deduplicated(frames: DataFrame, delay: str = "10 minutes") -> DataFrame:
