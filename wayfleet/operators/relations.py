@@ -60,18 +60,30 @@ def require_lookups(drives: DataFrame) -> DataFrame:
 
 
 def charge_lookups(charges: DataFrame, positions: DataFrame | None, addresses: DataFrame, geofences: DataFrame) -> DataFrame:
-    out = charges
+    """charges with the coordinates of their position, the address's display name and name, the geofence's tariff, and n_dangling as in drive_endpoints."""
+    out, found = charges, {}
     if positions is not None:
-        out = out.join(positions.select(F.col("id").alias("position_id"), F.col("latitude").alias("start_latitude"), F.col("longitude").alias("start_longitude")), "position_id", "left")
-    out = out.join(addresses.select(F.col("id").alias("address_id"), F.col("display_name").alias("address")), "address_id", "left")
-    fence = geofences.select(F.col("id").alias("geofence_id"), F.col("name").alias("geofence"), "billing_type", "cost_per_unit", "session_fee")
-    return out.join(fence, "geofence_id", "left")
+        out = out.join(positions.select(F.col("id").alias("position_id"), F.col("car_id").alias("_spot_car"), F.col("latitude").alias("start_latitude"), F.col("longitude").alias("start_longitude")), "position_id", "left")
+        found["position_id"] = F.col("_spot_car") == F.col("car_id")
+    name = F.col("name") if "name" in addresses.columns else F.lit(None).cast("string")
+    out = out.join(addresses.select(F.col("id").alias("address_id"), F.col("display_name").alias("address"), name.alias("location_name"), F.lit(True).alias("_met")), "address_id", "left")
+    fence = geofences.select(F.col("id").alias("geofence_id"), F.col("name").alias("geofence"), "billing_type", "cost_per_unit", "session_fee", F.lit(True).alias("_fenced"))
+    out = out.join(fence, "geofence_id", "left")
+    dangling = F.lit(0)
+    for key, got in (found | {"address_id": F.col("_met"), "geofence_id": F.col("_fenced")}).items():
+        dangling = dangling + F.when(F.col(key).isNotNull() & ~F.coalesce(got, F.lit(False)), 1).otherwise(0)
+    return out.withColumn("n_dangling", dangling).drop("_spot_car", "_met", "_fenced")
+
+
+def with_completed(positions: DataFrame, drives: DataFrame) -> DataFrame:
+    """Positions with _attached: they have no drive, or one with an end."""
+    done = drives.where("end_ms is not null").select(F.col("id").alias("_done"))
+    return positions.join(done, F.col("drive_id") == F.col("_done"), "left").withColumn("_attached", F.col("drive_id").isNull() | F.col("_done").isNotNull()).drop("_done")
 
 
 def in_completed_drive(positions: DataFrame, drives: DataFrame) -> DataFrame:
     """Positions without a drive, or of a drive with an end."""
-    done = drives.where("end_ms is not null").select(F.col("id").alias("_done"))
-    return positions.join(done, F.col("drive_id") == F.col("_done"), "left").where("drive_id is null or _done is not null").drop("_done")
+    return with_completed(positions, drives).where("_attached").drop("_attached")
 
 
 def position_in_drive(positions: DataFrame, drives: DataFrame) -> DataFrame:
@@ -113,19 +125,23 @@ def project_car(cars: DataFrame, firmware: DataFrame | None = None) -> DataFrame
     return out
 
 
+def with_lookups(drives: DataFrame, positions: DataFrame, addresses: DataFrame, geofences: DataFrame) -> DataFrame:
+    """drive_endpoints with efficiency and optimized_at_ms, which are null."""
+    return drive_endpoints(drives, positions, addresses, geofences).withColumns({"efficiency": F.lit(None).cast("double"), "optimized_at_ms": F.lit(None).cast("bigint")})
+
+
 def project_drive(drives: DataFrame, positions: DataFrame, addresses: DataFrame, geofences: DataFrame) -> DataFrame:
-    """Completed drives with their lookups; efficiency and optimized_at_ms are null."""
-    done = drive_endpoints(drives.where("end_ms is not null"), positions, addresses, geofences)
-    return done.withColumns({"efficiency": F.lit(None).cast("double"), "optimized_at_ms": F.lit(None).cast("bigint")})
+    """Completed drives with their lookups."""
+    return with_lookups(drives.where("end_ms is not null"), positions, addresses, geofences)
 
 
 def project_position(positions: DataFrame, drives: DataFrame) -> DataFrame:
     return in_completed_drive(positions, drives)
 
 
-def project_charge(charges: DataFrame, facts: DataFrame, addresses: DataFrame, geofences: DataFrame) -> DataFrame:
-    """Processes with facts of their samples, the interval widened to hold these, and the geofence's tariff."""
-    out = charge_lookups(charges, None, addresses, geofences).join(facts.withColumnRenamed("charge_id", "id"), "id", "left")
+def project_charge(charges: DataFrame, facts: DataFrame, addresses: DataFrame, geofences: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+    """Processes with their lookups, facts of their samples, and the interval widened to hold these."""
+    out = charge_lookups(charges, positions, addresses, geofences).join(facts.withColumnRenamed("charge_id", "id"), "id", "left")
     end = F.when(F.col("end_ms").isNotNull(), F.greatest("end_ms", "last_ms"))
     return out.withColumns({"start_ms": F.least("start_ms", "first_ms"), "end_ms": end, "is_dc": F.coalesce("is_dc", F.lit(False))}).drop("first_ms", "last_ms")
 
@@ -139,20 +155,15 @@ def project_state(states: DataFrame) -> DataFrame:
     return states.where(F.assert_true(F.col("state").isin(STATES), "a state is outside its domain").isNull())
 
 
+def sound_update(updates: DataFrame) -> DataFrame:
+    """Updates with sound: they are completed, with a version and an interval in order."""
+    rows = updates.withColumn("version", nonblank("version"))
+    return rows.withColumn("sound", F.expr("coalesce(end_ms is not null and version is not null and start_ms > 0 and end_ms >= start_ms, false)"))
+
+
 def project_update(updates: DataFrame) -> DataFrame:
     """Completed updates with a version and a sound interval."""
-    return updates.withColumn("version", nonblank("version")).where("end_ms is not null and version is not null and start_ms > 0 and end_ms >= start_ms")
-
-
-def project_history(tables: dict[str, DataFrame], facts: DataFrame) -> dict[str, DataFrame]:
-    """All projections of an import; a drive's key that names nothing stops the job."""
-    return {
-        "car": project_car(tables["cars"]),
-        "drive": require_lookups(project_drive(tables["drives"], tables["positions"], tables["addresses"], tables["geofences"])),
-        "position": project_position(tables["positions"], tables["drives"]),
-        "charge": project_charge(tables["charges"], facts, tables["addresses"], tables["geofences"]),
-        "charge_sample": project_charge_sample(tables["samples"]),
-    }
+    return sound_update(updates).where("sound").drop("sound")
 
 
 def open_rows(rows: DataFrame, end: str = "end_ms") -> DataFrame:

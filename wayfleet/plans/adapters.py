@@ -57,6 +57,25 @@ def charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drives(spark, sf_dir).select("id", "car_id", "start_ms", "end_ms", F.col("start_address_id").alias("address_id"), F.col("start_geofence_id").alias("geofence_id"))
 
 
+def with_positions(rows: DataFrame, spots: DataFrame, **keys: str) -> DataFrame:
+    """rows (id of a drive or its charge) with key=min or key=max: the drive's first or last position by id."""
+    found = spots.groupBy("drive_id").agg(*[(F.min if which == "min" else F.max)("id").alias(key) for key, which in keys.items()])
+    return rows.join(found.withColumnRenamed("drive_id", "id"), "id", "left")
+
+
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of cars, one row an observation of one."""
+    seen = observations(spark, sf_dir).where("phase IN ('online', 'offline', 'asleep')")
+    return seen.select(F.col("observation_id").alias("id"), "car_id", F.col("phase").alias("state"), F.col("at_ms").alias("start_ms"), F.lit(None).cast("bigint").alias("end_ms"))
+
+
+def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Software updates: some are open, some lack a version, some end before they start."""
+    n, at = F.col("observation_id"), F.col("at_ms")
+    end = F.when(n % 3 != 0, at + F.when(n % 11 == 0, -60_000).otherwise(1_800_000))
+    return observations(spark, sf_dir).where("version IS NOT NULL").select(n.alias("id"), "car_id", at.alias("start_ms"), end.cast("bigint").alias("end_ms"), F.when(n % 7 == 0, " ").otherwise(F.col("version")).alias("version"))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Charge samples."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -73,7 +92,7 @@ def geofences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("display_name"))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("display_name"), F.expr("CASE WHEN n_nationkey % 3 <> 0 THEN lower(n_name) END").alias("name"))
 
 
 def cars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +125,7 @@ SQL = {
     "geofences": """SELECT s_suppkey AS id, s_name AS name, CAST(s_suppkey * 37 % 170 - 85 AS DOUBLE) + 0.5 AS latitude, CAST(s_suppkey * 53 % 350 - 175 AS DOUBLE) AS longitude,
       CAST(500 + abs(CAST(trunc(s_acctbal) AS BIGINT)) % 4400 AS DOUBLE) AS radius, CASE WHEN s_suppkey % 2 = 0 THEN 'per_kwh' ELSE 'per_minute' END AS billing_type,
       CASE WHEN s_suppkey % 9 <> 0 THEN CAST(s_suppkey % 8 AS DOUBLE) / 16 END AS cost_per_unit, CASE WHEN s_suppkey % 3 = 0 THEN CAST(2.0 AS DOUBLE) END AS session_fee FROM supplier""",
-    "addresses": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS display_name FROM nation",
+    "addresses": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS display_name, CASE WHEN n_nationkey % 3 <> 0 THEN lower(n_name) END AS name FROM nation",
     "cars": """SELECT c_custkey AS id, CASE WHEN c_custkey % 5 <> 0 THEN '  ' || c_name END AS name, CASE c_nationkey % 4 WHEN 0 THEN 'models2' WHEN 1 THEN ' Model 3 ' WHEN 2 THEN 'tamarind' END AS model,
       abs(c_acctbal) / 65536 AS efficiency, CASE c_custkey % 4 WHEN 0 THEN ' 74d' WHEN 1 THEN '100d' WHEN 2 THEN lower(c_mktsegment) END AS trim, c_custkey AS settings_id FROM customer""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfleet.functions import scalars as S
-from wayfleet.operators import cdc, drives, folds, geo, intervals, merkle, quality, reconcile, relations, sessions
+from wayfleet.operators import cdc, drives, folds, geo, imports, intervals, merkle, quality, reconcile, relations, sessions
 from wayfleet.plans import adapters as A
 from wayfleet.plans import more_queries
 from wayfleet.plans.adapters import with_frames
@@ -379,12 +379,18 @@ def elevation_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Relational import ------------------------------------------------------------------------------
 
 
-@query(with_frames("drives", "addresses", "geofences") + """ SELECT d.id, d.car_id, d.start_ms, d.end_ms, a.display_name AS start_address, b.display_name AS end_address, g.name AS start_geofence, h.name AS end_geofence
-  FROM drives d LEFT JOIN addresses a ON a.id = d.start_address_id LEFT JOIN addresses b ON b.id = d.end_address_id LEFT JOIN geofences g ON g.id = d.start_geofence_id LEFT JOIN geofences h ON h.id = d.end_geofence_id WHERE d.end_ms IS NOT NULL""")
+_ENDS = "ends AS (SELECT drive_id, min(id) AS start_id, max(id) AS end_id FROM positions GROUP BY drive_id)"
+
+
+@query(with_frames("drives", "positions", "addresses", "geofences") + f""", {_ENDS} SELECT d.id, d.car_id, d.start_ms, d.end_ms, a.display_name AS start_address, b.display_name AS end_address, g.name AS start_geofence, h.name AS end_geofence,
+  p.latitude AS start_latitude, p.longitude AS start_longitude, p.battery_level AS start_soc, q.latitude AS end_latitude, q.longitude AS end_longitude, q.battery_level AS end_soc, CASE WHEN p.car_id <> d.car_id THEN 1 ELSE 0 END AS n_dangling
+  FROM drives d LEFT JOIN ends e ON e.drive_id = d.id LEFT JOIN positions p ON p.id = e.start_id LEFT JOIN positions q ON q.id = e.end_id
+  LEFT JOIN addresses a ON a.id = d.start_address_id LEFT JOIN addresses b ON b.id = d.end_address_id LEFT JOIN geofences g ON g.id = d.start_geofence_id LEFT JOIN geofences h ON h.id = d.end_geofence_id WHERE d.end_ms IS NOT NULL""")
 def project_drives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.drives(spark, sf_dir).withColumns({"start_position_id": F.lit(None).cast("bigint"), "end_position_id": F.lit(None).cast("bigint")})
-    done = relations.project_drive(rows, A.positions(spark, sf_dir), A.addresses(spark, sf_dir), A.geofences(spark, sf_dir))
-    return done.select("id", "car_id", "start_ms", "end_ms", "start_address", "end_address", "start_geofence", "end_geofence")
+    spots = A.positions(spark, sf_dir)
+    rows = A.with_positions(A.drives(spark, sf_dir), spots, start_position_id="min", end_position_id="max")
+    done = relations.project_drive(rows, spots, A.addresses(spark, sf_dir), A.geofences(spark, sf_dir))
+    return done.select("id", "car_id", "start_ms", "end_ms", *[f"{side}_{c}" for side in ("start", "end") for c in ("address", "geofence", "latitude", "longitude", "soc")], "n_dangling")
 
 
 @query(with_frames("positions", "drives") + " SELECT p.id, p.car_id, p.drive_id, p.date_ms FROM positions p LEFT JOIN drives d ON d.id = p.drive_id AND d.end_ms IS NOT NULL WHERE p.drive_id IS NULL OR d.id IS NOT NULL")
@@ -392,12 +398,47 @@ def project_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.project_position(A.positions(spark, sf_dir), A.drives(spark, sf_dir)).select("id", "car_id", "drive_id", "date_ms")
 
 
-@query(with_frames("samples", "charges", "geofences", "addresses") + f""", {FACTS} SELECT c.id, c.car_id, least(c.start_ms, f.first_ms) AS start_ms, CASE WHEN c.end_ms IS NOT NULL THEN greatest(c.end_ms, f.last_ms) END AS end_ms, a.display_name AS address, g.name AS geofence, g.billing_type, coalesce(f.is_dc, false) AS is_dc, f.max_power, f.energy_added
-  FROM charges c LEFT JOIN facts f ON f.charge_id = c.id LEFT JOIN geofences g ON g.id = c.geofence_id LEFT JOIN addresses a ON a.id = c.address_id""")
+@query(with_frames("samples", "charges", "positions", "geofences", "addresses") + f""", {FACTS}, {_ENDS} SELECT c.id, c.car_id, least(c.start_ms, f.first_ms) AS start_ms, CASE WHEN c.end_ms IS NOT NULL THEN greatest(c.end_ms, f.last_ms) END AS end_ms, a.display_name AS address, a.name AS location_name, g.name AS geofence, g.billing_type, g.cost_per_unit, g.session_fee,
+  p.latitude AS start_latitude, p.longitude AS start_longitude, coalesce(f.is_dc, false) AS is_dc, f.max_power, f.energy_added
+  FROM charges c LEFT JOIN facts f ON f.charge_id = c.id LEFT JOIN geofences g ON g.id = c.geofence_id LEFT JOIN addresses a ON a.id = c.address_id LEFT JOIN ends e ON e.drive_id = c.id LEFT JOIN positions p ON p.id = e.start_id""")
 def project_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = drives.charge_facts(A.samples(spark, sf_dir))
-    done = relations.project_charge(A.charges(spark, sf_dir), facts, A.addresses(spark, sf_dir), A.geofences(spark, sf_dir))
-    return done.select("id", "car_id", "start_ms", "end_ms", "address", "geofence", "billing_type", "is_dc", "max_power", "energy_added")
+    facts, spots = drives.charge_facts(A.samples(spark, sf_dir)), A.positions(spark, sf_dir)
+    rows = A.with_positions(A.charges(spark, sf_dir), spots, position_id="min")
+    done = relations.project_charge(rows, facts, A.addresses(spark, sf_dir), A.geofences(spark, sf_dir), spots)
+    return done.select("id", "car_id", "start_ms", "end_ms", "address", "location_name", "geofence", "billing_type", "cost_per_unit", "session_fee", "start_latitude", "start_longitude", "is_dc", "max_power", "energy_added")
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> str:
+    """All tables through one import into the shared folder. The star schema's keys begin at 0 and a few of the ids made of them come twice: each is one higher here and once."""
+    top, spots = f"{folds.shared_folder(spark)}/imports/{uuid.uuid4().hex}", A.positions(spark, sf_dir).dropDuplicates(["id"])
+    tables = {f.__name__: f(spark, sf_dir) for f in (A.cars, A.states, A.updates, A.addresses, A.geofences)} | {"positions": spots, "samples": A.samples(spark, sf_dir).dropDuplicates(["id"])}
+    tables["drives"] = A.with_positions(A.drives(spark, sf_dir), spots, start_position_id="min", end_position_id="max")
+    tables["charges"] = A.with_positions(A.charges(spark, sf_dir), spots, position_id="min")
+    higher = lambda t: t.withColumns({c: F.col(c) + 1 for c in t.columns if c == "id" or c.endswith("_id")})
+    imports.import_history({name: higher(t) for name, t in tables.items()}, top, "first")
+    return top
+
+
+@query(with_frames("cars", "drives", "positions", "charges", "samples", "observations") + """, u AS (SELECT observation_id % 3 <> 0 AND observation_id % 7 <> 0 AND observation_id % 11 <> 0 AS sound FROM observations WHERE version IS NOT NULL),
+  p AS (SELECT DISTINCT p.id, d.end_ms IS NOT NULL OR p.drive_id IS NULL AS kept FROM positions p LEFT JOIN drives d ON d.id = p.drive_id),
+  c AS (SELECT 'completed_drives' AS counter, count(*) AS n FROM drives WHERE end_ms IS NOT NULL UNION ALL SELECT 'skipped_open_drives', count(*) FROM drives WHERE end_ms IS NULL
+  UNION ALL SELECT 'skipped_unattached_positions', count(*) FROM p WHERE NOT kept UNION ALL SELECT 'projected_positions', count(*) FROM p WHERE kept UNION ALL SELECT 'projected_charges', count(*) FROM charges
+  UNION ALL SELECT 'projected_charge_samples', count(DISTINCT id) FROM samples WHERE charge_id IN (SELECT id FROM charges) UNION ALL SELECT 'projected_states', count(*) FROM observations WHERE phase IN ('online', 'offline', 'asleep')
+  UNION ALL SELECT 'projected_updates', count(*) FROM u WHERE sound UNION ALL SELECT 'skipped_incomplete_updates', count(*) FROM u WHERE NOT sound)
+  SELECT * FROM c UNION ALL SELECT 'logical_rows', CAST((SELECT sum(n) FROM c WHERE NOT starts_with(counter, 'skipped')) + (SELECT count(*) FROM cars) AS BIGINT)""")
+def import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of an import of all cars."""
+    return imports.read_import(spark, _imported(spark, sf_dir), "first", "report")
+
+
+@query(with_frames("observations") + """, u AS (SELECT observation_id AS id, car_id, at_ms AS start_ms, at_ms + 1800000 AS end_ms, version FROM observations WHERE version IS NOT NULL AND observation_id % 3 <> 0 AND observation_id % 7 <> 0 AND observation_id % 11 <> 0)
+  SELECT CAST(c.c_custkey + 1 AS BIGINT) AS id, arg_max(u.version, (u.end_ms, u.start_ms, u.id)) AS firmware_version, CAST(count(u.id) AS BIGINT) AS n_updates FROM customer c LEFT JOIN u ON u.car_id = c.c_custkey GROUP BY c.c_custkey""")
+def imported_firmware(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each car's firmware and number of updates, as its import shows them."""
+    top = _imported(spark, sf_dir)
+    n = imports.read_import(spark, top, "first", "update").groupBy(F.col("car_id").alias("id")).agg(F.count("*").alias("n_updates"))
+    cars = imports.read_import(spark, top, "first", "car").select(F.col("id").cast("bigint").alias("id"), "firmware_version")
+    return cars.join(n, "id", "left").withColumn("n_updates", F.coalesce("n_updates", F.lit(0).cast("bigint")))
 
 
 @query(with_frames("cars") + """, c AS (SELECT *, CASE model WHEN 'models2' THEN 'S' WHEN ' Model 3 ' THEN '3' WHEN 'tamarind' THEN 'X' END AS m, upper(trim(trim)) AS t FROM cars)

@@ -92,6 +92,11 @@ def made(spark: SparkSession, path: str) -> None:
     fs.mkdirs(where)
 
 
+def dropped(spark: SparkSession, draft: str) -> None:
+    where, fs = _files(spark, draft)
+    fs.delete(where, True)
+
+
 def renamed(spark: SparkSession, draft: str, target: str) -> bool:
     """Shows a draft (a file, or a folder with files) under its name in one step without overwriting; False, and no draft left, where the name is taken.
 
