@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -50,6 +51,13 @@ def _own_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix=application)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, whose size Spark knows when it plans what reads it. (Unions of checkpoints that are joined with what came of them fail in the optimiser's constraints.)"""
+    path = f"{shared_folder(df.sparkSession)}/held/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """A reliable checkpoint; partitions and their order stay as they are."""
     sc = df.sparkSession.sparkContext

@@ -9,7 +9,6 @@ A group is never null.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,18 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfleet.operators.folds import shared_folder
+from wayfleet.operators.folds import held
 
 LEAF, FANOUT, DEEPEST = 64, 16, 12
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder. (Unions of checkpoints that are joined with what came of them fail in the optimiser's constraints.)"""
-    path = f"{shared_folder(df.sparkSession)}/trees/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _depth(n: Column) -> Column:
     return reduce(lambda d, k: d + (n > LEAF * FANOUT**k).cast("int"), range(1, DEEPEST), F.lit(1))
 
@@ -38,30 +30,34 @@ def _prefix(key: str, depth: Column) -> Column:
 
 
 def _hashed(items: Column) -> Column:
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(items)), "\n"), 256)
+    return F.sha2(F.array_join(F.array_sort(items), "\n"), 256)
 
 
 def _leaves(rows: DataFrame, by: list[str], key: str, digest: str) -> DataFrame:
-    """rows (by, key, digest, depth) -> (by, level, prefix, n, hash, leaf)."""
+    """rows (by, key, digest, depth), repeats included -> (by, level, prefix, n, hash, leaf). Repeats of a row meet in its leaf."""
     at = rows.select(*by, F.col("depth").alias("level"), _prefix(key, F.col("depth")).alias("prefix"), F.concat_ws(":", F.col(key).cast("string"), digest).alias("item"))
-    return at.groupBy(*by, "level", "prefix").agg(F.count("*").alias("n"), _hashed(F.col("item")).alias("hash")).withColumn("leaf", F.lit(True))
+    return at.groupBy(*by, "level", "prefix").agg(F.collect_set("item").alias("items")).select(*by, "level", "prefix", F.size("items").cast("bigint").alias("n"), _hashed(F.col("items")).alias("hash"), F.lit(True).alias("leaf"))
 
 
 def _above(nodes: DataFrame, by: list[str]) -> DataFrame:
     """The nodes over nodes of one level."""
     up = nodes.withColumns({"item": F.concat_ws(":", "prefix", "hash"), "level": F.col("level") - 1, "prefix": F.substring("prefix", F.lit(1), F.col("level") - 1)})
-    return up.groupBy(*by, "level", "prefix").agg(F.sum("n").alias("n"), _hashed(F.col("item")).alias("hash")).withColumn("leaf", F.lit(False))
+    return up.groupBy(*by, "level", "prefix").agg(F.sum("n").alias("n"), _hashed(F.collect_list("item")).alias("hash")).withColumn("leaf", F.lit(False))
 
 
 def hash_tree(rows: DataFrame, by: list[str], key: str = "id", digest: str = "digest") -> DataFrame:
-    """(by, level, prefix, n, hash, leaf): all nodes of each group's tree over its distinct rows; level 0 is the root."""
-    one = rows.select(*by, key, digest).distinct()
-    sizes = one.groupBy(*by).agg(_depth(F.count("*")).alias("depth"))
-    leaves = _held(_leaves(one.join(sizes, by), by, key, digest))
+    """(by, level, prefix, n, hash, leaf): all nodes of each group's tree over its distinct rows; level 0 is the root.
+
+    Depths are held before rows meet them: those of few groups are then broadcast, where a shuffle by group would put a
+    group's rows into one task.
+    """
+    rows = rows.select(*by, key, digest)
+    sizes = held(rows.distinct().groupBy(*by).agg(_depth(F.count("*")).alias("depth")))
+    leaves = held(_leaves(rows.join(sizes, by), by, key, digest))
     out, level = leaves, None
     for k in range(leaves.agg(F.max("level")).first()[0] or 0, 0, -1):
         own = leaves.where(F.col("level") == k)
-        level = _held(_above(own if level is None else own.unionByName(level), by))
+        level = held(_above(own if level is None else own.unionByName(level), by))
         out = out.unionByName(level)
     return out
 
@@ -77,24 +73,24 @@ def refreshed(tree: DataFrame, rows: DataFrame, changed: DataFrame, by: list[str
     Leaves of these keys are hashed again, and the nodes over them; a group that is new, or whose number of rows asks
     for another depth, is built anew.
     """
-    tree = _held(tree)
-    depths = tree.where("leaf").groupBy(*by).agg(F.max("level").alias("depth"))
-    touched = _held(changed.select(*by, key).join(depths, by).select(*by, F.col("depth").alias("level"), _prefix(key, F.col("depth")).alias("prefix")).distinct())
-    near = rows.select(*by, key, digest).distinct().join(depths, by).withColumn("prefix", _prefix(key, F.col("depth")))
+    tree = held(tree)
+    depths = held(tree.where("leaf").groupBy(*by).agg(F.max("level").alias("depth")))
+    touched = held(changed.select(*by, key).join(depths, by).select(*by, F.col("depth").alias("level"), _prefix(key, F.col("depth")).alias("prefix")).distinct())
+    near = rows.select(*by, key, digest).join(depths, by).withColumn("prefix", _prefix(key, F.col("depth")))
     near = near.join(touched.drop("level"), [*by, "prefix"], "left_semi")
     spot = [*by, "level", "prefix"]
-    leaves = _held(tree.where("leaf").join(touched, spot, "left_anti").unionByName(_leaves(near, by, key, digest)))
+    leaves = held(tree.where("leaf").join(touched, spot, "left_anti").unionByName(_leaves(near, by, key, digest)))
     grown = leaves.groupBy(*by).agg(_depth(F.sum("n")).alias("now"), F.max("level").alias("depth")).where("now <> depth").select(*by)
     fresh = changed.select(*by).distinct().join(depths.select(*by), by, "left_anti")
-    anew = _held(grown.unionByName(fresh))
-    leaves = _held(leaves.join(anew, by, "left_anti"))
+    anew = held(grown.unionByName(fresh))
+    leaves = held(leaves.join(anew, by, "left_anti"))
     nodes, out, level = tree.where("not leaf").join(anew, by, "left_anti"), leaves, None
     for k in range(leaves.agg(F.max("level")).first()[0] or 0, 0, -1):
         own = leaves.where(F.col("level") == k)
         under = own if level is None else own.unionByName(level)
         up = touched.where(F.col("level") >= k).select(*by, F.lit(k - 1).alias("level"), F.substring("prefix", F.lit(1), F.lit(k - 1)).alias("prefix")).distinct()
         again = under.withColumn("_up", F.substring("prefix", F.lit(1), F.lit(k - 1))).join(up.drop("level").withColumnRenamed("prefix", "_up"), [*by, "_up"], "left_semi").drop("_up")
-        level = _held(nodes.where(F.col("level") == k - 1).join(up, spot, "left_anti").unionByName(_above(again, by)))
+        level = held(nodes.where(F.col("level") == k - 1).join(up, spot, "left_anti").unionByName(_above(again, by)))
         out = out.unionByName(level)
     return out.unionByName(hash_tree(rows.join(anew, by, "left_semi"), by, key, digest))
 
@@ -110,7 +106,7 @@ def differing(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
             below = lambda t: t.withColumn("_up", F.substring("prefix", F.lit(1), F.lit(k - 1))).join(parents, [*by, "_up"], "left_semi").drop("_up")  # noqa: B023, E731
             x, y = below(x), below(y)
         met = x.join(y.select(*spot, F.col("hash").alias("_hash"), F.col("leaf").alias("_leaf")), spot, "full").where(~F.col("hash").eqNullSafe(F.col("_hash")))
-        met = _held(met)
+        met = held(met)
         out.append(met.where(F.coalesce("leaf", F.lit(False)) | F.coalesce("_leaf", F.lit(False))).select(*spot))
         parents = met.select(*by, F.col("prefix").alias("_up"))
     return reduce(DataFrame.unionByName, out)
