@@ -19,3 +19,22 @@ def test_rows_of_few_groups_are_not_shuffled_by_group(spark, monkeypatch):
     assert tree.where("level = 0").first().n == 300
     leaves = plan(seen[1])
     assert "BroadcastHashJoin" in leaves and "SortMergeJoin" not in leaves
+
+
+def test_fences_of_one_centre_count_as_steps_of_radius(spark):
+    fences = [(i, 10.0 + 20 * (i % 2), 20.0, float(300 + i * 733 % 4000)) for i in range(40)]
+    points = [(k, 10.0 + 20 * (k % 2), 20.0 + 0.0013 * k) for k in range(40)]
+    f = spark.createDataFrame(fences, "id long, latitude double, longitude double, radius double")
+    got = {r.id: r.geofence_id for r in geo.nearest_geofence(spark.createDataFrame(points, "id long, latitude double, longitude double"), f).collect()}
+
+    def metres(a, b):
+        h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6378168.0 * math.asin(math.sqrt(h))
+
+    want = {p[0]: min((metres(p, x), x[0]) for x in fences if metres(p, x) < x[3])[1] for p in points if any(metres(p, x) < x[3] for x in fences)}
+    assert got == want
+    steps = geo._unrivalled(f.toDF("geofence_id", "fence_latitude", "fence_longitude", "fence_radius")).orderBy("geofence_id").collect()
+    assert len(steps) < 15
+    for lat in (10.0, 30.0):
+        radii = [r.fence_radius for r in steps if r.fence_latitude == lat]
+        assert radii == sorted(set(radii))

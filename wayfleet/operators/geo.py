@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfleet.functions.scalars import RADIUS_EQUATOR, haversine_m, tile_cell, tile_name
+from wayfleet.operators.folds import held
 
 CELL = 0.05  # degrees of latitude: over 5 km, the largest radius
 MOST_RADIUS = 5000.0
@@ -24,10 +26,17 @@ def _fence_cells(fences: DataFrame) -> DataFrame:
     return fences.withColumn("_row", F.explode(rows)).withColumn("_col", F.explode(cols)).withColumn("_col", F.pmod("_col", F.lit(turn))).distinct()
 
 
+def _unrivalled(fences: DataFrame) -> DataFrame:
+    """Fences without those that one of the same centre, a lower id and at least their radius precedes at every point: these are never the nearest."""
+    before = W.partitionBy("fence_latitude", "fence_longitude").orderBy("geofence_id", F.desc("fence_radius")).rowsBetween(W.unboundedPreceding, -1)
+    return fences.withColumn("_most", F.max("fence_radius").over(before)).where("_most is null or fence_radius > _most").drop("_most")
+
+
 def nearest_geofence(points: DataFrame, fences: DataFrame, boundary: str = "strict", radius: float = RADIUS_EQUATOR) -> DataFrame:
     """points (id, latitude, longitude) -> (id, geofence_id, distance_m): the nearest fence whose circle holds the point, ties to the lowest id.
 
-    An equi-join on grid cells, so work grows with points near fences. boundary: 'strict' leaves the circle's
+    An equi-join on grid cells, so work grows with points near fences; fences that share a centre count as their steps of
+    radius alone. The cells are held first, so that Spark knows whether they can be broadcast. boundary: 'strict' leaves the circle's
     line out and takes radii in (0, 5000) only, 'inclusive' counts it in.
     """
     own = fences.select(F.col("id").alias("geofence_id"), F.col("latitude").alias("fence_latitude"), F.col("longitude").alias("fence_longitude"), F.col("radius").cast("double").alias("fence_radius"))
@@ -36,7 +45,7 @@ def nearest_geofence(points: DataFrame, fences: DataFrame, boundary: str = "stri
     spots = points.where("latitude is not null and longitude is not null").select("id", "latitude", "longitude")
     spots = spots.withColumns({"_row": F.floor(F.col("latitude") / CELL), "_col": F.pmod(F.floor(F.col("longitude") / CELL), F.lit(turn))})
     distance = haversine_m(F.col("latitude"), F.col("longitude"), F.col("fence_latitude"), F.col("fence_longitude"), radius, "atan2")
-    met = spots.join(_fence_cells(own), ["_row", "_col"]).withColumn("distance_m", distance)
+    met = spots.join(held(_fence_cells(_unrivalled(own))), ["_row", "_col"]).withColumn("distance_m", distance)
     inside = F.col("distance_m") < F.col("fence_radius") if boundary == "strict" else F.col("distance_m") <= F.col("fence_radius")
     best = met.where(inside).groupBy("id").agg(F.min(F.struct("distance_m", "geofence_id")).alias("best"))
     return best.select("id", "best.geofence_id", "best.distance_m")
