@@ -38,3 +38,11 @@ def test_fences_of_one_centre_count_as_steps_of_radius(spark):
     for lat in (10.0, 30.0):
         radii = [r.fence_radius for r in steps if r.fence_latitude == lat]
         assert radii == sorted(set(radii))
+
+
+def test_a_payload_is_parsed_once(spark):
+    rows = [("drive", 1, 1, "upsert", '{"start_soc":101,"start_ms":2,"end_ms":1}', 1), ("drive", 2, 1, "upsert", '{"latitude":91,"longitude":"1"}', 1), ("drive", 3, 1, "upsert", '{"start_soc":101', 1), ("drive", 4, 1, "upsert", '[{"start_soc":101}]', 1), ("drive", 5, 1, "upsert", '{"end_soc":{"a":1},"start_soc":"100"}', 1)]
+    out = cdc.validate_delta(spark.createDataFrame(rows, "entity string, id long, car_id long, op string, payload string, seq long"))
+    assert sorted((r.id, r.rule) for r in out.collect()) == [(1, "interval"), (1, "soc"), (2, "coordinates")]
+    told = out._jdf.queryExecution().optimizedPlan().toString()
+    assert told.count("json_tuple(") == 1 and "get_json_object" not in told

@@ -55,13 +55,13 @@ def validate_delta(delta: DataFrame, parent: str | None = None) -> DataFrame:
     def breach(rows: DataFrame, rule: str) -> DataFrame:
         return rows.select(F.lit(rule).alias("rule"), "entity", F.col("id").cast("bigint").alias("id"))
 
-    def field(name: str) -> Column:
-        return F.get_json_object("payload", f"$.{name}").try_cast("double")
-
     keys = delta.groupBy("seq", *KEY).agg(F.count("*").alias("n"), F.count_distinct("op").alias("ops"))
     cars = delta.groupBy("seq").agg(F.count_distinct("car_id").alias("n")).where("n > 1").select(F.lit("one car").alias("rule"), F.lit(None).cast("string").alias("entity"), F.col("seq").alias("id"))
-    levels = [field(c) for c in ("start_soc", "end_soc", "battery_level", "usable_battery_level", "start_battery_level", "end_battery_level")]
-    spots = [(field(f"{e}latitude"), field(f"{e}longitude")) for e in ("", "start_", "end_")]
+    levels = ["start_soc", "end_soc", "battery_level", "usable_battery_level", "start_battery_level", "end_battery_level"]
+    spots = [(f"{e}latitude", f"{e}longitude") for e in ("", "start_", "end_")]
+    names = ["start_ms", "end_ms", *levels, *(c for spot in spots for c in spot)]
+    field = lambda name: F.col(f"_{name}")
+    read = delta.select("*", F.json_tuple("payload", *names).alias(*[f"_{c}" for c in names])).withColumns({f"_{c}": field(c).try_cast("double") for c in names})  # a payload is parsed once
     wrong = lambda lat, lon: (lat.isNotNull() | lon.isNotNull()) & ~valid_coordinates(lat, lon, no_origin=True)
     rules = [
         ("positive id", ~F.coalesce(F.col("id") > 0, F.lit(False))),
@@ -70,11 +70,11 @@ def validate_delta(delta: DataFrame, parent: str | None = None) -> DataFrame:
         ("forward sequence", ~F.coalesce(F.col("seq") > 0, F.lit(False))),
         ("parent digest", F.lit(parent == ZERO)),
         ("interval", field("end_ms") < field("start_ms")),
-        ("soc", reduce(or_, [F.coalesce(~x.between(0, 100), F.lit(False)) for x in levels])),
-        ("coordinates", reduce(or_, [wrong(*x) for x in spots])),
+        ("soc", reduce(or_, [F.coalesce(~x.between(0, 100), F.lit(False)) for x in map(field, levels)])),
+        ("coordinates", reduce(or_, [wrong(*map(field, x)) for x in spots])),
     ]
     broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules]))
-    out = delta.select(F.explode(broken).alias("rule"), "entity", F.col("id").cast("bigint").alias("id"))
+    out = read.select(F.explode(broken).alias("rule"), "entity", F.col("id").cast("bigint").alias("id"))
     for rows, rule in ((keys.where("ops > 1"), "upsert and delete"), (keys.where("n > 1 and ops = 1"), "key twice")):
         out = out.unionByName(breach(rows, rule))
     return out.unionByName(cars)
