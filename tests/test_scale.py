@@ -46,3 +46,10 @@ def test_a_payload_is_parsed_once(spark):
     assert sorted((r.id, r.rule) for r in out.collect()) == [(1, "interval"), (1, "soc"), (2, "coordinates")]
     told = out._jdf.queryExecution().optimizedPlan().toString()
     assert told.count("json_tuple(") == 1 and "get_json_object" not in told
+
+
+def test_orphans_come_with_the_other_rules(spark):
+    rows = spark.createDataFrame([(1, 1, -1), (2, 9, 5), (3, 9, -1), (4, None, 1), (4, 1, 1)], "id long, drive_id long, speed long")
+    drives = spark.createDataFrame([(1,), (1,), (None,)], "id long")
+    out = quality.violations("position", rows, {"speed": quality.non_negative("speed")}, (drives, "drive_id", "drive exists"))
+    assert sorted((r.id, r.rule) for r in out.collect()) == [(1, "speed"), (2, "drive exists"), (3, "drive exists"), (3, "speed")]

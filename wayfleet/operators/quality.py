@@ -82,9 +82,13 @@ def text(col: str) -> Column:
     return F.trim(F.coalesce(F.col(col), F.lit(""))) != ""
 
 
-def violations(entity: str, rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """A row per broken rule and row, in one pass over the rows."""
+def violations(entity: str, rows: DataFrame, rules: dict[str, Column], parents: tuple[DataFrame, str, str] | None = None) -> DataFrame:
+    """A row per broken rule and row, in one pass over the rows. parents: (frame, key, rule) of the parent that a row's key must find, met by ids and broken rules alone."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
+    if parents:
+        frame, key, rule = parents
+        rows = rows.select("id", key, broken.alias("_broken")).join(frame.select(F.col("id").alias("_parent")).distinct(), F.col(key) == F.col("_parent"), "left")
+        broken = F.concat("_broken", F.when(F.col(key).isNotNull() & F.col("_parent").isNull(), F.array(F.lit(rule))).otherwise(F.array().cast("array<string>")))
     return rows.select(F.lit(entity).alias("entity"), F.col("id").cast("bigint").alias("id"), F.explode(broken).alias("rule"))
 
 
@@ -107,13 +111,14 @@ def validate_snapshot(drives: DataFrame, positions: DataFrame, charges: DataFram
         "charge_sample": {"positive time": positive("date_ms"), "soc": soc("battery_level"), "energy": non_negative("energy")},
         "car": {},
     }
-    out = [orphans("position", positions, drives, "drive_id", "drive exists"), orphans("charge_sample", samples, charges, "charge_id", "charge exists")]
+    parents = {"position": (drives, "drive_id", "drive exists"), "charge_sample": (charges, "charge_id", "charge exists")}
+    out = []
     if cars is not None:
         frames["car"] = cars
         rules["car"] = {"name": text("name"), "model": text("model")}
         out += [orphans(n, f, cars, "car_id", "car exists") for n, f in list(frames.items()) if n != "car"]
     for name, rows in frames.items():
-        out += [violations(name, rows, {"positive id": positive()} | rules[name] | field_rules(name, rows)), repeated(name, rows)]
+        out += [violations(name, rows, {"positive id": positive()} | rules[name] | field_rules(name, rows), parents.get(name)), repeated(name, rows)]
     for name, rows, check in (("state", states, validate_states), ("update", updates, validate_updates)):
         if rows is not None:
             out += [check(rows), repeated(name, rows)]
