@@ -4,7 +4,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from wayfleet.operators import cdc, geo, merkle, quality
+from wayfleet import queries
+from wayfleet.operators import cdc, folds, geo, merkle, quality
 
 
 def plan(df) -> str:
@@ -53,3 +54,12 @@ def test_orphans_come_with_the_other_rules(spark):
     drives = spark.createDataFrame([(1,), (1,), (None,)], "id long")
     out = quality.violations("position", rows, {"speed": quality.non_negative("speed")}, (drives, "drive_id", "drive exists"))
     assert sorted((r.id, r.rule) for r in out.collect()) == [(1, "speed"), (2, "drive exists"), (3, "drive exists"), (3, "speed")]
+
+
+def test_partitions_that_are_spread_stay_apart(spark, sf_dir):
+    rows = spark.range(1000).withColumn("key", F.col("id") % 200)
+    out = folds.spread(rows, 1000, "key", per=100).groupBy("key").count()
+    assert out.rdd.getNumPartitions() == 10 and out.count() == 200
+    assert folds.spread(rows.limit(0), 0, "key").count() == 0
+    for frame in (queries._lineage(spark, sf_dir)[0], queries._versions(spark, sf_dir)[1], queries.materialisation_report(spark, sf_dir)):
+        assert "RepartitionByExpression" in plan(frame)

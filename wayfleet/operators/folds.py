@@ -58,6 +58,11 @@ def held(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int, *keys: str, per: int = 25_000) -> DataFrame:
+    """df by keys in partitions of about `per` of its rows. They stay apart, however small their shuffle is: adaptive execution joins partitions by their compressed bytes, which say little where keys compress well or rows grow wide afterwards."""
+    return df.repartition(max(1, -(-rows // per)), *keys)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """A reliable checkpoint; partitions and their order stay as they are."""
     sc = df.sparkSession.sparkContext

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfleet.functions import scalars as S
-from wayfleet.operators import cdc, geo, intervals, quality, reconcile, relations
+from wayfleet.operators import cdc, folds, geo, intervals, quality, reconcile, relations
 from wayfleet.plans import adapters as A
 from wayfleet.plans.adapters import with_frames
 
@@ -95,6 +95,7 @@ def ordinal_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_frames("positions", "drives") + " SELECT DISTINCT p.date_ms // 86400000 AS fragment, d.id, d.start_ms FROM positions p JOIN drives d ON d.id = p.drive_id")
 def fragments_with_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     children = A.positions(spark, sf_dir).select(F.floor(F.col("date_ms") / 86_400_000).alias("fragment"), "drive_id")
+    children = folds.spread(children, A.table(spark, sf_dir, "lineitem").count(), "drive_id", per=250_000)
     return cdc.fragment_with_parents(children, A.drives(spark, sf_dir), "drive_id").select("fragment", "id", "start_ms")
 
 

@@ -527,7 +527,8 @@ def project_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_frames("positions") + " SELECT drive_id, count(DISTINCT id) AS n FROM positions WHERE drive_id IS NOT NULL GROUP BY drive_id")
 def materialisation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.materialisation_report(A.positions(spark, sf_dir), "drive_id")
+    rows = A.positions(spark, sf_dir).select("id", "drive_id")
+    return reconcile.materialisation_report(folds.spread(rows, A.table(spark, sf_dir, "lineitem").count(), "drive_id", per=250_000), "drive_id")
 
 
 @query("SELECT 'line' AS entity, l_orderkey * 10 + l_linenumber AS id, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1 OR l_orderkey * 10 + l_linenumber <= 0")
@@ -586,6 +587,7 @@ VERSIONS = with_frames("drives") + """, prior AS (SELECT 'drive' AS entity, id,
 
 
 @query(VERSIONS + " SELECT n.entity, n.id, CASE WHEN p.id IS NULL THEN 'new' WHEN p.payload = n.payload THEN 'unchanged' ELSE 'changed' END AS status FROM now n LEFT JOIN prior p ON p.id = n.id")
+    d = folds.spread(d.select("id", "car_id", "o_totalprice"), d.count(), "id", per=250_000)
 def classify_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.classify_changes(*_versions(spark, sf_dir)).select("entity", "id", "status")
 
@@ -638,7 +640,7 @@ def delta_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lineage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two base packs and a chain of deltas for each customer's orders, spoilt by order key in one way or another; and heads."""
     rows = A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("car_id"), F.col("o_orderkey").alias("to_seq"))
-    chains = rows.groupBy("car_id").agg(F.array_sort(F.collect_list("to_seq")).alias("seqs"))  # some orders a customer
+    chains = folds.spread(rows, rows.count(), "car_id").groupBy("car_id").agg(F.array_sort(F.collect_list("to_seq")).alias("seqs"))  # some orders a customer
     base = F.sha2(F.concat(F.lit("base"), F.col("car_id").cast("string")), 256)
     walk = "aggregate(seqs, named_struct('at', -1L, 'digest', {base}, 'all', array()), (s, x) -> named_struct('at', x, 'digest', sha2(concat('delta-v2/', s.digest, ':', sha2(concat('pack', x), 256)), 256), 'all', concat(s.all, array(named_struct('from_seq', s.at, 'to_seq', x, 'parent', s.digest, 'chain', sha2(concat('delta-v2/', s.digest, ':', sha2(concat('pack', x), 256)), 256))))))"
     typed = "cast(array() as array<struct<from_seq: bigint, to_seq: bigint, parent: string, chain: string>>)"
