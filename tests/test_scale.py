@@ -63,3 +63,10 @@ def test_partitions_that_are_spread_stay_apart(spark, sf_dir):
     assert folds.spread(rows.limit(0), 0, "key").count() == 0
     for frame in (queries._lineage(spark, sf_dir)[0], queries._versions(spark, sf_dir)[1], queries.materialisation_report(spark, sf_dir)):
         assert "RepartitionByExpression" in plan(frame)
+
+
+def test_one_row_of_each_id_is_read_from_one_table(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (3, "d")], "id long, x string")
+    out = queries._once(rows)
+    assert sorted(r.id for r in out.collect()) == [1, 2, 3] and out.columns == ["id", "x"]
+    assert "Scan parquet" in plan(out) and "ExistingRDD" not in plan(out)

@@ -408,12 +408,21 @@ def project_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("id", "car_id", "start_ms", "end_ms", "address", "location_name", "geofence", "billing_type", "cost_per_unit", "session_fee", "start_latitude", "start_longitude", "is_dc", "max_power", "energy_added")
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """rows as a table, one of each id: the import reads it often, and only the rows of a repeated id are shuffled whole."""
+    rows = folds.held(rows)
+    twice = folds.held(rows.groupBy("id").count().where("count > 1").select("id"))
+    return rows.join(twice, "id", "left_anti").unionByName(rows.join(twice, "id", "left_semi").dropDuplicates(["id"]))
+
+
 def _imported(spark: SparkSession, sf_dir: str) -> str:
     """All tables through one import into the shared folder. The star schema's keys begin at 0 and a few of the ids made of them come twice: each is one higher here and once."""
-    top, spots = f"{folds.shared_folder(spark)}/imports/{uuid.uuid4().hex}", A.positions(spark, sf_dir).dropDuplicates(["id"])
-    tables = {f.__name__: f(spark, sf_dir) for f in (A.cars, A.states, A.updates, A.addresses, A.geofences)} | {"positions": spots, "samples": A.samples(spark, sf_dir).dropDuplicates(["id"])}
-    tables["drives"] = A.with_positions(A.drives(spark, sf_dir), spots, start_position_id="min", end_position_id="max")
-    tables["charges"] = A.with_positions(A.charges(spark, sf_dir), spots, position_id="min")
+    top = f"{folds.shared_folder(spark)}/imports/{uuid.uuid4().hex}"
+    spots, samples = _once(A.positions(spark, sf_dir)), _once(A.samples(spark, sf_dir))
+    tables = {f.__name__: f(spark, sf_dir) for f in (A.cars, A.states, A.updates, A.addresses, A.geofences)} | {"positions": spots, "samples": samples}
+    tables["drives"] = folds.held(A.with_positions(A.drives(spark, sf_dir), spots, start_position_id="min", end_position_id="max"))
+    ends = tables["drives"].select("id", F.col("start_position_id").alias("position_id"))
+    tables["charges"] = folds.held(A.charges(spark, sf_dir).join(ends, "id", "left"))
     higher = lambda t: t.withColumns({c: F.col(c) + 1 for c in t.columns if c == "id" or c.endswith("_id")})
     imports.import_history({name: higher(t) for name, t in tables.items()}, top, "first")
     return top
@@ -578,6 +587,7 @@ def _version(rows: DataFrame, entity: str = "drive") -> DataFrame:
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = A.drives(spark, sf_dir)
+    d = folds.spread(d.select("id", "car_id", "o_totalprice"), d.count(), "id", per=250_000)
     later = d.where("id % 7 <> 0").withColumn("o_totalprice", F.when(F.col("id") % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
     return _version(d.where("id % 3 <> 0")), _version(later)
 
@@ -587,7 +597,6 @@ VERSIONS = with_frames("drives") + """, prior AS (SELECT 'drive' AS entity, id,
 
 
 @query(VERSIONS + " SELECT n.entity, n.id, CASE WHEN p.id IS NULL THEN 'new' WHEN p.payload = n.payload THEN 'unchanged' ELSE 'changed' END AS status FROM now n LEFT JOIN prior p ON p.id = n.id")
-    d = folds.spread(d.select("id", "car_id", "o_totalprice"), d.count(), "id", per=250_000)
 def classify_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.classify_changes(*_versions(spark, sf_dir)).select("entity", "id", "status")
 
