@@ -2,10 +2,12 @@
 
 import math
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from wayfleet import queries
 from wayfleet.operators import cdc, folds, geo, merkle, quality
+from wayfleet.streaming import lifecycle
 
 
 def plan(df) -> str:
@@ -70,3 +72,12 @@ def test_one_row_of_each_id_is_read_from_one_table(spark):
     out = queries._once(rows)
     assert sorted(r.id for r in out.collect()) == [1, 2, 3] and out.columns == ["id", "x"]
     assert "Scan parquet" in plan(out) and "ExistingRDD" not in plan(out)
+
+
+def test_columns_of_a_fold_are_read_and_built_whole():
+    rows = pd.DataFrame({"car_id": 1, "observation_id": [1, 2, 2, 3], "at_ms": [0, 10, 11, 20], "phase": ["driving", "driving", "driving", None], "charging_state": None, "broken": [False, False, False, True], "odometer": [1.0, None, 2.0, None], "energy": 1.0, "why": ["a", "b", "c", "d"]})
+    out = lifecycle.Lifecycle(letters=("why",)).folded(1, lifecycle.Car(None, 10), rows)
+    assert out["entity"].tolist() == ["drive_position", "drive_position", "quarantine"] and lifecycle.listed(out["why"]) == [None, None, "d"] and lifecycle.listed(out["observation_id"]) == [1, 2, 3]
+    assert set(out.dtypes.astype(str)) == {"Int64", "float64", "object"} and out.columns.tolist() == [*lifecycle.OUT_NAMES, "why"]
+    none = lifecycle.Lifecycle().folded(1, lifecycle.Car(None, 10), rows.iloc[:0])
+    assert len(none) == 0 and none.columns.tolist() == lifecycle.OUT_NAMES

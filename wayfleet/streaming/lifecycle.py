@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from itertools import chain, groupby
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,11 @@ FACTS = ("distance_km", "energy_added", "duration_min", "speed_max", "power_max"
 OUT = "car_id long, entity string, session long, observation_id long, label string, start_ms long, end_ms long, n long, first double, last double, " + ", ".join(f"{c} {'long' if c == 'duration_min' else 'double'}" for c in FACTS)
 STATE = "last_id long, clock long, phase string, state string, since long, drive_no long, drive_start long, drive_last long, drive_n long, charge_no long, charge_start long, charge_last long, charge_n long, drive_at long, parked_at long, update_start long, version string, "
 STATE += ", ".join(f"{kind}_{c}_{how} double" for kind, columns in KEPT.items() for c, ways in columns.items() for how in ways)
+STATE_NAMES = [c.split()[0] for c in STATE.split(", ")]
+OUT_NAMES = [c.split()[0] for c in OUT.split(", ")]
+#: Columns of OUT by what pandas holds them as; the others are texts.
+WHOLE = {"car_id", "session", "observation_id", "start_ms", "end_ms", "n", "duration_min"}
+REAL = {"first", "last", *FACTS} - WHOLE
 LOGICAL = {"online": "online", "driving": "online", "charging": "online", "updating": "online", "parked": "online", "asleep": "asleep", "offline": "offline"}
 TERMINAL = {"complete", "disconnected", "stopped", "nopower", "unplugged"}
 NONE = (None,) * len(FACTS)
@@ -61,12 +67,11 @@ class Car:
 
     def __init__(self, values: tuple | None, offline_ms: int, thin_ms: int = THIN_MS):
         self.thin_ms = thin_ms
-        self.names = [c.split()[0] for c in STATE.split(", ")]
-        self.s = dict(zip(self.names, values or [None] * len(self.names), strict=True))
+        self.s = dict(zip(STATE_NAMES, values or [None] * len(STATE_NAMES), strict=True))
         self.offline_ms = offline_ms
 
     def values(self) -> tuple:
-        return tuple(self.s[n] for n in self.names)
+        return tuple(self.s[n] for n in STATE_NAMES)
 
     def kept(self, kind: str, column: str, how: str) -> float | None:
         return self.s[f"{kind}_{column}_{how}"]
@@ -212,7 +217,7 @@ class Ordered(StatefulProcessor):
         frames = iter(rows)
         first, second = next(frames), next(frames, None)
         if second is None:
-            yield first.sort_values(order, kind="stable")
+            yield first if first[order].is_monotonic_increasing else first.sort_values(order, kind="stable")
             return
         for part, frame in enumerate(chain([first, second], frames)):
             for block, own in frame.groupby(frame[order] // BLOCK):
@@ -232,6 +237,11 @@ class Ordered(StatefulProcessor):
         pass
 
 
+def listed(column: pd.Series) -> list:
+    """A column's values, None where there is none."""
+    return [None if lost else v for v, lost in zip(column.tolist(), column.isna().tolist(), strict=True)]
+
+
 class Lifecycle(Ordered):
     def __init__(self, offline_ms: int = OFFLINE_MS, thin_ms: int = THIN_MS, letters: tuple[str, ...] = ()):
         self.offline_ms, self.thin_ms, self.letters = offline_ms, thin_ms, letters
@@ -247,20 +257,21 @@ class Lifecycle(Ordered):
         self.state.update(car.values())
 
     def folded(self, car_id: int, car: Car, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        none = lambda v: None if pd.isna(v) else v
-        taken = ("phase", "odometer", "energy", "status", "version", "latitude", "longitude", "drive_data", "moving", *MEASURES)
-        for r in rows.itertuples(index=False):
-            if car.s["last_id"] is not None and r.observation_id <= car.s["last_id"]:
+        """What a car's rows, in order, close and add. Columns are read and built whole, as a car has few rows in a micro-batch."""
+        out, nothing = [], [None] * len(self.letters)
+        taken = [c for c in ("phase", "odometer", "energy", "status", "version", "latitude", "longitude", "drive_data", "moving", *MEASURES) if c in rows]
+        values = zip(*map(listed, (rows[c] for c in taken)), strict=True)
+        told = zip(*map(listed, (rows[c] for c in self.letters)), strict=True) if self.letters else [()] * len(rows)
+        given = zip(rows["observation_id"].tolist(), rows["at_ms"].tolist(), listed(rows["charging_state"]), listed(rows["broken"]), values, told, strict=True)
+        for id, at, charging, broken, row, letter in given:
+            if car.s["last_id"] is not None and id <= car.s["last_id"]:
                 continue
-            car.s["last_id"] = int(r.observation_id)
-            row = {c: none(getattr(r, c, None)) for c in taken}
-            for done in car.step(int(r.at_ms), charging=none(r.charging_state), broken=bool(none(r.broken)), id=int(r.observation_id), **row):
-                out.append((car_id, *done, *(none(getattr(r, c)) if done[0] == "quarantine" else None for c in self.letters)))
-        names = [c.split()[0] for c in OUT.split(", ")] + list(self.letters)
-        frame = pd.DataFrame(out, columns=names)
-        whole = {c: "Int64" for c in ("car_id", "session", "observation_id", "start_ms", "end_ms", "n", "duration_min")}
-        return frame.astype(whole | {c: "float64" for c in ("first", "last", *FACTS) if c != "duration_min"})
+            car.s["last_id"] = id = int(id)
+            for done in car.step(int(at), charging=charging, broken=bool(broken), id=id, **dict(zip(taken, row, strict=True))):
+                out.append((car_id, *done, *(letter if done[0] == "quarantine" else nothing)))
+        names = [*OUT_NAMES, *self.letters]
+        columns = zip(*out, strict=True) if out else [()] * len(names)
+        return pd.DataFrame({c: pd.array(v, "Int64") if c in WHOLE else np.array(v, "float64") if c in REAL else np.array(v, object) for c, v in zip(names, columns, strict=True)}, copy=False)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         """Open sessions of imported history: rows of STATE after car_id."""
