@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -10,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +84,39 @@ def settle(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    done = df.checkpoint()
+    tidy(df.sparkSession)
+    return done
+
+
+#: Seconds at least between two times that the driver's JVM is tidied.
+TIDY_S = 5
+_tidied = [0.0]
+
+
+def tidy(spark) -> None:
+    """Keeps the driver's JVM small, whatever number of short jobs a long stage has. Their garbage makes the heap grow, which only a full collection undoes: one is asked for where the
+    heap takes half of what it may, and lets shuffles, broadcasts and checkpoints go too that nothing refers to. Native memory that is freed stays with the C library's arenas until they are trimmed."""
+    if time.monotonic() - _tidied[0] < TIDY_S:
+        return
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if 2 * heap.totalMemory() > heap.maxMemory():
+        jvm.java.lang.System.gc()
+    with contextlib.suppress(Py4JError):  # only HotSpot on glibc has it
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    _tidied[0] = time.monotonic()
+
+
+def give_back() -> None:
+    """What this process has freed goes back to the machine; the C library would hold on to what a peak took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

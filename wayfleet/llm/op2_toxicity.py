@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfleet.llm import gru
-from wayfleet.llm.common import crc_mod, only, slices, texts
+from wayfleet.llm.common import crc_mod, give_back, only, slices, texts
 
 PER_LABEL, MAX_CHARS, THRESHOLD = 1200, 20_000, 0.7
 
@@ -45,6 +45,7 @@ def fitted(docs: DataFrame, labels: DataFrame, train: Column) -> gru.Network | N
 def toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted: train is a condition on doc_id for rows to learn from (default: all)."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, F.lit(True) if train is None else train))
+    give_back()  # the training's memory
     kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
     names = [f.name for f in kept] + ["score", "predicted"]
 

@@ -387,7 +387,9 @@ def postings(nodes: DataFrame) -> DataFrame:
 
     at = nodes.select("node", "n", "prefix").mapInArrow(run, "token long, node long, n long, pos long")
     low = F.min(F.struct("node", "n", "pos")).alias("low")
-    return settle(at.join(at.groupBy("token").agg(low, F.count("*").alias("c")).where("c > 1"), "token"))
+    done = settle(at.join(at.groupBy("token").agg(low, F.count("*").alias("c")).where("c > 1"), "token"))
+    sieve.destroy()
+    return done
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
