@@ -95,14 +95,12 @@ _tidied = [0.0]
 
 
 def tidy(spark) -> None:
-    """Keeps the driver's JVM small, whatever number of short jobs a long stage has. Their garbage makes the heap grow, which only a full collection undoes: one is asked for where the
-    heap takes half of what it may, and lets shuffles, broadcasts and checkpoints go too that nothing refers to. Native memory that is freed stays with the C library's arenas until they are trimmed."""
+    """Keeps the driver's JVM small, whatever number of short jobs a long stage has. Their garbage makes the heap grow, which only a full collection undoes; it also lets shuffles,
+    broadcasts and checkpoints go that nothing refers to. Native memory that is freed stays with the C library's arenas until they are trimmed."""
     if time.monotonic() - _tidied[0] < TIDY_S:
         return
     jvm = spark.sparkContext._jvm
-    heap = jvm.java.lang.Runtime.getRuntime()
-    if 2 * heap.totalMemory() > heap.maxMemory():
-        jvm.java.lang.System.gc()
+    jvm.java.lang.System.gc()
     with contextlib.suppress(Py4JError):  # only HotSpot on glibc has it
         args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
         args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
